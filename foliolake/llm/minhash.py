@@ -32,7 +32,7 @@ SIMILAR, OF = 75, 100
 #: Equal minima, of BANDS * ROWS, below which a pair in a tile is not compared in full.
 LEAST_EQUAL = 72
 #: Members, and distinct shingles, that one side of a tile holds on average.
-TILE_ROWS, TILE_SHINGLES = 384, 400_000
+TILE_ROWS, TILE_SHINGLES = 512, 500_000
 #: Documents whose ids are broadcast to pick their texts; with more, that join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -204,20 +204,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = shared.where("n > 2").join(so_far.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     open_ = stage(grouped.join(stage(apart, "apart"), "bucket", "left_semi"), "open")
-    tiles = F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int")
-    dealt = open_.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("tiles")).cast("int"))
-    opposite = F.transform(
-        F.sequence(F.lit(0), F.col("tiles") - 1),
-        lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"), F.when(t >= F.col("tile"), 0).otherwise(1).alias("side")),
+    # The largest group of a bucket needs no comparing inside itself: its members meet the others only.
+    counted = open_.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    largest = counted.groupBy("bucket").agg(F.max_by(F.struct("component", "m", "s"), F.struct("m", "component")).alias("g"), F.sum("m").alias("n"), F.sum("s").alias("weight"))
+    tiles = lambda n, weight: F.greatest(F.ceil(n / TILE_ROWS), F.ceil(weight / TILE_SHINGLES), F.lit(1)).cast("int")
+    largest = stage(
+        largest.select("bucket", F.col("g.component").alias("most"), tiles(F.col("g.m"), F.col("g.s")).alias("inner"), tiles(F.col("n") - F.col("g.m"), F.col("weight") - F.col("g.s")).alias("outer")), "largest"
     )
-    dealt = dealt.select("bucket", "band", "rep", "component", F.inline(opposite)).withColumn("diagonal", F.col("i") == F.col("j"))
-    carried = (
+    dealt = open_.select("bucket", "band", "rep", "component").join(largest, "bucket")
+    dealt = (
         dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
         .join(features.select(F.col("doc_id").alias("rep"), "signature").dropDuplicates(["rep"]).join(open_.select("rep").distinct(), "rep", "left_semi"), "rep")
+        .withColumn("among", F.col("component") == F.col("most"))
+        .withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(5)), F.when(F.col("among"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
     )
-    more = stage(
-        carried.groupBy("bucket", "i", "j").applyInArrow(lambda t: _tile(t), "a long, b long"), "tiled"
+    # Tiles 0.. are the others', and -1, -2, .. the largest group's; a pair of tiles is (i, j) with i >= 0.
+    met = F.when(F.col("among"), F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda t: F.struct(t.alias("i"), (-1 - F.col("tile")).alias("j"), F.lit(1).alias("side")))).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j"), F.when(t >= F.col("tile"), 0).otherwise(1).alias("side"))),
+            F.transform(F.sequence(F.lit(1), F.col("inner")), lambda t: F.struct(F.col("tile").alias("i"), (-t).alias("j"), F.lit(0).alias("side"))),
+        )
     )
+    carried = dealt.select("bucket", "band", "rep", "component", "signature", "shingles", F.inline(met)).withColumn("diagonal", F.col("i") == F.col("j"))
+    more = stage(carried.groupBy("bucket", "i", "j").applyInArrow(lambda t: _tile(t), "a long, b long"), "tiled")
     links = stars.unionByName(more)
     groups = stage(connected_components(links), "groups")
     out = (
