@@ -2,18 +2,72 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import minhash, mixing, packing, shards
+from .staging import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.allocation(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op2_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op9_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/foliolake/shards-{uuid.uuid4().hex}"
+    sequences, _ = shards.write_shards(_table(spark, sf_dir, "documents"), path)
+    return shards.manifest(spark, path, sequences)
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_concat_pack, op3_minhash_near_dedup, op9_training_order_shards)}
+
+_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM d GROUP BY source
+), f AS (
+  SELECT *, source_size::DOUBLE * 3 AS most,
+         source_size::DOUBLE * 3 < weight * ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(source_size::DOUBLE * 3) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS full_
+  FROM s WINDOW b AS (ORDER BY source_size::DOUBLE * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, CASE WHEN full_ THEN most ELSE weight * (((sum(source_size) OVER ())::DOUBLE - sum(CASE WHEN full_ THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ()) END AS target
+  FROM f
+), r AS (
+  SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, least(floor(coalesce(t.target / nullif(t.source_size, 0), 0)), 3)::BIGINT AS certain,
+         coalesce(t.target / nullif(t.source_size, 0), 0) - least(floor(coalesce(t.target / nullif(t.source_size, 0), 0)), 3) AS fraction
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, CASE WHEN certain < 3 AND fraction > 0 THEN ((u / (1 - u)) * ((1 - fraction) / fraction)) / (1 + (u / (1 - u)) * ((1 - fraction) / fraction)) END AS rank_ FROM r
+), w AS (
+  SELECT *, target - sum(size * certain) OVER (PARTITION BY source) AS want,
+         sum(size) OVER (PARTITION BY source ORDER BY rank_ NULLS LAST, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM k
+), e AS (
+  SELECT *, rank_ IS NOT NULL AND upto <= want AS head, max(CASE WHEN rank_ IS NOT NULL AND upto <= want THEN upto ELSE 0 END) OVER (PARTITION BY source) AS taken_head FROM w
+), c AS (
+  SELECT source, arg_min(doc_id, (abs(size - (want - taken_head)), rank_, doc_id)) AS closing
+  FROM e WHERE rank_ IS NOT NULL AND NOT head AND size > 0 AND abs(size - (want - taken_head)) < want - taken_head GROUP BY source
+)
+SELECT e.doc_id, e.size, e.source_size, e.target, (e.size * (e.certain + CASE WHEN e.head OR (e.rank_ IS NOT NULL AND e.doc_id = c.closing) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM e LEFT JOIN c ON e.source IS NOT DISTINCT FROM c.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1}
