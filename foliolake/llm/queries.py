@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, shards
+from . import embdedup, lm, minhash, mixing, packing, pii, pivots, secrets, shards, toxicity
 from .staging import shared_dir
 
 
@@ -28,13 +28,48 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
+def op5_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, lexicon).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.digest(found, secrets.KINDS, {"n_assign": "assign", "n_access": "access", "n_hex": "hex"})
+
+
+def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_table(spark, sf_dir, "documents"))
+    return secrets.digest(found, pii.KINDS, {f"n_{k}": k for k in pii.KINDS})
+
+
+def op8_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/foliolake/shards-{uuid.uuid4().hex}"
     sequences, _ = shards.write_shards(_table(spark, sf_dir, "documents"), path)
     return shards.manifest(spark, path, sequences)
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_concat_pack, op3_minhash_near_dedup, op9_training_order_shards)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pareto_mix, op2_concat_pack, op3_minhash_near_dedup, op4_cross_entropy_difference, op5_lexicon_toxicity,
+        op6_assignment_secrets, op7_crf_pii, op8_pivot_top_k, op9_training_order_shards, op10_embedding_near_dedup,
+    )
+}
 
 _OP1 = r"""
 WITH d AS (
@@ -70,4 +105,40 @@ SELECT e.doc_id, e.size, e.source_size, e.target, (e.size * (e.certain + CASE WH
 FROM e LEFT JOIN c ON e.source IS NOT DISTINCT FROM c.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1}
+_OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))
+), r AS (
+  SELECT x AS node, x AS seen FROM l UNION SELECT r.node, l.y FROM r JOIN l ON r.seen = l.x
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY node
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id, w.doc_id = coalesce(c.component_id, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+_VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_OP8 = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings WHERE {_VALID}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+_OP10 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE {_VALID} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT x AS node, x AS seen FROM l UNION SELECT r.node, l.y FROM r JOIN l ON r.seen = l.x),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.node = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op3_minhash_near_dedup": _OP3, "op8_pivot_top_k": _OP8, "op10_embedding_near_dedup": _OP10}
