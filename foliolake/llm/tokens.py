@@ -1,21 +1,23 @@
 """Token ids of whole texts by a public tokenizer file, fast enough for whole corpora.
 
-The tokenizer splits at white space before anything else, so the ids of a text are those of its
-white-space separated chunks, one after another.  Chunks recur: their ids are kept in a bounded table, and
-chunks that are new go to the tokenizer together.  Texts with any character outside a plain set (printable
-ASCII and Latin-1 letters, whose lower case and normal form are the same everywhere), and texts that may
-hold a special token, go to the tokenizer whole.
+The tokenizer splits at white space and between letters, digits and signs before anything else, so the ids of
+a text are those of its pieces, one after another.  Pieces recur: the ids of white-space separated chunks
+and of single pieces are kept in bounded tables, and only a new piece goes to the tokenizer's model.  Texts
+with any character outside a plain set (printable ASCII and Latin-1 letters, whose lower case and normal
+form are the same everywhere), and texts that may hold a special token, go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 
-#: Chunks whose ids one worker keeps.
-KEPT = 400_000
+#: Chunks, and pieces, whose ids one worker keeps.
+KEPT_CHUNKS, KEPT_PIECES = 500_000, 1_000_000
+#: Signs that may end a chunk after a word; together they are one piece.
+_TAIL = ".,!#$%&*|;:?-"
 _PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
 _PLAIN_LATIN = _PLAIN + bytes(x for x in range(0xC0, 0x100) if x not in (0xD7, 0xF7))
 
@@ -27,7 +29,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as uint32; `path` is a file of the tokenizers library."""
+    """encoded(texts) gives each text's ids as bytes; `path` is a file of the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,15 +39,22 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.ends = ends
-        # Only this kind (words end in </w>, white space dropped, lower case) is known to split that way.
-        self.by_chunk = bool(ends.any()) and self._one("A bC d") == self._one("a") + self._one("bc") + self._one("d")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         import regex
 
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        # Only tokenizers that split that way, on lower case, are taken apart; others see every text whole.
+        self.by_piece = False
+        try:
+            self.bytes_of = {k: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))[0][0] for k in range(0xC0, 0x100) if k not in (0xD7, 0xF7)}
+            probe = "A bC, it's d9 x--y $$$ ÉÜ. 'd'll"
+            self.by_piece = b"".join(self._chunk(c) for c in probe.lower().split()) == self._whole(probe)
+        except Exception:  # a tokenizer of another kind
+            self.by_piece = False
+        self.chunks, self.pieces = {}, {}
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -58,40 +67,35 @@ class Encoder:
         except UnicodeEncodeError:
             return False
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not seen yet, in one call; the marks of word ends say which ids are whose."""
-        ids = np.array(self._one(" ".join(new)), dtype=np.int64)
-        counts = np.array([len(self.words.findall(c)) for c in new])
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != counts.sum():
-            return {c: np.array(self._one(c), self.dtype).tobytes() for c in new}
-        last = np.concatenate([[0], last])
-        at = last[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        raw, w = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-        return {c: raw[w * a : w * b] for c, a, b in zip(new, at, at[1:])}
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = array(self.code, [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes_of))]).tobytes()
+            if len(self.pieces) < KEPT_PIECES:
+                self.pieces[piece] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = chunk.rstrip(_TAIL)
+        if word.isalpha():
+            ids = self._piece(word)
+            if len(word) < len(chunk):
+                ids += self._piece(chunk[len(word) :])
+        else:
+            ids = b"".join([self._piece(x) for x in self.split(chunk)])
+        if len(self.chunks) < KEPT_CHUNKS:
+            self.chunks[chunk] = ids
+        return ids
 
     def encoded(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, little-endian in self.dtype; null is the empty text."""
-        plain = [self.by_chunk and bool(t) and self._plain(t) for t in texts]
-        split = [t.lower().split() if p else () for t, p in zip(texts, plain)]
-        known = self.known
-        new = list({c for c in chain.from_iterable(split) if c not in known})
-        extra: dict[str, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            extra |= self._learn(new[k : k + 20_000])
-        look = known
-        if len(known) + len(extra) <= KEPT:
-            known.update(extra)
-        elif extra:
-            room = KEPT - len(known)
-            if room > 0:
-                known.update(list(extra.items())[:room])
-            extra_get = extra.get
-            out = []
-            for t, p, chunks in zip(texts, plain, split):
-                out.append(b"".join([known.get(c) or extra_get(c, b"") for c in chunks]) if p else self._whole(t))
-            return out
-        return [b"".join(map(look.__getitem__, chunks)) if p else self._whole(t) for t, p, chunks in zip(texts, plain, split)]
+        out, get, chunk = [], self.chunks.get, self._chunk
+        for t in texts:
+            if self.by_piece and t and self._plain(t):
+                out.append(b"".join([get(c) or chunk(c) for c in t.lower().split()]))
+            else:
+                out.append(self._whole(t))
+        return out
 
     def _whole(self, text: str | None) -> bytes:
         return np.array(self._one(text), self.dtype).tobytes() if text else b""
