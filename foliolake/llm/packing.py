@@ -75,7 +75,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
 
 def pieces(stream: DataFrame, total: int, path: str, window: int, with_ids: bool = False) -> DataFrame:
-    """The pieces of a placed stream; with_ids adds each one's ids as little-endian unsigned 32-bit numbers."""
+    """The pieces of a placed stream; with_ids adds each one's ids as they are staged, little-endian."""
     wide = encoder(path).dtype
 
     def cut(batches):
@@ -88,7 +88,7 @@ def pieces(stream: DataFrame, total: int, path: str, window: int, with_ids: bool
                 for s, e in zip(edges, edges[1:]):
                     seq = (a + s) // window
                     held = min(window, total - seq * window)
-                    rows.append((d, s, e - s, zlib.crc32(x[s:e].tobytes()), len(x), seq, (a + s) % window, s == 0, e == len(x), held, held if held & (held - 1) == 0 else window, x[s:e].tobytes() if with_ids else None))
+                    rows.append((d, s, e - s, zlib.crc32(x[s:e].tobytes()), len(x), seq, (a + s) % window, s == 0, e == len(x), held, held if held & (held - 1) == 0 else window, raw[s * wide.itemsize : e * wide.itemsize] if with_ids else None))
             types = [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.binary()]
             columns = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _PIECES.split(", ")])

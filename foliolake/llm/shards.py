@@ -9,6 +9,7 @@ finds any slot by arithmetic and resumes anywhere.
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from . import packing
 from .staging import release
 from .textbytes import U64, mix, seeded
+from .tokens import encoder
 
 ROUNDS = 6
 PER_SHARD = 512
@@ -53,6 +55,18 @@ class Feistel:
         return self._walk(slot, self.keys[::-1])
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 512):
+    """Rows that Arrow hands over together while an action runs: they hold ids, so fewer than usual."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, window: int = packing.WINDOW, end_id: int = packing.END_ID, key: int = 2024, per_shard: int = PER_SHARD, pad_id: int = 0) -> tuple[int, int]:
     """Packs docs and writes the shards to `path`; returns (sequences, tokens).
 
@@ -65,7 +79,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
     tokens = packing.tokenise(docs, file, end_id)
     stream, total = packing.placed(tokens)
     pieces = packing.pieces(stream, total, file, window, with_ids=True)
-    n = -(-total // window)
+    n, wide = -(-total // window), encoder(file).dtype
     order = Feistel(n, key)
 
     def deal(batches):
@@ -82,7 +96,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
             tokens, documents = [0] * (last - first), [[] for _ in range(last - first)]
             for s, parts in slots.items():
                 for offset, doc, ids in parts:
-                    x = np.frombuffer(ids, "<u4")
+                    x = np.frombuffer(ids, wide)
                     strides[s - first, offset : offset + len(x)] = x
                     tokens[s - first] += len(x)
                     if doc is not None and (not documents[s - first] or documents[s - first][-1] != doc):
@@ -103,7 +117,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
 
     dealt = pieces.select("sequence_id", "offset", "doc_id", "ids").mapInArrow(deal, "shard long, slot long, offset long, doc_id long, ids binary")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_shard)))
-    dealt.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot", "offset").mapInArrow(assemble, _SHARDS).write.parquet(path)
+    whole = dealt.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot", "offset").mapInArrow(assemble, _SHARDS)
+    with _small_batches(spark):
+        whole.write.parquet(path)
     release(tokens)
     return n, total
 
