@@ -9,6 +9,7 @@ Boundary records say where a document runs on over the edge of a sequence.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from .tokens import default_tokenizer, encoder
 WINDOW = 2048
 END_ID = 1
 _TOKENS = "part long, before long, doc_id long, n_tokens long, ids binary"
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, opens boolean, closes boolean, sequence_tokens long, padded_to long, ids binary"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, opens boolean, closes boolean, sequence_tokens long, padded_to long, ids binary, slot long"
 #: Rows tokenised together.
 _ROWS = 256
 
@@ -71,11 +72,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
-    return pieces(*placed(tokenise(docs, path, end_id)), path, window).drop("ids")
+    return pieces(*placed(tokenise(docs, path, end_id)), path, window).drop("ids", "slot")
 
 
-def pieces(stream: DataFrame, total: int, path: str, window: int, with_ids: bool = False) -> DataFrame:
-    """The pieces of a placed stream; with_ids adds each one's ids as they are staged, little-endian."""
+def pieces(stream: DataFrame, total: int, path: str, window: int, slots: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The pieces of a placed stream; slots adds to each its sequence's slot and its ids as they are staged, little-endian."""
     wide = encoder(path).dtype
 
     def cut(batches):
@@ -88,9 +89,11 @@ def pieces(stream: DataFrame, total: int, path: str, window: int, with_ids: bool
                 for s, e in zip(edges, edges[1:]):
                     seq = (a + s) // window
                     held = min(window, total - seq * window)
-                    rows.append((d, s, e - s, zlib.crc32(x[s:e].tobytes()), len(x), seq, (a + s) % window, s == 0, e == len(x), held, held if held & (held - 1) == 0 else window, raw[s * wide.itemsize : e * wide.itemsize] if with_ids else None))
+                    rows.append((d, s, e - s, zlib.crc32(x[s:e].tobytes()), len(x), seq, (a + s) % window, s == 0, e == len(x), held, held if held & (held - 1) == 0 else window, raw[s * wide.itemsize : e * wide.itemsize] if slots else None))
             types = [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.binary()]
             columns = list(zip(*rows)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _PIECES.split(", ")])
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            arrays.append(pa.array(slots(np.array(columns[5], dtype=np.int64)) if slots and rows else np.zeros(len(rows), np.int64)))
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _PIECES.split(", ")])
 
     return stream.select("at", "doc_id", "ids").mapInArrow(cut, _PIECES)

@@ -22,7 +22,7 @@ from .textbytes import U64, mix, seeded
 from .tokens import encoder
 
 ROUNDS = 6
-PER_SHARD = 512
+PER_SHARD = 256
 _SHARDS = "shard long, first_slot long, sequences long, stride long, payload binary, tokens array<int>, documents array<array<long>>"
 
 
@@ -71,28 +71,22 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
     """Packs docs and writes the shards to `path`; returns (sequences, tokens).
 
     A Parquet row is a shard: payload holds per_shard (the last one: fewer) strides of window little-endian
-    unsigned 32-bit ids, padded with pad_id; tokens has each stride's length and documents the doc_ids in it.
+    unsigned ids, of 16 bits where the vocabulary allows, padded with pad_id; tokens has each stride's length and documents the doc_ids in it.
     Null texts are empty documents, null doc_ids are left out of documents, other columns are not read; an
     empty table writes an empty table.
     """
     spark, file = docs.sparkSession, tokenizer or packing.default_tokenizer()
     tokens = packing.tokenise(docs, file, end_id)
     stream, total = packing.placed(tokens)
-    pieces = packing.pieces(stream, total, file, window, with_ids=True)
     n, wide = -(-total // window), encoder(file).dtype
-    order = Feistel(n, key)
-
-    def deal(batches):
-        for batch in batches:
-            slot = order.slot(np.asarray(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *(batch.column(k) for k in (1, 2, 3))], names=["shard", "slot", "offset", "doc_id", "ids"])
+    pieces = packing.pieces(stream, total, file, window, slots=Feistel(n, key).slot)
 
     def assemble(batches):
         shard, slots = None, {}
 
         def done():
             first, last = shard * per_shard, min((shard + 1) * per_shard, n)
-            strides = np.full((last - first, window), pad_id, "<u4")
+            strides = np.full((last - first, window), pad_id, wide)
             tokens, documents = [0] * (last - first), [[] for _ in range(last - first)]
             for s, parts in slots.items():
                 for offset, doc, ids in parts:
@@ -102,7 +96,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
                     if doc is not None and (not documents[s - first] or documents[s - first][-1] != doc):
                         documents[s - first].append(doc)
             types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
-            row = [shard, first, last - first, 4 * window, strides.tobytes(), tokens, documents]
+            row = [shard, first, last - first, wide.itemsize * window, strides.tobytes(), tokens, documents]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in _SHARDS.split(", ")])
 
         for batch in batches:
@@ -115,43 +109,52 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
         if shard is not None:
             yield done()
 
-    dealt = pieces.select("sequence_id", "offset", "doc_id", "ids").mapInArrow(deal, "shard long, slot long, offset long, doc_id long, ids binary")
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_shard)))
-    whole = dealt.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot", "offset").mapInArrow(assemble, _SHARDS)
+    dealt = pieces.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", "offset", "doc_id", "ids")
+    # Slots are even over their range, so its borders are known: partition k holds the k-th run of shards.
+    run = F.floor(F.col("shard") * parts / F.lit(max(1, -(-n // per_shard)))).cast("int")
+    whole = dealt.repartitionById(parts, run).sortWithinPartitions("slot", "offset").mapInArrow(assemble, _SHARDS)
     with _small_batches(spark):
         whole.write.parquet(path)
     release(tokens)
     return n, total
 
 
-def manifest(spark: SparkSession, path: str, sequences: int, key: int = 2024) -> DataFrame:
+def _rows(batches):
+    """Shards one by one: each is some MB."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def manifest(spark: SparkSession, path: str, sequences: int, window: int = packing.WINDOW, key: int = 2024) -> DataFrame:
     """One row for each slot, read back from the shards: slot, shard, byte_offset, sequence_id, n_tokens, ids_crc32, doc_ids."""
     order = Feistel(sequences, key)
     out = "slot long, shard long, byte_offset long, sequence_id long, n_tokens long, ids_crc32 long, doc_ids array<long>"
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                k = np.arange(row["sequences"], dtype=np.int64)
-                slot = row["first_slot"] + k
-                crc = [zlib.crc32(row["payload"][i * row["stride"] : i * row["stride"] + 4 * row["tokens"][i]]) for i in range(len(k))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(np.full(len(k), row["shard"])), pa.array(k * row["stride"]), pa.array(order.number(slot)), pa.array(row["tokens"], pa.int64()), pa.array(crc, pa.int64()), pa.array(row["documents"], pa.list_(pa.int64()))],
-                    names=[c.split()[0] for c in out.split(", ")],
-                )
+        for row in _rows(batches):
+            k = np.arange(row["sequences"], dtype=np.int64)
+            slot, stride = row["first_slot"] + k, row["stride"]
+            ids = [np.frombuffer(row["payload"], f"<u{stride // window}", row["tokens"][i], i * stride) for i in range(len(k))]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(np.full(len(k), row["shard"])), pa.array(k * stride), pa.array(order.number(slot)), pa.array(row["tokens"], pa.int64()), pa.array(crc, pa.int64()), pa.array(row["documents"], pa.list_(pa.int64()))],
+                names=[c.split()[0] for c in out.split(", ")],
+            )
 
     return spark.read.schema(_SHARDS).parquet(path).mapInArrow(run, out)
 
 
-def read_slots(spark: SparkSession, path: str, first: int, count: int, per_shard: int = PER_SHARD) -> DataFrame:
+def read_slots(spark: SparkSession, path: str, first: int, count: int, window: int = packing.WINDOW, per_shard: int = PER_SHARD) -> DataFrame:
     """(slot, ids binary) of a run of slots in order: only the shards that hold them are read."""
     shards = spark.read.schema(_SHARDS).parquet(path).where(F.col("shard").between(first // per_shard, (first + count - 1) // per_shard))
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ks = [k for k in range(row["sequences"]) if first <= row["first_slot"] + k < first + count]
-                ids = [row["payload"][k * row["stride"] : k * row["stride"] + 4 * row["tokens"][k]] for k in ks]
-                yield pa.RecordBatch.from_arrays([pa.array([row["first_slot"] + k for k in ks], pa.int64()), pa.array(ids, pa.binary())], names=["slot", "ids"])
+        for row in _rows(batches):
+            ks = [k for k in range(row["sequences"]) if first <= row["first_slot"] + k < first + count]
+            width = row["stride"] // window
+            ids = [row["payload"][k * row["stride"] : k * row["stride"] + width * row["tokens"][k]] for k in ks]
+            yield pa.RecordBatch.from_arrays([pa.array([row["first_slot"] + k for k in ks], pa.int64()), pa.array(ids, pa.binary())], names=["slot", "ids"])
 
     return shards.mapInArrow(run, "slot long, ids binary").orderBy("slot")

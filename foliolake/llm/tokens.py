@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Chunks, and pieces, whose ids one worker keeps.
-KEPT_CHUNKS, KEPT_PIECES = 300_000, 600_000
+KEPT_CHUNKS, KEPT_PIECES = 200_000, 400_000
 #: Signs that may end a chunk after a word; together they are one piece.
 _TAIL = ".,!#$%&*|;:?-"
 _PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
