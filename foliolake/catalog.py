@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans.queries import ORACLE_SQL, QUERIES
+
+#: Ranked full-text search over the knowledge entries.
 FLAGSHIP = "search_knowledge"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stage
+
 #: A run of ASCII letters and digits, or any one other character that is not white space.
 LATIN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
 #: The same with the letters and digits of all scripts.
@@ -127,7 +129,7 @@ def parse_query(query: str, lowercase: bool = False) -> list[Clause]:
         text = phrase or word
         parts = tuple(re.findall(LATIN, text.lower() if lowercase else text)) if field != "domain" else (text,)
         if parts:
-            out.append(Clause(parts, field, {"+": True, "-": False}.get(sign, pending)))
+            out.append(Clause(parts, field or None, {"+": True, "-": False}.get(sign, pending)))
         pending = None
     return out
 
@@ -143,17 +145,25 @@ def search_knowledge(entries: DataFrame, query: str, k: int = 10, index: tuple[D
     docs = index_documents(entries)
     if k < 1 or not any(c.must is not False for c in clauses):
         return docs.select("path", "title", "domain", F.lit(0.0).alias("score")).limit(0)
-    postings, lengths = index or rebuild_index(entries, lowercase)
     terms = sorted({t for c in clauses for t in c.terms if c.field != "domain"})
-    asked = postings.where(F.col("term").isin(terms)) if terms else postings.limit(0)
+    if index:
+        postings, lengths = index
+        asked = postings.where(F.col("term").isin(terms)).select("path", "field", "term", "tf", "positions").join(lengths, ["path", "field"])
+    else:
+        asked, lengths = _looked_up(docs, terms, lowercase)
     totals = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("average"))
     n = asked.groupBy("term", "field").agg(F.count("*").alias("n"))
     # One row for each field, and for each term and field asked for: bounded by the query.
-    hits = asked.join(F.broadcast(totals), "field").join(F.broadcast(n), ["term", "field"]).join(lengths, ["path", "field"])
+    hits = asked.join(F.broadcast(totals), "field").join(F.broadcast(n), ["term", "field"])
     idf = F.log(1 + (F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     score = idf * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("average")))
     per_doc = hits.select("path", "term", "field", "positions", score.alias("score")).groupBy("path").agg(F.collect_list(F.struct("term", "field", "positions", "score")).alias("h"))
-    found = per_doc.join(docs.select("path", "title", "domain"), "path") if terms else docs.select("path", "title", "domain", F.array().cast("array<struct<term:string,field:string,positions:array<int>,score:double>>").alias("h"))
+    by_domain = any(c.field == "domain" for c in clauses)
+    found = per_doc
+    if not terms:
+        found = docs.select("path", "domain", F.array().cast("array<struct<term:string,field:string,positions:array<int>,score:double>>").alias("h"))
+    elif by_domain:
+        found = per_doc.join(docs.select("path", "domain"), "path")
 
     def holds(c: Clause) -> Column:
         if c.field == "domain":
@@ -182,7 +192,20 @@ def search_knowledge(entries: DataFrame, query: str, k: int = 10, index: tuple[D
         keep = keep & ~holds(c)
     if not must:
         keep = keep & _any([holds(c) for c in may])
-    return found.where(keep).select("path", "title", "domain", total.alias("score")).orderBy(F.desc("score"), "path").limit(k)
+    best = found.where(keep).select("path", total.alias("score")).orderBy(F.desc("score"), "path").limit(k)
+    # k rows look up their titles.
+    return docs.select("path", "title", "domain").join(F.broadcast(best), "path").select("path", "title", "domain", "score").orderBy(F.desc("score"), "path").limit(k)
+
+
+def _looked_up(docs: DataFrame, terms: list[str], lowercase: bool) -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms, and all lengths, from one pass over documents that have no index yet."""
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), lowercase=lowercase).alias("t")) for f in FIELDS]))
+    each = docs.select("path", fields.alias("f")).select("path", "f.field", "f.t")
+    places = lambda term: F.filter(F.transform("t", lambda x, k: F.when(x == term, k)), lambda k: k.isNotNull())
+    held = F.filter(F.array(*[F.when(F.array_contains("t", t), F.struct(F.lit(t).alias("term"), places(t).alias("positions"))) for t in terms]), lambda x: x.isNotNull())
+    seen = stage(each.select("path", "field", F.size("t").cast("long").alias("len"), held.alias("h")), "looked_up")
+    rows = seen.select("path", "field", "len", F.inline("h"))
+    return rows.withColumn("tf", F.size("positions").cast("long")), seen.select("path", "field", "len")
 
 
 def _moved(positions: Column, by: int) -> Column:

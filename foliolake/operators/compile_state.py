@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import insert_missing, remove, upsert
 
@@ -51,7 +52,7 @@ def leaf_sort(leaves: DataFrame) -> DataFrame:
     return leaves.select("path", "source_hash").orderBy("path")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _merkle(leaves: pd.Series) -> pd.Series:
     def root(hashes):
         level = [bytes.fromhex(h) for h in hashes]

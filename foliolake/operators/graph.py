@@ -151,24 +151,27 @@ def detect_communities(edges: DataFrame, iterations: int = 50, compat: str = "mo
     """(path, label): label propagation over edges in both directions, parallel edges counted.
 
     Each round every node takes the label most frequent among its neighbours and itself, ties to the least
-    label; rounds are synchronous and stop when no label changes or after `iterations`.  A node's own label
-    votes once, which keeps two linked nodes from exchanging labels for ever.  compat="least_frequent" takes
+    label; rounds are synchronous and stop when no label changes, when the labels of two rounds before come
+    back, or after `iterations`.  A node's own label votes once, which keeps two linked nodes from exchanging
+    labels for ever.  compat="least_frequent" takes
     the rarest label instead.  Labels are paths.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
     weighed = stage(both.groupBy("src", "dst").agg(F.count("*").alias("w")), "weighed")
     labels = stage(weighed.select(F.col("src").alias("path")).distinct().withColumn("label", F.col("path")), "labels")
-    best = F.max_by if compat == "most_frequent" else F.min_by
+    older = None
     for _ in range(iterations):
         votes = weighed.join(labels.withColumnRenamed("path", "dst"), "dst").select(F.col("src").alias("path"), "label", "w").unionByName(labels.withColumn("w", F.lit(1).cast("long")))
         counted = votes.groupBy("path", "label").agg(F.sum("w").alias("votes"))
         top = counted.groupBy("path").agg((F.max("votes") if compat == "most_frequent" else F.min("votes")).alias("top"))
         chosen = counted.join(top, "path").where("votes = top").groupBy("path").agg(F.min("label").alias("label"))
         new = stage(chosen, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "path").where("label <> old").limit(1).count()
-        release(labels)
-        labels = new
-        if not changed:
+        differs = lambda old: new.join(old.withColumnRenamed("label", "old"), "path").where("label <> old").limit(1).count()
+        done = not differs(labels) or older is not None and not differs(older)
+        if older is not None:
+            release(older)
+        older, labels = labels, new
+        if done:
             break
     return labels
 
