@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = (
         features.select("doc_id", "n_shingles", "set_a", "set_b")
         .join(copies, ["set_a", "set_b"], "left")
-        .withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+        .withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
         .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .withColumn("component_id", F.coalesce("component", "rep"))
     )
