@@ -2,8 +2,8 @@
 
 A source's target says how many copies of each of its documents are wanted.  Whole copies are certain; for
 the fraction that remains, documents are ranked by random odds over inclusion odds (Rosen's Pareto
-sampling), and the sample is the head of that order whose words fit what is still wanted, closed by the
-one further document that comes nearest to the rest.
+sampling), and the sample is the head of that order whose words fit what is still wanted, closed by up to
+CLOSING further documents, each the one that comes nearest to the rest.
 
 No source is sorted: the end of the head is found by histograms of the rank, refined twice, so a source
 that holds a third of all rows is only ever counted.  A document's random number comes from its own id and
@@ -21,6 +21,7 @@ from . import textbytes as tb
 from .staging import stage
 
 MOST_COPIES = 3
+CLOSING = 3
 _BINS = 1024
 _NONE = (1 << 63) - 1
 
@@ -132,17 +133,23 @@ def allocation_plan(docs: DataFrame, seed: int, weights: tuple[int, ...], most:
     running = last.withColumn("upto", F.col("head") + F.sum("words").over(Window.partitionBy("source").orderBy("rank", "id")))
     firsts = running.where("upto > want").groupBy("source").agg(F.min_by(F.struct("want", "rank", "id", "words", "upto"), F.struct("rank", "id")).alias("b"))
     edge = stage(firsts.select("source", F.col("b.rank").alias("edge_rank"), F.col("b.id").alias("edge_id"), (F.col("b.want") - (F.col("b.upto") - F.col("b.words"))).alias("left")), "edge")
-    beyond = _beside(placed.where("rank is not null and size > 0"), edge).where(F.struct("rank", "id") >= F.struct("edge_rank", "edge_id"))
-    beyond = beyond.groupBy("source", "rank", "id", "left").agg(F.sum("size").alias("words")).where(F.abs(F.col("words") - F.col("left")) < F.col("left"))
-    closing = beyond.groupBy("source").agg(F.min_by(F.struct(F.col("rank").alias("close_rank"), F.col("id").alias("close_id")), F.struct(F.abs(F.col("words") - F.col("left")), F.col("rank"), F.col("id"))).alias("c"))
-    plan = stage(aims.join(edge.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")), "left").join(closing.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").select("source", "source_size", "target", "preferred", "edge_rank", "edge_id", "c.close_rank", "c.close_id"), "plan")
-
+    none = F.array().cast("array<struct<rank:double,id:bigint>>")
+    closing = edge.select("source", "edge_rank", "edge_id", F.col("left"), none.alias("closing"))
+    for _ in range(CLOSING):
+        beyond = _beside(placed.where("rank is not null and size > 0").select("source", "rank", "id", "size"), closing).where(F.struct("rank", "id") >= F.struct("edge_rank", "edge_id"))
+        beyond = beyond.where(~F.array_contains("closing", F.struct("rank", "id"))).groupBy("source", "rank", "id", "left").agg(F.sum("size").alias("words"))
+        off = F.abs(F.col("words") - F.col("left"))
+        nearest = beyond.where(off < F.col("left")).groupBy("source").agg(F.min_by(F.struct("rank", "id", "words"), F.struct(off, F.col("rank"), F.col("id"))).alias("c"))
+        joined = closing.join(nearest.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+        added = F.when(F.col("c").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.struct("c.rank", "c.id")))
+        closing = stage(joined.select("source", "edge_rank", "edge_id", (F.col("left") - F.coalesce("c.words", F.lit(0))).alias("left"), added.alias("closing")), "closing")
+    plan = stage(aims.join(closing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "preferred", "edge_rank", "edge_id", "closing"), "plan")
     return rows, plan
 
 
 def _decided(df: DataFrame) -> DataFrame:
-    """copies: the certain ones, and one more before the edge of the source's order or as its closing row."""
+    """copies: the certain ones, and one more before the edge of the source's order or among its closing rows."""
     here = F.struct("rank", "id")
     head = F.col("edge_rank").isNull() | (here < F.struct("edge_rank", "edge_id"))
-    extra = F.col("rank").isNotNull() & (head | F.coalesce(here == F.struct("close_rank", "close_id"), F.lit(False)))
+    extra = F.col("rank").isNotNull() & (head | F.coalesce(F.array_contains("closing", here), F.lit(False)))
     return df.withColumn("copies", F.col("certain") + F.coalesce(extra, F.lit(False)).cast("long"))

@@ -97,13 +97,20 @@ WITH d AS (
   FROM k
 ), e AS (
   SELECT *, rank_ IS NOT NULL AND upto <= want AS head, max(CASE WHEN rank_ IS NOT NULL AND upto <= want THEN upto ELSE 0 END) OVER (PARTITION BY source) AS taken_head FROM w
-), c AS (
-  SELECT source, arg_min(doc_id, (abs(size - (want - taken_head)), rank_, doc_id)) AS closing
-  FROM e WHERE rank_ IS NOT NULL AND NOT head AND size > 0 AND abs(size - (want - taken_head)) < want - taken_head GROUP BY source
-)
-SELECT e.doc_id, e.size, e.source_size, e.target, (e.size * (e.certain + CASE WHEN e.head OR (e.rank_ IS NOT NULL AND e.doc_id = c.closing) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM e LEFT JOIN c ON e.source IS NOT DISTINCT FROM c.source
+), {closing}
+SELECT e.doc_id, e.size, e.source_size, e.target, (e.size * (e.certain + CASE WHEN e.head OR (e.rank_ IS NOT NULL AND list_contains(c.closing, e.doc_id)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM e LEFT JOIN c{last} c ON e.source IS NOT DISTINCT FROM c.source
 """
+_CLOSING = "c0 AS (SELECT source, any_value(want - taken_head) AS rest, []::BIGINT[] AS closing FROM e GROUP BY source)" + "".join(
+    f""", n{k} AS (
+  SELECT e.source, arg_min(e.doc_id, (abs(size - rest), rank_, e.doc_id)) AS doc_id, arg_min(size, (abs(size - rest), rank_, e.doc_id)) AS size
+  FROM e JOIN c{k - 1} ON e.source IS NOT DISTINCT FROM c{k - 1}.source WHERE rank_ IS NOT NULL AND NOT head AND size > 0 AND NOT list_contains(closing, e.doc_id) AND abs(size - rest) < rest GROUP BY e.source
+), c{k} AS (
+  SELECT c.source, rest - coalesce(n.size, 0) AS rest, CASE WHEN n.doc_id IS NULL THEN closing ELSE list_append(closing, n.doc_id) END AS closing FROM c{k - 1} c LEFT JOIN n{k} n ON c.source IS NOT DISTINCT FROM n.source
+)"""
+    for k in range(1, mixing.CLOSING + 1)
+)
+_OP1 = _OP1.replace("{closing}", _CLOSING).replace("{last}", str(mixing.CLOSING))
 
 _OP3 = r"""
 WITH RECURSIVE w AS (
