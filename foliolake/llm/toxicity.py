@@ -27,8 +27,11 @@ TOXIC_ROWS, CLEAN_ROWS = 4_000, 12_000
 #: Lexicon candidates counted, at most: the ones most toxic texts hold.
 CANDIDATES = 30_000
 STEMS = range(4, 9)
-#: An entry is in this share of toxic texts at least (and in three), and this much likelier in them (log).
-LEAST_SHARE, LEAST_WEIGHT = 0.02, 2.0
+#: An entry is in this share of toxic texts at least (and in three), and this much likelier in them (log);
+#: the fewer texts hold it the more, by FEW divided by their number.
+LEAST_SHARE, LEAST_WEIGHT, FEW = 0.02, 2.0, 4.0
+#: A text that repeats an entry may raise its weight by this much over what numbers of texts alone say.
+REPEATED = 1.5
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "stupid question mark", "sore loser rule")
 
 # Letters of other scripts, digits and signs that pass for Latin letters.
@@ -178,23 +181,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     def clean_entries(batches):
         for batch in batches:
-            occurs, words = Counter(), [0, 0]
+            occurs, inside, words = Counter(), Counter(), [0, 0]
             for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = Counter()
                 for word, n in _words(text).items():
                     words[kind] += n
                     if not kind:
                         for e in _entries(word):
                             if e in candidates:
-                                occurs[e] += n
+                                own[e] += n
+                occurs.update(own)
+                inside.update(own.keys())
             names = ["", " ", *occurs]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([words[0], words[1], *occurs.values()], pa.int64())], names=["entry", "occurs"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([words[0], words[1], *occurs.values()], pa.int64()), pa.array([0, 0, *(inside[e] for e in occurs)], pa.int64())], names=["entry", "occurs", "inside"])
 
-    other = {r["entry"]: r["n"] for r in sample.mapInArrow(clean_entries, "entry string, occurs long").groupBy("entry").agg(F.sum("occurs").alias("n")).collect()}
-    clean_words, toxic_words = max(1, other.pop("")), max(1, other.pop(" "))
+    other = {r["entry"]: (r["n"], r["i"]) for r in sample.mapInArrow(clean_entries, "entry string, occurs long, inside long").groupBy("entry").agg(F.sum("occurs").alias("n"), F.sum("inside").alias("i")).collect()}
+    clean_words, toxic_words = max(1, other.pop("", (0, 0))[0]), max(1, other.pop(" ", (0, 0))[0])
     weights = {}
     for e, (occurs, inside) in candidates.items():
-        weight = math.log((occurs + 0.5) / toxic_words) - math.log((other.get(e, 0) + 2) / clean_words)
-        if weight >= LEAST_WEIGHT:
+        n, i = other.get(e, (0, 0))
+        by_word = math.log((occurs + 0.5) / toxic_words) - math.log((n + 2) / clean_words)
+        by_text = math.log((inside + 0.5) / toxic) - math.log((i + 1) / clean)
+        weight = min(by_word, by_text + REPEATED)
+        if weight >= LEAST_WEIGHT + FEW / inside:
             weights[e] = (min(weight, 8.0), inside)
     # Of nested entries found in the same places the longest stem stays; one inside another stays if it says more.
     occurs_of = {e: candidates[e][0] for e in weights}
