@@ -47,7 +47,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 before += int(n.sum())
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(plain.mapInArrow(run, _TOKENS), "tokens")
+    return stage(plain.mapInArrow(run, _TOKENS), "tokens", "zstd")
 
 
 def placed(tokens: DataFrame) -> tuple[DataFrame, int]:

@@ -115,7 +115,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
     run = F.floor(F.col("shard") * parts / F.lit(max(1, -(-n // per_shard)))).cast("int")
     whole = dealt.repartitionById(parts, run).sortWithinPartitions("slot", "offset").mapInArrow(assemble, _SHARDS)
     with _small_batches(spark):
-        whole.write.parquet(path)
+        whole.write.option("compression", "zstd").parquet(path)
     release(tokens)
     return n, total
 

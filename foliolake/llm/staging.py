@@ -17,10 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once and returns a scan of what was written."""
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Writes df once, with the session's codec or the one given, and returns a scan of what was written."""
     path = f"{shared_dir(df.sparkSession)}/foliolake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
