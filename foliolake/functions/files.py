@@ -116,7 +116,8 @@ def parse_front_matter(content: Column) -> Column:
 
 @F.pandas_udf(ENTRY)
 def _parsed(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_fields(c) for c in content], columns=ENTRY.names, dtype=object)
+    rows = [_fields(c) for c in content]
+    return pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype=object) for name in ENTRY.names})
 
 
 def _fields(content: str | None) -> dict:

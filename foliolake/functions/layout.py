@@ -53,7 +53,12 @@ def parse_layout_text(text: Column, reach: int = 50) -> Column:
     boxes = F.regexp_extract_all(text, F.lit(_BOX), F.lit(0))
     gaps = F.split(text, _BOX, -1)
     number = lambda b, k: F.regexp_extract(b, _BOX, k).cast("double")
-    near = lambda k: F.lower(F.concat(F.right(F.element_at(gaps, k + 1), F.lit(reach)), F.lit(" "), F.left(F.element_at(gaps, k + 2), F.lit(reach))))
+    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+
+    def near(k: Column) -> Column:
+        start = length(gaps, k + 1) + length(boxes, k)
+        first = F.greatest(F.lit(0), start - reach)
+        return F.lower(F.substring(text, first + 1, start - first + F.length(F.element_at(boxes, k + 1)) + reach))
 
     def region(b: Column, k: Column) -> Column:
         around = near(k)
