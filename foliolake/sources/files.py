@@ -17,7 +17,7 @@ _SKIPPED = ("index.md", "log.md")
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every *.md below root; hidden folders, where version backups lie, are not read."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     name = F.element_at(F.split("file", "/"), -1)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
     rows = files.select(F.regexp_replace(F.input_file_name(), r"^file:/*", "/").alias("file"), F.col("value").alias("content")).where(~name.isin(*_SKIPPED))
@@ -155,7 +155,7 @@ def _fs(spark: SparkSession, path: str):
 
 def read_config(spark: SparkSession, path: str) -> dict[str, str]:
     try:
-        rows = spark.read.option("wholetext", True).text(path).collect()
+        rows = spark.read.text(path, wholetext=True).collect()
     except AnalysisException:
         return {}
     return {str(k): str(v) for k, v in json.loads(rows[0][0]).items()} if rows else {}

@@ -128,7 +128,7 @@ def test_routing(spark):
     assert [(x.region_type, x.width, x.height) for x in r] == [("table", 10.0, 20.0), ("table", 1.0, 2.0)]
     assert value(spark, fl.parse_ocr_json(F.lit("broken"))) == []
     assert [round(value(spark, fl.retry_backoff(F.lit(k))), 2) for k in (0, 1, 10)] == [1.1, 2.2, 33.0]
-    assert [value(spark, fl.backpressure_interval(F.lit(x))) for x in (-1.0, 0.8, 2.0)] == [1000.0, 5000.0, 30000.0]
+    assert [round(value(spark, fl.backpressure_interval(F.lit(x))), 6) for x in (-1.0, 0.8, 2.0)] == [1000.0, 5000.0, 30000.0]
 
 
 @pytest.mark.parametrize(("spec", "pages"), [("1-3,7", [1, 2, 3, 7]), ("3-1", []), ("x,2, 2", [2]), ("8-99", [8, 9]), ("12", []), ("", []), ("0-1", [0, 1])])
