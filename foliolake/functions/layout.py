@@ -50,25 +50,26 @@ def parse_layout_text(text: Column, reach: int = 50) -> Column:
 
     The type is the first of the known words, in the order listed, within `reach` characters; body if none is.
     """
-    boxes = F.regexp_extract_all(text, F.lit(_BOX), F.lit(0))
-    gaps = F.split(text, _BOX, -1)
-    number = lambda b, k: F.regexp_extract(b, _BOX, k).cast("double")
     length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
 
-    def near(k: Column) -> Column:
-        start = length(gaps, k + 1) + length(boxes, k)
+    def near(one: Column, b: Column, k: Column) -> Column:
+        start = length(one["gaps"], k + 1) + length(one["boxes"], k)
         first = F.greatest(F.lit(0), start - reach)
-        return F.lower(F.substring(text, first + 1, start - first + F.length(F.element_at(boxes, k + 1)) + reach))
+        return F.lower(F.substring(one["text"], first + 1, start - first + F.length(b) + reach))
 
-    def region(b: Column, k: Column) -> Column:
-        around = near(k)
+    numbers = lambda b: F.transform(F.split(F.regexp_replace(b, r"[\[\]\s]", ""), ","), lambda v: v.cast("double"))
+    # What is used several times is bound first, as the one element of an array: inside a lambda it would be made anew each time.
+    bound = F.array(F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(_BOX), F.lit(0)).alias("boxes"), F.split(text, _BOX, -1).alias("gaps")))
+    found = F.flatten(F.transform(bound, lambda one: F.transform(one["boxes"], lambda b, k: F.struct(numbers(b).alias("n"), near(one, b, k).alias("around")))))
+
+    def region(x: Column) -> Column:
         kind = F.lit("body")
         for word, name in reversed(REGION_WORDS.items()):
-            kind = F.when(F.contains(around, F.lit(word)), name).otherwise(kind)
-        x, y = number(b, 1), number(b, 2)
-        return F.struct(kind.alias("region_type"), x.alias("x"), y.alias("y"), (number(b, 3) - x).alias("width"), (number(b, 4) - y).alias("height"))
+            kind = F.when(F.contains(x["around"], F.lit(word)), name).otherwise(kind)
+        at = lambda k: F.get(x["n"], F.lit(k))
+        return F.struct(kind.alias("region_type"), at(0).alias("x"), at(1).alias("y"), (at(2) - at(0)).alias("width"), (at(3) - at(1)).alias("height"))
 
-    return F.transform(boxes, region)
+    return F.transform(found, region)
 
 
 _DETAIL = "struct<layout_details:array<array<struct<label:string,bbox_2d:array<double>,content:string>>>>"

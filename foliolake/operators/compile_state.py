@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import insert_missing, remove, upsert
+from ..sources.tables import insert_missing, remove, stage, upsert
 
 
 def needs_compile(sources: DataFrame, state: DataFrame) -> DataFrame:
@@ -69,19 +69,15 @@ def merkle_root(leaves: DataFrame, fan: int = 4096) -> DataFrame:
     Runs of `fan` leaves, a power of two, are whole subtrees: each is folded where it lies, so no task holds
     more than `fan` leaves.
     """
-    from pyspark.sql import Window
-
     if fan & (fan - 1):
         raise ValueError("fan must be a power of two")
     rows = leaves.select("path", "source_hash").repartitionByRange("path").sortWithinPartitions("path")
-    part = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("path")) - 1)
+    part = stage(rows.withColumn("part", F.spark_partition_id()), "leaves").withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("path")) - 1)
     sizes = part.groupBy("part").agg(F.count("*").alias("n"))
     base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     level = part.join(F.broadcast(base), "part").select((F.col("base") + F.col("at")).alias("at"), F.col("source_hash").alias("h"))
     while True:
         level = level.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("l")).select("at", _merkle(F.transform("l", lambda x: x["h"])).alias("h"))
-        from ..sources.tables import stage
-
         level = stage(level, "merkle")
         if level.count() <= 1:
             return level.select(F.col("h").alias("root"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stage
+
 BUCKETS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0)
 
 
@@ -31,18 +33,24 @@ def metric_window_agg(samples: DataFrame, window: int) -> DataFrame:
     p99 is the element at place floor(n * 0.99), from 0; without samples everything is 0.
     """
     last = samples.orderBy(F.desc("ts"), F.desc("key")).limit(window) if window else samples
-    n = last.agg(F.count("*").alias("n"))
-    ranked = last.select("value", F.row_number().over(Window.orderBy("value")).alias("r")) if window else _ranked(last)
-    a = ranked.join(F.broadcast(n)).agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1) + 1, F.col("value"))).alias("p99"), F.count("*").alias("count"))
-    return a.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "min", "max", "p99")], "count")
-
-
-def _ranked(samples: DataFrame) -> DataFrame:
-    """Exact places of all values: counts of values are summed up, not rows."""
-    counts = samples.groupBy("value").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("value"))
-    placed = counts.withColumn("upto", upto)
-    return placed.select("value", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("r"))
+    a = last.agg(F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("count"))
+    p99 = _at_place(last.select("value"), F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1) + 1)
+    return a.crossJoin(p99).select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg", "min", "max", "p99")], "count")
+
+
+def _at_place(values: DataFrame, place) -> DataFrame:
+    """One row (p99): the value at an exact place, from 1, of the sorted values; `place` is made from their number n.
+
+    Equal values are counted first; the counts are dealt out by range of value, and prefix sums of the ranges'
+    totals say which range holds the place: no task sees more than its range.
+    """
+    counts = values.where("value is not null").groupBy("value").agg(F.count("*").alias("c")).repartitionByRange("value")
+    placed = stage(counts.withColumn("part", F.spark_partition_id()), "counts")
+    totals = placed.groupBy("part").agg(F.sum("c").alias("total"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"), F.sum("total").over(Window.partitionBy()).alias("n"))
+    inside = placed.join(F.broadcast(ranges), "part").withColumn("upto", F.col("base") + F.sum("c").over(Window.partitionBy("part").orderBy("value")))
+    return inside.agg(F.min(F.when(F.col("upto") >= place, F.col("value"))).alias("p99"))
 
 
 def extraction_statistics(docs: DataFrame, now) -> DataFrame:
