@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import connected_components
-from .staging import release, stage
+from .staging import bounded_batches, release, stage
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 SIMILAR, OF = 75, 100
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id are expected to repeat its text too and come back as often as they came.  Empty table: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    features = stage(docs.mapInArrow(_features, _FEATURES), "features")
+    features = stage(bounded_batches(docs).mapInArrow(_features, _FEATURES), "features")
     named = features.where("doc_id is not null and n_shingles > 0")
     copies = stage(
         named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"), "copies"

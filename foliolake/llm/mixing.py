@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .staging import stage
+from .staging import bounded_batches, stage
 
 MOST_COPIES = 3
 CLOSING = 3
@@ -109,7 +109,7 @@ def allocation(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2,
 def allocation_plan(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int, preference: str | None) -> tuple[DataFrame, DataFrame]:
     """Staged: every row's size and random number; every source's target and where its sample ends."""
     drawn = docs.select(F.col("text").cast("string").alias("text"), *_drawn(docs, seed, preference))
-    rows = stage(drawn.mapInArrow(_counted, "size long, doc_id long, id long, source string, prefer double, u double"), "sizes")
+    rows = stage(bounded_batches(drawn).mapInArrow(_counted, "size long, doc_id long, id long, source string, prefer double, u double"), "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("prefer")).alias("preferred"))
     aims = stage(targets(per.select("source", "source_size"), weights, most).join(per.select(F.col("source").alias("s"), "preferred"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "aims")
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import bounded_batches, stage
 from .tokens import default_tokenizer, encoder
 
 WINDOW = 2048
@@ -47,7 +47,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 before += int(n.sum())
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(plain.mapInArrow(run, _TOKENS), "tokens", "zstd")
+    return stage(bounded_batches(plain).mapInArrow(run, _TOKENS), "tokens", "zstd")
 
 
 def placed(tokens: DataFrame) -> tuple[DataFrame, int]:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .staging import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -387,7 +388,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scanner(rows.sparkSession.sparkContext.broadcast(field or trained())), f"doc_id long, base {kind}, added {kind}")
+    return bounded_batches(rows).mapInArrow(_scanner(rows.sparkSession.sparkContext.broadcast(field or trained())), f"doc_id long, base {kind}, added {kind}")
 
 
 def _scanner(field):
@@ -425,5 +426,5 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     texts[r] = "".join([*parts, text[at:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(k) for k in range(1, batch.num_columns))], names=batch.schema.names)
 
-    out = inner.mapInArrow(run, inner.schema)
+    out = bounded_batches(inner).mapInArrow(run, inner.schema)
     return out.select(*[(F.col("t") if c == "text" else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)])

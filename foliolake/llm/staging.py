@@ -17,6 +17,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
 
 
+def bounded_batches(df: DataFrame, rows: int = 2048) -> DataFrame:
+    """df, with at most `rows` rows handed to Python at once from now on: rows here are whole texts.
+
+    Spark's default of 10,000 rows would be tens of MB for every worker, several times over.  A smaller
+    setting of the session's own is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Writes df once, with the session's codec or the one given, and returns a scan of what was written."""
     path = f"{shared_dir(df.sparkSession)}/foliolake/{label}-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import bounded_batches, stage
 
 THRESHOLD = 0.3
 #: Labelled rows that are learnt from, at most, of each class: those with the least hashes of their ids.
@@ -253,5 +253,5 @@ def scores(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
             values = [lex.score(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), *(batch.column(k) for k in range(1, batch.num_columns))], names=["score", *batch.schema.names[1:]])
 
-    out = inner.mapInArrow(run, schema)
+    out = bounded_batches(inner).mapInArrow(run, schema)
     return out.select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(kept)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
