@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -805,3 +807,87 @@ def request_correlation(spark, d):
 @query("SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) > 0 AS has_text FROM pages")
 def html_pages(spark, d):
     return fx.table(spark, d, "pages").select("page_id", (F.length(sf.strip_tags(F.col("html"))) > 0).alias("has_text"))
+
+
+# ---- the rest of the inventory --------------------------------------------------------------------
+
+@query(_NEEDS + "SELECT count(*) AS scanned, count(*) FILTER (needs_compile) AS compiled, count(*) FILTER (NOT needs_compile) AS skipped FROM n")
+def trigger_incremental_compile(spark, d):
+    plan = cs.incremental_plan(fx.sources(spark, d), fx.compile_state(spark, d))
+    return cs.incremental_totals(plan.withColumn("error", F.lit(None).cast("string")))
+
+
+@query(ENTRIES + STATE + "SELECT path, source_hash, n_compiled FROM s")
+def load_hash_cache(spark, d):
+    saved = f"{st.shared_dir(spark)}/foliolake/state-{uuid.uuid4().hex}"
+    state = st.load(spark, saved, lambda: fx.compile_state(spark, d), ("path", "source_hash", "compiled_entries"))
+    return state.select("path", "source_hash", F.size("compiled_entries").alias("n_compiled"))
+
+
+@query(ENTRIES + STATE + "SELECT path, source_hash FROM s WHERE path = 'e/4.md'")
+def get_compilation_state(spark, d):
+    return fx.compile_state(spark, d).where("path = 'e/4.md'").select("path", "source_hash")
+
+
+@query(ENTRIES + STATE + "SELECT count(*) AS records, count(DISTINCT path) AS keys FROM s")
+def export_json(spark, d):
+    lines = cs.export_json(fx.compile_state(spark, d))
+    return lines.agg(F.count("*").alias("records"), F.countDistinct(F.element_at(F.map_keys(F.from_json("value", "map<string,string>")), 1)).alias("keys"))
+
+
+@query(ENTRIES + "SELECT src, dst, kind FROM links")
+def load_graph(spark, d):
+    return st.stage(g.resolve_links(fx.entries(spark, d, False)), "graph")
+
+
+@query("SELECT 'v/' || vec_id AS path, len(embedding)::INTEGER AS dim FROM embeddings")
+def load_vectors(spark, d):
+    return st.stage(fx.vectors(spark, d).select("path", "vector"), "vectors").select("path", F.size("vector").alias("dim"))
+
+
+@query(ENTRIES + "SELECT path FROM e")
+def all_paths(spark, d):
+    return fx.entries(spark, d, False).select(g.node_path(F.col("path")).alias("path"))
+
+
+@query(ENTRIES + "SELECT kind, count(*) AS links FROM links GROUP BY kind")
+def link_totals(spark, d):
+    return q.link_totals(fx.entries(spark, d, False))
+
+
+@query("SELECT doc_id, len(list_intersect(a, b))::INTEGER AS both, len(list_distinct(list_concat(a, b)))::INTEGER AS either FROM (SELECT doc_id, ['k' || doc_id % 7, 'm' || doc_id % 11, source] AS a, ['k' || doc_id % 5, 'm' || doc_id % 3, 'src1'] AS b FROM documents)")
+def tag_sets(spark, d):
+    t = fx.table(spark, d, "documents").selectExpr("doc_id", "array(concat('k', doc_id % 7), concat('m', doc_id % 11), source) as a", "array(concat('k', doc_id % 5), concat('m', doc_id % 3), 'src1') as b")
+    return t.select("doc_id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"))
+
+
+@query("""WITH g AS (SELECT p_partkey, list_distinct(list_transform(range(1, greatest(1, length(p_name)) + 1), lambda k: substr('  ' || lower(p_name) || ' ', k, 3))) AS a, list_distinct(list_transform(range(1, greatest(1, length(p_type)) + 1), lambda k: substr('  ' || lower(p_type) || ' ', k, 3))) AS b FROM part)
+SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM g""")
+def trigram_similarity(spark, d):
+    return fx.table(spark, d, "part").select("p_partkey", F.round(ft.trigram_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN NOT f AND i THEN 'scanned' WHEN l_tax < 0.1 AND i THEN 'low_quality' WHEN f THEN 'digital' ELSE 'unknown' END AS quality, CASE WHEN f AND l_tax > 0.3 THEN 0.95 WHEN i AND NOT f THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, l_linenumber % 2 = 0 AS f, l_linenumber % 3 = 0 AS i FROM lineitem)")
+def determine_quality(spark, d):
+    t = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", (F.col("l_linenumber") % 2 == 0).alias("f"), (F.col("l_linenumber") % 3 == 0).alias("i"))
+    return t.select("l_orderkey", "l_linenumber", ff.determine_quality(F.col("l_tax"), F.col("f"), F.col("i")).alias("quality"), ff.probe_confidence(F.col("l_tax"), F.col("f"), F.col("i")).alias("confidence"))
+
+
+@query(_AROUND.replace("'e/3.md'", "'e/6.md'") + "SELECT path, edge_kind FROM hop1")
+def neighbours_one_hop(spark, d):
+    e = fx.entries(spark, d, False)
+    return g.neighbours(g.build_graph(e), "e/6.md", 1).where("hop = 1").select("path", "edge_kind")
+
+
+@query("SELECT name, columns FROM (VALUES ('extracted_documents', 7), ('processing_tasks', 12), ('validation_records', 8), ('audit_logs', 9), ('schema_definitions', 9)) t(name, columns)")
+def relational_tables(spark, d):
+    from ..schema import RELATIONAL
+
+    sizes = [(name, len(spark.createDataFrame([], columns).columns)) for name, columns in RELATIONAL.items()]
+    return spark.createDataFrame(sizes, "name string, columns int")
+
+
+@query(PAGES + "SELECT path, count(*) FILTER (text <> '') AS filled, count(*) AS pages, 100.0::DOUBLE * count(*) FILTER (text <> '') / count(*) AS share FROM p GROUP BY path")
+def page_fill(spark, d):
+    p = fx.pages(spark, d).groupBy("path").agg(F.count_if(F.col("text") != "").alias("filled"), F.count("*").alias("pages"))
+    return p.withColumn("share", 100.0 * F.col("filled") / F.col("pages"))
