@@ -117,7 +117,7 @@ def _regions(data: bytes, starts: np.ndarray, ends: np.ndarray, live: np.ndarray
     """Byte ranges of a text's runs of live chunks with connectors between them and beside them."""
     out: list[tuple[int, int]] = []
     n, done = len(starts), -1
-    connects = lambda k: 0 <= k < n and ends[k] - starts[k] <= 8 and _CONNECTOR.fullmatch(data[starts[k] : ends[k]])
+    connects = lambda k: 0 <= k < n and _CONNECTOR.fullmatch(data, starts[k], ends[k])
     for k in np.flatnonzero(live):
         if k <= done:
             continue

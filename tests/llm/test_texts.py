@@ -34,7 +34,7 @@ def naive_pii(x):
 
 
 _PARTS = st.sampled_from(["token", "Secret", "PASSWORD", "api_key", "apiKey", " = ", ": ", '"', "'", "abcdefgh", "0a1b2c3d", "AKIA", "ABCD1234", "é", "ſecret", "K", " ", "\n", "deadbeef" * 4, "=", "x"])
-_PII_PARTS = st.sampled_from(["1", "23", "4111 1111 1111 1111", "+1 (555) 010-2030", ".", "@", "a", "a.b", "-", " ", "\n", "(", ")", "192.168.0.1", "0255", "é", "x@y.z", "+", "  ", "dot", "at", "[at]"])
+_PII_PARTS = st.sampled_from(["1", "23", "4111 1111 1111 1111", "+1 (555) 010-2030", ".", "@", "a", "a.b", "-", " ", "\n", "(", ")", "192.168.0.1", "0255", "é", "x@y.z", "+", "  ", "-" * 12, " ( ", "dot", "at", "[at]"])
 
 
 @settings(max_examples=300, deadline=None)
