@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .components import connected_components
 from .staging import bounded_batches, release, stage
+from .worker import enter
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 SIMILAR, OF = 75, 100
@@ -73,6 +74,7 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _features(batches):
+    enter("minhash")
     for batch in batches:
         ids = batch.column(0)
         for first, last, words, borders in tb.word_hashes(batch.column(1)):
@@ -94,6 +96,7 @@ def _features(batches):
 
 def _sets(batches):
     """(doc_id, text) to (doc_id, its distinct shingles as sorted little-endian 64-bit numbers)."""
+    enter("minhash")
     for batch in batches:
         for first, last, words, borders in tb.word_hashes(batch.column(1)):
             values, at = tb.distinct_per_row(*tb.shingles(words, borders, WIDTH))

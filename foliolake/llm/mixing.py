@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .staging import bounded_batches, stage
+from .worker import enter
 
 MOST_COPIES = 3
 CLOSING = 3
@@ -28,6 +29,7 @@ _NONE = (1 << 63) - 1
 
 def _counted(batches):
     """Replaces column `text` by the number of its words."""
+    enter("mixing")
     for batch in batches:
         sizes = np.zeros(batch.num_rows, dtype=np.int64)
         for first, last, _, borders in tb.word_hashes(batch.column(0)):

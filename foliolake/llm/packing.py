@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .staging import bounded_batches, stage
 from .tokens import default_tokenizer, encoder
+from .worker import enter
 
 WINDOW = 2048
 END_ID = 1
@@ -32,6 +33,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Staged (part, before, doc_id, n_tokens, ids): `before` counts the part's tokens ahead of the row."""
 
     def run(batches):
+        enter("tokens")
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .staging import bounded_batches
+from .worker import enter
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -395,6 +396,7 @@ def _scanner(field):
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        enter("pii")
         for batch in batches:
             found = find(batch.column(1), field.value)
             sides = [pa.array([[dict(zip(("kind", "start", "end"), x)) for x in f[k]] for f in found], span) for k in (0, 1)]
@@ -413,6 +415,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(field or trained())
 
     def run(batches):
+        enter("pii")
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for r, (base, added) in enumerate(find(batch.column(0), held.value)):

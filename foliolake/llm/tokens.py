@@ -104,6 +104,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget() -> None:
+    """Drops the encoders of this worker and their tables."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     if path not in _encoders:

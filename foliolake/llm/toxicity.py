@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import bounded_batches, stage
+from .worker import enter
 
 THRESHOLD = 0.3
 #: Labelled rows that are learnt from, at most, of each class: those with the least hashes of their ids.
@@ -160,6 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     sample = stage(texts.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "labelled")
 
     def toxic_entries(batches):
+        enter("toxicity")
         for batch in batches:
             occurs, inside = Counter(), Counter()
             for text in batch.column(0).to_pylist():
@@ -248,6 +250,7 @@ def scores(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
     broadcast = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
+        enter("toxicity")
         lex = broadcast.value
         for batch in batches:
             values = [lex.score(t) for t in batch.column(0).to_pylist()]
