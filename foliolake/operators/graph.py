@@ -29,9 +29,9 @@ def references(entries: DataFrame, exact: bool = False) -> DataFrame:
     return rows.select("src", node_path(F.col("m.dst"), exact).alias("dst"), F.col("m.kind").alias("kind"))
 
 
-def resolve_links(entries: DataFrame, exact: bool = False) -> DataFrame:
-    """Mentions whose target exists; the others are dropped, repeats stay parallel edges."""
-    nodes = entries.select(node_path(F.col("path"), exact).alias("dst"))
+def resolve_links(entries: DataFrame, exact: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+    """Mentions whose target exists (among nodes, by default the entries); the others are dropped, repeats stay parallel edges."""
+    nodes = (entries if nodes is None else nodes).select(node_path(F.col("path"), exact).alias("dst"))
     return references(entries, exact).join(nodes, "dst", "left_semi").select("src", "dst", "kind")
 
 
@@ -49,6 +49,8 @@ def tag_pairs(entries: DataFrame, threshold: float = 0.3) -> DataFrame:
     alone brings nothing together.  Each pair is made once: at its least shared key.
     """
     sets = entries.select("path", F.array_sort(F.array_distinct("tags")).alias("tags")).withColumn("n", F.size("tags")).where("n > 0")
+    # Paths and tags only, spread out first: the pairs are many more than the rows they come from.
+    sets = sets.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     most = math.floor(1 / threshold + 1 + 1e-9)
     keys = lambda df: df.select("path", "tags", "n", F.explode("tags").alias("key"))
     one = _meet(keys(sets.where(F.col("n") < most)), F.col("a.n") + F.col("b.n") <= most, 1)
@@ -93,12 +95,16 @@ def suggest_links(entries: DataFrame, path: str, k: int = 5, threshold: float =
     k below 1 gives none; ties go by path.
     """
     me = entries.where(F.col("path") == path).select(F.array_distinct("tags").alias("mine")).limit(1)
-    edges = build_graph(entries) if edges is None else edges
-    known = edges.where(F.col("src") == path).select(F.col("dst").alias("path")).distinct()
+    if edges is None:  # only this entry's own edges are needed: its mentions, and what is alike enough for a tag edge
+        known = resolve_links(entries.where(F.col("path") == path), nodes=entries)
+        most = 0.3
+    else:
+        known, most = edges.where(F.col("src") == path), 2.0
+    known = known.select(F.col("dst").alias("path")).distinct()
     others = entries.where(F.col("path") != path).select("path", "title", F.array_distinct("tags").alias("theirs"))
     # `me` is one row: the entry asked about.
     alike = others.join(F.broadcast(me), F.arrays_overlap("mine", "theirs")).select("path", "title", (F.size(F.array_intersect("mine", "theirs")) / F.size(F.array_union("mine", "theirs"))).alias("jaccard"))
-    return alike.where(F.col("jaccard") >= threshold).join(known, "path", "left_anti").orderBy(F.desc("jaccard"), "path").limit(max(k, 0))
+    return alike.where((F.col("jaccard") >= threshold) & (F.col("jaccard") < most)).join(known, "path", "left_anti").orderBy(F.desc("jaccard"), "path").limit(max(k, 0))
 
 
 def neighbours(edges: DataFrame, start: str, hops: int = 2, both: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import dot
 from .graph import broken_links, references, resolve_links
 
 MISSING = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
@@ -78,15 +78,24 @@ def drift_pairs(entries: DataFrame, vectors: DataFrame, most_similar: float = 0.
     shared tag, least similar first.  The date condition is part of the join on tags; the least tag is found
     from the two tag arrays, so pairs need no second pass to be made distinct.
     """
-    tagged = entries.select("path", "created", F.array_sort(F.array_distinct("tags")).alias("tags")).join(vectors.select("path", "vector"), "path")
-    keyed = tagged.select("path", "created", "tags", "vector", F.explode("tags").alias("tag"))
+    spread = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    normed = vectors.select("path", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))
+    tagged = entries.select("path", "created", F.array_sort(F.array_distinct("tags")).alias("tags")).join(normed, "path").repartition(spread, "path")
+    keyed = tagged.select("path", "created", "tags", "vector", "norm", F.explode("tags").alias("tag"))
     apart = F.abs(F.unix_timestamp(F.col("a.created").cast("timestamp")) - F.unix_timestamp(F.col("b.created").cast("timestamp")))
     pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.tag") == F.col("b.tag")) & (F.col("a.path") < F.col("b.path")) & (apart >= days * 86400))
     pairs = pairs.where(F.col("a.tag") == F.array_min(F.array_intersect("a.tags", "b.tags")))
-    out = pairs.select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), F.col("a.tag").alias("shared_tag"), F.floor(apart / 86400).alias("days_apart"), cosine(F.col("a.vector"), F.col("b.vector")).alias("similarity"))
+    out = pairs.select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), F.col("a.tag").alias("shared_tag"), F.floor(apart / 86400).alias("days_apart"), _cosine("a", "b").alias("similarity"))
     return out.where(F.col("similarity") < most_similar)
 
 
+def _cosine(a: str, b: str) -> Column:
+    """The cosine of two rows that carry vector and norm; 0 for unequal lengths and zero norms."""
+    x, y, norm = F.col(f"{a}.vector"), F.col(f"{b}.vector"), F.col(f"{a}.norm") * F.col(f"{b}.norm")
+    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(x, y) / norm))
+    return F.when((F.size(x) == F.size(y)) & (norm > 0), value).otherwise(0.0)
+
+
 def get_health_report(entries: DataFrame, edges: DataFrame, issues: DataFrame, orphans: DataFrame, index_bytes: int = 0, last_compile: str | None = None) -> DataFrame:
     """One row of one-row totals."""
     return (
