@@ -151,3 +151,24 @@ def test_language_model_equals_brute_force(spark):
             assert got[d].difference is None
     assert lm.cross_entropy_difference(docs.limit(0), ids).count() == 0
     assert lm.cross_entropy_difference(docs, ids.limit(0)).where(F.col("difference").isNotNull()).count() == 5
+
+
+def test_language_model_counts_more_words_and_pairs_than_any_fixed_table(spark):
+    texts = [" ".join(f"w{(k * 1000 + j) * 7 % 90_001} v{j % 7}" for j in range(1000)) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(docs, spark.range(20).select(F.col("id").alias("doc_id"))).collect()}
+    split = [["<s>", *t.split()] for t in texts]
+    sides = []
+    for part in (split[:20], split):
+        sides.append((Counter(b for w in part for b in w[1:]), Counter(x for w in part for x in zip(w, w[1:])), Counter(a for w in part for a in w[:-1])))
+    size = len(sides[1][0])
+    assert size > lm.VOCABULARY and len(sides[1][1]) > 1 << 18
+    for d in (0, 19, 20, 199):
+        want = []
+        for (uni, bi, ctx), scale in zip(sides, (1.0, 0.1)):
+            total = sum(uni.values()) * scale + 0.1 * size
+            p1 = lambda b: (uni[b] * scale + 0.1) / total  # noqa: B023, E731
+            given = lambda a, b: bi[a, b] / ctx[a] if ctx[a] else p1(b)  # noqa: B023, E731
+            w = split[d]
+            want.append(sum(-math.log(lm.SHARES[0] * given(a, b) + lm.SHARES[1] * p1(b) + lm.SHARES[2] / size) for a, b in zip(w, w[1:])) / (len(w) - 1))
+        assert math.isclose(got[d].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[d].background_loss, want[1], rel_tol=1e-9)
