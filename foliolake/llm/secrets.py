@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,12 @@ SCORE = 0.6
 # Parts of names that make a target sensitive, and how much.
 _SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "key": 0.5, "auth": 0.6, "credential": 0.9, "private": 0.6, "access": 0.4, "signing": 0.5, "bearer": 0.8, "salt": 0.5, "cert": 0.3}
 _DUMMY = re.compile(rb"(?i)^(?:x+|\*+|\.+|0+|changeme|example|none|null|true|false|your.*|<.*>|\$\{.*\}|placeholder|default)$")
+# Names, literals and joined parts of any length: each run is possessive, so the scan stays linear.
 _PAIR = re.compile(
-    rb"""(?<![A-Za-z0-9_.$-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[\x20\t]*(?::=|=>|=|:)[\x20\t]*(?:(?P<quoted>"[^"\r\n]{1,512}"|'[^'\r\n]{1,512}')(?P<more>(?:[\x20\t]*\+[\x20\t]*(?:"[^"\r\n]{1,512}"|'[^'\r\n]{1,512}')){0,8})|(?P<bare>[A-Za-z0-9+/_.=$-]{1,512}))"""
+    rb"""(?<![A-Za-z0-9_.$-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?::=|=>|=|:)[\x20\t]*+(?:(?P<quoted>"[^"\r\n]++"|'[^'\r\n]++')(?P<more>(?:[\x20\t]*+\+[\x20\t]*+(?:"[^"\r\n]++"|'[^'\r\n]++'))*+)|(?P<bare>[A-Za-z0-9+/_.=$-]++))"""
 )
-_LITERAL = re.compile(rb""""([^"\r\n]{1,512})"|'([^'\r\n]{1,512})'""")
-_IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_.]{0,63}$")
+_LITERAL = re.compile(rb""""([^"\r\n]++)"|'([^'\r\n]++)'""")
+_IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_.]*+$")
 
 
 def _at(data: bytes, spans: list[tuple[str, int, int]], ascii_: bool) -> list[tuple[str, int, int]]:
@@ -103,17 +107,16 @@ def lexed_spans(data: bytes) -> list[tuple[str, int, int]]:
             reach(name, literals[source])  # a constant handed on
         else:
             reach(name, [(m.start("bare"), m.end("bare"), source)])
-    return [("literal", s, e) for (s, e), (w, joined) in sorted(weights.items()) if literal_score(w, joined) >= SCORE]
+    score = cache(literal_score)  # all parts of a joined literal share one
+    return [("literal", s, e) for (s, e), (w, joined) in sorted(weights.items()) if score(w, joined) >= SCORE]
 
 
 def spans(text: bytes) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, added spans) of UTF-8 bytes in code points; an added span overlaps no base span or other."""
     base = base_spans(text)
-    added, taken = [], [(s, e) for _, s, e in base]
-    for k, s, e in lexed_spans(text):
-        if not any(a < e and s < b for a, b in taken):
-            added.append((k, s, e))
-            taken.append((s, e))
+    # Literals never overlap each other; a base span that begins before one ends must have ended by its start.
+    starts, ends = [s for _, s, _ in base], [0, *accumulate((e for _, _, e in base), max)]
+    added = [(k, s, e) for k, s, e in lexed_spans(text) if ends[bisect_left(starts, e)] <= s]
     ascii_ = text.isascii()
     return _at(text, base, ascii_), _at(text, added, ascii_)
 

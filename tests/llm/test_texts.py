@@ -172,3 +172,13 @@ def test_language_model_counts_more_words_and_pairs_than_any_fixed_table(spark):
             w = split[d]
             want.append(sum(-math.log(lm.SHARES[0] * given(a, b) + lm.SHARES[1] * p1(b) + lm.SHARES[2] / size) for a, b in zip(w, w[1:])) / (len(w) - 1))
         assert math.isclose(got[d].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[d].background_loss, want[1], rel_tol=1e-9)
+
+
+def test_secrets_of_any_length():
+    found = lambda t: [t[s:e] for _, s, e in secrets.spans(t.encode())[1]]
+    long = "aB3-kk29_xQ1" * 50
+    assert found(f'credential = "{long}"') == found(f"credential={long}\n") == [long]
+    assert found(f'{"n" * 66}_credential = "aB3$kk29-xQ11zz"') == ["aB3$kk29-xQ11zz"]
+    assert found(f'{"N" * 80} = "aB3$kk29-xQ11zz"\nclient_auth = {"N" * 80}') == ["aB3$kk29-xQ11zz"]
+    parts = [f"Zx{k}-kQ" for k in range(3000)]
+    assert found("signing_key = " + " + ".join(f'"{p}"' for p in parts)) == parts
