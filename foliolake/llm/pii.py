@@ -13,7 +13,9 @@ after one pass over the bytes is on regions.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ _CONNECTOR = re.compile(rb"(?i)[().\[\]<>{}/|:;,_-]+|[(\[{<]?(?:at|dot)[)\]}>]?"
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]")
 _LIVE = np.zeros(256, dtype=bool)
 _LIVE[[*range(48, 58), 64]] = True
-#: Tokens of a region decoded at once; a longer region goes on from the state it was cut in.
+#: Tokens of a region decoded at once; a longer region is decoded block by block, scores and back pointers carried on.
 _MOST_TOKENS = 512
+#: So many tokens to each side are features of one.
+_REACH = 3
 
 # The labelled table: [kind:text] marks a span.
 _EXAMPLES = """
@@ -179,6 +183,26 @@ class Field:
                 out[k] = path
         return out
 
+    def follow(self, blocks) -> np.ndarray:
+        """Best tags of one sequence whose emissions come block by block; only back pointers are kept of all of it."""
+        best, back = None, []
+        for scores in blocks:
+            came = np.zeros(scores.shape, np.int8)
+            for t, own in enumerate(scores):
+                if best is None:
+                    best = own + _FIRST
+                    continue
+                through = best[:, None] + self.move
+                came[t] = through.argmax(0)
+                best = through.max(0) + own
+            back.append(came)
+        back = np.concatenate(back)
+        path = np.empty(len(back), np.int64)
+        path[-1] = int(best.argmax())
+        for t in range(len(back) - 1, 0, -1):
+            path[t - 1] = back[t, path[t]]
+        return path
+
 
 # Inside may follow only begin or inside of its kind.
 _ALLOWED = np.array([[not b.startswith("I") or a[2:] == b[2:] and a != "O" for b in TAGS] for a in TAGS])
@@ -316,13 +340,43 @@ def _valid(kind: str, value: bytes) -> bool:
     return 7 <= digits <= 15
 
 
+def _pieces(data: bytes, cut: np.ndarray, first: int, last: int) -> tuple[list[bytes], list[bool]]:
+    """Tokens from first to last and whether a gap is before each; before a region's first there is one."""
+    gaps = [k == 0 or cut[k - 1, 1] < cut[k, 0] for k in range(first, last)]
+    return [data[x:y] for x, y in cut[first:last].tolist()], gaps
+
+
+def _blocks(field: Field, data: bytes, cut: np.ndarray):
+    """Emissions of a long region block by block, each from features that see beyond the block."""
+    for c in range(0, len(cut), _MOST_TOKENS):
+        first, last = max(0, c - _REACH), min(len(cut), c + _MOST_TOKENS + _REACH)
+        yield field.emissions(_features(*_pieces(data, cut, first, last))[c - first : c - first + _MOST_TOKENS])
+
+
 def find(texts: pa.Array, field: Field) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base, added) spans in code points of each text of an Arrow array."""
     at, raw, valid = tb.buffers(texts)
     out: list[tuple[list, list]] = [([], []) for _ in range(len(texts))]
-    jobs: list[tuple[int, int, list[bytes], list[tuple[int, int]]]] = []
+    jobs: list[tuple] = []
     emissions: list[np.ndarray] = []
     memory: dict[tuple, np.ndarray] = {}
+    # Base spans by their starts, and how far those up to each reach: what overlaps one is found by bisection.
+    ends_of = lambda base: ([s for _, s, _ in base], [0, *accumulate((e for _, _, e in base), max)])
+
+    def settle(r: int, base: tuple[list[int], list[int]], cut: np.ndarray, data: bytes, place, path: np.ndarray) -> None:
+        k = 0
+        while k < len(cut):
+            if path[k] == 0:
+                k += 1
+                continue
+            kind, e = TAGS[path[k]][2:], k + 1
+            while e < len(cut) and path[e] and TAGS[path[e]] == "I-" + kind:
+                e += 1
+            s, t = int(cut[k, 0]), int(cut[e - 1, 1])
+            if _valid(kind, data[s:t]) and base[1][bisect_left(base[0], t)] <= s:
+                out[r][1].append((kind, place(s), place(t)))
+            k = e
+
     for first, last in tb.chunks(at):
         part = raw[at[first] : at[last]]
         hot = np.concatenate([[0], np.cumsum(_LIVE[part], dtype=np.int64)])
@@ -353,30 +407,18 @@ def find(texts: pa.Array, field: Field) -> list[tuple[list[tuple[str, int, int]]
             place = (lambda x, h=heads: x) if heads is None else (lambda x, h=heads: int(h[x]))
             out[r][0].extend((k, place(s), place(e)) for k, s, e in base)
             for s, e in regions:
-                tokens = [(m.start() + s, m.end() + s) for m in _TOKEN.finditer(data[s:e])]
-                for c in range(0, len(tokens), _MOST_TOKENS):
-                    cut = tokens[c : c + _MOST_TOKENS]
-                    words = [data[x:y] for x, y in cut]
-                    gaps = [k == 0 or cut[k - 1][1] < cut[k][0] for k in range(len(cut))]
+                cut = np.fromiter((x for m in _TOKEN.finditer(data, s, e) for x in m.span()), np.int64).reshape(-1, 2)
+                if len(cut) > _MOST_TOKENS:
+                    settle(r, ends_of(base), cut, data, place, field.follow(_blocks(field, data, cut)))
+                elif len(cut):
+                    words, gaps = _pieces(data, cut, 0, len(cut))
                     key = tuple(_shape(w) for w in words), tuple(gaps)
                     if key not in memory:
                         memory[key] = field.emissions(_features(words, gaps))
                     emissions.append(memory[key])
-                    jobs.append((r, [(s2, e2) for _, s2, e2 in base], cut, data, place))
-    for (r, taken, cut, data, place), path in zip(jobs, field.decode(emissions) if emissions else []):
-        k = 0
-        while k < len(cut):
-            if path[k] == 0:
-                k += 1
-                continue
-            kind, e = TAGS[path[k]][2:], k + 1
-            while e < len(cut) and path[e] and TAGS[path[e]] == "I-" + kind:
-                e += 1
-            s, t = cut[k][0], cut[e - 1][1]
-            if _valid(kind, data[s:t]) and not any(x < t and s < y for x, y in taken):
-                out[r][1].append((kind, place(s), place(t)))
-                taken.append((s, t))
-            k = e
+                    jobs.append((r, ends_of(base), cut, data, place))
+    for job, path in zip(jobs, field.decode(emissions) if emissions else []):
+        settle(*job, path)
     return out
 
 

@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -182,3 +183,18 @@ def test_secrets_of_any_length():
     assert found(f'{"N" * 80} = "aB3$kk29-xQ11zz"\nclient_auth = {"N" * 80}') == ["aB3$kk29-xQ11zz"]
     parts = [f"Zx{k}-kQ" for k in range(3000)]
     assert found("signing_key = " + " + ".join(f'"{p}"' for p in parts)) == parts
+
+
+def test_field_goes_on_through_long_regions():
+    field = pii.trained()
+    spans_of = lambda n: [(k, s - 2 * n, e - 2 * n) for k, s, e in pii.find(pa.array(["7 " * n + "call (555) 010-2030, 12 555-010-2030 7" + " 7" * 700]), field)[0][1] if s >= 2 * n]
+    near = lambda n: pii.find(pa.array(["7 " * n + "(555) 010-2030 , 7"]), field)[0][1]
+    assert len({tuple((k, s - 2 * n, e - 2 * n) for k, s, e in near(n) if s >= 2 * n - 12) for n in range(490, 530)}) == 1
+    assert len({tuple(spans_of(n)) for n in (300, *range(500, 516))}) == 1
+    data = b"7 12-3 (555) 010-2030 a@b 4111 1 9.9 [at] " * 120
+    cut = [m.span() for m in pii._TOKEN.finditer(data)]
+    gaps = [k == 0 or cut[k - 1][1] < cut[k][0] for k in range(len(cut))]
+    whole = field.emissions(pii._features([data[a:b] for a, b in cut], gaps))
+    blocks = list(pii._blocks(field, data, np.array(cut)))
+    assert len(blocks) > 2 and (np.concatenate(blocks) == whole).all()
+    assert field.follow(blocks).tolist() == field.decode([whole])[0].tolist()
