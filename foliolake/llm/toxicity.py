@@ -25,12 +25,12 @@ from .worker import enter
 THRESHOLD = 0.3
 #: Labelled rows that are learnt from, at most, of each class: those with the least hashes of their ids.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 12_000
-#: Lexicon candidates counted, at most: the ones most toxic texts hold.
-CANDIDATES = 30_000
 STEMS = range(4, 9)
-#: An entry is in this share of toxic texts at least (and in three), and this much likelier in them (log);
-#: the fewer texts hold it the more, by FEW divided by their number.
-LEAST_SHARE, LEAST_WEIGHT, FEW = 0.02, 2.0, 4.0
+#: An entry is in so many toxic texts at least, and this much likelier in them (log); the fewer texts hold it
+#: the more, by FEW divided by their number.
+LEAST_TEXTS, LEAST_WEIGHT, FEW = 3, 2.0, 4.0
+#: Texts whose entries are counted together before they are sent.
+TOGETHER = 512
 #: A text that repeats an entry may raise its weight by this much over what numbers of texts alone say.
 REPEATED = 1.5
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "stupid question mark", "sore loser rule")
@@ -63,8 +63,7 @@ def _entries(word: str):
     for n in STEMS:
         if len(word) >= n:
             yield word[:n]
-    if len(word) >= 4:
-        yield word + "$"
+    yield word + "$"
 
 
 @dataclass
@@ -102,6 +101,7 @@ class Lexicon:
         plain, folded = fold(text)
         best: dict[int, tuple[int, float]] = {}
         spared = []
+        words: set[tuple[int, int]] | None = None
         for end, (n, values) in automaton.iter(folded):
             start, end = end - n + 1, end + 1
             if start and plain[start - 1].isalpha():
@@ -112,6 +112,10 @@ class Lexicon:
                     if closed:
                         spared.append((start, end))
                 elif (closed or not whole) and (start not in best or end >= best[start][0]):
+                    if n < STEMS.start:  # too short to stand for a word by its letters alone: not the re of you're
+                        words = words or {m.span() for m in _WORD.finditer(plain)}
+                        if (start, end) not in words:
+                            continue
                     best[start] = (end, weight)
         return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in spared)]
 
@@ -160,52 +164,46 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     # Bounded by TOXIC_ROWS + CLEAN_ROWS.
     sample = stage(texts.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "labelled")
 
-    def toxic_entries(batches):
+    names = ["entry", "occurs", "inside", "n", "i"]
+
+    def entries(batches):
         enter("toxicity")
         for batch in batches:
-            occurs, inside = Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                own = Counter()
-                for word, n in _words(text).items():
-                    for e in _entries(word):
-                        own[e] += n
-                occurs.update(own)
-                inside.update(own.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(list(occurs), pa.string()), pa.array(list(occurs.values()), pa.int64()), pa.array([inside[e] for e in occurs], pa.int64())], names=["entry", "occurs", "inside"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                sums: dict[str, list[int]] = {}  # occurrences and texts, toxic then clean; all words under no name
+                for text, kind in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = Counter()
+                    for word, n in _words(text).items():
+                        own[""] += n
+                        for e in _entries(word):
+                            own[e] += n
+                    k = 0 if kind else 2
+                    for e, n in own.items():
+                        x = sums.setdefault(e, [0, 0, 0, 0])
+                        x[k] += n
+                        x[k + 1] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array([x[k] for x in sums.values()], pa.int64()) for k in range(4)]], names=names)
 
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return Lexicon()
-    support = max(3, math.ceil(LEAST_SHARE * toxic))
-    per_entry = sample.where("toxic = 1").select("text").mapInArrow(toxic_entries, "entry string, occurs long, inside long").groupBy("entry").agg(F.sum("occurs").alias("occurs"), F.sum("inside").alias("inside"))
-    candidates = {r["entry"]: (r["occurs"], r["inside"]) for r in per_entry.where(F.col("inside") >= support).orderBy(F.desc("inside"), "entry").limit(CANDIDATES).collect()}
-
-    def clean_entries(batches):
-        for batch in batches:
-            occurs, inside, words = Counter(), Counter(), [0, 0]
-            for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Counter()
-                for word, n in _words(text).items():
-                    words[kind] += n
-                    if not kind:
-                        for e in _entries(word):
-                            if e in candidates:
-                                own[e] += n
-                occurs.update(own)
-                inside.update(own.keys())
-            names = ["", " ", *occurs]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([words[0], words[1], *occurs.values()], pa.int64()), pa.array([0, 0, *(inside[e] for e in occurs)], pa.int64())], names=["entry", "occurs", "inside"])
-
-    other = {r["entry"]: (r["n"], r["i"]) for r in sample.mapInArrow(clean_entries, "entry string, occurs long, inside long").groupBy("entry").agg(F.sum("occurs").alias("n"), F.sum("inside").alias("i")).collect()}
-    clean_words, toxic_words = max(1, other.pop("", (0, 0))[0]), max(1, other.pop(" ", (0, 0))[0])
-    weights = {}
-    for e, (occurs, inside) in candidates.items():
-        n, i = other.get(e, (0, 0))
+    per_entry = sample.select("text", "toxic").mapInArrow(entries, "entry string, occurs long, inside long, n long, i long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    per_entry = stage(per_entry.where((F.col("inside") >= LEAST_TEXTS) | (F.col("entry") == "")), "entries")
+    words = per_entry.where("entry = ''").first()
+    clean_words, toxic_words = max(1, words["n"] if words else 0), max(1, words["occurs"] if words else 0)
+    # Evidence alone decides what comes to the driver: the same weight as below, with something to spare for rounding.
+    by_word = F.log((F.col("occurs") + 0.5) / toxic_words) - F.log((F.col("n") + 2) / clean_words)
+    by_text = F.log((F.col("inside") + 0.5) / toxic) - F.log((F.col("i") + 1) / clean)
+    telling = F.least(by_word, by_text + REPEATED) >= LEAST_WEIGHT + FEW / F.col("inside") - 1e-6
+    candidates, weights = {}, {}
+    for e, occurs, inside, n, i in per_entry.where((F.col("entry") != "") & telling).select(*names).collect():
         by_word = math.log((occurs + 0.5) / toxic_words) - math.log((n + 2) / clean_words)
         by_text = math.log((inside + 0.5) / toxic) - math.log((i + 1) / clean)
         weight = min(by_word, by_text + REPEATED)
         if weight >= LEAST_WEIGHT + FEW / inside:
+            candidates[e] = (occurs, inside)
             weights[e] = (min(weight, 8.0), inside)
     # Of nested entries found in the same places the longest stem stays; one inside another stays if it says more.
     occurs_of = {e: candidates[e][0] for e in weights}

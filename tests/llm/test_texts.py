@@ -198,3 +198,14 @@ def test_field_goes_on_through_long_regions():
     blocks = list(pii._blocks(field, data, np.array(cut)))
     assert len(blocks) > 2 and (np.concatenate(blocks) == whole).all()
     assert field.follow(blocks).tolist() == field.decode([whole])[0].tolist()
+
+
+def test_lexicon_learns_rare_and_short_words(spark):
+    filler = "plain ordinary sentence with several usual words number"
+    rows = [(k, f"{filler} {k} " + ("qabbalo qabbalo" if k < 10 else "zog zog" if k < 200 else "vermor vermor"), 1) for k in range(800)]
+    rows += [(k, f"{filler} {k} pleasant pleasant", 0) for k in range(800, 3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lex = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert lex.matched("qabbalo") and lex.matched("vermor") and "zog$" in lex.weights
+    hits = lambda t: [t[s:e] for s, e, _ in lex.matched(t)]
+    assert hits("You ZOG, z0g! zogs o'zog zog's") == ["ZOG", "z0g"] and not hits(filler + " pleasant")
