@@ -648,6 +648,13 @@ def search_keywords_context(spark, d):
     return found.join(once, ["path", "page_number"], "left_semi").select("path", "page_number", "keyword", "position", "matched", "context")
 
 
+@query(PAGES + """, h AS (SELECT path, page_number, text, string_split(text, 'License') AS gaps, unnest(range(1, len(string_split(text, 'License')))) AS k FROM p),
+f AS (SELECT path, page_number, text, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + (k - 1) * 7)::INTEGER AS position FROM h)
+SELECT path, page_number::INTEGER AS page_number, 'License' AS keyword, position, 'License' AS matched, substr(text, greatest(0, position - 50) + 1, position + 7 + 50 - greatest(0, position - 50)) AS context FROM f""")
+def search_keywords_every_context(spark, d):
+    return ft.search_keywords(fx.pages(spark, d), ["License"], case_sensitive=True).select("path", "page_number", "keyword", "position", "matched", "context")
+
+
 @query(PAGES + "SELECT path, page_number::INTEGER AS page_number, coalesce(sum(length(trim(text))) OVER (PARTITION BY path ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p")
 def page_boundaries(spark, d):
     return ft.page_boundaries(fx.pages(spark, d))
