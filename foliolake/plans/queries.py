@@ -298,7 +298,7 @@ def detect_communities(spark, d):
 @query()
 def aggregate_entries(spark, d):
     e = fx.entries(spark, d, False)
-    return g.aggregate_entries(e, g.detect_communities(st.stage(g.build_graph(e), "edges"), iterations=10))
+    return g.aggregate_entries(e, g.detect_communities(st.stage(g.build_graph(e), "edges")))
 
 
 @query(ENTRIES + "SELECT label, domain, n FROM (SELECT level AS label, domain, count(*) AS n, row_number() OVER (PARTITION BY level ORDER BY count(*) DESC, domain) AS r FROM e GROUP BY level, domain) WHERE r = 1")

@@ -218,3 +218,12 @@ def test_drift(spark):
     e = entries(spark, [("a", {"tags": ["x", "y"], "created": day(0)}), ("b", {"tags": ["y", "x"], "created": day(90)}), ("c", {"tags": ["x"], "created": day(89)})])
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 1.0])], "path string, vector array<double>")
     assert [tuple(r) for r in q.drift_pairs(e, v).collect()] == [("a", "b", "x", 90, 0.0)]
+
+
+def test_aggregated_entries_use_the_default_rounds(spark, monkeypatch):
+    from foliolake.plans import queries
+    from tests.conftest import SF
+
+    asked = []
+    monkeypatch.setattr(g, "detect_communities", lambda edges, *a, f=g.detect_communities, **b: asked.append((a, b)) or f(edges, *a, **b))
+    assert queries.aggregate_entries(spark, SF).count() > 0 and asked == [((), {})]
