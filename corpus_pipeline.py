@@ -25,11 +25,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, and all others that are in none."""
+    """The document with the smallest doc_id of each near-duplicate group, and all others that are in none.
+
+    Rows that repeat a doc_id with its text are one document: the least of them stays.  Rows without a doc_id are
+    grouped by an id made of their text, above 2 ** 62, so that a copy with an id of its own stays before them; their
+    doc_id stays null.
+    """
     ship(spark)
-    groups = stage(minhash.near_duplicates(docs), "groups")
-    gone = stage(groups.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("name", F.coalesce(F.col("doc_id").cast("long"), made)).withColumn("hash", F.xxhash64("text"))
+    groups = stage(minhash.near_duplicates(named.select(F.col("name").alias("doc_id"), "text")), "groups")
+    gone = stage(groups.where("not kept").select(F.col("doc_id").alias("name")).distinct(), "gone")
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = named.join(bounded(gone), "name", "left_anti")
+    # An id and a text's hash stand for a row, so that only rows that do repeat are brought together.
+    repeats = stage(named.groupBy("name", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeats")
+    if repeats.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(bounded(repeats), ["name", "hash"], "left_anti").select(*docs.columns)
+    least = left.join(bounded(repeats), ["name", "hash"], "left_semi").groupBy("name", "hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(least.select("row.*"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,12 @@ def test_stages_keep_columns(spark):
             now = f(spark, now, SF)
             assert k == len(corpus_pipeline.STAGES) - 1 or now.columns == docs.columns
             now.count()
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    one, two, three = ("the quick brown fox jumps over lazy dogs", "an entirely different line of text stands here", "nobody else has written these few words yet")
+    rows = [(1, one), (1, one), (None, one), (2, one), (None, two), (None, two), (3, three), (None, None), (4, ""), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.select("doc_id", "text", "n_chars").collect()), key=str) == sorted([(1, one, 0), (None, two, 4), (3, three, 6), (None, None, 7), (4, "", 8), (5, "", 9)], key=str)
