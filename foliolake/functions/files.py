@@ -37,9 +37,9 @@ def format_text(text: Column) -> Column:
 # ---- probes ---------------------------------------------------------------------------------------
 
 def printable_density(content: Column) -> Column:
-    """Share of printable ASCII and white space in the first 2048 bytes."""
+    """Share of printable ASCII and white space in the first 2048 bytes; nothing: 0."""
     head = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
-    kept = F.length(F.regexp_replace(head, r"[^\x20-\x7e\t\n\r]", ""))
+    kept = F.length(F.regexp_replace(head, r"[^\x20-\x7e\t\n\f\r]", ""))
     return F.when(F.length(head) > 0, kept / F.length(head)).otherwise(0.0)
 
 
@@ -52,15 +52,27 @@ def probe_confidence(density: Column, fonts: Column, images: Column) -> Column:
     return F.when(fonts & (density > 0.3), 0.95).when(images & ~fonts, 0.90).otherwise(0.70)
 
 
+# Marks of fonts and of images in a file's first bytes, and how pages of each quality are read.
+FONT_MARKS = ("/Font", "/Type0", "/CIDFont")
+IMAGE_MARKS = ("/Image", "/XObject", "/DCTDecode", "/FlateDecode")
+METHODS = {"scanned": "vlm", "low_quality": "hybrid"}
+
+
 def quality_probe(files: DataFrame) -> DataFrame:
-    """(path, density, has_fonts, has_images, quality, confidence, needs_vlm) of files(path, content)."""
+    """(path, density, has_fonts, has_images, quality, confidence, needs_vlm, extraction_method) of files(path, content).
+
+    A file that does not begin as a PDF, null among them, is invalid: density 0, confidence 1.
+    """
     head = F.decode(F.substring("content", 1, 2048), "ISO-8859-1")
-    p = files.select("path", head.alias("head"), printable_density(F.col("content")).alias("density"))
-    p = p.withColumn("valid", F.startswith("head", F.lit("%PDF"))).withColumn("has_fonts", F.col("valid") & F.contains("head", F.lit("/Font"))).withColumn("has_images", F.col("valid") & F.contains("head", F.lit("/Image")))
+    valid = F.coalesce(F.startswith("head", F.lit("%PDF")), F.lit(False))
+    p = files.select("path", head.alias("head"), printable_density(F.col("content")).alias("density")).withColumn("valid", valid)
+    marked = lambda marks: F.col("valid") & F.regexp_like("head", F.lit("|".join(marks)))
+    p = p.withColumn("has_fonts", marked(FONT_MARKS)).withColumn("has_images", marked(IMAGE_MARKS)).withColumn("density", F.when(F.col("valid"), F.col("density")).otherwise(0.0))
     quality = F.when(~F.col("valid"), "invalid").otherwise(determine_quality(F.col("density"), F.col("has_fonts"), F.col("has_images")))
-    confidence = F.when(~F.col("valid"), 0.0).otherwise(probe_confidence(F.col("density"), F.col("has_fonts"), F.col("has_images")))
+    confidence = F.when(~F.col("valid"), 1.0).otherwise(probe_confidence(F.col("density"), F.col("has_fonts"), F.col("has_images")))
     p = p.withColumn("quality", quality).withColumn("confidence", confidence)
-    return p.select("path", "density", "has_fonts", "has_images", "quality", "confidence", F.col("quality").isin("scanned", "low_quality").alias("needs_vlm"))
+    method = F.coalesce(F.create_map(*[F.lit(v) for kv in METHODS.items() for v in kv])[F.col("quality")], F.lit("pdfium"))
+    return p.select("path", "density", "has_fonts", "has_images", "quality", "confidence", F.col("quality").isin(*METHODS).alias("needs_vlm"), method.alias("extraction_method"))
 
 
 def probe_density_pages(pages: DataFrame, images: DataFrame) -> DataFrame:
@@ -152,17 +164,30 @@ def _fields(content: str | None) -> dict:
         return {}
 
 
-def to_markdown() -> Column:
-    """An entry's row as Markdown with front matter."""
-    quoted = lambda c: F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v")))
-    text = lambda c: F.regexp_extract(quoted(F.col(c)), r'^\{"v":(.*)\}$', 1)
-    names = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.to_json(c)).otherwise("[]")
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    lines = [("title", text("title")), ("domain", text("domain")), ("tags", names("tags")), ("level", F.col("level")), ("related", names("related")), ("contradictions", names("contradictions")), ("quality_score", F.col("quality_score").cast("string")), ("status", F.col("status")), ("version", F.col("version").cast("string")), ("created", stamp("created")), ("updated", stamp("updated"))]
-    return F.concat(F.lit("---\n"), *[F.concat(F.lit(f"{k}: "), v, F.lit("\n")) for k, v in lines], F.lit("---\n"), F.coalesce("body", F.lit("")))
+def to_markdown(columns: list[str] | None = None) -> Column:
+    """An entry's row as Markdown with front matter: every field that parse_front_matter reads, so nothing is lost.
+
+    Optional fields that are null (category, source, page, source_hash) or empty (aggregated_from) are left out.
+    `columns` names the columns the row has, by default all fields; those it lacks count as null.
+    """
+    have = set(ENTRY.names) if columns is None else set(columns)
+    col = lambda c: F.col(c) if c in have else F.lit(None).cast(ENTRY[c].dataType)
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(col(c), F.lit("")).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    names = lambda c: F.when(F.coalesce(F.size(col(c)), F.lit(0)) > 0, F.to_json(col(c))).otherwise("[]")
+    stamp = lambda c: F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    line = lambda c, v: F.concat(F.lit(f"{c}: "), v, F.lit("\n"))
+    if_any = lambda c, v: F.coalesce(F.when(col(c).isNotNull(), line(c, v)), F.lit(""))
+    return F.concat(
+        F.lit("---\n"), line("title", quoted("title")), line("domain", quoted("domain")), if_any("category", quoted("category")), if_any("source", quoted("source")), if_any("page", col("page").cast("string")),
+        if_any("source_hash", quoted("source_hash")), line("tags", names("tags")), line("level", F.coalesce(col("level"), F.lit("l1"))), line("contradictions", names("contradictions")), line("related", names("related")),
+        F.when(F.coalesce(F.size(col("aggregated_from")), F.lit(0)) > 0, line("aggregated_from", names("aggregated_from"))).otherwise(""),
+        line("quality_score", F.coalesce(col("quality_score"), F.lit(0.0)).cast("string")), line("status", F.coalesce(col("status"), F.lit("pending"))), line("version", F.coalesce(col("version"), F.lit(0)).cast("string")),
+        line("created", F.coalesce(stamp("created"), F.lit(""))), line("updated", F.coalesce(stamp("updated"), F.lit(""))), F.lit("---\n"), F.coalesce("body", F.lit("")),
+    )
 
 
 def touch(entries: DataFrame, now: Column) -> DataFrame:
+    """entries one version on, updated now; a null version stays null."""
     return entries.withColumn("version", F.col("version") + 1).withColumn("updated", now)
 
 

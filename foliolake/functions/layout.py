@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Model of each complexity.
-MODELS = {"simple": "none", "moderate": "layout-small", "complex": "layout-large"}
+MODELS = {"simple": "glm-4.6v-flash", "moderate": "glm-4.6v-flashx", "complex": "glm-4.6v"}
 
 
 def escalation_detect(chars: Column, confidence: Column, zero_text: int = 0, chaos: float = 0.3) -> Column:
@@ -22,10 +22,12 @@ def layout_confidence(text: Column, lines: Column) -> Column:
 
 
 def page_complexity(chars: Column, confidence: Column) -> Column:
+    """simple, moderate or complex; null characters or confidence: complex."""
     return F.when((chars > 500) & (confidence > 0.7), "simple").when((chars >= 50) & (confidence >= 0.3), "moderate").otherwise("complex")
 
 
 def select_model(complexity: Column, models: dict[str, str] | None = None) -> Column:
+    """The model for a complexity; null and unknown ones get the model for complex pages."""
     m = models or MODELS
     return F.when(complexity == "simple", m["simple"]).when(complexity == "moderate", m["moderate"]).otherwise(m["complex"])
 
@@ -40,51 +42,64 @@ def vlm_triggered(routed: DataFrame) -> DataFrame:
     return routed.groupBy("path").agg(F.bool_or(F.col("reason") != "normal").alias("vlm_triggered"))
 
 
-_BOX = r"\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]"
-# Words that name a region's type, and the type.
-REGION_WORDS = {"title": "title", "table": "table", "figure": "image", "image": "image", "formula": "formula", "header": "header", "footer": "footer", "paragraph": "body", "heading": "body", "body": "body"}
+# A box of four numbers, and the words that name a region's type with the type they name.
+_NUMBER = r"(\d+(?:\.\d+)?)"
+_BOX = rf"\[\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\]"
+REGION_WORDS = {"title": "title", "body": "body", "table": "table", "image": "image", "caption": "caption", "paragraph": "body", "heading": "body"}
 
 
-def parse_layout_text(text: Column, reach: int = 50) -> Column:
-    """Every [a, b, c, d] in a text as (region_type, x, y, width, height).
+def _kind(word: Column, kinds: dict[str, str]) -> Column:
+    out = F.lit("body")
+    for name, kind in kinds.items():
+        out = F.when(word == name, kind).otherwise(out)
+    return out
 
-    The type is the first of the known words, in the order listed, within `reach` characters; body if none is.
-    """
-    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
 
-    def near(one: Column, b: Column, k: Column) -> Column:
-        start = length(one["gaps"], k + 1) + length(one["boxes"], k)
-        first = F.greatest(F.lit(0), start - reach)
-        return F.lower(F.substring(one["text"], first + 1, start - first + F.length(b) + reach))
+def parse_layout_text(text: Column, reach: int = 50) -> Column:
+    """Every [a, b, c, d] in a text as (region_type, x, y, width, height, content).
 
-    numbers = lambda b: F.transform(F.split(F.regexp_replace(b, r"[\[\]\s]", ""), ","), lambda v: v.cast("double"))
-    # What is used several times is bound first, as the one element of an array: inside a lambda it would be made anew each time.
-    bound = F.array(F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(_BOX), F.lit(0)).alias("boxes"), F.split(text, _BOX, -1).alias("gaps")))
-    found = F.flatten(F.transform(bound, lambda one: F.transform(one["boxes"], lambda b, k: F.struct(numbers(b).alias("n"), near(one, b, k).alias("around")))))
+    The type is that of the known word which comes first, in any case, from `reach` characters before the box to
+    `reach` after it; body if there is none.  content is the box as it stands.  Null text: null; no box: empty.
+    """
+    # Each box with what stands around it: the look-behind takes `reach` characters, fewer only from the text's start.
+    before, after = rf"(?=\[)(?<=((?s:.{{{reach}}}|\A.{{0,{reach - 1}}})))", rf"(?=((?s:.{{0,{reach}}})))"
+    every = lambda group: F.regexp_extract_all(text, F.lit(before + f"({_BOX})" + after), F.lit(group))
+    rows = F.arrays_zip(every(1).alias("before"), every(2).alias("box"), every(7).alias("after"))
+    words = rf"(?i)({'|'.join(REGION_WORDS)})"
 
     def region(x: Column) -> Column:
-        kind = F.lit("body")
-        for word, name in reversed(REGION_WORDS.items()):
-            kind = F.when(F.contains(x["around"], F.lit(word)), name).otherwise(kind)
-        at = lambda k: F.get(x["n"], F.lit(k))
-        return F.struct(kind.alias("region_type"), at(0).alias("x"), at(1).alias("y"), (at(2) - at(0)).alias("width"), (at(3) - at(1)).alias("height"))
+        word = F.lower(F.regexp_extract(F.concat(x["before"], x["box"], x["after"]), words, 1))
+        at = lambda k: F.regexp_extract(x["box"], _BOX, k).cast("double")
+        return F.struct(_kind(word, REGION_WORDS).alias("region_type"), at(1).alias("x"), at(2).alias("y"), (at(3) - at(1)).alias("width"), (at(4) - at(2)).alias("height"), x["box"].alias("content"))
 
-    return F.transform(found, region)
+    return F.transform(rows, region)
 
 
 _DETAIL = "struct<layout_details:array<array<struct<label:string,bbox_2d:array<double>,content:string>>>>"
-# Labels of the response and the region types they stand for.
-OCR_LABELS = {"text": "body", "paragraph": "body", "title": "title", "table": "table", "image": "image", "figure": "image", "formula": "formula", "header": "header", "footer": "footer"}
+# Labels that are kept if they come with content and a box, and the region types they stand for.
+OCR_LABELS = {"text": "body", "title": "title", "caption": "caption", "table": "table", "list": "body"}
+#: Content of an image, which needs neither content nor box.
+IMAGE_CONTENT = "[image]"
 
 
 def parse_ocr_json(response: Column) -> Column:
-    """Regions of a nested OCR response; text needs content and a box, images are always kept."""
+    """Regions (region_type, x, y, width, height, content) of a nested OCR response, in order.
+
+    Labels count as they are written; others than those of OCR_LABELS and image are dropped.  An image without
+    a box lies at 0 with no size.  A response that is null or no JSON: null.
+    """
     items = F.flatten(F.from_json(response, _DETAIL)["layout_details"])
-    kind = lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in OCR_LABELS.items() for v in kv]), F.lower(x["label"])), F.lit("body"))
-    whole = lambda x: (F.size(x["bbox_2d"]) == 4) & (F.trim(F.coalesce(x["content"], F.lit(""))) != "")
-    kept = F.filter(F.coalesce(items, F.array().cast("array<struct<label:string,bbox_2d:array<double>,content:string>>")), lambda x: (kind(x) == "image") | F.coalesce(whole(x), F.lit(False)))
-    at = lambda x, k: F.coalesce(F.get(x["bbox_2d"], F.lit(k)), F.lit(0.0))
-    return F.transform(kept, lambda x: F.struct(kind(x).alias("region_type"), at(x, 0).alias("x"), at(x, 1).alias("y"), (at(x, 2) - at(x, 0)).alias("width"), (at(x, 3) - at(x, 1)).alias("height"), F.coalesce(x["content"], F.lit("")).alias("content")))
+    boxed = lambda x: F.size(x["bbox_2d"]) == 4
+    kept = F.filter(items, lambda x: (x["label"] == "image") | x["label"].isin(*OCR_LABELS) & x["content"].isNotNull() & F.coalesce(boxed(x), F.lit(False)))
+    at = lambda x, k: F.when(F.coalesce(boxed(x), F.lit(False)), F.get(x["bbox_2d"], F.lit(k))).otherwise(0.0)
+    image = lambda x: x["label"] == "image"
+    return F.transform(
+        kept,
+        lambda x: F.struct(
+            F.when(image(x), "image").otherwise(_kind(x["label"], OCR_LABELS)).alias("region_type"), at(x, 0).alias("x"), at(x, 1).alias("y"), (at(x, 2) - at(x, 0)).alias("width"), (at(x, 3) - at(x, 1)).alias("height"),
+            F.when(image(x), IMAGE_CONTENT).otherwise(x["content"]).alias("content"),
+        ),
+    )
 
 
 def parse_chat(response: Column) -> Column:
@@ -102,7 +117,33 @@ def client_retry(attempt: Column, base: float = 1.0, factor: float = 2.0, most:
 
 
 def hint_truncate(text: Column, most: int = 10_000) -> Column:
-    return F.substring(text, 1, most)
+    """The text's first `most` bytes, less a character that they cut; shorter texts and null as they are."""
+    raw = text.cast("binary")
+    inside = lambda at: F.conv(F.hex(F.substring(raw, at, 1)), 16, 10).cast("int").between(0x80, 0xBF)
+    # A character takes four bytes at most: the first byte after the cut that begins one says where it may lie.
+    cut = F.when(~inside(most + 1), most).when(~inside(most), most - 1).when(~inside(most - 1), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) > most, F.substr(raw, F.lit(1), cut).cast("string")).otherwise(text)
+
+
+def image_url(image: Column, mime: str = "image/png") -> Column:
+    """Bytes as a data URL, as requests carry them (files: application/pdf); null stays null."""
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(image), "\r\n", ""))
+
+
+def image_bytes(url: Column) -> Column:
+    """The bytes of a data URL; null for anything else."""
+    return F.when(F.regexp_like(url, F.lit("^data:[^,;]*;base64,")), F.unbase64(F.substring_index(url, ",", -1)))
+
+
+def trace_id(*key: Column) -> Column:
+    """A request's UUID: random, or with a key one that is the same for the same key."""
+    if not key:
+        return F.expr("uuid()")
+    h = F.md5(F.concat_ws("\x01", *key))
+    part = lambda at, n: F.substring(h, at, n)
+    # Version 4 and its variant stand where a random UUID has them.
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
 
 
 def backpressure_interval(rate: Column) -> Column:

@@ -7,10 +7,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import stage
+from ..sources.tables import load, save, stage
 
 #: A run of ASCII letters and digits, or any one other character that is not white space.
 LATIN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
@@ -23,6 +24,50 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def dictionary_tokenizer(frequencies: dict[str, float]) -> Callable[[Column], Column]:
+    """A tokenizer that cuts runs of CJK characters into the words of a dictionary, and all else as `unicode` does.
+
+    Of all ways to cut a run the one whose words' relative frequencies have the largest product is taken; a
+    character that begins no word stands alone, as rare as a word that occurs once.  Ties go to longer words.
+    White space is no token; null text gives null.
+    """
+    total = math.log(sum(frequencies.values()) or 1.0)
+    worth = {w: math.log(n) - total for w, n in frequencies.items() if w and n > 0}
+    longest = max(map(len, worth), default=1)
+    pieces = re.compile(r"([\u3400-\u9fff\uf900-\ufaff]+)|([^\W_]+)|(\S)")
+
+    def cut(run: str) -> list[str]:
+        best = [(0.0, 1)] * (len(run) + 1)  # from each place on: the best product, and the length of its first word
+        for at in range(len(run) - 1, -1, -1):
+            lengths = [n for n in range(1, min(longest, len(run) - at) + 1) if n == 1 or run[at : at + n] in worth]
+            best[at] = max((worth.get(run[at : at + n], -total) + best[at + n][0], n) for n in lengths)
+        out, at = [], 0
+        while at < len(run):
+            out.append(run[at : at + best[at][1]])
+            at += best[at][1]
+        return out
+
+    def words(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        out: list[str] = []
+        for m in pieces.finditer(text):
+            if m[1]:
+                out += cut(m[1])
+            elif m[2]:  # CJK characters beside letters of other scripts are cut as well
+                for part in re.split(r"([\u3400-\u9fff\uf900-\ufaff]+)", m[2]):
+                    out += cut(part) if re.match(r"[\u3400-\u9fff\uf900-\ufaff]", part) else [part] if part else []
+            else:
+                out.append(m[3])
+        return out
+
+    @F.pandas_udf("array<string>")
+    def tokenize(texts: pd.Series) -> pd.Series:
+        return texts.map(words)
+
+    return tokenize
+
+
 def register_tokenizer(name: str, tokenizer: Callable[[Column], Column]) -> None:
     """Makes a text-to-tokens expression (or pandas UDF) available by name."""
     TOKENIZERS[name] = tokenizer
@@ -49,26 +94,57 @@ def term_frequency_topn(docs: DataFrame, n: int = 10, text: str = "body") -> Dat
     return docs.select(words.alias("term")).where(F.length("term") >= 2).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
 
 
-def document_frequency(docs: DataFrame, text: str = "body") -> DataFrame:
-    """(term, df, idf), idf = ln((N + 1) / (df + 1)) + 1."""
-    terms = docs.select("path", F.explode(F.array_distinct(tfidf_tokens(F.col(text)))).alias("term"))
-    n = docs.agg(F.countDistinct("path").alias("n_docs"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value made once: inside a lambda it would be made anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def term_counts(docs: DataFrame, text: str = "body", tokenizer: str = "latin") -> DataFrame:
+    """(path, term, n, total): each row's terms with their number and that of all its terms, counted inside the row."""
+
+    def runs(one: Column) -> Column:
+        t = one["t"]
+        first = lambda k: (k == 0) | (F.get(t, k) != F.get(t, k - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), first)
+        counted = lambda at: F.transform(at, lambda s, k: F.struct(F.get(t, s).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - s).alias("n")))
+        return _let(starts, counted)
+
+    own = docs.select("path", F.sort_array(tfidf_tokens(F.col(text), tokenizer)).alias("t")).where(F.size("t") > 0)
+    return own.select("path", F.size("t").alias("total"), F.explode(_let(F.struct("t"), runs)).alias("r")).select("path", "r.term", F.col("r.n").cast("long").alias("n"), "total")
+
+
+def inverse_document_frequency(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, df, idf) of term_counts, idf = ln((N + 1) / (df + 1)) + 1 with N the rows of docs."""
+    n = docs.agg(F.count("*").alias("n_docs"))  # one row
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
     return df.join(F.broadcast(n)).select("term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def tfidf_weights(docs: DataFrame, idf: DataFrame | None = None, text: str = "body") -> DataFrame:
-    """(path, term, weight): exact sparse vectors of unit length; terms without an idf count as 1."""
-    idf = document_frequency(docs, text) if idf is None else idf
-    own = docs.select("path", tfidf_tokens(F.col(text)).alias("t")).select("path", F.size("t").alias("total"), F.explode("t").alias("term"))
-    tf = own.groupBy("path", "term").agg((F.count("*") / F.first("total")).alias("tf"))
-    weights = tf.join(idf.select("term", "idf"), "term", "left").select("path", "term", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norm = weights.groupBy("path").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norm, "path").select("path", "term", (F.col("w") / F.col("norm")).alias("weight"))
+def document_frequency(docs: DataFrame, text: str = "body", tokenizer: str = "latin") -> DataFrame:
+    """(term, df, idf), idf = ln((N + 1) / (df + 1)) + 1; a row without text counts in N only, each row is a document."""
+    return inverse_document_frequency(term_counts(docs, text, tokenizer), docs)
+
+
+#: Terms whose idf is broadcast; with more, weights are joined to them by a shuffle.
+BROADCAST_TERMS = 500_000
+
+
+def tfidf_weights(docs: DataFrame, idf: DataFrame | None = None, text: str = "body", tokenizer: str = "latin") -> DataFrame:
+    """(path, term, weight): exact sparse vectors of unit length; terms without an idf count as 1.
+
+    Texts are tokenised once; idf(term, idf) comes from them unless it is given.  A row is a document: paths
+    are expected not to repeat.  Null texts and texts without terms have no rows.
+    """
+    counts = stage(term_counts(docs, text, tokenizer), "terms")
+    known = stage(inverse_document_frequency(counts, docs).select("term", "idf"), "idf") if idf is None else idf.select("term", "idf")
+    known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
+    weighed = counts.join(known, "term", "left").select("path", "term", (F.col("n") / F.col("total") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+    rows = weighed.groupBy("path").agg(F.collect_list(F.struct("term", "w")).alias("t"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.select("path", "norm", F.inline("t")).select("path", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def hashed_vectors(weights: DataFrame, dim: int = 256) -> DataFrame:
-    """(path, vector array<float>): weights summed into dim buckets by a hash of the term, unit length."""
+    """(path, vector array<float>): weights summed into dim buckets by a hash of the term, unit length; only paths that have weights."""
     slots = weights.groupBy("path", F.pmod(F.xxhash64("term"), F.lit(dim)).cast("int").alias("slot")).agg(F.sum("weight").alias("w"))
     dense = slots.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     value = lambda k: F.when(F.col("norm") > 0, F.coalesce(F.element_at("m", k), F.lit(0.0)) / F.col("norm")).otherwise(0.0).cast("float")
@@ -95,13 +171,49 @@ def index_documents(entries: DataFrame, filename: str = "path") -> DataFrame:
 
 
 def rebuild_index(entries: DataFrame, lowercase: bool = False, tokenizer: str = "latin") -> tuple[DataFrame, DataFrame]:
-    """(postings(term, field, path, tf, positions), lengths(path, field, len)) over title, body and tags."""
+    """(postings(term, field, path, tf, positions), lengths(path, field, len)) over title, body and tags.
+
+    A field's positions are gathered inside its row, so nothing is shuffled.
+    """
     docs = index_documents(entries)
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), tokenizer, lowercase).alias("t")) for f in FIELDS]))
     each = docs.select("path", fields.alias("f")).select("path", "f.field", "f.t")
     lengths = each.select("path", "field", F.size("t").cast("long").alias("len"))
-    rows = each.select("path", "field", F.posexplode("t").alias("position", "term"))
-    return rows.groupBy("term", "field", "path").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")), lengths
+
+    def runs(one: Column) -> Column:
+        t = one["t"]
+        first = lambda k: (k == 0) | (F.get(t, k)["term"] != F.get(t, k - 1)["term"])
+        places = lambda s, e: F.transform(F.slice(t, s + 1, e - s), lambda x: x["at"])
+        held = lambda at: F.transform(at, lambda s, k: F.struct(F.get(t, s)["term"].alias("term"), places(s, F.coalesce(F.get(at, k + 1), F.size(t))).alias("positions")))
+        return _let(F.filter(F.sequence(F.lit(0), F.size(t) - 1), first), held)
+
+    placed = each.where(F.size("t") > 0).select("path", "field", F.sort_array(F.transform("t", lambda x, k: F.struct(x.alias("term"), k.alias("at")))).alias("t"))
+    rows = placed.select("path", "field", F.explode(_let(F.struct("t"), runs)).alias("r"))
+    return rows.select("r.term", "field", "path", F.size("r.positions").cast("long").alias("tf"), "r.positions"), lengths
+
+
+#: Folders of a saved index that terms are dealt to.
+INDEX_PARTS = 64
+
+
+def _index_part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_PARTS)).cast("int")
+
+
+def save_index(index: tuple[DataFrame, DataFrame], root: str) -> None:
+    """Writes an index below root: postings by part and sorted by term, so that a search reads little of them."""
+    postings, lengths = index
+    dealt = postings.withColumn("part", _index_part(F.col("term")))
+    # A part holds many terms; a frequent one is spread over several files of its part.
+    spread = F.pmod(F.xxhash64("path"), F.lit(4))
+    rows = dealt.repartition(F.col("part"), spread).sortWithinPartitions("part", "term", "path")
+    save(rows, f"{root}/postings", "part")
+    save(lengths, f"{root}/lengths")
+
+
+def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) as they were saved; a missing index raises."""
+    return load(spark, f"{root}/postings", required=("term", "field", "path", "tf", "positions")), load(spark, f"{root}/lengths", required=("path", "field", "len"))
 
 
 @dataclass(frozen=True)
@@ -148,6 +260,8 @@ def search_knowledge(entries: DataFrame, query: str, k: int = 10, index: tuple[D
     terms = sorted({t for c in clauses for t in c.terms if c.field != "domain"})
     if index:
         postings, lengths = index
+        if "part" in postings.columns:
+            postings = postings.where(F.col("part").isin([r["p"] for r in postings.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(_index_part(F.col("t")).alias("p")).distinct().collect()]))
         asked = postings.where(F.col("term").isin(terms)).select("path", "field", "term", "tf", "positions").join(lengths, ["path", "field"])
     else:
         asked, lengths = _looked_up(docs, terms, lowercase)
@@ -229,27 +343,43 @@ def snippet(content: Column, query: str, before: int = 100, after: int = 200) ->
 def search_keywords(pages: DataFrame, keywords: list[str], case_sensitive: bool = False, context: int = 50) -> DataFrame:
     """(path, page_number, keyword, position, matched, context): all non-overlapping matches, page by page.
 
-    Keywords are literal.  Positions are characters in the page's text, from 0.  Matching each page by
-    itself makes the page exact.
+    Keywords are literal; without case_sensitive letters of all scripts match in any case.  Positions are
+    characters in the page's text, from 0.  Matching each page by itself makes the page exact.  Empty and
+    null keywords and null texts match nothing; a keyword that repeats is found as often.
     """
     words = [w for w in keywords if w]
     if not words:
         return pages.select("path", "page_number", F.lit("").alias("keyword"), F.lit(0).alias("position"), F.lit("").alias("matched"), F.lit("").alias("context")).limit(0)
     text = F.col("text")
     each = pages.select("path", "page_number", "text", F.explode(F.array(*[F.lit(w) for w in words])).alias("keyword"))
-    pattern = F.concat(F.lit("" if case_sensitive else "(?i)"), F.regexp_replace("keyword", r"([\\^$.|?*+()\[\]{}-])", r"\\$1"))
+    pattern = F.concat(F.lit("" if case_sensitive else "(?iu)"), F.regexp_replace("keyword", r"([\\^$.|?*+()\[\]{}-])", r"\\$1"))
     each = each.withColumn("pattern", pattern).where(F.regexp_like("text", F.col("pattern")))
-    # The text between matches gives their places: prefix sums of what lies before.
-    each = each.withColumn("found", F.expr("regexp_extract_all(text, pattern, 0)")).withColumn("gaps", F.expr("split(text, pattern, -1)"))
-    place = F.transform(
-        "found",
-        lambda m, k: F.struct(
-            F.aggregate(F.slice("gaps", F.lit(1), k + 1), F.lit(0), lambda s, x: s + F.length(x)).alias("skipped"), (k * F.length("keyword")).alias("matched_before"), m.alias("matched")
-        ),
-    )
-    hit = each.select("path", "page_number", "text", "keyword", F.explode(place).alias("m")).withColumn("position", F.col("m.skipped") + F.col("m.matched_before"))
-    start = F.greatest(F.lit(0), F.col("position") - context)
-    return hit.select("path", "page_number", "keyword", "position", F.col("m.matched").alias("matched"), F.substring(text, start + 1, F.col("position") + F.length("keyword") + context - start).alias("context"))
+    add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    step = 256
+
+    def places(one: Column) -> Column:
+        """The text between matches gives their places: sums of what lies before, by blocks of `step` matches."""
+        n = F.size(one["found"])
+        longs = F.zip_with(F.slice(one["gaps"], F.lit(1), n), one["found"], lambda g, m: F.length(g) + F.length(m))
+        return _let(F.struct(longs.alias("n")), lambda l: _let(blocks(l["n"]), lambda b: F.transform(one["found"], lambda m, k: F.struct((before(l["n"], b, k) + F.length(F.get(one["gaps"], k))).alias("position"), m.alias("matched")))))  # noqa: E741
+
+    def blocks(n: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / step).cast("int")), lambda b: add(F.slice(n, b * step + 1, step)))
+        return _let(sums, lambda s: F.transform(s, lambda _, b: add(F.slice(s, F.lit(1), b))))
+
+    def before(n: Column, sums: Column, k: Column) -> Column:
+        b = F.floor(k / step).cast("int")
+        return F.get(sums, b) + add(F.slice(n, b * step + 1, k - b * step))
+
+    bound = F.struct(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("found"), F.split("text", F.col("pattern"), -1).alias("gaps"))
+    hit = each.select("path", "page_number", "text", "keyword", F.explode(_let(bound, places)).alias("m"))
+    start = F.greatest(F.lit(0), F.col("m.position") - context)
+    return hit.select("path", "page_number", "keyword", F.col("m.position").alias("position"), F.col("m.matched").alias("matched"), F.substring(text, start + 1, F.col("m.position") + F.length("m.matched") + context - start).alias("context"))
+
+
+def search_keywords_client(texts: DataFrame, keywords: list[str], case_sensitive: bool = False, context: int = 50) -> DataFrame:
+    """(path, keyword, position, matched, context) over whole texts(path, text) without pages."""
+    return search_keywords(texts.select("path", F.lit(0).alias("page_number"), "text"), keywords, case_sensitive, context).drop("page_number")
 
 
 def keyword_totals(matches: DataFrame) -> DataFrame:
@@ -258,10 +388,18 @@ def keyword_totals(matches: DataFrame) -> DataFrame:
 
 
 def find_page(pages: DataFrame, positions: DataFrame) -> DataFrame:
-    """(path, position, page_number): the page in whose running text, page by page, a position lies."""
-    bounds = page_boundaries(pages)
-    each = positions.join(bounds, "path").where("start <= position")
-    return each.groupBy("path", "position").agg(F.max_by("page_number", F.struct("start", "page_number")).alias("page_number"))
+    """(path, position, page_number): the page in whose running text, page by page, a position lies.
+
+    Each position comes once; of pages that begin at one place the last counts; positions before the first page
+    or of an unknown path are left out.
+    """
+    bounds = page_boundaries(pages).select("path", F.col("start").alias("at"), F.lit(0).alias("asks"), "page_number")
+    asked = positions.select("path", "position").distinct()
+    both = bounds.withColumn("position", F.lit(None).cast(asked.schema["position"].dataType)).unionByName(asked.select("path", F.col("position").cast("long").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("int").alias("page_number"), "position"))
+    # As-of: one sort of a path's pages and positions, and the last page so far.
+    so_far = Window.partitionBy("path").orderBy("at", "asks", "page_number").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("page_number", F.last("page_number", ignorenulls=True).over(so_far))
+    return found.where("asks = 1 and page_number is not null").select("path", "position", "page_number")
 
 
 def page_boundaries(pages: DataFrame) -> DataFrame:

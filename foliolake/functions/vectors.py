@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import remove, upsert
+from ..sources.tables import release, remove, stage, upsert
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,16 +25,34 @@ def vector_search(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFram
     return vectors.join(F.broadcast(one)).select("path", cosine(F.col("vector"), F.col("q")).alias("score")).orderBy(F.desc("score"), "path").limit(max(k, 0))
 
 
+#: Queries that go over the vectors together: bounds what is broadcast at once.
+BLOCK = 1024
+
+
 def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, path, score, rank) for a bounded set of queries(query_id, q)."""
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "path", cosine(F.col("vector"), F.col("q")).alias("score"))
+    """(query_id, path, score, rank) for queries(query_id, q), by cosine; ties by path.
+
+    Queries are dealt to blocks of about BLOCK; each block is broadcast, goes over all vectors and leaves k rows
+    a query.  A null q scores 0 with everything; query ids are expected not to repeat; k below 1 gives none.
+    """
+    asked = stage(queries.select("query_id", "q"), "queries")
+    blocks = max(1, -(-asked.count() // BLOCK))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        scored = vectors.join(F.broadcast(block)).select("query_id", "path", cosine(F.col("vector"), F.col("q")).alias("score"))
+        best = stage(scored.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        out = best if out is None else out.unionByName(best)
+    release(asked)
+    return out
 
 
 def vector_upsert(vectors: DataFrame, rows: DataFrame) -> DataFrame:
+    """vectors with rows put in by path; of rows that repeat a path one stays, a null path is added as it is."""
     return upsert(vectors, rows, "path")
 
 
 def vector_remove(vectors: DataFrame, paths: DataFrame) -> DataFrame:
+    """vectors without those paths; null and unknown paths take nothing out."""
     return remove(vectors, paths, "path")

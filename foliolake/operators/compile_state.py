@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import insert_missing, remove, stage, upsert
+from ..sources.tables import insert_missing, read_text, remove, stage, upsert, write_text
 
 
 def needs_compile(sources: DataFrame, state: DataFrame) -> DataFrame:
@@ -21,9 +22,15 @@ def needs_compile(sources: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def get_pending_sources(sources: DataFrame, state: DataFrame) -> DataFrame:
+    """(path) of what needs_compile holds for; null contents count as changed, paths that repeat come as often."""
     return needs_compile(sources, state).where("needs_compile").select("path")
 
 
+def get_compilation_state(state: DataFrame, path: str) -> DataFrame:
+    """The state's rows of one path: one, or none if it was never compiled."""
+    return state.where(F.col("path") == path)
+
+
 def incremental_plan(sources: DataFrame, state: DataFrame) -> DataFrame:
     """(path, action): compile or skip."""
     return needs_compile(sources, state).select("path", F.when(F.col("needs_compile"), "compile").otherwise("skip").alias("action"))
@@ -41,14 +48,17 @@ def stale_by_instruction(state: DataFrame, instruction_hash: str) -> DataFrame:
 
 
 def record_compile(state: DataFrame, records: DataFrame) -> DataFrame:
+    """state with records put in by path; of records that repeat a path the last by its columns stays."""
     return upsert(state, records, "path")
 
 
 def forget(state: DataFrame, paths: DataFrame) -> DataFrame:
+    """state without those paths; null and unknown ones take nothing out."""
     return remove(state, paths, "path")
 
 
 def leaf_sort(leaves: DataFrame) -> DataFrame:
+    """(path, source_hash) by path, nulls first; paths are expected not to repeat, else their order is open."""
     return leaves.select("path", "source_hash").orderBy("path")
 
 
@@ -84,6 +94,7 @@ def merkle_root(leaves: DataFrame, fan: int = 4096) -> DataFrame:
 
 
 def has_changes(leaves: DataFrame, saved_root: str | None) -> DataFrame:
+    """One row: whether the Merkle root is another than the saved one; no leaves have no root, equal to no saved one."""
     return merkle_root(leaves).select((~F.col("root").eqNullSafe(F.lit(saved_root))).alias("has_changes"))
 
 
@@ -120,7 +131,32 @@ def sql_upsert(schemas: DataFrame, defaults: DataFrame, now: Column) -> DataFram
     return insert_missing(schemas, defaults.withColumn("updated_at", now), "name")
 
 
-def compile_status(record: dict | None, spark) -> DataFrame:
-    """The last run's status, or the record of never having run."""
-    r = record or {}
-    return spark.createDataFrame([(r.get("status", "never_run"), r.get("scanned", 0), r.get("compiled", 0), r.get("skipped", 0), r.get("finished_at"))], "status string, scanned long, compiled long, skipped long, finished_at string")
+def set_meta(meta: DataFrame, key: str, value: bytes) -> DataFrame:
+    """meta(key, value binary) with the key's value replaced or added."""
+    return upsert(meta, meta.sparkSession.createDataFrame([(key, bytearray(value))], "key string, value binary"), "key")
+
+
+def get_meta(meta: DataFrame, key: str) -> bytes | None:
+    """The key's value; None if there is none."""
+    row = meta.where(F.col("key") == key).select("value").first()
+    return bytes(row["value"]) if row else None
+
+
+_STATUS = "running boolean, last_started string, last_finished string, last_duration_ms long, last_outcome string, entries_compiled long, entries_skipped long, message string"
+#: Where a knowledge base keeps the status of its last compilation.
+STATUS_FILE = "_index/compile_status.json"
+
+
+def write_compile_status(spark: SparkSession, root: str, compiled: int, skipped: int, finished: str, duration_ms: int = 0) -> None:
+    """Replaces the status of the last compilation below root."""
+    # The outcome and the message.
+    record = {"running": False, "last_finished": finished, "last_outcome": "success", "last_duration_ms": duration_ms, "entries_compiled": compiled, "entries_skipped": skipped, "message": f"Incremental compile: {compiled} compiled, {skipped} skipped"}
+    write_text(spark, f"{root}/{STATUS_FILE}", json.dumps(record))
+
+
+def get_compile_status(spark: SparkSession, root: str) -> DataFrame:
+    """One row: the status below root; before any compilation all is null but running (false) and the message."""
+    text = read_text(spark, f"{root}/{STATUS_FILE}")
+    record = json.loads(text) if text else {"running": False, "message": "No compile has been performed yet."}
+    fields = [f.split()[0] for f in _STATUS.split(", ")]
+    return spark.createDataFrame([tuple(record.get(f) for f in fields)], _STATUS)

@@ -41,9 +41,23 @@ def broken_links(entries: DataFrame, exact: bool = False) -> DataFrame:
     return references(entries, exact).select(F.col("dst").alias("path")).distinct().join(nodes, "path", "left_anti")
 
 
-def tag_pairs(entries: DataFrame, threshold: float = 0.3) -> DataFrame:
+def shared_tags(a: Column, b: Column) -> Column:
+    """How many different tags two sets share; null counts as empty."""
+    none = F.array().cast("array<string>")
+    return F.size(F.array_intersect(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def all_tags(a: Column, b: Column) -> Column:
+    """How many different tags two sets have together; null counts as empty."""
+    none = F.array().cast("array<string>")
+    return F.size(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+
+
+def tag_pairs(entries: DataFrame, threshold: float = 0.3, of: DataFrame | None = None) -> DataFrame:
     """(a, b, jaccard), a < b, of entries whose tag sets are at least `threshold` alike.
 
+    With `of`, some of the entries, a is one of them and b any other one, in either order: only their pairs
+    are made.
     One shared tag is enough only if the sets hold at most 1 + 1 / threshold tags together; such small sets
     meet on single tags.  All others share two tags or more and meet on pairs of tags, so a very common tag
     alone brings nothing together.  Each pair is made once: at its least shared key.
@@ -51,16 +65,18 @@ def tag_pairs(entries: DataFrame, threshold: float = 0.3) -> DataFrame:
     sets = entries.select("path", F.array_sort(F.array_distinct("tags")).alias("tags")).withColumn("n", F.size("tags")).where("n > 0")
     # Paths and tags only, spread out first: the pairs are many more than the rows they come from.
     sets = sets.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    some = sets if of is None else sets.join(of.select("path").distinct(), "path", "left_semi")
     most = math.floor(1 / threshold + 1 + 1e-9)
-    keys = lambda df: df.select("path", "tags", "n", F.explode("tags").alias("key"))
-    one = _meet(keys(sets.where(F.col("n") < most)), F.col("a.n") + F.col("b.n") <= most, 1)
-    two = F.flatten(F.transform("tags", lambda x, k: F.transform(F.slice("tags", k + 2, F.col("n")), lambda y: F.concat_ws("\x01", x, y))))
-    more = _meet(sets.where("n > 1").select("path", "tags", "n", F.explode(two).alias("key")), F.lit(True), 2)
-    return one.unionByName(more).where(F.col("jaccard") >= threshold)
+    one = lambda df: df.where(F.col("n") < most).select("path", "tags", "n", F.explode("tags").alias("key"))
+    twos = F.flatten(F.transform("tags", lambda x, k: F.transform(F.slice("tags", k + 2, F.col("n")), lambda y: F.concat_ws("\x01", x, y))))
+    two = lambda df: df.where("n > 1").select("path", "tags", "n", F.explode(twos).alias("key"))
+    order = F.col("a.path") < F.col("b.path") if of is None else F.col("a.path") != F.col("b.path")
+    small = _meet(one(some), one(sets), order & (F.col("a.n") + F.col("b.n") <= most), 1)
+    return small.unionByName(_meet(two(some), two(sets), order, 2)).where(F.col("jaccard") >= threshold)
 
 
-def _meet(keyed: DataFrame, fits: Column, size: int) -> DataFrame:
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.path") < F.col("b.path")) & fits)
+def _meet(left: DataFrame, right: DataFrame, fits: Column, size: int) -> DataFrame:
+    pairs = left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & fits)
     shared = F.array_sort(F.array_intersect("a.tags", "b.tags"))
     pairs = pairs.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), F.col("a.key").alias("key"), shared.alias("shared"), (F.col("a.n") + F.col("b.n")).alias("n"))
     first = F.array_join(F.slice("shared", 1, size), "\x01")
@@ -127,9 +143,32 @@ def neighbours(edges: DataFrame, start: str, hops: int = 2, both: bool = False)
     return seen
 
 
-def get_entry_context(entries: DataFrame, edges: DataFrame, path: str, hops: int = 2) -> DataFrame:
-    """(path, title, domain, hop, edge_kind) of the entries around `path`, itself left out."""
-    found = neighbours(edges, path, hops).where("hop > 0")
+def edges_from(entries: DataFrame, some: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The edges of the graph that leave the entries named in some(path): the graph itself is not built."""
+    keyed = entries.withColumn("path", node_path(F.col("path")))
+    here = keyed.join(some.select("path").distinct(), "path", "left_semi")
+    tags = tag_pairs(keyed, threshold, here).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("tag_cooccurrence").alias("kind"))
+    return resolve_links(here, nodes=keyed).unionByName(tags)
+
+
+def neighbours_of(entries: DataFrame, start: str, hops: int = 2) -> DataFrame:
+    """neighbours over the entries' own graph, of which only the edges of what has been reached are made."""
+    seen = frontier = entries.sparkSession.createDataFrame([(start, 0, None)], "path string, hop int, edge_kind string")
+    for hop in range(1, hops + 1):
+        reached = edges_from(entries, frontier).groupBy(F.col("dst").alias("path")).agg(F.min("kind").alias("edge_kind"))
+        frontier = stage(reached.join(seen.select("path"), "path", "left_anti").select("path", F.lit(hop).alias("hop"), "edge_kind"), "frontier")
+        seen = seen.unionByName(frontier)
+        if hop < hops and frontier.isEmpty():
+            break
+    return seen
+
+
+def get_entry_context(entries: DataFrame, path: str, hops: int = 2, edges: DataFrame | None = None) -> DataFrame:
+    """(path, title, domain, hop, edge_kind) of the entries around `path`, itself left out.
+
+    Without edges only those of the entries that are reached are made.  An unknown path has nothing around it.
+    """
+    found = (neighbours_of(entries, path, hops) if edges is None else neighbours(edges, path, hops)).where("hop > 0")
     return found.join(entries.select("path", "title", "domain"), "path").select("path", "title", "domain", "hop", "edge_kind")
 
 
@@ -141,7 +180,10 @@ def concept_edges(edges: DataFrame, path: str, depth: int = 2) -> DataFrame:
 
 
 def export_concept_map(entries: DataFrame, edges: DataFrame, path: str, depth: int = 2) -> DataFrame:
-    """(line_no, line): a Mermaid drawing; nodes are numbered in the order of their paths."""
+    """(line_no, line): a Mermaid drawing; nodes are numbered in the order of their paths.
+
+    Numbering sorts the neighbourhood, which `depth` bounds, not the graph.
+    """
     near = neighbours(edges, path, depth, both=True).select("path")
     order = Window.orderBy("path")
     nodes = stage(near.join(entries.select("path", "title"), "path", "left").withColumn("id", F.row_number().over(order) - 1), "nodes")
@@ -155,33 +197,39 @@ def export_concept_map(entries: DataFrame, edges: DataFrame, path: str, depth: i
     return lines.select((F.row_number().over(Window.orderBy("part", "k")) - 1).alias("line_no"), "line")
 
 
+def _half(path: Column, number: int) -> Column:
+    """Which nodes move in the first half of a round: another half of them in each."""
+    return F.substring(F.md5(F.concat(path, F.lit(f":{number}"))), 1, 1) < "8"
+
+
 def detect_communities(edges: DataFrame, iterations: int = 50, compat: str = "most_frequent") -> DataFrame:
     """(path, label): label propagation over edges in both directions, parallel edges counted.
 
-    Each round every node takes the label most frequent among its neighbours and itself, ties to the least
-    label; rounds are synchronous and stop when no label changes, when the labels of two rounds before come
-    back, or after `iterations`.  A node's own label votes once, which keeps two linked nodes from exchanging
-    labels for ever.  compat="least_frequent" takes
-    the rarest label instead.  Labels are paths.
+    A node takes the label most frequent among its neighbours, ties to the least label.  In each round one half
+    of the nodes moves, then the other, as a hash of path and round deals them, so that two linked nodes do not
+    exchange labels for ever.  It stops when no label changes in a round, or after `iterations` rounds.
+    compat="least_frequent" takes the rarest label instead.  Labels are paths; loops and null ends are no edges.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
     weighed = stage(both.groupBy("src", "dst").agg(F.count("*").alias("w")), "weighed")
-    labels = stage(weighed.select(F.col("src").alias("path")).distinct().withColumn("label", F.col("path")), "labels")
-    older = None
-    for _ in range(iterations):
-        votes = weighed.join(labels.withColumnRenamed("path", "dst"), "dst").select(F.col("src").alias("path"), "label", "w").unionByName(labels.withColumn("w", F.lit(1).cast("long")))
-        counted = votes.groupBy("path", "label").agg(F.sum("w").alias("votes"))
-        top = counted.groupBy("path").agg((F.max("votes") if compat == "most_frequent" else F.min("votes")).alias("top"))
-        chosen = counted.join(top, "path").where("votes = top").groupBy("path").agg(F.min("label").alias("label"))
-        new = stage(chosen, "labels")
-        differs = lambda old: new.join(old.withColumnRenamed("label", "old"), "path").where("label <> old").limit(1).count()
-        done = not differs(labels) or older is not None and not differs(older)
-        if older is not None:
-            release(older)
-        older, labels = labels, new
-        if done:
+    labels = stage(weighed.select(F.col("src").alias("path")).distinct().select("path", F.col("path").alias("label"), F.lit(False).alias("moved")), "labels")
+    rank = -F.col("votes") if compat == "most_frequent" else F.col("votes")
+    for k in range(iterations):
+        moved = 0
+        for turn in (True, False):
+            now = _half(F.col("src"), k)
+            votes = weighed.where(now if turn else ~now).join(labels.select(F.col("path").alias("dst"), "label"), "dst")
+            counted = votes.groupBy(F.col("src").alias("path"), "label").agg(F.sum("w").alias("votes"))
+            best = counted.groupBy("path").agg(F.min_by("label", F.struct(rank, "label")).alias("new"))
+            new = labels.join(best, "path", "left").select("path", F.coalesce("new", "label").alias("label"), (F.col("new").isNotNull() & (F.col("new") != F.col("label"))).alias("moved"))
+            new = stage(new, "labels")
+            moved += new.where("moved").count()
+            release(labels)
+            labels = new
+        if not moved:
             break
-    return labels
+    release(weighed)
+    return labels.select("path", "label")
 
 
 def communities(labels: DataFrame) -> DataFrame:
@@ -214,6 +262,11 @@ def detect_communities_exact(edges: DataFrame, iterations: int = 50, compat: str
     return edges.sparkSession.createDataFrame(sorted(label.items()) or [], "path string, label string")
 
 
+def level_members(entries: DataFrame, paths: DataFrame, level: str = "l1") -> DataFrame:
+    """The entries of a level, in any case, that are named in paths(path); repeats and unknown paths do not matter."""
+    return entries.where(F.lower("level") == level.lower()).join(paths.select("path"), "path", "left_semi")
+
+
 def majority_domain(members: DataFrame) -> DataFrame:
     """(label, domain, n): the domain most of a label's members have; ties go by name."""
     counts = members.groupBy("label", "domain").agg(F.count("*").alias("n"))
@@ -223,7 +276,7 @@ def majority_domain(members: DataFrame) -> DataFrame:
 def aggregate_entries(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, title, domain, size): communities with two level-1 members or more, named after their main domain."""
     shared = labels.join(labels.groupBy("label").agg(F.count("*").alias("size")).where("size >= 2").select("label"), "label", "left_semi")
-    level1 = shared.join(entries.where(F.lower("level") == "l1").select("path", "domain"), "path")
+    level1 = shared.join(level_members(entries, shared).select("path", "domain"), "path")
     sizes = level1.groupBy("label").agg(F.count("*").alias("size")).where("size >= 2")
     return sizes.join(majority_domain(level1).drop("n"), "label").select("label", F.concat("domain", F.lit(" 领域综合")).alias("title"), "domain", "size")
 

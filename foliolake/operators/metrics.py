@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import stage
 
-BUCKETS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0)
+# Bounds of the duration histogram in seconds, as they are written, and the families' names and helps.
+BUCKETS = ("0.1", "0.5", "1", "2", "5", "10", "20", "30")
+DEGRADATIONS = ("vlm_degradations_total", "Total number of VLM degradations", "counter")
+DURATION = ("vlm_request_duration_seconds", "VLM request duration in seconds", "histogram")
+REQUESTS = ("vlm_requests_total", "Total number of VLM requests", "counter")
 
 
 def tool_metrics(calls: DataFrame, errors_add_latency: bool = True) -> DataFrame:
@@ -23,6 +27,7 @@ def tool_metrics(calls: DataFrame, errors_add_latency: bool = True) -> DataFrame
 
 
 def tool_totals(calls: DataFrame) -> DataFrame:
+    """One row over all tools; without calls the rate is 100 and the mean 0.  A null success counts as neither."""
     n = F.count("*")
     return calls.agg(n.alias("calls"), F.count_if(~F.col("success")).alias("errors"), F.when(n > 0, F.floor(F.sum("latency_ms") / n)).otherwise(0).cast("long").alias("avg_latency_ms"), F.when(n > 0, 100.0 * F.count_if("success") / n).otherwise(100.0).alias("success_rate"))
 
@@ -99,18 +104,42 @@ def vlm_requests(requests: DataFrame) -> DataFrame:
     return requests.groupBy("provider", "status").agg(F.count("*").alias("n"))
 
 
-def vlm_histogram(requests: DataFrame) -> DataFrame:
-    """(le, n): cumulative counts of seconds under each bound, and of all."""
-    counts = requests.agg(*[F.count_if(F.col("seconds") <= b).alias(str(k)) for k, b in enumerate(BUCKETS)], F.count("*").alias("all"))
-    rows = F.explode(F.array(*[F.struct(F.lit(str(b)).alias("le"), F.col(str(k)).alias("n")) for k, b in enumerate(BUCKETS)], F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("n"))))
-    return counts.select(rows.alias("r")).select("r.le", "r.n")
+def vlm_degradations(degradations: DataFrame) -> DataFrame:
+    """(reason, n) of degradations(reason); a null reason is written as no text."""
+    return degradations.groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
 
+def vlm_durations(requests: DataFrame) -> DataFrame:
+    """One row: the histogram's cumulative counts b0, b1, ..., its count and sum.  Only successful requests are observed."""
+    seen = requests.where("status = 'success' and seconds is not null")
+    counts = [F.count_if(F.col("seconds") <= float(b)).alias(f"b{k}") for k, b in enumerate(BUCKETS)]
+    return seen.agg(*counts, F.count("*").alias("count"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("sum"))
 
-def exposition(requests: DataFrame) -> DataFrame:
-    """(line): the counters and the histogram as text."""
-    a = vlm_requests(requests).select(F.format_string('vlm_requests_total{provider="%s",status="%s"} %d', "provider", "status", "n").alias("line"))
-    b = vlm_histogram(requests).select(F.format_string('vlm_request_seconds_bucket{le="%s"} %d', "le", "n").alias("line"))
-    return a.unionByName(b)
+
+def vlm_histogram(requests: DataFrame) -> DataFrame:
+    """(le, n): cumulative counts of successful requests up to each bound, and of all."""
+    rows = [F.struct(F.lit(b).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(BUCKETS)]
+    return vlm_durations(requests).select(F.inline(F.array(*rows, F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("n")))))
+
+
+def exposition(requests: DataFrame, degradations: DataFrame) -> DataFrame:
+    """(line_no, line): the three families as text, by name, each with its help and type; families without samples are left out."""
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\"), "\n", r"\\n"), '"', r'\\"')
+    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    one = lambda family, k, key, line: (F.lit(family).alias("family"), F.lit(k).alias("k"), key.alias("key"), line.alias("line"))
+    label = F.concat(F.lit(f'{DEGRADATIONS[0]}{{reason="'), escaped(F.col("reason")), F.lit('"} '), F.col("n").cast("string"))
+    rows = vlm_degradations(degradations).select(*one(DEGRADATIONS[0], 2, F.col("reason"), label))
+    held = vlm_durations(requests).where("count > 0")
+    bounds = [F.struct(F.lit(f"{k:02d}").alias("key"), F.concat(F.lit(f'{DURATION[0]}_bucket{{le="{b}"}} '), F.col(c).cast("string")).alias("line")) for k, (b, c) in enumerate([*((b, f"b{k}") for k, b in enumerate(BUCKETS)), ("+Inf", "count")])]
+    ends = [F.struct(F.lit(f"{90 + k}").alias("key"), F.concat(F.lit(f"{DURATION[0]}_{c} "), number(F.col(c))).alias("line")) for k, c in enumerate(("sum", "count"))]
+    rows = rows.unionByName(held.select(F.inline(F.array(*bounds, *ends))).select(*one(DURATION[0], 2, F.col("key"), F.col("line"))))
+    label = F.concat(F.lit(f'{REQUESTS[0]}{{provider="'), escaped(F.col("provider")), F.lit('",status="'), escaped(F.col("status")), F.lit('"} '), F.col("n").cast("string"))
+    rows = rows.unionByName(vlm_requests(requests).select(*one(REQUESTS[0], 2, F.concat_ws("\x01", "provider", "status"), label)))
+    heads = [(n, k, "", t) for n, h, t in (DEGRADATIONS, DURATION, REQUESTS) for k, t in enumerate((f"# HELP {n} {h}", f"# TYPE {n} {t}"))]
+    heads = requests.sparkSession.createDataFrame(heads, "family string, k int, key string, line string")
+    rows = rows.unionByName(heads.join(rows.select("family").distinct(), "family", "left_semi"))
+    # One row for each provider, status, reason and bound: few, whatever the number of requests.
+    return rows.select((F.row_number().over(Window.orderBy("family", "k", "key")) - 1).alias("line_no"), "line")
 
 
 def priority_sort(tasks: DataFrame) -> DataFrame:

@@ -10,22 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from .graph import broken_links, references, resolve_links
 
-MISSING = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+#: Parts that one side of a tag's pairs is dealt to.
+SALTS = 8
+MISSING = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
 
 
 def has_minimal_quality() -> Column:
-    """Title, domain and tags are all there."""
+    """Title, domain and tags are all there; a title of blanks is one."""
     return ~MISSING("title") & ~MISSING("domain") & (F.coalesce(F.size("tags"), F.lit(0)) > 0)
 
 
 def check_quality(entries: DataFrame) -> DataFrame:
-    """(path, severity, message): one row for each rule an entry breaks, in one scan."""
+    """(path, severity, message): one row for each rule an entry breaks, in one scan; null is empty, and no score is 0."""
     issue = lambda when, severity, message: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message")))
     rules = F.array(
-        issue(MISSING("title"), "error", "missing title"),
-        issue(MISSING("domain"), "error", "missing domain"),
-        issue(F.coalesce(F.size("tags"), F.lit(0)) <= 0, "warning", "no tags"),
-        issue(F.coalesce(F.col("quality_score"), F.lit(0.0)) == 0, "info", "quality score is zero"),
+        issue(MISSING("title"), "error", "Missing title"),
+        issue(MISSING("domain"), "error", "Missing domain"),
+        issue(F.coalesce(F.size("tags"), F.lit(0)) <= 0, "warning", "No tags assigned"),
+        issue(F.coalesce(F.col("quality_score"), F.lit(0.0)) == 0, "info", "Quality score is 0 (not yet assessed)"),
     )
     return entries.select("path", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("i")).select("path", "i.severity", "i.message")
 
@@ -76,22 +78,28 @@ def drift_pairs(entries: DataFrame, vectors: DataFrame, most_similar: float = 0.
 
     Created at least `days` whole days apart, cosine under most_similar; each pair once, under its least
     shared tag, least similar first.  The date condition is part of the join on tags; the least tag is found
-    from the two tag arrays, so pairs need no second pass to be made distinct.
+    from the two tag arrays, so pairs need no second pass to be made distinct.  Vectors join what remains.
+    Entries without a vector, a time or a tag are in no pair.  The pairs of a tag that most entries share grow
+    with their square: that is the result, and no task holds a whole tag.
     """
-    spread = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    normed = vectors.select("path", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))
-    tagged = entries.select("path", "created", F.array_sort(F.array_distinct("tags")).alias("tags")).join(normed, "path").repartition(spread, "path")
-    keyed = tagged.select("path", "created", "tags", "vector", "norm", F.explode("tags").alias("tag"))
-    apart = F.abs(F.unix_timestamp(F.col("a.created").cast("timestamp")) - F.unix_timestamp(F.col("b.created").cast("timestamp")))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.tag") == F.col("b.tag")) & (F.col("a.path") < F.col("b.path")) & (apart >= days * 86400))
+    days_of = entries.select("path", F.unix_timestamp(F.col("created").cast("timestamp")).alias("at"), F.array_sort(F.array_distinct("tags")).alias("tags")).where("at is not null")
+    # Only paths, times and tags meet; a hot tag is dealt to SALTS parts of one side, which the other side joins all.
+    keyed = days_of.select("path", "at", "tags", F.explode("tags").alias("tag"))
+    a = keyed.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    b = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    apart = F.abs(F.col("a.at") - F.col("b.at"))
+    pairs = a.alias("a").join(b.alias("b"), (F.col("a.tag") == F.col("b.tag")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.path") < F.col("b.path")) & (apart >= days * 86400))
     pairs = pairs.where(F.col("a.tag") == F.array_min(F.array_intersect("a.tags", "b.tags")))
-    out = pairs.select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), F.col("a.tag").alias("shared_tag"), F.floor(apart / 86400).alias("days_apart"), _cosine("a", "b").alias("similarity"))
-    return out.where(F.col("similarity") < most_similar)
+    named = pairs.select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), F.col("a.tag").alias("shared_tag"), F.floor(apart / 86400).alias("days_apart"))
+    normed = vectors.select("path", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))
+    side = lambda x: normed.select(F.col("path").alias(f"path_{x}"), F.col("vector").alias(f"vector_{x}"), F.col("norm").alias(f"norm_{x}"))
+    out = named.join(side("a"), "path_a").join(side("b"), "path_b").select("path_a", "path_b", "shared_tag", "days_apart", _cosine("a", "b").alias("similarity"))
+    return out.where(F.col("similarity") < most_similar).orderBy("similarity", "path_a", "path_b")
 
 
 def _cosine(a: str, b: str) -> Column:
-    """The cosine of two rows that carry vector and norm; 0 for unequal lengths and zero norms."""
-    x, y, norm = F.col(f"{a}.vector"), F.col(f"{b}.vector"), F.col(f"{a}.norm") * F.col(f"{b}.norm")
+    """The cosine of two vectors beside their norms; 0 for unequal lengths and zero norms."""
+    x, y, norm = F.col(f"vector_{a}"), F.col(f"vector_{b}"), F.col(f"norm_{a}") * F.col(f"norm_{b}")
     value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(x, y) / norm))
     return F.when((F.size(x) == F.size(y)) & (norm > 0), value).otherwise(0.0)
 
@@ -110,15 +118,19 @@ def get_health_report(entries: DataFrame, edges: DataFrame, issues: DataFrame, o
     )
 
 
-def quality_report_markdown(entries: DataFrame, issues: DataFrame, most: int = 100) -> str:
-    """The report as text: totals, and the first `most` issues by severity and path."""
+def quality_report_lines(entries: DataFrame, issues: DataFrame) -> DataFrame:
+    """(severity_rank, path, message, line): a line of the report for every issue, errors first, then by path and message."""
+    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return issues.select(rank.alias("severity_rank"), "path", "message", F.format_string("- [%s] %s: %s", "severity", "path", "message").alias("line")).orderBy("severity_rank", "path", "message")
+
+
+def quality_report_markdown(entries: DataFrame, issues: DataFrame) -> str:
+    """The report as one text: totals, and every issue by severity and path; for more than a text may hold see quality_report_lines."""
     t = quality_totals(entries).first()
     counts = {r["severity"]: r["n"] for r in issues.groupBy("severity").agg(F.count("*").alias("n")).collect()}
     lines = ["# Quality report", "", f"- entries: {t['total_entries']}", f"- domains: {t['domains']}", f"- average score: {t['average_score']:.2f}", ""]
     lines += [f"- {s}: {counts.get(s, 0)}" for s in ("error", "warning", "info")] + [""]
-    rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    for r in issues.orderBy(rank, "path", "message").limit(most).collect():
-        lines.append(f"- [{r['severity']}] {r['path']}: {r['message']}")
+    lines += [r["line"] for r in quality_report_lines(entries, issues).toLocalIterator()]
     return "\n".join(lines) + "\n"
 
 
@@ -129,6 +141,15 @@ def quality_bands(entries: DataFrame) -> DataFrame:
     return entries.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
+def by_category_and_status(entries: DataFrame, categories: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
+    """Entries of some categories and states, written in any case; None asks for all, an empty list for none; null is in no list."""
+    kept = entries
+    for column, values in (("category", categories), ("status", statuses)):
+        if values is not None:
+            kept = kept.where(F.lower(column).isin([v.lower() for v in values]) if values else F.lit(False))
+    return kept
+
+
 def link_totals(entries: DataFrame) -> DataFrame:
     """(kind, links): resolved mentions by kind."""
     return resolve_links(entries).groupBy("kind").agg(F.count("*").alias("links"))

@@ -12,11 +12,13 @@ from ..functions import layout as fl
 from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import compile_state as cs
+from ..operators import embedding as em
 from ..operators import graph as g
 from ..operators import metrics as m
 from ..operators import quality as q
 from ..sources import files as sf
 from ..sources import tables as st
+from ..sources import wiki as sw
 from ..streaming import streams as ss
 from . import fixtures as fx
 from .fixtures import CALLS, ENTRIES, FILES, PAGES, STATE, TAG_PAIRS, TASKS
@@ -35,23 +37,41 @@ def query(sql: str | None = None):
     return register
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, for queries of operators that read or write files."""
+    return f"{st.shared_dir(spark)}/foliolake/files-{uuid.uuid4().hex}"
+
+
+def _raw_files(spark: SparkSession, d: str) -> str:
+    """The synthetic files, written as files; returns their folder."""
+    root = _folder(spark)
+    sw.write_files(fx.files(spark, d).select(F.substring_index("path", "/", -1).alias("path"), "content"), root)
+    return root
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """Entries as Markdown."""
+    e = fx.entries(spark, d)
+    return e.select("path", ff.to_markdown(e.columns).alias("content"))
+
+
 # ---- scans and front matter -----------------------------------------------------------------------
 
-@query(ENTRIES + "SELECT path, title, domain, len(tags)::INTEGER AS n_tags, level, status, version, created, length(body)::INTEGER AS body_chars FROM e WHERE doc_id < 10000000")
+@query(ENTRIES + "SELECT path, title, domain, len(tags)::INTEGER AS n_tags, level, status, version, created, length(body)::INTEGER AS body_chars FROM e")
 def scan_entries(spark: SparkSession, d: str) -> DataFrame:
-    written = fx.entries(spark, d).select("path", ff.to_markdown().alias("content"))
+    written = _written(spark, d)
     return sf.scan_entries(written).select("path", "title", "domain", F.size("tags").alias("n_tags"), "level", "status", "version", "created", F.length("body").alias("body_chars"))
 
 
 @query(ENTRIES + "SELECT path, title, domain, array_to_string(tags, ' ') AS tags, level, quality_score FROM e")
 def parse_front_matter(spark, d):
-    written = fx.entries(spark, d).select("path", ff.to_markdown().alias("content"))
+    written = _written(spark, d)
     return written.select("path", ff.parse_front_matter(F.col("content")).alias("x")).select("path", "x.title", "x.domain", F.array_join("x.tags", " ").alias("tags"), "x.level", F.col("x.quality_score").cast("double").alias("quality_score"))
 
 
 @query(ENTRIES + "SELECT path, sha256(body) AS body_hash FROM e")
 def entry_body(spark, d):
-    written = fx.entries(spark, d).select("path", ff.to_markdown().alias("content"))
+    written = _written(spark, d)
     return written.select("path", F.sha2(ff.entry_body(F.col("content")), 256).alias("body_hash"))
 
 
@@ -60,7 +80,7 @@ def entry_filename(spark, d):
     return fx.entries(spark, d, False).select("path", q.entry_filename().alias("filename"), q.entry_relative_path().alias("relative_path"))
 
 
-@query(ENTRIES + "SELECT path, trim(title) <> '' AND trim(domain) <> '' AND len(tags) > 0 AS ok FROM e")
+@query(ENTRIES + "SELECT path, title <> '' AND domain <> '' AND len(tags) > 0 AS ok FROM e")
 def has_minimal_quality(spark, d):
     return fx.entries(spark, d, False).select("path", q.has_minimal_quality().alias("ok"))
 
@@ -70,25 +90,32 @@ def touch(spark, d):
     return ff.touch(fx.entries(spark, d, False), F.expr("timestamp_ntz'2030-01-01 00:00:00'")).select("path", "version", "updated")
 
 
-@query(FILES + "SELECT path, strlen(content) AS length FROM f WHERE path LIKE '%.pdf'")
+@query(FILES + "SELECT replace(path, '/data/', '') AS name, strlen(content) AS length FROM f WHERE path LIKE '%.pdf'")
 def list_raw_pdfs(spark, d):
-    return fx.files(spark, d).where(F.endswith("path", F.lit(".pdf"))).select("path", F.octet_length("content").cast("long").alias("length"))
+    return sf.list_raw_pdfs(spark, _raw_files(spark, d)).select(F.substring_index("path", "/", -1).alias("name"), "length")
 
 
-@query(FILES + "SELECT path, strlen(content) AS file_size, round(strlen(content) / 1048576.0::DOUBLE, 2) AS file_size_mb FROM f")
+@query(FILES + "SELECT replace(path, '/data/', '') AS name, strlen(content) AS file_size, round(strlen(content) / 1048576.0::DOUBLE, 2) AS file_size_mb, sha256(content) AS content_hash FROM f WHERE path LIKE '%.pdf'")
 def scan_pdf(spark, d):
-    f = fx.files(spark, d).withColumn("n", F.octet_length("content").cast("long"))
-    return f.select("path", F.col("n").alias("file_size"), ff.file_size_mb(F.col("n")).alias("file_size_mb"))
+    found = sf.scan_pdf(spark, _raw_files(spark, d))
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "file_size", "file_size_mb", F.sha2("content", 256).alias("content_hash"))
 
 
 @query(FILES + "SELECT sum(strlen(content))::BIGINT AS bytes FROM f")
 def dir_size(spark, d):
-    return fx.files(spark, d).agg(F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0)).alias("bytes"))
+    return sf.dir_size(spark, _raw_files(spark, d))
 
 
-@query("SELECT 'never_run' AS status, 0::BIGINT AS scanned, 0::BIGINT AS compiled, 0::BIGINT AS skipped")
+@query("SELECT false AS running, 'success' AS last_outcome, count(*) AS entries_compiled, 0::BIGINT AS entries_skipped, 'Incremental compile: ' || count(*) || ' compiled, 0 skipped' AS message FROM documents")
 def get_compile_status(spark, d):
-    return cs.compile_status(None, spark).drop("finished_at")
+    root = _folder(spark)
+    sw.incremental_compile(_pdfs(spark, d), root, F.current_timestamp())
+    return cs.get_compile_status(spark, root).select("running", "last_outcome", "entries_compiled", "entries_skipped", "message")
+
+
+def _pdfs(spark, d):
+    """Documents as files whose pages are their lines."""
+    return fx.table(spark, d, "documents").select(F.expr("concat('in/', doc_id, '.pdf')").alias("path"), F.translate("text", "\n", "\f").cast("binary").alias("content"))
 
 
 # ---- extraction and files -------------------------------------------------------------------------
@@ -110,25 +137,36 @@ def get_page_count(spark, d):
     return sf.get_page_count(fx.pages(spark, d))
 
 
-_PROBE = FILES + r""", h AS (
-  SELECT path, content[1:4] = '%PDF' AS valid, content, strlen(content) AS n FROM f
+_MARKED = FILES + r""", m AS (
+  SELECT path, page_id, CASE WHEN page_id % 2 = 0 THEN '%PDF-1.4 ' ELSE '' END || CASE page_id % 7 WHEN 0 THEN '/Font ' WHEN 1 THEN '/Type0 ' WHEN 2 THEN '/CIDFont' WHEN 3 THEN '/Fon ' ELSE '' END
+    || CASE page_id % 11 WHEN 0 THEN '/Image ' WHEN 1 THEN '/XObject' WHEN 2 THEN '/DCTDecode' WHEN 3 THEN '/FlateDecode' ELSE chr(12) || chr(11) || chr(7) END || CASE WHEN page_id % 13 < 5 THEN repeat(chr(1), 3000) ELSE html END AS content FROM f JOIN pages USING (page_id)
+), h AS (
+  SELECT path, substr(content, 1, 2048) AS head, starts_with(content, '%PDF') AS valid, regexp_extract_all(substr(hex(encode(content)), 1, 4096), '..') AS bytes FROM m
 ), p AS (
-  SELECT path, valid, valid AND contains(content, '/Font') AS has_fonts, valid AND contains(content, '/Image') AS has_images FROM h
+  SELECT path, valid, valid AND regexp_matches(head, '/Font|/Type0|/CIDFont') AS has_fonts, valid AND regexp_matches(head, '/Image|/XObject|/DCTDecode|/FlateDecode') AS has_images,
+    CASE WHEN valid THEN len(list_filter(bytes, lambda x: x BETWEEN '20' AND '7E' OR x IN ('09', '0A', '0C', '0D')))::DOUBLE / len(bytes) ELSE 0 END AS density FROM h
+), r AS (
+  SELECT *, CASE WHEN NOT valid THEN 'invalid' WHEN NOT has_fonts AND has_images THEN 'scanned' WHEN density < 0.1 AND has_images THEN 'low_quality' WHEN has_fonts THEN 'digital' ELSE 'unknown' END AS quality FROM p
 )
-SELECT path, has_fonts, has_images, CASE WHEN NOT valid THEN 'invalid' WHEN NOT has_fonts AND has_images THEN 'scanned' WHEN has_fonts THEN 'digital' ELSE 'unknown' END AS quality,
-  CASE WHEN NOT valid THEN 0.0 WHEN has_fonts THEN 0.95 WHEN has_images THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM p"""
+SELECT path, has_fonts, has_images, round(density, 6) AS density, quality, CASE WHEN NOT valid THEN 1.0 WHEN has_fonts AND density > 0.3 THEN 0.95 WHEN has_images AND NOT has_fonts THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence,
+  quality IN ('scanned', 'low_quality') AS needs_vlm, CASE quality WHEN 'scanned' THEN 'vlm' WHEN 'low_quality' THEN 'hybrid' ELSE 'pdfium' END AS extraction_method FROM r"""
 
 
-@query(_PROBE)
+@query(_MARKED)
 def quality_probe(spark, d):
-    return ff.quality_probe(fx.files(spark, d)).select("path", "has_fonts", "has_images", "quality", "confidence")
+    # Every mark of fonts and images, white space of all kinds, unprintable and invalid files.
+    content = F.expr("""concat(if(page_id % 2 = 0, '%PDF-1.4 ', ''), case page_id % 7 when 0 then '/Font ' when 1 then '/Type0 ' when 2 then '/CIDFont' when 3 then '/Fon ' else '' end,
+      case page_id % 11 when 0 then '/Image ' when 1 then '/XObject' when 2 then '/DCTDecode' when 3 then '/FlateDecode' else concat(char(12), char(11), char(7)) end, if(page_id % 13 < 5, repeat(char(1), 3000), html))""")
+    files = fx.files(spark, d).select("path", "page_id").join(fx.table(spark, d, "pages").select("page_id", "html"), "page_id").select("path", content.cast("binary").alias("content"))
+    return ff.quality_probe(files).withColumn("density", F.round("density", 6))
 
 
-@query(PAGES + "SELECT path, round(least(sum(length(text)) / (count(*) * 612.0 * 792.0 / 1000) / 10, 1)::DOUBLE, 6) AS density FROM p WHERE page_number <= 3 GROUP BY path")
+@query(PAGES + """, x AS (SELECT path, least(sum(length(text)) / (count(*) * 612.0 * 792.0 / 1000) / 10, 1)::DOUBLE AS density FROM p WHERE page_number <= 3 GROUP BY path)
+SELECT path, round(density, 6) AS density, CASE WHEN density < 0.05 AND replace(replace(path, 'e/', ''), '.md', '')::BIGINT % 2 = 0 THEN 'scanned' ELSE 'digital' END AS quality FROM x""")
 def probe_density_pages(spark, d):
     pages = fx.pages(spark, d)
     images = fx.entries(spark, d, False).select("path", (F.col("doc_id") % 2 == 0).alias("has_images"))
-    return ff.probe_density_pages(pages, images).select("path", F.round("density", 6).alias("density"))
+    return ff.probe_density_pages(pages, images).select("path", F.round("density", 6).alias("density"), "quality")
 
 
 @query(FILES + """SELECT path, CASE WHEN page_id % 9 = 0 THEN 'not_found' WHEN path NOT LIKE '%.pdf' THEN 'bad_extension' WHEN strlen(content) > 1500 THEN 'too_large' WHEN content[1:4] <> '%PDF' THEN 'bad_magic' END AS error_code FROM f""")
@@ -189,9 +227,9 @@ def search_filter(spark, d):
     return m.search_filter(fx.table(spark, d, "part"), "p_name", "R", "p_retailprice", True).select("p_partkey", "p_name", "p_retailprice")
 
 
-@query(ENTRIES + "SELECT status, count(*) FILTER (domain = 'en') AS english, count(*) AS n FROM e GROUP BY status")
+@query(ENTRIES + "SELECT path, category, status FROM e WHERE category IN ('src1', 'src3', 'src7') AND status IN ('compiled', 'failed', 'pending')")
 def category_status_filters(spark, d):
-    return fx.entries(spark, d, False).groupBy("status").agg(F.count_if(F.col("domain") == "en").alias("english"), F.count("*").alias("n"))
+    return q.by_category_and_status(fx.entries(spark, d, False), ["src1", "SRC3", "src7"], ["compiled", "Failed", "pending"]).select("path", "category", "status")
 
 
 _ROUTED = PAGES + """, r AS (
@@ -215,7 +253,7 @@ def page_complexity(spark, d):
     return fl.route_pages(fx.pages(spark, d)).select("path", "page_number", "complexity")
 
 
-@query(_ROUTED + "SELECT CASE WHEN chars >= 50 AND confidence >= 0.3 THEN 'layout-small' ELSE 'layout-large' END AS model, count(*) AS n FROM r GROUP BY 1")
+@query(_ROUTED + "SELECT CASE WHEN chars > 500 AND confidence > 0.7 THEN 'glm-4.6v-flash' WHEN chars >= 50 AND confidence >= 0.3 THEN 'glm-4.6v-flashx' ELSE 'glm-4.6v' END AS model, count(*) AS n FROM r GROUP BY 1")
 def select_model(spark, d):
     return fl.route_pages(fx.pages(spark, d)).groupBy("model").agg(F.count("*").alias("n"))
 
@@ -266,8 +304,7 @@ hop2 AS (SELECT dst AS path, min(kind) AS edge_kind FROM edges WHERE src IN (SEL
 
 @query(_AROUND + "SELECT e.path, title, domain, hop, edge_kind FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2) h JOIN e ON e.path = h.path")
 def get_entry_context(spark, d):
-    e = fx.entries(spark, d, False)
-    return g.get_entry_context(e, st.stage(g.build_graph(e), "edges"), "e/3.md", 2)
+    return g.get_entry_context(fx.entries(spark, d, False), "e/3.md", 2)
 
 
 @query(ENTRIES + "SELECT path, title, domain FROM e WHERE path NOT IN (SELECT src FROM links) AND path NOT IN (SELECT dst FROM links)")
@@ -289,13 +326,27 @@ def export_concept_map(spark, d):
     return g.export_concept_map(e, st.stage(g.resolve_links(e), "edges"), "e/3.md", 1)
 
 
-@query()
+def _communities(edges: str, rounds: int) -> str:
+    """SQL of label propagation: the rounds one after another; those that change nothing repeat what they read."""
+    sql = f""", both_ AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM (SELECT src, dst FROM {edges} UNION ALL SELECT dst, src FROM {edges}) WHERE src <> dst GROUP BY src, dst),
+l0 AS MATERIALIZED (SELECT DISTINCT src AS path, src AS label FROM both_)"""
+    for k in range(2 * rounds):
+        now = f"substr(md5(src || ':{k // 2}'), 1, 1) {'<' if k % 2 == 0 else '>='} '8'"
+        sql += f""",
+l{k + 1} AS MATERIALIZED (SELECT l.path, coalesce(b.label, l.label) AS label FROM l{k} l LEFT JOIN (
+  SELECT path, arg_min(label, (-votes, label)) AS label FROM (SELECT src AS path, x.label, sum(w) AS votes FROM both_ JOIN l{k} x ON x.path = dst WHERE {now} GROUP BY src, x.label) GROUP BY path) b ON b.path = l.path)"""
+    return sql + f""", labels_ AS (SELECT path, label FROM l{2 * rounds})
+"""
+
+
+@query(ENTRIES + _communities("links", 50) + "SELECT label, count(*) AS size FROM labels_ GROUP BY label HAVING count(*) >= 2")
 def detect_communities(spark, d):
     labels = g.detect_communities(g.resolve_links(fx.entries(spark, d, False)))
     return g.communities(labels)
 
 
-@query()
+@query(ENTRIES + TAG_PAIRS + _communities("edges", 50) + """, one AS (SELECT label, domain, count(*) AS n FROM labels_ JOIN e ON e.path = labels_.path WHERE level = 'l1' GROUP BY label, domain)
+SELECT label, arg_min(domain, (-n, domain)) || ' 领域综合' AS title, arg_min(domain, (-n, domain)) AS domain, sum(n)::BIGINT AS size FROM one GROUP BY label HAVING sum(n) >= 2""")
 def aggregate_entries(spark, d):
     e = fx.entries(spark, d, False)
     return g.aggregate_entries(e, g.detect_communities(st.stage(g.build_graph(e), "edges")))
@@ -309,15 +360,34 @@ def majority_domain(spark, d):
 @query(ENTRIES + "SELECT path, domain FROM e WHERE level = 'l1' AND path IN (SELECT src FROM links)")
 def level_one_members(spark, d):
     e = fx.entries(spark, d, False)
-    return e.where("level = 'l1'").join(g.resolve_links(e).select(F.col("src").alias("path")), "path", "left_semi").select("path", "domain")
+    return g.level_members(e, g.resolve_links(e).select(F.col("src").alias("path")), "l1").select("path", "domain")
 
 
 # ---- quality --------------------------------------------------------------------------------------
 
-@query(ENTRIES + """SELECT path, unnest(list_filter([CASE WHEN trim(title) = '' THEN 'error' END, CASE WHEN quality_score = 0 THEN 'info' END], lambda x: x IS NOT NULL)) AS severity,
-unnest(list_filter([CASE WHEN trim(title) = '' THEN 'missing title' END, CASE WHEN quality_score = 0 THEN 'quality score is zero' END], lambda x: x IS NOT NULL)) AS message FROM e""")
+_ISSUES = ENTRIES + """, odd AS (SELECT path, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN ' ' ELSE title END AS title, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE domain END AS domain, CASE WHEN doc_id % 19 = 0 THEN [] ELSE tags END AS tags, quality_score FROM e),
+i AS (SELECT path, unnest([
+  CASE WHEN coalesce(title, '') = '' THEN {'severity': 'error', 'message': 'Missing title'} END, CASE WHEN coalesce(domain, '') = '' THEN {'severity': 'error', 'message': 'Missing domain'} END,
+  CASE WHEN len(tags) = 0 THEN {'severity': 'warning', 'message': 'No tags assigned'} END, CASE WHEN quality_score = 0 THEN {'severity': 'info', 'message': 'Quality score is 0 (not yet assessed)'} END]) AS x FROM odd),
+issues AS (SELECT path, x.severity AS severity, x.message AS message FROM i WHERE x IS NOT NULL)
+"""
+
+
+def _odd(spark, d):
+    """Entries some of which lack a title, a domain or tags."""
+    none = "cast(array() as array<string>)"
+    return fx.entries(spark, d, False).selectExpr("path", "if(doc_id % 11 = 0, '', if(doc_id % 13 = 0, ' ', title)) as title", "if(doc_id % 17 = 0, null, domain) as domain", f"if(doc_id % 19 = 0, {none}, tags) as tags", "quality_score")
+
+
+@query(_ISSUES + "SELECT path, severity, message FROM issues")
 def check_quality(spark, d):
-    return q.check_quality(fx.entries(spark, d, False))
+    return q.check_quality(_odd(spark, d))
+
+
+@query(_ISSUES + "SELECT path, '- [' || severity || '] ' || path || ': ' || message AS line FROM issues")
+def quality_report(spark, d):
+    e = _odd(spark, d)
+    return q.quality_report_lines(e, q.check_quality(e)).select("path", "line")
 
 
 @query(ENTRIES + "SELECT count(*) AS total_entries, count(DISTINCT domain) AS domains, round(coalesce(avg(quality_score) FILTER (quality_score > 0), 0), 6) AS average_score FROM e")
@@ -325,9 +395,9 @@ def quality_totals(spark, d):
     return q.quality_totals(fx.entries(spark, d, False)).withColumn("average_score", F.round("average_score", 6))
 
 
-@query(ENTRIES + "SELECT coalesce(bool_or(trim(title) = ''), false) AS has_errors, false AS has_warnings FROM e")
+@query(_ISSUES + "SELECT coalesce(bool_or(severity = 'error'), false) AS has_errors, coalesce(bool_or(severity = 'warning'), false) AS has_warnings FROM issues")
 def quality_flags(spark, d):
-    return q.quality_flags(q.check_quality(fx.entries(spark, d, False)))
+    return q.quality_flags(q.check_quality(_odd(spark, d)))
 
 
 @query(ENTRIES + r"""SELECT path, r AS relative_path FROM (SELECT *, replace(lower(domain), ' ', '_') || '/[' || domain || '] ' || regexp_replace(title, '[/\\:*?"<>|]', '_', 'g') || '.md' AS r FROM e)
@@ -342,13 +412,13 @@ def hypothesis_test(spark, d):
     return q.hypothesis_test(fx.entries(spark, d, False))
 
 
-_DRIFT = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS vector, ['l' || label, 'k' || (vec_id % 7)] AS tags, TIMESTAMP '2024-01-01' + to_days(vec_id::INTEGER) AS created FROM embeddings WHERE vec_id < 500),
+_DRIFT = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS vector, ['l' || label, 'k' || (vec_id % 7)] AS tags, TIMESTAMP '2024-01-01' + to_days(vec_id::INTEGER) AS created FROM embeddings),
 t AS (SELECT *, unnest(tags) AS tag FROM v)
 SELECT 'v/' || a.vec_id AS path_a, 'v/' || b.vec_id AS path_b, min(a.tag) AS shared_tag, abs(a.vec_id - b.vec_id) AS days_apart, round(list_cosine_similarity(any_value(a.vector), any_value(b.vector)), 6) AS similarity
 FROM t a JOIN t b ON a.tag = b.tag AND 'v/' || a.vec_id < 'v/' || b.vec_id AND abs(a.vec_id - b.vec_id) >= 90 GROUP BY a.vec_id, b.vec_id HAVING list_cosine_similarity(any_value(a.vector), any_value(b.vector)) < 0.6"""
 
 
-@query(_DRIFT.replace(" WHERE vec_id < 500", ""))
+@query(_DRIFT)
 def drift_pairs(spark, d):
     v = fx.table(spark, d, "embeddings").selectExpr("concat('v/', vec_id) as path", "array(concat('l', label), concat('k', vec_id % 7)) as tags", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(vec_id as int)) as created", "embedding as vector")
     return q.drift_pairs(v.drop("vector"), v.select("path", "vector")).withColumn("similarity", F.round("similarity", 6))
@@ -356,7 +426,7 @@ def drift_pairs(spark, d):
 
 @query(ENTRIES + TAG_PAIRS + """, i AS (SELECT count(*) AS n FROM e WHERE quality_score = 0)
 SELECT count(*) AS total_entries, count(DISTINCT domain) AS domains, round(coalesce(avg(quality_score) FILTER (quality_score > 0), 0), 6) AS average_score, (SELECT count(*) FROM edges) AS edge_count,
-(SELECT n FROM i) + (SELECT count(*) FROM e WHERE trim(title) = '') AS issues_count, 0::BIGINT AS contradiction_count, (SELECT count(*) FROM e WHERE path NOT IN (SELECT src FROM links) AND path NOT IN (SELECT dst FROM links)) AS orphan_count,
+(SELECT n FROM i) + (SELECT count(*) FROM e WHERE title = '') AS issues_count, 0::BIGINT AS contradiction_count, (SELECT count(*) FROM e WHERE path NOT IN (SELECT src FROM links) AND path NOT IN (SELECT dst FROM links)) AS orphan_count,
 (SELECT count(DISTINCT dst) FROM refs WHERE dst NOT IN (SELECT path FROM e)) AS broken_link_count, count(*) AS node_count, 0::BIGINT AS index_bytes, NULL::VARCHAR AS last_compile FROM e""")
 def get_health_report(spark, d):
     e = fx.entries(spark, d, False)
@@ -436,11 +506,12 @@ def domain_distribution(spark, d):
     return m.domain_distribution(fx.entries(spark, d, False))
 
 
-_VLM = "WITH v AS (SELECT event_type AS provider, CASE WHEN value < 5 THEN 'error' ELSE 'ok' END AS status, value / 3 AS seconds FROM events)\n"
+_VLM = "WITH v AS (SELECT event_type AS provider, CASE WHEN value < 5 THEN 'error' WHEN value > 90 THEN 'timeout' ELSE 'success' END AS status, floor(value / 3) AS seconds FROM events),\n"
+_VLM += "x AS (SELECT event_type AS reason FROM events WHERE value < 10), le AS (SELECT * FROM (VALUES (1, '0.1', 0.1), (2, '0.5', 0.5), (3, '1', 1), (4, '2', 2), (5, '5', 5), (6, '10', 10), (7, '20', 20), (8, '30', 30), (9, '+Inf', 1e300)) t(k, le, b))\n"
 
 
 def _vlm(spark, d):
-    return fx.table(spark, d, "events").selectExpr("event_type as provider", "if(value < 5, 'error', 'ok') as status", "value / 3 as seconds")
+    return fx.table(spark, d, "events").selectExpr("event_type as provider", "case when value < 5 then 'error' when value > 90 then 'timeout' else 'success' end as status", "cast(floor(value / 3) as double) as seconds")
 
 
 @query(_VLM + "SELECT provider, status, count(*) AS n FROM v GROUP BY provider, status")
@@ -448,15 +519,22 @@ def vlm_metrics(spark, d):
     return m.vlm_requests(_vlm(spark, d))
 
 
-@query(_VLM + "SELECT le, count(*) FILTER (seconds <= b) AS n FROM v, (VALUES ('0.1', 0.1), ('0.5', 0.5), ('1.0', 1), ('2.0', 2), ('5.0', 5), ('10.0', 10), ('20.0', 20), ('30.0', 30), ('+Inf', 1e300)) t(le, b) GROUP BY le")
+@query(_VLM + "SELECT le, count(*) FILTER (seconds <= b AND status = 'success') AS n FROM v, le GROUP BY le")
 def vlm_histogram(spark, d):
     return m.vlm_histogram(_vlm(spark, d))
 
 
-@query(_VLM + """SELECT 'vlm_requests_total{provider="' || provider || '",status="' || status || '"} ' || count(*) AS line FROM v GROUP BY provider, status
-UNION ALL SELECT 'vlm_request_seconds_bucket{le="' || le || '"} ' || count(*) FILTER (seconds <= b) FROM v, (VALUES ('0.1', 0.1), ('0.5', 0.5), ('1.0', 1), ('2.0', 2), ('5.0', 5), ('10.0', 10), ('20.0', 20), ('30.0', 30), ('+Inf', 1e300)) t(le, b) GROUP BY le""")
+@query(_VLM + """, lines AS (
+  SELECT 1 AS family, 0 AS k, '' AS key, '# HELP vlm_degradations_total Total number of VLM degradations' AS line UNION ALL SELECT 1, 1, '', '# TYPE vlm_degradations_total counter'
+  UNION ALL SELECT 1, 2, reason, 'vlm_degradations_total{reason="' || reason || '"} ' || count(*) FROM x GROUP BY reason
+  UNION ALL SELECT 2, 0, '', '# HELP vlm_request_duration_seconds VLM request duration in seconds' UNION ALL SELECT 2, 1, '', '# TYPE vlm_request_duration_seconds histogram'
+  UNION ALL SELECT 2, 2, k::VARCHAR, 'vlm_request_duration_seconds_bucket{le="' || le || '"} ' || count(*) FILTER (seconds <= b AND status = 'success') FROM v, le GROUP BY k, le
+  UNION ALL SELECT 2, 3, '', 'vlm_request_duration_seconds_sum ' || sum(seconds)::BIGINT FROM v WHERE status = 'success' UNION ALL SELECT 2, 4, '', 'vlm_request_duration_seconds_count ' || count(*) FROM v WHERE status = 'success'
+  UNION ALL SELECT 3, 0, '', '# HELP vlm_requests_total Total number of VLM requests' UNION ALL SELECT 3, 1, '', '# TYPE vlm_requests_total counter'
+  UNION ALL SELECT 3, 2, provider || chr(1) || status, 'vlm_requests_total{provider="' || provider || '",status="' || status || '"} ' || count(*) FROM v GROUP BY provider, status)
+SELECT (row_number() OVER (ORDER BY family, k, key) - 1)::INTEGER AS line_no, line FROM lines""")
 def vlm_exposition(spark, d):
-    return m.exposition(_vlm(spark, d))
+    return m.exposition(_vlm(spark, d), fx.table(spark, d, "events").where("value < 10").select(F.col("event_type").alias("reason")))
 
 
 @query("SELECT o_orderkey::VARCHAR AS path, o_totalprice AS size, CASE WHEN o_totalprice > 1000000 THEN 3 WHEN o_totalprice > 100000 THEN 2 ELSE 1 END AS priority FROM orders")
@@ -518,7 +596,15 @@ def leaf_sort(spark, d):
     return cs.leaf_sort(fx.entries(spark, d))
 
 
-@query()
+def _merkle(levels: int) -> str:
+    """SQL of the root over 2 ** levels leaves at most; above the root nothing changes."""
+    sql = ", m0 AS (SELECT row_number() OVER (ORDER BY path) - 1 AS k, source_hash AS h FROM e)"
+    for k in range(levels):
+        sql += f", m{k + 1} AS MATERIALIZED (SELECT k // 2 AS k, CASE WHEN count(*) = 2 THEN sha256(unhex(arg_min(h, k)) || unhex(arg_max(h, k))) ELSE any_value(h) END AS h FROM m{k} GROUP BY k // 2)"
+    return sql + f" SELECT h AS root FROM m{levels}"
+
+
+@query(ENTRIES + _merkle(24))
 def merkle_root(spark, d):
     return cs.merkle_root(fx.entries(spark, d).select("path", "source_hash"))
 
@@ -541,11 +627,11 @@ def recompile_entry(spark, d):
     return cs.recompile_entry(e, e.limit(0), "e/3.md", F.expr("timestamp_ntz'2030-01-01 00:00:00'"), "x")[2]
 
 
-@query("SELECT n_name AS name, CASE WHEN n_nationkey < 10 THEN 'old' ELSE 'default' END AS description FROM nation WHERE n_nationkey < 20")
+@query("SELECT n_name AS name, CASE WHEN n_nationkey < 10 THEN 'old' ELSE 'default' END AS description FROM nation")
 def sql_upsert(spark, d):
     n = fx.table(spark, d, "nation")
     have = n.where("n_nationkey < 10").selectExpr("n_name as name", "'old' as description")
-    return cs.sql_upsert(have, n.where("n_nationkey < 20").selectExpr("n_name as name", "'default' as description"), F.current_timestamp()).select("name", "description")
+    return cs.sql_upsert(have, n.selectExpr("n_name as name", "'default' as description"), F.current_timestamp()).select("name", "description")
 
 
 # ---- text -----------------------------------------------------------------------------------------
@@ -590,15 +676,29 @@ def tfidf_vector(spark, d):
 
 
 @query(_WEIGHTS + "SELECT a.path, round(sum(a.weight * b.weight), 6) AS score FROM tw a JOIN tw b ON a.term = b.term AND b.path = 'e/3.md' WHERE a.path <> 'e/3.md' GROUP BY a.path ORDER BY round(sum(a.weight * b.weight), 9) DESC, a.path LIMIT 10")
-def embed_entry(spark, d):
+def tfidf_similar(spark, d):
     w = st.stage(ft.tfidf_weights(fx.entries(spark, d)), "weights")
     return ft.tfidf_similar(w, "e/3.md").withColumn("score", F.round("score", 6))
 
 
-@query()
+_EMBEDDED = ENTRIES + rf", t AS (SELECT path, title, domain, len(list_filter(regexp_extract_all(lower(title || ' ' || body), '{_LATIN}'), lambda x: strlen(x) > 1)) AS n FROM e) "
+
+
+@query(_EMBEDDED + "SELECT path, title, domain, 256 AS dim, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM t")
 def batch_embed_all(spark, d):
-    v = ft.hashed_vectors(ft.tfidf_weights(fx.entries(spark, d)))
-    return v.select("path", F.size("vector").alias("dim"), F.round(F.sqrt(fv.dot(F.col("vector"), F.col("vector"))), 3).alias("norm"))
+    v = em.batch_embed_all(fx.entries(spark, d))[0]
+    return v.select("path", "title", "domain", F.size("vector").alias("dim"), F.round(F.sqrt(fv.dot(F.col("vector"), F.col("vector"))), 3).alias("norm"))
+
+
+@query(_EMBEDDED + "SELECT (SELECT count(*) FROM e) AS vectors, title, domain, 1.0::DOUBLE AS score FROM t WHERE path = 'e/3.md'")
+def embed_entry(spark, d):
+    e = fx.entries(spark, d)
+    root = _folder(spark)
+    vectors, idf = em.batch_embed_all(e)
+    em.save_vectors(vectors.where("path <> 'e/3.md'"), idf, root)
+    indexed, hit = em.embed_entry(e, "e/3.md", *em.load_vectors(spark, root))
+    # Entries with the same text have the same vector: title and domain tell, the path may be another's.
+    return hit.crossJoin(indexed.agg(F.count("*").alias("vectors"))).select("vectors", "title", "domain", F.round("score", 3).alias("score"))
 
 
 _INDEX = ENTRIES + rf""", x AS (SELECT path, title, array_to_string(tags, ' ') AS tags, body, domain FROM e),
@@ -623,6 +723,13 @@ def search_knowledge(spark, d):
     return ft.search_knowledge(fx.entries(spark, d), "the License src3", 10).withColumn("score", F.round("score", 6))
 
 
+@query(_BM25 + " ORDER BY round(s.score, 9) DESC, s.path LIMIT 10")
+def search_saved_index(spark, d):
+    e, root = fx.entries(spark, d), _folder(spark)
+    ft.save_index(ft.rebuild_index(e), root)
+    return ft.search_knowledge(e, "the License src3", 10, ft.load_index(spark, root)).withColumn("score", F.round("score", 6))
+
+
 @query(_BM25 + " WHERE domain = 'en' AND s.path IN (SELECT path FROM asked WHERE term = 'License') AND s.path NOT IN (SELECT path FROM asked WHERE term = 'src3') ORDER BY round(s.score, 9) DESC, s.path LIMIT 20")
 def search_knowledge_boolean(spark, d):
     # NOT src3 is not scored, but stands among the terms that are looked up.
@@ -655,6 +762,13 @@ def search_keywords_every_context(spark, d):
     return ft.search_keywords(fx.pages(spark, d), ["License"], case_sensitive=True).select("path", "page_number", "keyword", "position", "matched", "context")
 
 
+@query(r"""WITH h AS (SELECT 'e/' || doc_id || '.md' AS path, string_split(replace(text, 'É', 'é'), 'é') AS gaps FROM documents), f AS (SELECT path, gaps, unnest(range(1, len(gaps))) AS k FROM h)
+SELECT path, 'é' AS keyword, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) + (k - 1))::INTEGER AS position FROM f""")
+def search_keywords_client(spark, d):
+    texts = fx.entries(spark, d).select("path", F.col("body").alias("text"))
+    return ft.search_keywords_client(texts, ["é"]).select("path", "keyword", "position")
+
+
 @query(PAGES + "SELECT path, page_number::INTEGER AS page_number, coalesce(sum(length(trim(text))) OVER (PARTITION BY path ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p")
 def page_boundaries(spark, d):
     return ft.page_boundaries(fx.pages(spark, d))
@@ -686,6 +800,12 @@ def vector_search(spark, d):
     return fv.vector_search(v, v.where("vec_id = 7").select(F.col("vector").alias("q"))).withColumn("score", F.round("score", 6))
 
 
+@query(_VEC + """SELECT query_id, path, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS query_id, b.path, list_cosine_similarity(a.vector, b.vector) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.vector, b.vector), 12) DESC, b.path)::INTEGER AS rank FROM v a JOIN v b ON a.vec_id % 20 = 0) WHERE rank <= 3""")
+def vector_search_many(spark, d):
+    v = fx.vectors(spark, d)
+    return fv.vector_search_many(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), 3).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT 'v/' || vec_id AS path, CASE WHEN vec_id % 2 = 0 THEN 'new' ELSE 'vector ' || vec_id END AS title FROM embeddings")
 def vector_upsert(spark, d):
     v = fx.vectors(spark, d)
@@ -705,15 +825,48 @@ def extrude_to_agent_payload(spark, d):
     return sf.agent_payload(fx.entries(spark, d).select("path", F.col("body").alias("text"))).select("path", F.sha2("payload", 256).alias("payload"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents)
-SELECT doc_id || '.md' AS name, sha256('# ' || doc_id || chr(10) || chr(10) || 'quality: 0.85' || chr(10) || chr(10) || array_to_string(list_transform(range(0, ceil(len(lines) / 5.0)::BIGINT), lambda k: array_to_string(lines[k * 5 + 1:k * 5 + 5], chr(10))), chr(10) || chr(10))) AS content FROM l""")
+_NOW = "timestamp'2030-01-01 00:00:00'"
+_RAW = r"""WITH l AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS lines, len(string_split(text, chr(10))) AS pages FROM documents),
+t AS (SELECT *, trim(array_to_string(lines, chr(10))) AS whole, list_filter(lines, lambda x: x <> '') AS filled FROM l),
+raw AS (SELECT doc_id, 'raw/' || doc_id || '.md' AS path, array_to_string(['---', 'source_file: in/' || doc_id || '.pdf', 'source_name: ' || chr(39) || doc_id || chr(39), 'file_hash: ' || CASE WHEN sha256(whole) ^@ 'a' OR sha256(whole)[1] > '9' THEN sha256(whole) ELSE chr(39) || sha256(whole) || chr(39) END,
+  'extraction_time: 2030-01-01T00:00:00Z', 'page_count: ' || pages, 'quality_score: {score}', '---', '', '# ' || doc_id, '', '## 文档信息', '', '- 页数: ' || pages, '- 质量: {percent}%', '- 提取时间: 2030-01-01 00:00:00 UTC', '', '## 正文', '',
+  array_to_string(list_transform(range(0, ceil(len(filled) / 5.0)::BIGINT), lambda k: array_to_string(filled[k * 5 + 1:k * 5 + 5], chr(10))), chr(10) || chr(10))], chr(10)) AS content FROM t)
+"""
+
+
+@query(_RAW.replace("{score}", "0.85").replace("{percent}", "85") + "SELECT path, sha256(content) AS content FROM raw")
 def extrude_to_server_wiki(spark, d):
-    return sf.raw_pages(fx.entries(spark, d).select("path", F.col("body").alias("text"))).select("name", F.sha2("content", 256).alias("content"))
+    root = _folder(spark)
+    sw.save_raw(sw.texts_of(sf.extract_structured(_pdfs(spark, d))), root, F.expr(_NOW))
+    return sf.read_markdown(spark, root).where(F.startswith("path", F.lit("raw/"))).select("path", F.sha2("content", 256).alias("content"))
 
 
-@query("SELECT 'raw/' || doc_id || '.md' AS path, doc_id::VARCHAR AS title, 'it' AS domain, sha256(text) AS source_hash, 'l0' AS level, 'pending' AS status, 1::BIGINT AS version FROM documents")
+@query(_RAW.replace("{score}", "0.0").replace("{percent}", "0") + """SELECT 'in/' || doc_id || '.pdf' AS source, sha256(replace(text, chr(10), chr(12))) AS source_hash, pages AS page_count, 'raw/' || doc_id || '.md' AS raw_path, sha256(content) AS raw_hash, 'raw/' || doc_id || '.compile_prompt.md' AS prompt_path,
+  doc_id::VARCHAR AS title, 'it' AS domain, 'l0' AS level, 'pending' AS status, 1::BIGINT AS version FROM raw JOIN l USING (doc_id)""")
 def compile_to_wiki(spark, d):
-    return sf.compile_to_wiki(fx.entries(spark, d).select("path", F.col("body").alias("text")), "it", F.current_timestamp()).select("path", "title", "domain", "source_hash", "level", "status", "version")
+    root = _folder(spark)
+    done = sw.compile_to_wiki(_pdfs(spark, d), root, "it", F.expr(_NOW)).drop("error")
+    written = sf.read_markdown(spark, root).select(F.col("path").alias("raw_path"), F.sha2("content", 256).alias("raw_hash"))
+    return done.join(written, "raw_path").select("source", "source_hash", "page_count", "raw_path", "raw_hash", "prompt_path", "title", "domain", "level", "status", "version")
+
+
+@query("""SELECT 'first' AS run, 'compile' AS action, count(*) AS n FROM documents UNION ALL SELECT 'second', 'skip', count(*) FROM documents
+UNION ALL SELECT 'third', CASE WHEN doc_id % 3 = 0 THEN 'compile' ELSE 'skip' END, count(*) FROM documents GROUP BY 2""")
+def incremental_compile_runs(spark, d):
+    root, now = _folder(spark), F.expr(_NOW)
+    files = _pdfs(spark, d)
+    changed = files.withColumn("content", F.when(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 3 == 0, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
+    runs = [sw.incremental_compile(f, root, now).groupBy("action").agg(F.count("*").alias("n")).select(F.lit(k).alias("run"), "action", "n") for k, f in (("first", files), ("second", files), ("third", changed))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query(ENTRIES + """SELECT 'wiki/' || path AS path, title, domain, category, 'raw/' || doc_id || '.md' AS source, doc_id AS page, source_hash, array_to_string(tags, ' ') AS tags, array_to_string(related, ' ') AS related, CASE WHEN doc_id % 2 = 0 THEN 'a b' ELSE '' END AS aggregated_from, level, status, version, created, sha256(body) AS body_hash FROM e""")
+def to_markdown(spark, d):
+    root = _folder(spark)
+    given = fx.entries(spark, d).selectExpr("*", "concat('raw/', doc_id, '.md') as source", "doc_id as page", "if(doc_id % 2 = 0, array('a', 'b'), cast(array() as array<string>)) as aggregated_from")
+    sw.write_entries(given, root)
+    read = sf.scan_entries(sf.read_markdown(spark, root))
+    return read.select("path", "title", "domain", "category", "source", "page", "source_hash", F.array_join("tags", " ").alias("tags"), F.array_join("related", " ").alias("related"), F.array_join("aggregated_from", " ").alias("aggregated_from"), "level", "status", "version", "created", F.sha2("body", 256).alias("body_hash"))
 
 
 _WIKI = """WITH w AS (SELECT doc_id || '.md' AS path, lang, '# [' || lang || '] Page ' || doc_id || chr(10) || '> [!ABSTRACT]' || chr(10) || '> about ' || source || chr(10) AS content FROM documents)
@@ -724,49 +877,77 @@ def _wiki(spark, d):
     return fx.table(spark, d, "documents").selectExpr("concat(doc_id, '.md') as path", "concat('# [', lang, '] Page ', doc_id, '\\n> [!ABSTRACT]\\n> about ', source, '\\n') as content")
 
 
-@query(_WIKI + "SELECT lang AS domain, 'Page ' || replace(path, '.md', '') AS title, path, trim(split_part(string_split(content, chr(10))[3], '>', 2)) AS abstract FROM w")
+@query(_WIKI + "SELECT lang AS domain, 'Page ' || replace(path, '.md', '') AS title, path, trim(string_split(content, chr(10))[3]) AS abstract FROM w")
 def generate_index(spark, d):
     return sf.generate_index(_wiki(spark, d))
 
 
-@query(_WIKI + "SELECT lang AS domain, count(*) + 4 AS lines FROM w GROUP BY lang")
+@query(_WIKI + r""", b AS (SELECT lang, '\n## [' || lang || ']\n\n| 词条 | 摘要 |\n|------|------|\n' || string_agg('| [[' || path || ']] | ' || trim(string_split(content, chr(10))[3]) || ' |\n', '' ORDER BY 'Page ' || replace(path, '.md', ''), path) AS block FROM w GROUP BY lang)
+SELECT sha256(replace('# 知识索引\n\n> [!ABSTRACT] 摘要\n> 本页面是 Wiki 知识库的总导航图，按领域分类组织。\n\n' || string_agg(block, '' ORDER BY lang) || '\n---\n\n- **词条总数**: ' || (SELECT count(*) FROM w) || '\n- [[log.md]] - 编译日志\n', '\n', chr(10))) AS index_page FROM b""")
 def index_markdown(spark, d):
-    return sf.index_markdown(sf.generate_index(_wiki(spark, d))).select("domain", F.size(F.split("content", "\n")).cast("long").alias("lines"))
+    root = _folder(spark)
+    sw.write_files(_wiki(spark, d).select(F.concat(F.lit("wiki/"), "path").alias("path"), "content"), root)
+    sw.write_index(spark, root)
+    return spark.read.text(f"{root}/wiki/index.md", wholetext=True).select(F.sha2("value", 256).alias("index_page"))
 
 
 @query("SELECT 'k' || n_nationkey AS key, n_name AS value FROM nation")
 def config_show(spark, d):
-    rows = fx.table(spark, d, "nation").limit(100).collect()  # a configuration is a small map
-    return sf.config_show(spark, {f"k{r['n_nationkey']}": r["n_name"] for r in rows})
+    rows, path = fx.table(spark, d, "nation").collect(), f"{_folder(spark)}/config.json"  # a configuration is a small map
+    sf.set_config(spark, path, {f"k{r['n_nationkey']}": r["n_name"] for r in rows} | {"gone": "x"})
+    sf.set_config(spark, path, {"gone": None})
+    return sf.config_show(spark, sf.read_config(spark, path))
 
 
 # ---- layout parsing -------------------------------------------------------------------------------
 
-_BOXES = "WITH b AS (SELECT l_orderkey, l_linenumber, l_linenumber AS x, l_linenumber * 2 AS y, l_linenumber + l_quantity::BIGINT AS x2, l_linenumber * 2 + 10 AS y2, ['table', 'figure', 'Title', 'nothing'][l_linenumber % 4 + 1] AS w FROM lineitem WHERE l_orderkey IS NOT NULL)\n"
-_BOX_OUT = "SELECT l_orderkey, l_linenumber, {kind} AS region_type, x::DOUBLE AS x, y::DOUBLE AS y, (x2 - x)::DOUBLE AS width, 10.0::DOUBLE AS height FROM b"
-_KIND = "CASE w WHEN 'table' THEN 'table' WHEN 'figure' THEN 'image' WHEN 'Title' THEN 'title' ELSE 'body' END"
+_WORDS = ("table", "caption, table", "Title", "nothing", "heading image", "figure", "a paragraph body")
+_BOXES = f"WITH b AS (SELECT l_orderkey, l_linenumber, l_linenumber AS x, l_linenumber * 2 AS y, l_linenumber + l_quantity::BIGINT AS x2, l_linenumber * 2 + 10 AS y2, {list(_WORDS)}[(l_linenumber - 1) % 7 + 1] AS w FROM lineitem WHERE l_orderkey IS NOT NULL)\n"
+_BOX_OUT = "SELECT l_orderkey, l_linenumber, {kind} AS region_type, x::DOUBLE AS x, y::DOUBLE AS y, (x2 - x)::DOUBLE AS width, 10.0::DOUBLE AS height, {content} AS content FROM b"
+# The word that comes first names the type: caption before table, heading (a body) before image; figure is no word.
+_KIND = "CASE w WHEN 'table' THEN 'table' WHEN 'caption, table' THEN 'caption' WHEN 'Title' THEN 'title' ELSE 'body' END"
+_BRACKETS = "'[' || x || ', ' || y || ', ' || x2 || ', ' || y2 || ']'"
 
 
 def _boxes(spark, d):
-    return fx.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_linenumber as x", "l_linenumber * 2 as y", "l_linenumber + cast(l_quantity as bigint) as x2", "l_linenumber * 2 + 10 as y2", "element_at(array('table', 'figure', 'Title', 'nothing'), l_linenumber % 4 + 1) as w")
+    words = ", ".join(f"'{w}'" for w in _WORDS)
+    return fx.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_linenumber as x", "l_linenumber * 2 as y", "l_linenumber + cast(l_quantity as bigint) as x2", "l_linenumber * 2 + 10 as y2", f"element_at(array({words}), (l_linenumber - 1) % 7 + 1) as w")
 
 
-@query(_BOXES + _BOX_OUT.format(kind=_KIND))
+@query(_BOXES + _BOX_OUT.format(kind=_KIND, content=_BRACKETS))
 def parse_layout_text(spark, d):
-    t = _boxes(spark, d).select("l_orderkey", "l_linenumber", fl.parse_layout_text(F.expr("concat(w, ' at [', x, ', ', y, ', ', x2, ', ', y2, '] seen')")).alias("r"))
+    # A box with a negative number is none; a word too far before or behind a box does not count.
+    text = F.expr("concat('title ', repeat('.', 60), w, ' at [', x, ', ', y, ', ', x2, ', ', y2, '] seen', repeat('.', 60), 'image [-1, 2, 3, 4]')")
+    t = _boxes(spark, d).select("l_orderkey", "l_linenumber", fl.parse_layout_text(text).alias("r"))
     return t.select("l_orderkey", "l_linenumber", F.inline("r"))
 
 
-@query(_BOXES + _BOX_OUT.format(kind=_KIND))
+@query(_BOXES + _BOX_OUT.format(kind=_KIND, content=_BRACKETS))
 def parse_chat(spark, d):
     reply = F.expr("""concat('{"choices":[{"message":{"content":"', w, ' at [', x, ', ', y, ', ', x2, ', ', y2, '] seen"}}]}')""")
     return _boxes(spark, d).select("l_orderkey", "l_linenumber", fl.parse_chat(reply).alias("r")).select("l_orderkey", "l_linenumber", F.inline("r"))
 
 
-@query(_BOXES + _BOX_OUT.format(kind="CASE lower(w) WHEN 'table' THEN 'table' WHEN 'figure' THEN 'image' WHEN 'title' THEN 'title' ELSE 'body' END") + " WHERE w <> 'nothing' OR l_linenumber > 3")
+_LABELS = ("text", "title", "caption", "table", "list", "image", "Title")
+
+
+@query(_BOXES + f", c AS (SELECT *, {list(_LABELS)}[(l_linenumber - 1) % 7 + 1] AS label, l_orderkey % 5 AS m FROM b)\n" + """SELECT l_orderkey, l_linenumber, CASE label WHEN 'title' THEN 'title' WHEN 'caption' THEN 'caption' WHEN 'table' THEN 'table' WHEN 'image' THEN 'image' ELSE 'body' END AS region_type,
+CASE WHEN m = 0 THEN 0 ELSE x END::DOUBLE AS x, CASE WHEN m = 0 THEN 0 ELSE y END::DOUBLE AS y, CASE WHEN m = 0 THEN 0 ELSE x2 - x END::DOUBLE AS width, CASE WHEN m = 0 THEN 0 ELSE 10 END::DOUBLE AS height,
+CASE WHEN label = 'image' THEN '[image]' WHEN m = 2 THEN '' ELSE 'c' END AS content FROM c WHERE label = 'image' OR label <> 'Title' AND m NOT IN (0, 1)""")
 def parse_ocr_json(spark, d):
-    reply = F.expr("""concat('{"layout_details":[[{"label":"', w, '","bbox_2d":[', x, ',', y, ',', x2, ',', y2, '],"content":"', if(w = 'nothing' and l_linenumber <= 3, ' ', 'c'), '"}]]}')""")
-    return _boxes(spark, d).select("l_orderkey", "l_linenumber", fl.parse_ocr_json(reply).alias("r")).select("l_orderkey", "l_linenumber", F.inline("r")).drop("content")
+    # By order: without a box, without content, with empty content, whole; and labels of each kind, one in the wrong case.
+    labels = ", ".join(f"'{w}'" for w in _LABELS)
+    reply = F.expr(f"""concat('{{"layout_details":[[{{"label":"', element_at(array({labels}), (l_linenumber - 1) % 7 + 1), '"', if(l_orderkey % 5 = 0, '', concat(',"bbox_2d":[', x, ',', y, ',', x2, ',', y2, ']')),
+      case l_orderkey % 5 when 1 then '' when 2 then ',"content":""' else ',"content":"c"' end, '}}]]}}')""")
+    return _boxes(spark, d).select("l_orderkey", "l_linenumber", fl.parse_ocr_json(reply).alias("r")).select("l_orderkey", "l_linenumber", F.inline("r"))
+
+
+@query("SELECT doc_id, 'data:application/pdf;base64,' || base64(encode(text)) AS url, true AS same, md5(doc_id::VARCHAR)[1:8] AS trace, true AS is_uuid FROM documents")
+def request_payload(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"), fl.trace_id(F.col("doc_id").cast("string")).alias("id"), fl.trace_id().alias("random"))
+    uuid4 = F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    url = fl.image_url(F.col("raw"), "application/pdf")
+    return docs.select("doc_id", url.alias("url"), (fl.image_bytes(url) == F.col("raw")).alias("same"), F.substring("id", 1, 8).alias("trace"), (F.regexp_like("id", uuid4) & F.regexp_like("random", uuid4)).alias("is_uuid"))
 
 
 @query("SELECT n_nationkey AS attempt, round(least(1.0 * power(2.0, n_nationkey), 30) * 1.1, 6)::DOUBLE AS seconds, least(power(2.0, n_nationkey), 30)::DOUBLE AS client_seconds FROM nation")
@@ -774,7 +955,8 @@ def retry_backoff(spark, d):
     return fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("attempt"), F.round(fl.retry_backoff(F.col("n_nationkey")), 6).alias("seconds"), fl.client_retry(F.col("n_nationkey")).alias("client_seconds"))
 
 
-@query("SELECT doc_id, length(substr(text, 1, 10000))::INTEGER AS chars FROM documents")
+@query("""WITH h AS (SELECT doc_id, text, strlen(text) AS n, len(list_filter(regexp_extract_all(substr(hex(encode(text)), 1, 20002), '..'), lambda x: x[1] NOT IN ('8', '9', 'A', 'B'))) AS heads FROM documents)
+SELECT doc_id, CASE WHEN n > 10000 THEN heads - 1 ELSE length(text) END::INTEGER AS chars FROM h""")
 def hint_truncate(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.length(fl.hint_truncate(F.col("text"))).alias("chars"))
 
@@ -786,7 +968,16 @@ def backpressure_interval(spark, d):
 
 # ---- streaming-shaped -----------------------------------------------------------------------------
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT channel, at_, metric, severity, row_number() OVER (PARTITION BY channel ORDER BY at_, metric, severity) AS k
+  FROM (SELECT (user_id % 16)::VARCHAR AS channel, epoch_us(ts) / 1e6::DOUBLE AS at_, event_type AS metric, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS severity FROM events)),
+s AS (
+  SELECT DISTINCT channel, 0::BIGINT AS k, NULL::DOUBLE AS last_, []::STRUCT(at_ DOUBLE, metric VARCHAR, severity VARCHAR)[] AS alerts, NULL::VARCHAR AS outcome FROM a
+  UNION ALL
+  SELECT channel, k, CASE WHEN outcome IN ('new', 'merged') THEN at_ ELSE last_ END, CASE WHEN outcome = 'new' THEN list_append(live, {'at_': at_, 'metric': metric, 'severity': severity}) ELSE live END, outcome FROM (
+    SELECT *, CASE WHEN last_ IS NOT NULL AND at_ - last_ < 5 THEN 'cooldown' WHEN len(live) >= 10 THEN 'rate_limited' WHEN len(list_filter(live, lambda x: x.metric = metric AND x.severity = severity)) > 0 THEN 'merged' ELSE 'new' END AS outcome
+    FROM (SELECT a.*, s.last_, list_filter(s.alerts, lambda x: a.at_ - x.at_ < 60) AS live FROM s JOIN a ON a.channel = s.channel AND a.k = s.k + 1))
+)
+SELECT outcome, count(*) AS n FROM s WHERE k > 0 GROUP BY outcome""")
 def alert_aggregator(spark, d):
     a = fx.table(spark, d, "events").selectExpr("cast(user_id % 16 as string) as channel", "unix_micros(cast(ts as timestamp)) / 1e6 as at", "event_type as metric", "if(value > 50, 'high', 'low') as severity")
     return ss.alert_aggregator(a).groupBy("outcome").agg(F.count("*").alias("n"))
@@ -818,10 +1009,11 @@ def html_pages(spark, d):
 
 # ---- the rest of the inventory --------------------------------------------------------------------
 
-@query(_NEEDS + "SELECT count(*) AS scanned, count(*) FILTER (needs_compile) AS compiled, count(*) FILTER (NOT needs_compile) AS skipped FROM n")
+@query("SELECT count(*) AS scanned, count(*) AS compiled, 0::BIGINT AS skipped FROM documents")
 def trigger_incremental_compile(spark, d):
-    plan = cs.incremental_plan(fx.sources(spark, d), fx.compile_state(spark, d))
-    return cs.incremental_totals(plan.withColumn("error", F.lit(None).cast("string")))
+    from .engine import Engine
+
+    return Engine(spark, fx.entries(spark, d), root=_folder(spark)).call("trigger_incremental_compile", files=_pdfs(spark, d))
 
 
 @query(ENTRIES + STATE + "SELECT path, source_hash, n_compiled FROM s")
@@ -833,23 +1025,36 @@ def load_hash_cache(spark, d):
 
 @query(ENTRIES + STATE + "SELECT path, source_hash FROM s WHERE path = 'e/4.md'")
 def get_compilation_state(spark, d):
-    return fx.compile_state(spark, d).where("path = 'e/4.md'").select("path", "source_hash")
+    return cs.get_compilation_state(fx.compile_state(spark, d), "e/4.md").select("path", "source_hash")
+
+
+@query("SELECT n_name AS key, 'v' || CASE WHEN n_nationkey = 3 THEN 'new' ELSE n_nationkey::VARCHAR END AS value, n_nationkey = 3 AS got FROM nation")
+def kv_meta(spark, d):
+    meta = fx.table(spark, d, "nation").selectExpr("n_name as key", "cast(concat('v', n_nationkey) as binary) as value", "n_nationkey")
+    name = meta.where("n_nationkey = 3").first()["key"]
+    new = cs.set_meta(meta.select("key", "value"), name, b"vnew")
+    return new.select("key", F.col("value").cast("string").alias("value"), ((F.col("key") == name) & F.lit(cs.get_meta(new, name) == b"vnew")).alias("got"))
 
 
-@query(ENTRIES + STATE + "SELECT count(*) AS records, count(DISTINCT path) AS keys FROM s")
+@query(ENTRIES + STATE + """SELECT '{"' || path || '":{"source_hash":"' || source_hash || '","compiled_entries":[' || CASE WHEN n_compiled = 0 THEN '' ELSE '"' || path || '"' END || ']' || coalesce(',"instruction_hash":"' || instruction_hash || '"', '') || '}}' AS value FROM s""")
 def export_json(spark, d):
-    lines = cs.export_json(fx.compile_state(spark, d))
-    return lines.agg(F.count("*").alias("records"), F.countDistinct(F.element_at(F.map_keys(F.from_json("value", "map<string,string>")), 1)).alias("keys"))
+    return cs.export_json(fx.compile_state(spark, d))
 
 
 @query(ENTRIES + "SELECT src, dst, kind FROM links")
 def load_graph(spark, d):
-    return st.stage(g.resolve_links(fx.entries(spark, d, False)), "graph")
+    # What is saved lacks a column that is asked for, so the graph is rebuilt, saved and read.
+    path, e = f"{_folder(spark)}/graph", fx.entries(spark, d, False)
+    st.save(g.resolve_links(e).drop("kind"), path)
+    st.load(spark, path, lambda: g.resolve_links(e), ("src", "dst", "kind"))
+    return st.load(spark, path)
 
 
 @query("SELECT 'v/' || vec_id AS path, len(embedding)::INTEGER AS dim FROM embeddings")
 def load_vectors(spark, d):
-    return st.stage(fx.vectors(spark, d).select("path", "vector"), "vectors").select("path", F.size("vector").alias("dim"))
+    model = spark.createDataFrame([("a", 1.0)], "term string, idf double")
+    vectors = fx.vectors(spark, d).select("path", "vector", "title", "domain")
+    return em.load_vectors(spark, _folder(spark), lambda: (vectors, model))[0].select("path", F.size("vector").alias("dim"))
 
 
 @query(ENTRIES + "SELECT path FROM e")
@@ -865,7 +1070,7 @@ def link_totals(spark, d):
 @query("SELECT doc_id, len(list_intersect(a, b))::INTEGER AS both, len(list_distinct(list_concat(a, b)))::INTEGER AS either FROM (SELECT doc_id, ['k' || doc_id % 7, 'm' || doc_id % 11, source] AS a, ['k' || doc_id % 5, 'm' || doc_id % 3, 'src1'] AS b FROM documents)")
 def tag_sets(spark, d):
     t = fx.table(spark, d, "documents").selectExpr("doc_id", "array(concat('k', doc_id % 7), concat('m', doc_id % 11), source) as a", "array(concat('k', doc_id % 5), concat('m', doc_id % 3), 'src1') as b")
-    return t.select("doc_id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("either"))
+    return t.select("doc_id", g.shared_tags(F.col("a"), F.col("b")).alias("both"), g.all_tags(F.col("a"), F.col("b")).alias("either"))
 
 
 @query("""WITH g AS (SELECT p_partkey, list_distinct(list_transform(range(1, greatest(1, length(p_name)) + 1), lambda k: substr('  ' || lower(p_name) || ' ', k, 3))) AS a, list_distinct(list_transform(range(1, greatest(1, length(p_type)) + 1), lambda k: substr('  ' || lower(p_type) || ' ', k, 3))) AS b FROM part)
@@ -882,19 +1087,21 @@ def determine_quality(spark, d):
 
 @query(_AROUND.replace("'e/3.md'", "'e/6.md'") + "SELECT path, edge_kind FROM hop1")
 def neighbours_one_hop(spark, d):
-    e = fx.entries(spark, d, False)
-    return g.neighbours(g.build_graph(e), "e/6.md", 1).where("hop = 1").select("path", "edge_kind")
+    return g.neighbours_of(fx.entries(spark, d, False), "e/6.md", 1).where("hop = 1").select("path", "edge_kind")
 
 
 @query("SELECT name, columns FROM (VALUES ('extracted_documents', 7), ('processing_tasks', 12), ('validation_records', 8), ('audit_logs', 9), ('schema_definitions', 9)) t(name, columns)")
 def relational_tables(spark, d):
-    from ..schema import RELATIONAL
-
-    sizes = [(name, len(spark.createDataFrame([], columns).columns)) for name, columns in RELATIONAL.items()]
+    prefix = f"q{uuid.uuid4().hex}_"
+    made = sf.create_relational_tables(spark, prefix)
+    try:
+        sizes = [(name.removeprefix(prefix), len(spark.table(name).columns)) for name in made]
+    finally:
+        for name in made:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     return spark.createDataFrame(sizes, "name string, columns int")
 
 
 @query(PAGES + "SELECT path, count(*) FILTER (text <> '') AS filled, count(*) AS pages, 100.0::DOUBLE * count(*) FILTER (text <> '') / count(*) AS share FROM p GROUP BY path")
 def page_fill(spark, d):
-    p = fx.pages(spark, d).groupBy("path").agg(F.count_if(F.col("text") != "").alias("filled"), F.count("*").alias("pages"))
-    return p.withColumn("share", 100.0 * F.col("filled") / F.col("pages"))
+    return sf.page_fill(fx.pages(spark, d))

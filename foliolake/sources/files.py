@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.files import entry_body, file_size_mb, format_text, parse_front_matter, source_name, to_markdown
+from ..functions.files import entry_body, file_size_mb, parse_front_matter, source_name
 from ..schema import PAGE, RELATIONAL
+from .tables import read_text, stage, write_text
 
 _SKIPPED = ("index.md", "log.md")
 
@@ -81,6 +81,23 @@ def extract_structured(files: DataFrame, extractor: str = "text", width: float =
     return raw.select("path", "page_number", "text", box.alias("bbox"), F.array().cast(PAGE.split("lines ")[1]).alias("lines"), "error")
 
 
+def batch_process(files: DataFrame, extractor: str = "text", report: Callable[[int, int, int], None] | None = None, parts: int = 10) -> DataFrame:
+    """extract_structured in `parts` parts of the files, staged; report(done, failed, total) after each: counts of files.
+
+    A part is written before the next begins, so a run that stops keeps what it reported.  Empty table: no rows.
+    """
+    total, done, failed, out = files.count(), 0, 0, None
+    for k in range(parts):
+        part = files.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k)
+        pages = stage(extract_structured(part, extractor), "batch")
+        counts = pages.agg(F.countDistinct("path").alias("n"), F.countDistinct(F.when(F.col("error").isNotNull(), F.col("path"))).alias("bad")).first()
+        done, failed = done + counts["n"], failed + counts["bad"]
+        if report:
+            report(done, failed, total)
+        out = pages if out is None else out.unionByName(pages)
+    return out
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """(path, text): pages in order, a line break between, trimmed."""
     in_order = F.array_sort(F.collect_list(F.struct("page_number", "text")))
@@ -88,9 +105,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
 
 def get_page_count(pages: DataFrame) -> DataFrame:
+    """(path, page_count): rows of each path; a path without pages has no row."""
     return pages.groupBy("path").agg(F.count("*").alias("page_count"))
 
 
+def page_fill(pages: DataFrame) -> DataFrame:
+    """(path, filled, pages, share): pages that hold any text, all pages, and the share in percent; null is no text."""
+    counted = pages.groupBy("path").agg(F.count_if(F.coalesce("text", F.lit("")) != "").alias("filled"), F.count("*").alias("pages"))
+    return counted.withColumn("share", 100.0 * F.col("filled") / F.col("pages"))
+
+
 def strip_tags(html) -> object:
     """Text of an HTML string: scripts and styles dropped, tags to blanks, common entities undone, blanks folded."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
@@ -106,59 +130,31 @@ def agent_payload(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.concat(F.lit("# "), source_name(F.col("path")), F.lit("\n\n"), F.col("text")).alias("payload"))
 
 
-def raw_pages(texts: DataFrame, quality: float = 0.85) -> DataFrame:
-    """(name, content) as they are saved in raw/: a heading, the quality, the formatted text."""
-    head = F.format_string("# %s\n\nquality: %.2f\n\n", source_name(F.col("path")), F.lit(quality))
-    return texts.select(F.concat(source_name(F.col("path")), F.lit(".md")).alias("name"), F.concat(head, format_text(F.col("text"))).alias("content"))
-
-
-def compile_to_wiki(texts: DataFrame, domain: str, now) -> DataFrame:
-    """Level-0 pending entries of texts(path, text)."""
-    return texts.select(
-        F.concat(F.lit("raw/"), source_name(F.col("path")), F.lit(".md")).alias("path"), source_name(F.col("path")).alias("title"), F.lit(domain).alias("domain"), F.col("path").alias("source"), F.sha2("text", 256).alias("source_hash"),
-        F.array().cast("array<string>").alias("tags"), F.lit("l0").alias("level"), F.lit("pending").alias("status"), F.lit(1).cast("long").alias("version"), now.alias("created"), now.alias("updated"), F.col("text").alias("body"),
-    )
-
-
 def generate_index(pages: DataFrame) -> DataFrame:
     """(domain, title, path, abstract) of pages(path, content) directly in the wiki, by domain and title.
 
-    Title: the first `# ` line; `[domain] name` is split; abstract: the line after `[!ABSTRACT]`.
+    Title: the first `# ` line, else the file's name; `[domain] name` is split, and a title that only opens the
+    bracket leaves the page out; abstract: the line after the one that holds `[!ABSTRACT]`, trimmed.
     """
     top = pages.where(~F.contains("path", F.lit("/")) & ~F.col("path").isin(*_SKIPPED))
     heading = F.regexp_extract("content", r"(?m)^# (.*)$", 1)
-    title = F.when(heading == "", source_name(F.col("path"))).otherwise(heading)
-    split = F.regexp_extract(title, r"^\[([^\]]*)\]", 1)
-    name = F.when(split != "", F.trim(F.regexp_replace(title, r"^\[[^\]]*\]", ""))).otherwise(title)
-    abstract = F.trim(F.regexp_extract("content", r"\[!ABSTRACT\][^\n]*\n>?([^\n]*)", 1))
-    return top.select(F.when(split != "", split).otherwise("general").alias("domain"), name.alias("title"), "path", abstract.alias("abstract")).orderBy("domain", "title", "path")
-
-
-def index_markdown(index: DataFrame) -> DataFrame:
-    """(domain, content): the index's table for each domain."""
-    row = F.format_string("| [%s](%s) | %s |", "title", "path", "abstract")
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "path", row.alias("r")))), lambda x: x["r"]), "\n")
-    return index.groupBy("domain").agg(F.concat(F.lit("## "), F.first("domain"), F.lit("\n\n| page | abstract |\n|-|-|\n"), rows).alias("content"))
-
-
-def write_markdown(entries: DataFrame, path: str) -> None:
-    """Entries as (path, content) in a Parquet table: one row a file, so any number of files stays one table."""
-    entries.select("path", to_markdown().alias("content")).write.mode("overwrite").parquet(path)
+    title = F.when(F.regexp_like("content", F.lit(r"(?m)^# ")), heading).otherwise(F.replace("path", F.lit(".md"), F.lit("")))
+    rows = top.select("path", title.alias("title"), F.trim(F.regexp_extract("content", r"\[!ABSTRACT\][^\n]*\n([^\n]*)", 1)).alias("abstract"))
+    rows = rows.where(~F.startswith("title", F.lit("[")) | F.contains("title", F.lit("]")))
+    named = F.startswith("title", F.lit("["))
+    close = F.locate("]", F.col("title"))
+    # Fixed value: the domain of a page that names none.
+    domain = F.when(named, F.substr(F.col("title"), F.lit(2), close - 2)).otherwise("未分类")
+    name = F.when(named, F.substr(F.col("title"), close + 2)).otherwise(F.col("title"))
+    return rows.select(domain.alias("domain"), name.alias("title"), "path", "abstract").orderBy("domain", "title", "path")
 
 
 # ---- configuration --------------------------------------------------------------------------------
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def read_config(spark: SparkSession, path: str) -> dict[str, str]:
-    try:
-        rows = spark.read.text(path, wholetext=True).collect()
-    except AnalysisException:
-        return {}
-    return {str(k): str(v) for k, v in json.loads(rows[0][0]).items()} if rows else {}
+    """The configuration at path; none: empty."""
+    text = read_text(spark, path)
+    return {str(k): str(v) for k, v in json.loads(text).items()} if text else {}
 
 
 def set_config(spark: SparkSession, path: str, changes: dict[str, str | None]) -> dict[str, str]:
@@ -167,17 +163,12 @@ def set_config(spark: SparkSession, path: str, changes: dict[str, str | None]) -
     for k, v in changes.items():
         if v is None:
             new.pop(k, None)
-    fs, target = _fs(spark, path)
-    _, draft = _fs(spark, path + ".new")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(new, sort_keys=True, ensure_ascii=False), "utf-8"))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(draft, target)
+    write_text(spark, path, json.dumps(new, sort_keys=True, ensure_ascii=False))
     return new
 
 
 def config_show(spark: SparkSession, config: dict[str, str]) -> DataFrame:
+    """(key, value) by key; an empty configuration has no rows."""
     return spark.createDataFrame(sorted(config.items()), "key string, value string").orderBy("key")
 
 

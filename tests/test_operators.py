@@ -79,6 +79,34 @@ def test_communities(spark, form):
     assert made([]) == []
 
 
+@pytest.mark.parametrize("compat", ["most_frequent", "least_frequent"])
+def test_communities_equal_rounds_by_hand(spark, compat):
+    import random
+
+    r = random.Random(2)
+    edges = [(f"n{r.randrange(30):02}", f"n{r.randrange(30):02}") for _ in range(60)] + [("p", "q")] * 2 + [("q", "q")]
+    around: dict = {}
+    for a, b in edges:
+        if a != b:
+            around.setdefault(a, []).append(b)
+            around.setdefault(b, []).append(a)
+    label = {n: n for n in around}
+    for k in range(50):
+        before = dict(label)
+        for first in (True, False):
+            now = dict(label)
+            for n in around:
+                if (hashlib.md5(f"{n}:{k}".encode()).hexdigest()[0] < "8") == first:
+                    votes: dict = {}
+                    for x in around[n]:
+                        votes[now[x]] = votes.get(now[x], 0) + 1
+                    label[n] = min(votes, key=lambda x: (-votes[x] if compat == "most_frequent" else votes[x], x))  # noqa: B023
+        if label == before:
+            break
+    made = spark.createDataFrame([(*e, "related") for e in edges], "src string, dst string, kind string")
+    assert {x.path: x.label for x in g.detect_communities(made, compat=compat).collect()} == label
+
+
 def test_aggregates(spark):
     e = entries(spark, [("a", {}), ("b", {"domain": "math"}), ("c", {"domain": "math"}), ("d", {"level": "l2"})])
     labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")], "path string, label string")
@@ -87,10 +115,16 @@ def test_aggregates(spark):
 
 def test_quality(spark):
     e = entries(spark, [("a", {"title": " ", "domain": None, "tags": None, "quality_score": 0.0}), ("b", {"tags": ["x"]})])
-    assert sorted(r.severity for r in q.check_quality(e).collect()) == ["error", "error", "info", "warning"]
+    issues = q.check_quality(e.unionByName(entries(spark, [("c", {"title": ""})])))
+    assert sorted((r.path, r.severity, r.message) for r in issues.where("path <> 'b'").collect()) == [
+        ("a", "error", "Missing domain"), ("a", "info", "Quality score is 0 (not yet assessed)"), ("a", "warning", "No tags assigned"), ("c", "error", "Missing title"), ("c", "warning", "No tags assigned"),
+    ]
     assert q.quality_totals(e).first().average_score == 0.5 and q.quality_totals(e.limit(0)).first().average_score == 0.0
     assert q.quality_flags(q.check_quality(e)).first() == (True, True)
-    assert q.quality_report_markdown(e, q.check_quality(e)).startswith("# Quality report")
+    many = entries(spark, [(f"p{k:03}", {"title": ""}) for k in range(150)])
+    report = q.quality_report_markdown(many, q.check_quality(many)).splitlines()
+    assert report[0] == "# Quality report" and [x for x in report if "Missing title" in x] == [f"- [error] p{k:03}: Missing title" for k in range(150)]
+    assert len(q.by_category_and_status(e.withColumn("category", F.lit("X")).withColumn("status", F.lit(None).cast("string")), ["x"]).collect()) == 2
 
 
 def test_front_matter(spark):
@@ -109,8 +143,11 @@ def test_front_matter(spark):
 
 def test_probe_and_validation(spark):
     files = spark.createDataFrame([("a", bytearray(b"Not a PDF")), ("b", bytearray(b"%PDF-1.4 /Font /Image")), ("c", bytearray(b"%PDF-1.4 /Image")), ("d", bytearray(b""))], "path string, content binary")
-    got = {r.path: (r.quality, r.needs_vlm) for r in ff.quality_probe(files).collect()}
-    assert got == {"a": ("invalid", False), "b": ("digital", False), "c": ("scanned", True), "d": ("invalid", False)}
+    got = {r.path: (r.quality, r.needs_vlm, r.confidence, r.extraction_method) for r in ff.quality_probe(files).collect()}
+    assert got == {"a": ("invalid", False, 1.0, "pdfium"), "b": ("digital", False, 0.95, "pdfium"), "c": ("scanned", True, 0.9, "vlm"), "d": ("invalid", False, 1.0, "pdfium")}
+    marks = [(m, bytearray(f"%PDF {m}".encode())) for m in ("/Type0", "/CIDFont", "/XObject", "/DCTDecode", "/FlateDecode", "/Else")] + [("dark", bytearray(b"%PDF/XObject/Font" + bytes(2000)))]
+    got = {r.path: (r.quality, r.extraction_method) for r in ff.quality_probe(spark.createDataFrame(marks, "path string, content binary")).collect()}
+    assert got == {m: (("digital", "pdfium") if m in ("/Type0", "/CIDFont") else ("unknown", "pdfium") if m == "/Else" else ("low_quality", "hybrid") if m == "dark" else ("scanned", "vlm")) for m, _ in marks}
     assert value(spark, ff.determine_quality(F.lit(0.05), F.lit(False), F.lit(True))) == "scanned" and value(spark, ff.determine_quality(F.lit(0.5), F.lit(True), F.lit(False))) == "digital"
     c = spark.createDataFrame([("x.pdf", False, 1, b"%PDF"), ("x.txt", True, 1, b"%PDF"), ("x.PDF", True, 0, b""), ("x.pdf", True, 9, b"GIF8"), ("x.pdf", True, 9, b"%PDF-1")], "path string, exists boolean, length long, header binary")
     assert [r[0] for r in c.select(ff.validate_file()).collect()] == ["not_found", "bad_extension", "empty", "bad_magic", None]
@@ -126,7 +163,15 @@ def test_routing(spark):
     assert [value(spark, fl.page_complexity(F.lit(a), F.lit(b))) for a, b in ((1000, 0.9), (200, 0.5), (10, 0.1))] == ["simple", "moderate", "complex"]
     r = value(spark, fl.parse_layout_text(F.lit("Table [1, 2, 11, 22] ... [5,5,6,7]")))
     assert [(x.region_type, x.width, x.height) for x in r] == [("table", 10.0, 20.0), ("table", 1.0, 2.0)]
-    assert value(spark, fl.parse_ocr_json(F.lit("broken"))) == []
+    kinds = lambda t: [(x.region_type, x.content) for x in value(spark, fl.parse_layout_text(F.lit(t)))]
+    assert kinds("caption of a table [1,2,3,4]") == [("caption", "[1,2,3,4]")] and kinds("heading, IMAGE [1, 2, 3, 4.5]") == [("body", "[1, 2, 3, 4.5]")] and kinds("figure [1,2,3,4]") == [("body", "[1,2,3,4]")]
+    assert kinds("image [-1,2,3,4] [1,2,3]") == []
+    assert kinds("[1,2,3,4]" + " " * 45 + "title") == [("title", "[1,2,3,4]")] and kinds("[1,2,3,4]" + " " * 46 + "title") == [("body", "[1,2,3,4]")]
+    assert kinds("title" + " " * 45 + "[1,2,3,4]") == [("title", "[1,2,3,4]")] and kinds("title" + " " * 46 + "[1,2,3,4]") == [("body", "[1,2,3,4]")]
+    assert value(spark, fl.parse_ocr_json(F.lit("broken"))) is None
+    reply = '{"layout_details":[[{"label":"caption","bbox_2d":[1,2,4,8],"content":"c"},{"label":"image"},{"label":"figure","bbox_2d":[1,2,3,4],"content":"x"},{"label":"list","content":"no box"},{"label":"list","bbox_2d":[0,0,1,1],"content":""}]]}'
+    assert [tuple(x) for x in value(spark, fl.parse_ocr_json(F.lit(reply)))] == [("caption", 1.0, 2.0, 3.0, 6.0, "c"), ("image", 0.0, 0.0, 0.0, 0.0, "[image]"), ("body", 0.0, 0.0, 1.0, 1.0, "")]
+    assert value(spark, fl.hint_truncate(F.lit("é" * 6), 5)) == "éé" and value(spark, fl.hint_truncate(F.lit("日本語"), 8)) == "日本" and value(spark, fl.hint_truncate(F.lit("😀x"), 3)) == "" and value(spark, fl.hint_truncate(F.lit("abc"), 3)) == "abc"
     assert [round(value(spark, fl.retry_backoff(F.lit(k))), 2) for k in (0, 1, 10)] == [1.1, 2.2, 33.0]
     assert [round(value(spark, fl.backpressure_interval(F.lit(x))), 6) for x in (-1.0, 0.8, 2.0)] == [1000.0, 5000.0, 30000.0]
 
@@ -165,6 +210,9 @@ def test_keywords(spark):
     got = sorted((r.page_number, r.position, r.matched) for r in ft.search_keywords(pages, ["a.b", ""]).collect())
     assert got == [(1, 0, "a.b"), (1, 4, "A.B"), (2, 2, "a.b")]
     assert ft.search_keywords(pages, ["a.b"], case_sensitive=True).count() == 2 and ft.search_keywords(pages, []).count() == 0
+    other = spark.createDataFrame([("p", "Éa éA ÉÉ жЖ"), ("q", None), ("r", "k K \u212a " * 400)], "path string, text string")
+    assert sorted((r.keyword, r.position) for r in ft.search_keywords_client(other.where("path = 'p'"), ["é", "Ж"]).collect()) == [("é", 0), ("é", 3), ("é", 6), ("é", 7), ("Ж", 9), ("Ж", 10)]
+    assert sorted(r.position for r in ft.search_keywords_client(other, ["k"]).collect()) == [2 * k for k in range(1200)]
 
 
 def test_vectors(spark):
@@ -218,6 +266,10 @@ def test_drift(spark):
     e = entries(spark, [("a", {"tags": ["x", "y"], "created": day(0)}), ("b", {"tags": ["y", "x"], "created": day(90)}), ("c", {"tags": ["x"], "created": day(89)})])
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.0, 1.0])], "path string, vector array<double>")
     assert [tuple(r) for r in q.drift_pairs(e, v).collect()] == [("a", "b", "x", 90, 0.0)]
+    more = entries(spark, [(f"n{k}", {"tags": ["x"], "created": day(100 * k)}) for k in range(6)])
+    turned = spark.createDataFrame([(f"n{k}", [1.0, float(k * k)]) for k in range(6)], "path string, vector array<double>")
+    found = [r.similarity for r in q.drift_pairs(more, turned).collect()]
+    assert found == sorted(found) and len(found) == 4
 
 
 def test_aggregated_entries_use_the_default_rounds(spark, monkeypatch):
@@ -227,3 +279,45 @@ def test_aggregated_entries_use_the_default_rounds(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(g, "detect_communities", lambda edges, *a, f=g.detect_communities, **b: asked.append((a, b)) or f(edges, *a, **b))
     assert queries.aggregate_entries(spark, SF).count() > 0 and asked == [((), {})]
+
+
+def test_dictionary_tokenizer(spark):
+    words = {"自然": 50, "自然语言": 30, "语言": 80, "语言模型": 20, "模型": 60, "处理": 40, "研究": 9, "研究生": 9, "生命": 9, "起源": 9}
+    ft.register_tokenizer("dictionary", ft.dictionary_tokenizer(words))
+    docs = spark.createDataFrame([("a", "自然语言处理 Transformer模型, it's 语言x"), ("b", None), ("c", "研究生命起源"), ("d", "龘 a1")], "path string, body string")
+    got = {r.path: r.t for r in docs.select("path", ft.tokens(F.col("body"), "dictionary").alias("t")).collect()}
+    assert got == {"a": ["自然语言", "处理", "Transformer", "模型", ",", "it", "'", "s", "语言", "x"], "b": None, "c": ["研究", "生命", "起源"], "d": ["龘", "a1"]}
+
+
+def test_embeddings(spark, tmp_path):
+    from foliolake.operators import embedding as em
+
+    e = entries(spark, [("a", {"title": "red", "body": "apple pie"}), ("b", {"title": "blue", "body": "sky high"}), ("c", {"title": None, "body": None})])
+    vectors, table = em.batch_embed_all(e)
+    assert {r.path: any(r.vector) for r in vectors.collect()} == {"a": True, "b": True, "c": False}
+    root = f"file://{tmp_path}/v"
+    em.save_vectors(vectors.where("path = 'b'"), table, root)
+    indexed, hit = em.embed_entry(e, "a", *em.load_vectors(spark, root))
+    assert indexed.count() == 2 and [(r.path, r.title, round(r.score, 6)) for r in hit.collect()] == [("a", "red", 1.0)]
+    assert em.embed_entry(e, "nowhere", vectors, table)[1].count() == 0
+    em.register_embedding_model("ones", em.EmbeddingModel(lambda texts: texts.limit(0), lambda texts, _: texts.select("path", F.array(F.lit(1.0), F.lit(1.0)).alias("vector"))))
+    assert [r.vector for r in em.batch_embed_all(e, "ones")[0].collect()] == [[1.0, 1.0]] * 3
+
+
+def test_searching_many(spark):
+    v = spark.createDataFrame([(f"p{k}", [float(k), 1.0]) for k in range(20)], "path string, vector array<double>")
+    asked = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(20)] + [(99, None)], "query_id long, q array<double>")
+    import foliolake.functions.vectors as module
+
+    old, module.BLOCK = module.BLOCK, 4
+    try:
+        got = fv.vector_search_many(v, asked, 2).collect()
+    finally:
+        module.BLOCK = old
+    assert {(r.query_id, r.path) for r in got if r["rank"] == 1 and r.query_id < 20} == {(k, f"p{k}") for k in range(20)} and len(got) == 42
+
+
+def test_pages_by_position(spark):
+    pages = spark.createDataFrame([("a", 1, " one "), ("a", 2, ""), ("a", 3, "three")], "path string, page_number int, text string")
+    asked = spark.createDataFrame([("a", 0), ("a", 2), ("a", 3), ("a", 3), ("a", 99), ("a", -1), ("b", 0)], "path string, position int")
+    assert sorted((r.position, r.page_number) for r in ft.find_page(pages, asked).collect()) == [(0, 1), (2, 1), (3, 3), (99, 3)]

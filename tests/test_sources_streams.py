@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from foliolake.plans.engine import TOOLS, Engine
+from foliolake.plans.engine import TOOLS, Engine, register_tool
 from foliolake.sources import files as sf
 from foliolake.sources import tables as st
+from foliolake.sources import wiki as sw
 from foliolake.streaming import streams as ss
 
 PAGE = "---\ntitle: {t}\ndomain: IT\ntags: [a, b]\nrelated: [{r}]\ncreated: 2024-01-01\nupdated: 2024-01-01\n---\nAll about {t}.\n"
@@ -35,7 +36,14 @@ def test_engine_on_a_wiki(spark, wiki, tmp_path):
     assert e.call("get_health_report").first().broken_link_count == 1
     assert e.call("suggest_links", path="it/c.md").count() == 0
     assert e.call("set_config", a="1", b="2") == {"a": "1", "b": "2"} and e.call("set_config", a=None) == {"b": "2"} and e.call("get_config", key="b") == "2"
-    assert e.call("get_compile_status").first().status == "never_run"
+    assert e.call("get_compile_status").first().message == "No compile has been performed yet."
+    assert e.index() is None and e.call("rebuild_index")[0].count() > 0 and e.index() is not None
+    assert [r.path for r in e.call("search_knowledge", query="Rust").collect()] == ["it/a b.md"]
+    Engine(spark, e.entries.limit(0), root=e.root).call("search_knowledge", query="Rust").count()  # the saved index is what is read
+    assert e.embed_entry("it/c.md").first().path == "it/c.md"
+    assert e.call("get_health_report").first().index_bytes > 0
+    register_tool("shout", lambda e, text: text.upper())
+    assert e.call("shout", text="x") == "X" and TOOLS.pop("shout")
     with pytest.raises(KeyError):
         e.call("nothing")
 
@@ -50,6 +58,86 @@ def test_snapshots(spark, tmp_path):
     assert st.load(spark, path).count() == 2
     assert st.load(spark, path, lambda: made().withColumn("w", F.lit(1)), ("w",)).count() == 1
     assert st.insert_missing(made(), made().withColumn("dst", F.lit("z")), "src").first().dst == "b"
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "z", 0), ("c", "q", 1), (None, "n", 1), (None, "n", 1)], "src string, dst string, w int")
+    assert sorted(map(str, (tuple(r) for r in st.upsert(made(), rows, "src").collect()))) == sorted(map(str, [("a", "z", None, 0), ("c", "q", None, 1), (None, "n", None, 1), (None, "n", None, 1)]))
+
+
+def test_a_save_that_was_cut_off_is_found_again(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    st.save(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # the old one has stepped aside, the new one is not there yet
+    assert st.load(spark, path).count() == 3
+    st.save(spark.range(5), path)
+    assert st.load(spark, path).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    class Other:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        st.shared_dir(Other)
+    Other.sparkContext.master = "local[4]"
+    assert st.shared_dir(Other) == st.LOCAL
+
+
+def test_batch_size_is_given_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), st.arrow_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
+def test_compiling_files(spark, tmp_path):
+    root, now = f"file://{tmp_path}/kb", F.expr("timestamp'2030-01-01 00:00:00'")
+    files = spark.createDataFrame([("in/a b.pdf", bytearray("one\x0ctwo é".encode())), ("in/c.pdf", bytearray(b"x"))], "path string, content binary")
+    first = sw.incremental_compile(files, root, now)
+    assert {(r.path, r.action, r.error) for r in first.collect()} == {("in/a b.pdf", "compile", None), ("in/c.pdf", "compile", None)}
+    raw = (tmp_path / "kb" / "raw" / "a b.md").read_text()
+    assert raw.startswith("---\nsource_file: in/a b.pdf\nsource_name: a b\nfile_hash: ") and raw.endswith("## 正文\n\none\ntwo é") and "- 页数: 2\n- 质量: 0%" in raw
+    assert "two é" in (tmp_path / "kb" / "raw" / "a b.compile_prompt.md").read_text() and "暂无词条" in (tmp_path / "kb" / "wiki" / "index.md").read_text()
+    status = sw.cs.get_compile_status(spark, root).first()
+    assert (status.entries_compiled, status.entries_skipped, status.last_outcome, status.last_finished) == (2, 0, "success", "2030-01-01T00:00:00Z")
+    assert {r.action for r in sw.incremental_compile(files, root, now).collect()} == {"skip"}
+    sf.register_extractor("picky", lambda raw: [raw.decode()] if raw != b"bad" else 1 / 0)
+    worse = spark.createDataFrame([("in/a b.pdf", bytearray(b"new")), ("in/c.pdf", bytearray(b"bad"))], "path string, content binary")
+    assert {(r.path, r.action, r.error is None) for r in sw.incremental_compile(worse, root, now, extractor="picky").collect()} == {("in/a b.pdf", "compile", True), ("in/c.pdf", "compile", False)}
+    assert sw.cs.get_compile_status(spark, root).first().entries_compiled == 1
+    again = sw.incremental_compile(worse, root, now, extractor="picky").collect()
+    assert {(r.path, r.action) for r in again} == {("in/a b.pdf", "skip"), ("in/c.pdf", "compile")}
+    with pytest.raises(Exception, match="not a path below the root"):
+        sw.write_files(spark.createDataFrame([("../x", "y")], "path string, content string"), root)
+
+
+def test_recompiling_an_entry(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "s.pdf").write_bytes(b"new")
+    (tmp_path / "wiki" / "it").mkdir(parents=True)
+    page = PAGE.format(t="Go", r="").replace("tags:", "source: raw/s.pdf\nsource_hash: old\ncategory: 'a: b'\naggregated_from: [x]\ntags:")
+    (tmp_path / "wiki" / "it" / "c.md").write_text(page)
+    got = sw.recompile_file(spark, root, "it/c.md", F.expr("timestamp'2030-01-01 00:00:00'"))
+    assert (got["version"], got["source_changed"], got["source_exists"], got["backup"]) == (1, True, True, "wiki/.versions/c_v0.md")
+    assert (tmp_path / "wiki" / ".versions" / "c_v0.md").read_text() == page
+    (e,) = sf.scan_entries(sf.read_markdown(spark, f"{root}/wiki")).collect()
+    assert (e.title, e.version, e.status, e.category, e.source, e.aggregated_from, e.updated.year, e.body.strip()) == ("Go", 1, "needs_recompile", "a: b", "raw/s.pdf", ["x"], 2030, "All about Go.")
+    assert e.source_hash != "old"
+    with pytest.raises(FileNotFoundError):
+        sw.recompile_file(spark, root, "it/none.md", F.current_timestamp())
+
+
+def test_batches_report_their_progress(spark):
+    files = spark.createDataFrame([(f"p{k}", bytearray(b"x" if k else b"")) for k in range(7)], "path string, content binary")
+    sf.register_extractor("strict", lambda raw: [raw.decode()] if raw else 1 / 0)
+    seen = []
+    assert sf.batch_process(files, "strict", lambda *x: seen.append(x), parts=3).where("error is null").count() == 6
+    assert len(seen) == 3 and seen[-1] == (7, 1, 7) and [x[0] for x in seen] == sorted(x[0] for x in seen)
 
 
 def test_pdf_stand_ins(spark, tmp_path):
@@ -94,6 +182,18 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, alerts.collect())) == sorted(map(tuple, ss.alert_aggregator(batch).collect()))
 
 
+def test_last_samples_stream(spark, tmp_path):
+    schema = "metric string, at double, value double"
+    rows = [(f"m{k % 3}", float(k), None if k % 17 == 5 else float(k * 37 % 101)) for k in range(120)]
+    for k in range(3):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = _run(ss.last_samples_stream(stream, 10), "update", "last_samples").collect()
+    for name in ("m0", "m1", "m2"):
+        values = [v for m, _, v in rows if m == name and v is not None][-10:]
+        assert tuple(ss.window_stats(values)) in {tuple(r)[1:] for r in seen if r.metric == name}
+
+
 def test_windows_and_files_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", F.col("event_type").alias("metric"), "value")
     events.write.parquet(f"{tmp_path}/in")
