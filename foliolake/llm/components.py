@@ -20,7 +20,7 @@ def _toward_minimum(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges(a long, b long); component is its least reachable node.
+    """Staged (node, component) for every node of edges(a long, b long); component is its least reachable node.
 
     Loops, repeated edges and edges with a null end are ignored; a node that has no other edge is not
     returned.  No edges: no rows.
@@ -44,4 +44,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         release(now, least, large, least2)
         now = after
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stage(members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    release(now)
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .staging import bounded_batches, release, stage
+from .staging import release, stage, stage_mapped
 
 #: Words the uniform model spreads over, at the least; with more distinct words in the corpus, their number.
 VOCABULARY = 1 << 16
@@ -80,7 +80,7 @@ def encode(docs: DataFrame) -> DataFrame:
         if held[0]:
             yield group(number, *held)
 
-    return stage(bounded_batches(docs.select("doc_id", "text", "wanted")).mapInArrow(run, _GROUP), "groups")
+    return stage_mapped(docs.select("doc_id", "text", "wanted").mapInArrow(run, _GROUP), "groups")
 
 
 def _known(row: dict) -> tuple[np.ndarray, ...]:

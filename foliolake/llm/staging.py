@@ -1,48 +1,34 @@
-"""Tables between the steps of an operator, written where every executor can read them.
-
-A staged table cuts lineage and survives the loss of executors.  It goes to the folder that the cluster
-names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a local one used.
-"""
+"""Tables between the steps of an operator, as the library stages them, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
 
-LOCAL = "file:///tmp/checkpoints"
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
+from ..sources.tables import arrow_batches, file_system, read_text, release, shared_dir, stage, write_text
 
-def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
+__all__ = ["arrow_batches", "file_system", "parts_of", "read_text", "release", "shared_dir", "stage", "stage_mapped", "write_text"]
 
+#: Whole texts handed to Python at once: rows, and bytes unless one text alone is longer.
+ROWS, BYTES = 2048, 32 << 20
 
-def bounded_batches(df: DataFrame, rows: int = 2048) -> DataFrame:
-    """df, with at most `rows` rows handed to Python at once from now on: rows here are whole texts.
 
-    Spark's default of 10,000 rows would be tens of MB for every worker, several times over.  A smaller
-    setting of the session's own is left alone.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(name, str(rows))
-    return df
+def stage_mapped(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """stage, for a df whose Python functions take whole texts: batches are small while it is written."""
+    with arrow_batches(df.sparkSession, ROWS, BYTES):
+        return stage(df, label, codec)
 
 
-def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """Writes df once, with the session's codec or the one given, and returns a scan of what was written."""
-    path = f"{shared_dir(df.sparkSession)}/foliolake/{label}-{uuid.uuid4().hex}"
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
+def parts_of(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows, so many at once: for results that are computed when somebody else reads them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def release(*staged: DataFrame) -> None:
-    """Deletes staged tables that nothing will read again."""
-    for df in staged:
-        spark, path = df.sparkSession, getattr(df, "_staged_at", None)
-        if path:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, handed to Python at most ROWS rows at once from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    return df

@@ -1,4 +1,4 @@
-"""What the vector operators share: valid vectors of a table, as Arrow batches and numpy matrices."""
+"""What the vector operators share: valid vectors of a table, numpy matrices, centres to gather rows by."""
 
 from __future__ import annotations
 
@@ -29,3 +29,36 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     rows = np.repeat(np.arange(len(n)), n)
     out[rows, np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)] = values
     return out
+
+
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x to all centres."""
+    square = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def centres(x: np.ndarray, n: int, rounds: int = 6, rows: bool = False) -> np.ndarray:
+    """Up to n centres of the rows of x: rows far from each other, then a few rounds of means; the same for the same x.
+
+    With `rows`, the rows nearest to those means instead of the means.
+    """
+    if not len(x) or n < 1:
+        return x[:0]
+    chosen = [int((x * x).sum(1).argmax())]
+    gap = np.sqrt(((x - x[chosen[0]]) ** 2).sum(1))
+    while len(chosen) < min(n, len(x)) and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
+    out = x[chosen].copy()
+    for _ in range(rounds):
+        near = distances(x, out).argmin(1)
+        counts = np.bincount(near, minlength=len(out))
+        sums = np.zeros_like(out)
+        np.add.at(sums, near, x)
+        out[counts > 0] = sums[counts > 0] / counts[counts > 0][:, None]
+    return x[np.unique(distances(out, x).argmin(1))] if rows else out
+
+
+def narrowest(largest: float) -> np.dtype:
+    """The smallest type of whole numbers that holds everything up to `largest` in size, doubles beyond 32 bits."""
+    return np.dtype("<i2" if largest < 1 << 15 else "<i4" if largest < 1 << 31 else "<f8")
