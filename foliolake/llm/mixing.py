@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target says how many copies of each of its documents are wanted.  Whole copies are certain; for
-the fraction that remains, documents are ranked by random odds over inclusion odds (Rosen's Pareto
-sampling), and the sample is the head of that order whose words fit what is still wanted, closed by up to
-CLOSING further documents, each the one that comes nearest to the rest.
+A source's target is shared among its documents in proportion to a preference, by default the binary digits
+of their sizes, so that a longer text is likelier than a shorter one; no share exceeds the most copies of a
+document, and what is cut off there goes to the others.  Whole copies of a share are certain; for the
+fraction that remains, which differs from document to document, documents are ranked by random odds over
+inclusion odds (Rosen's Pareto sampling), and the sample is the head of that order whose words fit what is
+still wanted, closed by up to CLOSING further documents, each the one that comes nearest to the rest.
 
 No source is sorted: the end of the head is found by histograms of the rank, refined twice, so a source
 that holds a third of all rows is only ever counted.  A document's random number comes from its own id and
@@ -12,14 +14,10 @@ text: what is drawn depends neither on partitioning nor on when it runs.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textbytes as tb
-from .staging import bounded_batches, stage
-from .worker import enter
+from .staging import stage
 
 MOST_COPIES = 3
 CLOSING = 3
@@ -27,14 +25,9 @@ _BINS = 1024
 _NONE = (1 << 63) - 1
 
 
-def _counted(batches):
-    """Replaces column `text` by the number of its words."""
-    enter("mixing")
-    for batch in batches:
-        sizes = np.zeros(batch.num_rows, dtype=np.int64)
-        for first, last, _, borders in tb.word_hashes(batch.column(0)):
-            sizes[first:last] = np.diff(borders)
-        yield pa.RecordBatch.from_arrays([pa.array(sizes), *(batch.column(k) for k in range(1, batch.num_columns))], names=["size", *batch.schema.names[1:]])
+def _size(text: Column) -> Column:
+    """Number of words; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
@@ -63,10 +56,16 @@ def _random(seed: int) -> Column:
 
 
 def _drawn(docs: DataFrame, seed: int, preference: str | None) -> list[Column]:
-    """doc_id, id, source, prefer and u of each row of docs."""
-    prefer = F.lit(1.0) if preference is None else F.greatest(F.coalesce(F.col(preference).cast("double"), F.lit(1.0)), F.lit(0.0))
+    """doc_id, id, source, size, prefer and u of each row of docs."""
+    size = _size(F.col("text").cast("string"))
+    if preference is None:
+        prefer = F.length(F.bin(size)).cast("double")
+    else:  # three digits, so that a source has a bounded number of different ones
+        given = F.greatest(F.coalesce(F.col(f"`{preference}`").cast("double"), F.lit(1.0)), F.lit(0.0))
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(given)) - 2)
+        prefer = F.when(given > 0, F.round(given / unit) * unit).otherwise(0.0)
     doc_id = F.col("doc_id").cast("long")
-    return [doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NONE)).alias("id"), F.col("source").cast("string").alias("source"), prefer.alias("prefer"), _random(seed).alias("u")]
+    return [doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_NONE)).alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"), prefer.alias("prefer"), _random(seed).alias("u")]
 
 
 def _beside(df: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
@@ -74,13 +73,31 @@ def _beside(df: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
     return df.join(of.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
 
 
+def levels(classes: DataFrame, aims: DataFrame, most: int) -> DataFrame:
+    """aims(source, ..., target) with level: a document's expected copies are least(level * prefer, most).
+
+    classes(source, prefer, words) holds the words of each preference, a bounded number for a source.  The
+    level is that of the largest preference which, with all larger ones at the cap, stays below it; where none
+    does, all that is preferred is capped and the level is infinite.
+    """
+    by_prefer = Window.partitionBy("source").orderBy(F.desc("prefer"))
+    inside = F.coalesce(F.sum("words").over(by_prefer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    open_ = F.sum(F.col("words") * F.col("prefer")).over(by_prefer.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = _beside(classes.where("prefer > 0"), aims.select("source", "target"))
+    tried = placed.select("source", "prefer", ((F.col("target") - most * inside) / F.when(open_ > 0, open_)).alias("level"))
+    found = tried.where(F.col("level") * F.col("prefer") < most).groupBy("source").agg(F.max_by("level", "prefer").alias("level"))
+    return _beside(aims, found, "left").withColumn("level", F.coalesce("level", F.lit(float("inf"))))
+
+
 def _ranked(df: DataFrame, aims: DataFrame, most: int) -> DataFrame:
     """df with its certain copies, and its rank in (0, 1): Pareto's ratio of odds, as a share."""
-    wanted = F.coalesce(F.col("target") * F.col("prefer") / F.when(F.col("preferred") > 0, F.col("preferred")), F.lit(0.0))
-    certain = F.least(F.floor(wanted), F.lit(most)).cast("long")
-    fraction = F.when(certain < most, wanted - certain).otherwise(0.0)
+    wanted = F.when(F.col("prefer") > 0, F.least(F.col("level") * F.col("prefer"), F.lit(float(most)))).otherwise(0.0)
+    wanted = F.when(F.col("target") > 0, wanted).otherwise(0.0)
+    certain = F.floor(wanted).cast("long")
+    fraction = F.col("wanted") - F.col("certain")
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - fraction) / fraction)
-    return _beside(df, aims, "left").withColumn("certain", certain).withColumn("rank", F.when(fraction > 0, odds / (1 + odds)))
+    placed = _beside(df, aims, "left").withColumn("wanted", wanted).withColumn("certain", certain)
+    return placed.withColumn("rank", F.when(fraction > 0, odds / (1 + odds)))
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, preference: str | None = None) -> DataFrame:
@@ -100,8 +117,8 @@ def allocation(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2,
 
     size is the row's number of words (null text: 0), source_size its source's, target the words its source
     should give, copies (0 to `most`) how often the mix takes the row.  `preference` names a column that
-    expected copies are proportional to inside a source (null: 1, negative: 0; none: equal).  A null source
-    is a source of its own; rows alike in doc_id, text and source are taken together or not at all; a source
+    expected copies are proportional to inside a source, up to `most` (null: 1, negative: 0; three digits
+    count); without one it is the number of binary digits of size.  A null source is a source of its own; rows alike in doc_id, text and source are taken together or not at all; a source
     without words has target 0; other columns are not read.  Empty table: no rows.
     """
     rows, plan = allocation_plan(docs, seed, weights, most, preference)
@@ -110,10 +127,10 @@ def allocation(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2,
 
 def allocation_plan(docs: DataFrame, seed: int, weights: tuple[int, ...], most: int, preference: str | None) -> tuple[DataFrame, DataFrame]:
     """Staged: every row's size and random number; every source's target and where its sample ends."""
-    drawn = docs.select(F.col("text").cast("string").alias("text"), *_drawn(docs, seed, preference))
-    rows = stage(bounded_batches(drawn).mapInArrow(_counted, "size long, doc_id long, id long, source string, prefer double, u double"), "sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("prefer")).alias("preferred"))
-    aims = stage(targets(per.select("source", "source_size"), weights, most).join(per.select(F.col("source").alias("s"), "preferred"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "aims")
+    rows = stage(docs.select(*_drawn(docs, seed, preference)), "sizes")
+    classes = stage(rows.groupBy("source", "prefer").agg(F.sum("size").alias("words")), "classes")
+    sums = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
+    aims = stage(levels(classes, stage(targets(sums, weights, most), "targets"), most), "aims")
 
     placed = _ranked(rows, aims, most)
     wants = placed.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("certain"))).alias("want"))
@@ -145,7 +162,7 @@ def allocation_plan(docs: DataFrame, seed: int, weights: tuple[int, ...], most:
         joined = closing.join(nearest.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
         added = F.when(F.col("c").isNull(), F.col("closing")).otherwise(F.array_append("closing", F.struct("c.rank", "c.id")))
         closing = stage(joined.select("source", "edge_rank", "edge_id", (F.col("left") - F.coalesce("c.words", F.lit(0))).alias("left"), added.alias("closing")), "closing")
-    plan = stage(aims.join(closing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "preferred", "edge_rank", "edge_id", "closing"), "plan")
+    plan = stage(aims.join(closing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "level", "edge_rank", "edge_id", "closing"), "plan")
     return rows, plan
 
 

@@ -85,12 +85,20 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN full_ THEN most ELSE weight * (((sum(source_size) OVER ())::DOUBLE - sum(CASE WHEN full_ THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER ()) END AS target
   FROM f
+), p AS (
+  SELECT source, length(bin(size)) AS prefer, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2
+), v AS (
+  SELECT p.source, prefer, (target - 3 * coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / nullif(sum(words * prefer) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS level
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY p.source ORDER BY prefer DESC)
+), m AS (
+  SELECT source, coalesce(arg_max(level, prefer) FILTER (level * prefer < 3), 'inf'::DOUBLE) AS level FROM v GROUP BY source
+), x AS (
+  SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, CASE WHEN t.target > 0 THEN least(m.level * length(bin(d.size)), 3) ELSE 0 END AS wanted
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN m ON d.source IS NOT DISTINCT FROM m.source
 ), r AS (
-  SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, least(floor(coalesce(t.target / nullif(t.source_size, 0), 0)), 3)::BIGINT AS certain,
-         coalesce(t.target / nullif(t.source_size, 0), 0) - least(floor(coalesce(t.target / nullif(t.source_size, 0), 0)), 3) AS fraction
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT *, floor(wanted)::BIGINT AS certain, wanted - floor(wanted) AS fraction FROM x
 ), k AS (
-  SELECT *, CASE WHEN certain < 3 AND fraction > 0 THEN ((u / (1 - u)) * ((1 - fraction) / fraction)) / (1 + (u / (1 - u)) * ((1 - fraction) / fraction)) END AS rank_ FROM r
+  SELECT *, CASE WHEN fraction > 0 THEN ((u / (1 - u)) * ((1 - fraction) / fraction)) / (1 + (u / (1 - u)) * ((1 - fraction) / fraction)) END AS rank_ FROM r
 ), w AS (
   SELECT *, target - sum(size * certain) OVER (PARTITION BY source) AS want,
          sum(size) OVER (PARTITION BY source ORDER BY rank_ NULLS LAST, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
