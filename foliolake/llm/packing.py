@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import bounded_batches, stage
+from .staging import stage_mapped
 from .tokens import default_tokenizer, encoder
 from .worker import enter
 
@@ -49,7 +49,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 before += int(n.sum())
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(bounded_batches(plain).mapInArrow(run, _TOKENS), "tokens", "zstd")
+    return stage_mapped(plain.mapInArrow(run, _TOKENS), "tokens", "zstd")
 
 
 def placed(tokens: DataFrame) -> tuple[DataFrame, int]:
@@ -77,8 +77,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     return pieces(*placed(tokenise(docs, path, end_id)), path, window).drop("ids", "slot")
 
 
+def packed(raw: bytes, width: int) -> bytes:
+    """Ids for the way: byte by byte of all of them, compressed; half of what the ids take."""
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes()
+    return len(raw).to_bytes(4, "little") + bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    planes = pa.decompress(data[5:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(data[4], -1).T.tobytes()
+
+
 def pieces(stream: DataFrame, total: int, path: str, window: int, slots: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """The pieces of a placed stream; slots adds to each its sequence's slot and its ids as they are staged, little-endian."""
+    """The pieces of a placed stream; slots adds to each its sequence's slot and its ids, packed."""
     wide = encoder(path).dtype
 
     def cut(batches):
@@ -91,7 +102,7 @@ def pieces(stream: DataFrame, total: int, path: str, window: int, slots: Callabl
                 for s, e in zip(edges, edges[1:]):
                     seq = (a + s) // window
                     held = min(window, total - seq * window)
-                    rows.append((d, s, e - s, zlib.crc32(x[s:e].tobytes()), len(x), seq, (a + s) % window, s == 0, e == len(x), held, held if held & (held - 1) == 0 else window, raw[s * wide.itemsize : e * wide.itemsize] if slots else None))
+                    rows.append((d, s, e - s, zlib.crc32(x[s:e].tobytes()), len(x), seq, (a + s) % window, s == 0, e == len(x), held, held if held & (held - 1) == 0 else window, packed(raw[s * wide.itemsize : e * wide.itemsize], wide.itemsize) if slots else None))
             types = [pa.int64()] * 7 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.binary()]
             columns = list(zip(*rows)) or [()] * len(types)
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]

@@ -55,8 +55,8 @@ def op8_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/foliolake/shards-{uuid.uuid4().hex}"
-    sequences, _ = shards.write_shards(_table(spark, sf_dir, "documents"), path)
-    return shards.manifest(spark, path, sequences)
+    shards.write_shards(_table(spark, sf_dir, "documents"), path)
+    return shards.manifest(spark, path)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,21 @@
 
 The slot of a sequence is a Feistel network over its number, walked in cycles until it falls below the number
 of sequences: a bijection that needs no sort and no table, and that the inverse undoes.  Slots are dealt by
-range to fixed-stride shards: slot s is the (s mod per_shard)-th stride of shard s div per_shard, so a reader
-finds any slot by arithmetic and resumes anywhere.
+range to binary files of fixed stride: slot s is record s mod per_shard of shard s div per_shard, so a reader
+finds any slot by arithmetic, seeks there, and resumes anywhere.
+
+A shard is one file, `part-<shard>-...`, of records that are all `record` bytes long: the slot (unsigned 64
+bits), the number of ids (unsigned 32 bits), `window` ids (unsigned, 16 bits where the vocabulary allows, else
+32) filled up with pad_id, and a line feed; all numbers little-endian.  Beside the shards lie `_layout.json`
+(sequences, tokens, window, width, per_shard, key, record) and `_documents`, a Parquet table of the documents
+of each sequence.  Spark's writer gives a shard its name only when it is whole; a run that was cut off is
+continued by running it again, which writes the missing shards only.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packing
-from .staging import release
+from .staging import arrow_batches, file_system, read_text, release, write_text
 from .textbytes import U64, mix, seeded
 from .tokens import encoder
 
 ROUNDS = 6
-PER_SHARD = 256
-_SHARDS = "shard long, first_slot long, sequences long, stride long, payload binary, tokens array<int>, documents array<array<long>>"
+#: Records of a shard: some 17 MB at 2048 ids of 16 bits.
+PER_SHARD = 4096
+#: Records handed on together.
+_TOGETHER = 256
 
 
 class Feistel:
@@ -55,106 +64,150 @@ class Feistel:
         return self._walk(slot, self.keys[::-1])
 
 
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = 512):
-    """Rows that Arrow hands over together while an action runs: they hold ids, so fewer than usual."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _record(window: int, wide: np.dtype) -> np.dtype:
+    return np.dtype([("slot", "<u8"), ("n", "<u4"), ("ids", wide, (window,)), ("end", "u1")])
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, window: int = packing.WINDOW, end_id: int = packing.END_ID, key: int = 2024, per_shard: int = PER_SHARD, pad_id: int = 0) -> tuple[int, int]:
-    """Packs docs and writes the shards to `path`; returns (sequences, tokens).
+def _strings(records: np.ndarray) -> pa.Array:
+    """Records as an Arrow column of strings: their bytes as they are, for the line writer."""
+    size = records.dtype.itemsize
+    return pa.Array.from_buffers(pa.string(), len(records), [None, pa.py_buffer(np.arange(len(records) + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(records).tobytes())])
 
-    A Parquet row is a shard: payload holds per_shard (the last one: fewer) strides of window little-endian
-    unsigned ids, of 16 bits where the vocabulary allows, padded with pad_id; tokens has each stride's length and documents the doc_ids in it.
-    Null texts are empty documents, null doc_ids are left out of documents, other columns are not read; an
-    empty table writes an empty table.
+
+def _files(spark: SparkSession, path: str) -> dict[int, str]:
+    """Whole shards by number."""
+    fs, folder = file_system(spark, path)
+    if not fs.exists(folder):
+        return {}
+    found = {}
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and status.getLen() > 0:
+            found[int(name.split("-")[1])] = status.getPath().toString()
+    return found
+
+
+def layout(spark: SparkSession, path: str) -> dict[str, int]:
+    return json.loads(read_text(spark, f"{path}/_layout.json"))
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, window: int = packing.WINDOW, end_id: int = packing.END_ID, key: int = 2024, per_shard: int = PER_SHARD, pad_id: int = 0) -> dict[str, int]:
+    """Packs docs and writes the shards to `path`; returns the layout.
+
+    Shards that are there already stay; a path with another layout raises.  Null texts are empty documents, null
+    doc_ids are left out of `_documents`, repeated rows are packed as often as they come, other columns are not
+    read; an empty table writes no shard.
     """
     spark, file = docs.sparkSession, tokenizer or packing.default_tokenizer()
     tokens = packing.tokenise(docs, file, end_id)
     stream, total = packing.placed(tokens)
     n, wide = -(-total // window), encoder(file).dtype
-    pieces = packing.pieces(stream, total, file, window, slots=Feistel(n, key).slot)
+    kind = _record(window, wide)
+    lines = np.dtype(kind.descr[:-1])  # the line writer adds the line feed
+    plan = {"sequences": n, "tokens": total, "window": window, "width": wide.itemsize, "per_shard": per_shard, "key": key, "record": kind.itemsize}
+    if (before := read_text(spark, f"{path}/_layout.json")) is None:
+        write_text(spark, f"{path}/_layout.json", json.dumps(plan))
+    elif json.loads(before) != plan:
+        raise ValueError(f"{path} holds shards of another layout: {before}")
+
+    if read_text(spark, f"{path}/_documents/_SUCCESS") is None:
+        ends = F.floor((F.col("at") + F.col("n_tokens") - 1) / window)
+        inside = stream.where("doc_id is not null").select("at", "doc_id", F.explode(F.sequence(F.floor(F.col("at") / window), ends)).alias("sequence_id"))
+        # A sequence holds `window` documents at most: each has a token.
+        held = inside.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id"))).alias("d"))
+        held.select("sequence_id", F.col("d.doc_id").alias("doc_ids")).write.mode("overwrite").parquet(f"{path}/_documents")
 
     def assemble(batches):
-        shard, slots = None, {}
-
-        def done():
-            first, last = shard * per_shard, min((shard + 1) * per_shard, n)
-            strides = np.full((last - first, window), pad_id, wide)
-            tokens, documents = [0] * (last - first), [[] for _ in range(last - first)]
-            for s, parts in slots.items():
-                for offset, doc, ids in parts:
-                    x = np.frombuffer(ids, wide)
-                    strides[s - first, offset : offset + len(x)] = x
-                    tokens[s - first] += len(x)
-                    if doc is not None and (not documents[s - first] or documents[s - first][-1] != doc):
-                        documents[s - first].append(doc)
-            types = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
-            row = [shard, first, last - first, wide.itemsize * window, strides.tobytes(), tokens, documents]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in _SHARDS.split(", ")])
-
+        records, at, slot = np.zeros(_TOGETHER, lines), -1, None
         for batch in batches:
-            for sh, sl, off, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if sh != shard:
-                    if shard is not None:
-                        yield done()
-                    shard, slots = sh, {}
-                slots.setdefault(sl, []).append((off, doc, ids))
-        if shard is not None:
-            yield done()
-
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // per_shard)))
-    dealt = pieces.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", "offset", "doc_id", "ids")
-    # Slots are even over their range, so its borders are known: partition k holds the k-th run of shards.
-    run = F.floor(F.col("shard") * parts / F.lit(max(1, -(-n // per_shard)))).cast("int")
-    whole = dealt.repartitionById(parts, run).sortWithinPartitions("slot", "offset").mapInArrow(assemble, _SHARDS)
-    with _small_batches(spark):
-        whole.write.option("compression", "zstd").parquet(path)
+            for s, off, packed in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if s != slot:
+                    if at == _TOGETHER - 1:
+                        yield pa.RecordBatch.from_arrays([_strings(records)], names=["record"])
+                        at = -1
+                    slot, at = s, at + 1
+                    records[at] = (s, 0, pad_id)
+                ids = np.frombuffer(packing.unpacked(packed), wide)
+                records[at]["ids"][off : off + len(ids)] = ids
+                records[at]["n"] += len(ids)
+        if at >= 0:
+            yield pa.RecordBatch.from_arrays([_strings(records[: at + 1])], names=["record"])
+
+    shards, done = -(-n // per_shard), _files(spark, path)
+    if len(done) < shards:
+        pieces = packing.pieces(stream, total, file, window, slots=Feistel(n, key).slot)
+        dealt = pieces.select(F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), "slot", "offset", "ids")
+        if done:
+            missing = spark.createDataFrame([(k,) for k in range(shards) if k not in done], "shard int")
+            dealt = dealt.join(F.broadcast(missing), "shard", "left_semi")
+        # Slots are even over their range: a task writes one shard, and its number is the shard's.
+        whole = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "offset").select("slot", "offset", "ids")
+        with arrow_batches(spark, 512):
+            # Each task's file is moved to its place when it is whole, not all at the end of the job.
+            whole.mapInArrow(assemble, "record string").write.mode("append").option("lineSep", "\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     release(tokens)
-    return n, total
+    return plan
 
 
-def _rows(batches):
-    """Shards one by one: each is some MB."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
+def _read(spark: SparkSession, files: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(files).select(F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("long").alias("shard"), "content")
 
 
-def manifest(spark: SparkSession, path: str, sequences: int, window: int = packing.WINDOW, key: int = 2024) -> DataFrame:
+def manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row for each slot, read back from the shards: slot, shard, byte_offset, sequence_id, n_tokens, ids_crc32, doc_ids."""
-    order = Feistel(sequences, key)
-    out = "slot long, shard long, byte_offset long, sequence_id long, n_tokens long, ids_crc32 long, doc_ids array<long>"
+    plan, files = layout(spark, path), _files(spark, path)
+    out = "slot long, shard long, byte_offset long, sequence_id long, n_tokens long, ids_crc32 long"
+    if not files:
+        return spark.createDataFrame([], out + ", doc_ids array<long>")
+    kind, order = _record(plan["window"], np.dtype(f"<u{plan['width']}")), Feistel(plan["sequences"], plan["key"])
 
     def run(batches):
-        for row in _rows(batches):
-            k = np.arange(row["sequences"], dtype=np.int64)
-            slot, stride = row["first_slot"] + k, row["stride"]
-            ids = [np.frombuffer(row["payload"], f"<u{stride // window}", row["tokens"][i], i * stride) for i in range(len(k))]
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(np.full(len(k), row["shard"])), pa.array(k * stride), pa.array(order.number(slot)), pa.array(row["tokens"], pa.int64()), pa.array(crc, pa.int64()), pa.array(row["documents"], pa.list_(pa.int64()))],
-                names=[c.split()[0] for c in out.split(", ")],
-            )
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, raw = batch.column(0)[k].as_py(), batch.column(1)[k].as_buffer()
+                records = np.frombuffer(raw, kind)
+                slot, n = records["slot"].astype(np.int64), records["n"].astype(np.int64)
+                if (slot != shard * plan["per_shard"] + np.arange(len(slot))).any():
+                    raise ValueError(f"shard {shard} is not in order")
+                crc = [zlib.crc32(r["ids"][: r["n"]].astype("<u4").tobytes()) for r in records]
+                columns = [slot, np.full(len(slot), shard), np.arange(len(slot)) * kind.itemsize, order.number(slot), n, np.array(crc, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in out.split(", ")])
 
-    return spark.read.schema(_SHARDS).parquet(path).mapInArrow(run, out)
+    held = spark.read.schema("sequence_id long, doc_ids array<long>").parquet(f"{path}/_documents")
+    return _read(spark, list(files.values())).mapInArrow(run, out).join(held, "sequence_id", "left").select(*[c.split()[0] for c in out.split(", ")], F.coalesce("doc_ids", F.array().cast("array<long>")).alias("doc_ids"))
 
 
-def read_slots(spark: SparkSession, path: str, first: int, count: int, window: int = packing.WINDOW, per_shard: int = PER_SHARD) -> DataFrame:
+def read_slots(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:
     """(slot, ids binary) of a run of slots in order: only the shards that hold them are read."""
-    shards = spark.read.schema(_SHARDS).parquet(path).where(F.col("shard").between(first // per_shard, (first + count - 1) // per_shard))
+    plan, files = layout(spark, path), _files(spark, path)
+    kind, per = _record(plan["window"], np.dtype(f"<u{plan['width']}")), plan["per_shard"]
+    wanted = [files[k] for k in range(first // per, (min(first + count, plan["sequences"]) - 1) // per + 1) if k in files]
+    if count <= 0 or not wanted:
+        return spark.createDataFrame([], "slot long, ids binary")
 
     def run(batches):
-        for row in _rows(batches):
-            ks = [k for k in range(row["sequences"]) if first <= row["first_slot"] + k < first + count]
-            width = row["stride"] // window
-            ids = [row["payload"][k * row["stride"] : k * row["stride"] + width * row["tokens"][k]] for k in ks]
-            yield pa.RecordBatch.from_arrays([pa.array([row["first_slot"] + k for k in ks], pa.int64()), pa.array(ids, pa.binary())], names=["slot", "ids"])
-
-    return shards.mapInArrow(run, "slot long, ids binary").orderBy("slot")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                start = batch.column(0)[k].as_py() * per
+                records = np.frombuffer(batch.column(1)[k].as_buffer(), kind)[max(0, first - start) : max(0, first + count - start)]
+                yield pa.RecordBatch.from_arrays([pa.array(records["slot"].astype(np.int64)), pa.array([r["ids"][: r["n"]].tobytes() for r in records], pa.binary())], names=["slot", "ids"])
+
+    return _read(spark, wanted).mapInArrow(run, "slot long, ids binary").orderBy("slot")
+
+
+def seek(spark: SparkSession, path: str, slot: int, count: int = 1) -> list[np.ndarray]:
+    """The ids of `count` slots from `slot` on, by seeking in the files; what lies before is not read."""
+    plan, files = layout(spark, path), _files(spark, path)
+    kind, per, out = _record(plan["window"], np.dtype(f"<u{plan['width']}")), plan["per_shard"], []
+    while count > 0 and slot < plan["sequences"]:
+        take = min(count, per - slot % per, plan["sequences"] - slot)
+        fs, file = file_system(spark, files[slot // per])
+        stream = fs.open(file)
+        try:
+            stream.seek(slot % per * kind.itemsize)
+            raw = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, take * kind.itemsize)
+        finally:
+            stream.close()
+        out += [r["ids"][: r["n"]].copy() for r in np.frombuffer(bytes(raw), kind)]
+        slot, count = slot + take, count - take
+    return out
