@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.llm import minhash, mixing, packing, pii, toxicity
-from foliolake.llm.staging import stage
+from foliolake.llm.staging import release, stage
 from foliolake.session import ship
 
 #: Ids that are broadcast to take their documents out; with more, that join is shuffled.
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     made = F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))
     named = docs.withColumn("name", F.coalesce(F.col("doc_id").cast("long"), made)).withColumn("hash", F.xxhash64("text"))
-    groups = stage(minhash.near_duplicates(named.select(F.col("name").alias("doc_id"), "text")), "groups")
+    groups = minhash.near_duplicates(named.select(F.col("name").alias("doc_id"), "text"))  # a staged table
     gone = stage(groups.where("not kept").select(F.col("doc_id").alias("name")).distinct(), "gone")
     bounded = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     left = named.join(bounded(gone), "name", "left_anti")
@@ -77,11 +77,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+    for name, function in STAGES[:-1]:
+        after = stage(function(spark, docs, sf_dir), name)
+        release(docs)  # the table before, if it was a stage's
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: A tokenizer file decides the rows, which SQL cannot: tests hold run() against a brute-force version.

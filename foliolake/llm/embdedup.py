@@ -1,11 +1,12 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
 Unit vectors are rotated to principal axes, so most of a product is known after a few leading dimensions.
-Rows lie in a grid over the first axes whose cells are as wide as two linked vectors can be apart: only
-neighbouring cells are compared.  A cell is dealt to tiles of bounded size.  Inside a pair of tiles,
-products accumulate over blocks of dimensions; what is left is bounded by the product of suffix norms, and
-rows and columns that cannot reach the threshold any more are left out.  What survives is decided by the
-cosine of the original vectors in double precision.
+Rows are gathered by their nearest of a number of centres that grows with the table, and dealt to tiles of
+bounded size.  Before any vector moves, pairs of centres are ruled out whose rows lie in boxes (on all axes)
+or balls that are farther apart than two linked vectors can be.  Inside a pair of tiles, products accumulate
+over blocks of dimensions; what is left is bounded by the product of suffix norms, and rows and columns that
+cannot reach the threshold any more are left out.  What survives is decided by the cosine of the original
+vectors in double precision.
 
 Exact copies are one vector with a multiplicity.  A pair of tiles returns counts of links and a spanning
 forest of them, never the pairs.
@@ -21,28 +22,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import release, stage
-from .vectors import matrix, usable
+from .staging import arrow_batches, release, stage
+from .vectors import centres, distances, matrix, usable
 
 SIMILAR = 0.9
-#: Vectors the axes are fitted on, at most; they order the work and change no result.
+#: Vectors the axes and centres are fitted on, at most; they order the work and change no result.
 FITTED = 20_000
-#: Axes of the grid, and rows of a tile: between these, about a 32nd of all rows.
-AXES, LEAST_TILE, MOST_TILE = 3, 256, 4096
+#: Rows of a centre on average, centres at most, rows of a tile and of a block of it that is compared at once.
+GATHERED, CENTRES, TILE, BLOCK = 2048, 1024, 4096, 512
 _SLACK = 1e-9
 _BLOCKS = (8, 16, 32)
 
 
-def _axes(rows: DataFrame, width: int) -> np.ndarray:
-    """Principal axes as columns, by falling variance, from the rows with the least hashes."""
+def _fitted(rows: DataFrame, width: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Principal axes as columns, by falling variance, and centres on them, from the rows with the least hashes."""
     sample = rows.orderBy(F.xxhash64("key"), "key").limit(FITTED).select("vector").toArrow()
     if not sample.num_rows:
-        return np.eye(width)
+        return np.eye(width), np.zeros((1, width))
     x = matrix(sample.column("vector"), width)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x -= x.mean(0)
-    _, axes = np.linalg.eigh(x.T @ x)
-    return np.ascontiguousarray(axes[:, ::-1])
+    _, axes = np.linalg.eigh((x - x.mean(0)).T @ (x - x.mean(0)))
+    axes = np.ascontiguousarray(axes[:, ::-1])
+    return axes, centres(x @ axes, max(1, min(CENTRES, total // GATHERED)))
+
+
+def _near(boxes: list, middle: np.ndarray, side: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a <= b) of centres whose rows can be within `side` of each other, by their boxes and balls."""
+    ids = np.array([r["centre"] for r in boxes], dtype=np.int64)
+    low, high = (np.array([np.frombuffer(r[c], np.float64) for r in boxes]) for c in ("low", "high"))
+    radius = np.array([r["radius"] for r in boxes])
+    first, second = [], []
+    for i in range(len(ids)):  # at most CENTRES
+        gap = np.maximum(np.maximum(low - high[i], low[i] - high), 0)
+        apart = np.sqrt((gap * gap).sum(1))
+        apart = np.maximum(apart, distances(middle[ids[i : i + 1]], middle[ids])[0] - radius[i] - radius)
+        hit = np.flatnonzero((apart <= side) & (ids >= ids[i]))
+        first.append(np.full(len(hit), ids[i]))
+        second.append(ids[hit])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second])
 
 
 def _survivors(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +95,17 @@ def _forest(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _tied(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node it reaches) over edges: as many as nodes, not as edges."""
+    nodes = np.unique(np.concatenate([first, second]))
+    return nodes, nodes[_forest(np.searchsorted(nodes, first), np.searchsorted(nodes, second), len(nodes))]
+
+
 def _compared(axes, width: int, similar: float):
-    """(key, links, b): links of a vector inside a pair of tiles, and one edge that ties it in."""
+    """(key, links, b): links of a vector inside a pair of tiles, and one edge that ties it in.
+
+    A pair of tiles is compared block by block: whole rows of a small block can be left out sooner.
+    """
 
     def run(batches):
         for batch in batches:
@@ -86,34 +113,33 @@ def _compared(axes, width: int, similar: float):
                 same = row["same"]
                 ids = [np.frombuffer(row[k], np.int64) for k in ("keys", "keys2")]
                 n = [np.frombuffer(row[k], np.int64) for k in ("counts", "counts2")]
-                x = [np.frombuffer(row[k], np.float64).reshape(-1, width) for k in ("vectors", "vectors2")]
+                x = [np.frombuffer(row[k], row[t]).astype(np.float64).reshape(-1, width) for k, t in (("vectors", "kind"), ("vectors2", "kind2"))]
                 norm = [np.sqrt((v * v).sum(1)) for v in x]
-                turned = [(v / r[:, None]) @ axes.value for v, r in zip(x, norm)]
-                i, j = _survivors(*turned, similar)
-                if not len(i):
-                    continue
-                cosine = (x[0][i] @ x[1][j].T) / (norm[0][i][:, None] * norm[1][j][None, :])
-                hit = cosine >= similar
-                if same:
-                    hit &= ids[0][i][:, None] != ids[1][j][None, :]
-                r, c = np.nonzero(hit)
-                if not len(r):
+                turned = [(v / r[:, None]) @ axes.value[0] for v, r in zip(x, norm)]
+                links = [np.zeros(len(ids[0]), np.int64)]
+                links.append(links[0] if same else np.zeros(len(ids[1]), np.int64))
+                edges: list[tuple[np.ndarray, np.ndarray]] = []
+                for p in range(0, len(ids[0]), BLOCK):
+                    for q in range(p if same else 0, len(ids[1]), BLOCK):
+                        i, j = _survivors(turned[0][p : p + BLOCK], turned[1][q : q + BLOCK], similar)
+                        if not len(i):
+                            continue
+                        i, j = i + p, j + q
+                        hit = (x[0][i] @ x[1][j].T) / (norm[0][i][:, None] * norm[1][j][None, :]) >= similar
+                        if same and p == q:
+                            hit &= i[:, None] < j[None, :]
+                        r, c = np.nonzero(hit)
+                        if len(r):
+                            np.add.at(links[0], i[r], n[1][j[c]])
+                            np.add.at(links[1], j[c], n[0][i[r]])
+                            edges.append(_tied(ids[0][i[r]], ids[1][j[c]]))
+                if not edges:
                     continue
-                links = {}
-                left = hit @ n[1][j]
-                for k in np.flatnonzero(left):
-                    links[int(ids[0][i[k]])] = int(left[k])
-                if not same:
-                    right = hit.T @ n[0][i]
-                    for k in np.flatnonzero(right):
-                        links[int(ids[1][j[k]])] = links.get(int(ids[1][j[k]]), 0) + int(right[k])
-                nodes = np.unique(np.concatenate([ids[0][i[r]], ids[1][j[c]]]))
-                label = _forest(np.searchsorted(nodes, ids[0][i[r]]), np.searchsorted(nodes, ids[1][j[c]]), len(nodes))
-                tie = {int(k): int(nodes[t]) for k, t in zip(nodes, label)}
-                keys = sorted(links)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array([links[k] for k in keys], pa.int64()), pa.array([tie[k] for k in keys], pa.int64())], names=["key", "links", "b"]
-                )
+                nodes, least = _tied(*(np.concatenate(e) for e in zip(*edges)))
+                keys, counts = (np.concatenate(v[:1] if same else v) for v in (ids, links))
+                order = np.argsort(keys)
+                found = counts[order][np.searchsorted(keys[order], nodes)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found), pa.array(least)], names=["key", "links", "b"])
 
     return run
 
@@ -137,42 +163,54 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rows = stage(named.select("vec_id", "n", "vector", key.alias("key")), "vectors")
     if not total:
         width = 1
-    axes = _axes(rows, width)
+    axes, middle = _fitted(rows, width, total)
     spark = vectors.sparkSession
-    held = spark.sparkContext.broadcast(axes)
+    held = spark.sparkContext.broadcast((axes, middle))
+    # Unit vectors are at most this far apart when they link.
     side = math.sqrt(max(2 - 2 * similar, 1e-9)) + 1e-6
 
     def placed(batches):
+        turn, to = held.value
         for batch in batches:
             x = matrix(batch.column(2), width)
-            turned = (x / np.sqrt((x * x).sum(1))[:, None]) @ held.value[:, :AXES]
-            cell = np.floor(turned / side).astype(np.int64)
-            cell = np.hstack([cell, np.zeros((len(cell), max(0, AXES - cell.shape[1])), np.int64)])
+            turned = (x / np.sqrt((x * x).sum(1))[:, None]) @ turn
             raw = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), *(pa.array(cell[:, k]) for k in range(AXES))], names=["key", "n", "raw", "c0", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(distances(turned, to).argmin(1).astype(np.int32))], names=["key", "n", "raw", "centre"])
 
-    in_cells = stage(rows.select("key", "n", "vector").mapInArrow(placed, "key long, n long, raw binary, c0 long, c1 long, c2 long"), "cells")
-    tile = max(LEAST_TILE, min(MOST_TILE, total // 32))
-    # Cells: at most (2 / side + 2) ** 3 whatever the table, as unit vectors have coordinates within 1.
-    cells = in_cells.groupBy("c0", "c1", "c2").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = in_cells.join(F.broadcast(cells), ["c0", "c1", "c2"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    gathered = stage(rows.select("key", "n", "vector").mapInArrow(placed, "key long, n long, raw binary, centre int"), "gathered")
+    sizes = gathered.groupBy("centre").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))  # CENTRES rows at most
+    dealt = gathered.join(F.broadcast(sizes), "centre").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
 
     def packed(table: pa.Table) -> pa.Table:
-        one = lambda c: b"".join(table.column(c).to_pylist())
-        raw = [np.asarray(table.column(c), dtype=np.int64).tobytes() for c in ("key", "n")]
-        first = [table.column(c)[0].as_py() for c in ("c0", "c1", "c2", "tile")]
-        return pa.table({"c0": [first[0]], "c1": [first[1]], "c2": [first[2]], "tile": pa.array([first[3]], pa.int32()), "keys": pa.array([raw[0]], pa.binary()), "counts": pa.array([raw[1]], pa.binary()), "vectors": pa.array([one("raw")], pa.binary())})
-
-    tiles = stage(dealt.groupBy("c0", "c1", "c2", "tile").applyInArrow(packed, "c0 long, c1 long, c2 long, tile int, keys binary, counts binary, vectors binary"), "tiles")
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("d0"), F.lit(b).alias("d1"), F.lit(c).alias("d2")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]))
-    spots = tiles.select("c0", "c1", "c2", "tile")
-    beside = spots.select("c0", "c1", "c2", "tile", near.alias("d")).select("c0", "c1", "c2", "tile", *[(F.col(f"c{k}") + F.col(f"d.d{k}")).alias(f"e{k}") for k in range(3)])
-    pairs = beside.join(spots.select(F.col("c0").alias("e0"), F.col("c1").alias("e1"), F.col("c2").alias("e2"), F.col("tile").alias("tile2")), ["e0", "e1", "e2"])
-    here = (F.col("c0") == F.col("e0")) & (F.col("c1") == F.col("e1")) & (F.col("c2") == F.col("e2"))
+        turn, to = held.value
+        centre, tile = table.column("centre")[0].as_py(), table.column("tile")[0].as_py()
+        x = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float64).reshape(-1, width)
+        turned = (x / np.sqrt((x * x).sum(1))[:, None]) @ turn
+        kind = "<f4" if (x.astype(np.float32) == x).all() else "<f8"  # doubles that are floats travel as such
+        keys, n = (np.asarray(table.column(c)).astype(np.int64).tobytes() for c in ("key", "n"))
+        row = {"centre": pa.array([centre], pa.int32()), "tile": pa.array([tile], pa.int32()), "kind": [kind]}
+        row |= {k: pa.array([v], pa.binary()) for k, v in (("keys", keys), ("counts", n), ("vectors", x.astype(kind).tobytes()), ("low", turned.min(0).tobytes()), ("high", turned.max(0).tobytes()))}
+        return pa.table(row | {"radius": [float(distances(turned, to[centre : centre + 1]).max())]})
+
+    tiles = stage(dealt.groupBy("centre", "tile").applyInArrow(packed, "centre int, tile int, kind string, keys binary, counts binary, vectors binary, low binary, high binary, radius double"), "tiles")
+
+    def boxed(table: pa.Table) -> pa.Table:
+        ends = [f(np.stack([np.frombuffer(v, np.float64) for v in table.column(c).to_pylist()]), axis=0).tobytes() for f, c in ((np.min, "low"), (np.max, "high"))]
+        return pa.table({"centre": table.column("centre")[:1], "low": pa.array([ends[0]], pa.binary()), "high": pa.array([ends[1]], pa.binary()), "radius": [max(table.column("radius").to_pylist())]})
+
+    boxes = tiles.select("centre", "low", "high", "radius").groupBy("centre").applyInArrow(boxed, "centre int, low binary, high binary, radius double").collect()
+    a, b = _near(boxes, middle, side)
+    near = spark.createDataFrame(pa.table({"centre": pa.array(a.astype(np.int32)), "centre2": pa.array(b.astype(np.int32))}))
+    spots = tiles.select("centre", "tile")
+    # Bounded by CENTRES * CENTRES / 2 pairs of numbers.
+    pairs = spots.join(F.broadcast(near), "centre").join(spots.select(F.col("centre").alias("centre2"), F.col("tile").alias("tile2")), "centre2")
+    here = F.col("centre") == F.col("centre2")
     pairs = stage(pairs.where(~here | (F.col("tile") <= F.col("tile2"))).withColumn("same", here & (F.col("tile") == F.col("tile2"))), "pairs")
-    other = tiles.select(*[F.col(f"c{k}").alias(f"e{k}") for k in range(3)], F.col("tile").alias("tile2"), F.col("keys").alias("keys2"), F.col("counts").alias("counts2"), F.col("vectors").alias("vectors2"))
-    both = pairs.join(tiles, ["c0", "c1", "c2", "tile"]).join(other, ["e0", "e1", "e2", "tile2"]).select("same", "keys", "counts", "vectors", "keys2", "counts2", "vectors2")
-    found = stage(both.mapInArrow(_compared(held, width, similar), "key long, links long, b long"), "links")
+    whole = tiles.drop("low", "high", "radius")
+    other = whole.select(*[F.col(c).alias(f"{c}2") for c in whole.columns])
+    both = pairs.join(whole, ["centre", "tile"]).join(other, ["centre2", "tile2"]).select("same", "kind", "keys", "counts", "vectors", "kind2", "keys2", "counts2", "vectors2")
+    with arrow_batches(spark, 64):  # rows are pairs of tiles
+        found = stage(both.mapInArrow(_compared(held, width, similar), "key long, links long, b long"), "links")
 
     # Groups of vectors, then of rows: the least vec_id in a group of vectors is the least of its rows.
     groups = connected_components(found.select(F.col("key").alias("a"), "b"))
@@ -180,8 +218,9 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     tied = rows.select("key", "vec_id", "n", "vector").join(counts, "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
     tied = stage(tied.withColumn("component", F.coalesce("component", "key")).withColumn("links", F.coalesce("links", F.lit(0))), "tied")
     least = tied.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    named_groups = stage(tied.join(stage(least, "least"), "component").select("vector", "n", "links", "component_id"), "groups")
-    release(named, rows, in_cells, tiles, pairs, found, tied)
+    least = stage(least, "least")
+    named_groups = stage(tied.join(least, "component").select("vector", "n", "links", "component_id"), "groups")
+    release(named, rows, gathered, tiles, pairs, found, groups, tied, least)
     out = every.withColumn("live", F.col("vec_id").isNotNull() & usable(F.col("vector"), zero=True))
     out = out.withColumn("vector", F.when(F.col("live"), F.col("vector")))
     out = out.join(named_groups, "vector", "left")

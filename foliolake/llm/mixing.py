@@ -34,7 +34,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     """(source, source_size, target) of sources(source, source_size): water filling.
 
     Sources by code point, null last, weigh `weights` in turn and share all sizes; none gets more than
-    `most` times its own size, and what it leaves is shared by weight among the rest.
+    `most` times its own size, and what it leaves is shared by weight among the rest.  One sort of one row a
+    source: their number, not their rows, is what a task must bear.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weigh = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)

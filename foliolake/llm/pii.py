@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .staging import bounded_batches
+from .staging import parts_of
 from .worker import enter
 
 KINDS = ("email", "ip", "card", "phone")
@@ -141,7 +141,8 @@ def _spelt_regions(data: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in _SPELT.finditer(data)]
 
 
-_SPELT = re.compile(rb"(?i)[A-Za-z0-9._%+-]{1,64}\s{1,2}[(\[{<]?at[)\]}>]?\s{1,2}[A-Za-z0-9-]{1,63}(?:\s{1,2}[(\[{<]?dot[)\]}>]?\s{1,2}[A-Za-z0-9-]{1,63}){1,6}")
+# Parts of any length and number: each run is possessive and begins where it can, so the scan stays linear.
+_SPELT = re.compile(rb"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s{1,2}[(\[{<]?at[)\]}>]?\s{1,2}[A-Za-z0-9-]++(?:\s{1,2}[(\[{<]?dot[)\]}>]?\s{1,2}[A-Za-z0-9-]++)++")
 _DOT = re.compile(rb"(?i)\s[(\[{<]?dot[)\]}>]?\s")
 
 
@@ -406,17 +407,18 @@ def find(texts: pa.Array, field: Field) -> list[tuple[list[tuple[str, int, int]]
                 heads = np.concatenate([[0], np.cumsum((part[a:b] & 0xC0) != 0x80)])
             place = (lambda x, h=heads: x) if heads is None else (lambda x, h=heads: int(h[x]))
             out[r][0].extend((k, place(s), place(e)) for k, s, e in base)
+            known = ends_of(base)
             for s, e in regions:
                 cut = np.fromiter((x for m in _TOKEN.finditer(data, s, e) for x in m.span()), np.int64).reshape(-1, 2)
                 if len(cut) > _MOST_TOKENS:
-                    settle(r, ends_of(base), cut, data, place, field.follow(_blocks(field, data, cut)))
+                    settle(r, known, cut, data, place, field.follow(_blocks(field, data, cut)))
                 elif len(cut):
                     words, gaps = _pieces(data, cut, 0, len(cut))
                     key = tuple(_shape(w) for w in words), tuple(gaps)
                     if key not in memory:
                         memory[key] = field.emissions(_features(words, gaps))
                     emissions.append(memory[key])
-                    jobs.append((r, ends_of(base), cut, data, place))
+                    jobs.append((r, known, cut, data, place))
     for job, path in zip(jobs, field.decode(emissions) if emissions else []):
         settle(*job, path)
     return out
@@ -431,7 +433,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return bounded_batches(rows).mapInArrow(_scanner(rows.sparkSession.sparkContext.broadcast(field or trained())), f"doc_id long, base {kind}, added {kind}")
+    return rows.mapInArrow(_scanner(rows.sparkSession.sparkContext.broadcast(field or trained())), f"doc_id long, base {kind}, added {kind}")
 
 
 def _scanner(field):
@@ -439,7 +441,7 @@ def _scanner(field):
 
     def run(batches):
         enter("pii")
-        for batch in batches:
+        for batch in parts_of(batches):
             found = find(batch.column(1), field.value)
             sides = [pa.array([[dict(zip(("kind", "start", "end"), x)) for x in f[k]] for f in found], span) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["doc_id", "base", "added"])
@@ -458,7 +460,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         enter("pii")
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = batch.column(0).to_pylist()
             for r, (base, added) in enumerate(find(batch.column(0), held.value)):
                 spans = sorted(base + added, key=lambda x: (x[1], -x[2]))
@@ -471,5 +473,5 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     texts[r] = "".join([*parts, text[at:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(k) for k in range(1, batch.num_columns))], names=batch.schema.names)
 
-    out = bounded_batches(inner).mapInArrow(run, inner.schema)
+    out = inner.mapInArrow(run, inner.schema)
     return out.select(*[(F.col("t") if c == "text" else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)])

@@ -30,7 +30,8 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+    scored = lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+    return scored.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")])
 
 
 def op5_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +140,32 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 """
 
+_OP4 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS wanted,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), w AS (
+  SELECT r, wanted, unnest(words) AS word, unnest(list_prepend('', words[1:len(words) - 1])) AS prev FROM d WHERE len(words) > 0
+), uni AS (
+  SELECT word, count(*) AS n, count(*) FILTER (wanted) AS t FROM w GROUP BY word
+), bi AS (
+  SELECT prev, word, count(*) AS n, count(*) FILTER (wanted) AS t FROM w GROUP BY prev, word
+), ctx AS (
+  SELECT prev, count(*) AS n, count(*) FILTER (wanted) AS t FROM w GROUP BY prev
+), f AS (
+  SELECT sum(n)::DOUBLE AS n, sum(t)::DOUBLE AS t, greatest({lm.VOCABULARY}, count(*))::DOUBLE AS v, CASE WHEN sum(n) > 0 AND sum(t) > 0 THEN sum(t)::DOUBLE / sum(n) ELSE 1 END AS scale FROM uni
+), p AS (
+  SELECT word, (uni.t + 0.1::DOUBLE) / (f.t + 0.1::DOUBLE * v) AS pt, (uni.n * scale + 0.1::DOUBLE) / (f.n * scale + 0.1::DOUBLE * v) AS pb FROM uni, f
+), l AS (
+  SELECT w.r, -ln({lm.SHARES[0]}::DOUBLE * CASE WHEN ctx.t > 0 THEN bi.t::DOUBLE / ctx.t ELSE pt END + {lm.SHARES[1]}::DOUBLE * pt + {lm.SHARES[2]}::DOUBLE / v) AS lt,
+         -ln({lm.SHARES[0]}::DOUBLE * (bi.n::DOUBLE / ctx.n) + {lm.SHARES[1]}::DOUBLE * pb + {lm.SHARES[2]}::DOUBLE / v) AS lb
+  FROM w JOIN bi ON bi.prev = w.prev AND bi.word = w.word JOIN ctx ON ctx.prev = w.prev JOIN p ON p.word = w.word, f
+), m AS (
+  SELECT r, avg(lt) AS lt, avg(lb) AS lb FROM l GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS difference FROM d LEFT JOIN m ON m.r = d.r
+"""
+
 _VALID = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _OP8 = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings WHERE {_VALID}),
@@ -156,4 +183,4 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component_id, vec_i
 FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.node = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op3_minhash_near_dedup": _OP3, "op8_pivot_top_k": _OP8, "op10_embedding_near_dedup": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op3_minhash_near_dedup": _OP3, "op4_cross_entropy_difference": _OP4, "op8_pivot_top_k": _OP8, "op10_embedding_near_dedup": _OP10}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import bounded_batches
+from .staging import parts_of
 
 KINDS = ("assign", "access", "hex", "literal")
 _ASSIGN = re.compile(rb"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -134,14 +134,14 @@ def scan(docs: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             found = [spans(t) if t else ([], []) for t in batch.column(1).to_pylist()]
             sides = [pa.array([[dict(zip(("kind", "start", "end"), x)) for x in f[k]] for f in found], span) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["doc_id", "base", "added"])
 
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return bounded_batches(rows).mapInArrow(run, f"doc_id long, base {kind}, added {kind}")
+    return rows.mapInArrow(run, f"doc_id long, base {kind}, added {kind}")
 
 
 def digest(found: DataFrame, kinds: tuple[str, ...], counted: dict[str, str]) -> DataFrame:

@@ -3,23 +3,28 @@
 Folding undoes disguises: case, look-alike letters of other scripts, digits and signs that stand for letters.
 A match must begin at the start of a word; entries are whole words or stems, and exception phrases cancel
 what lies inside them.  The lexicon and its weights are learnt from labelled texts: log ratios of how often
-an entry occurs per word in toxic and in clean ones.  A logistic curve over three length-normalised sums of
-matched weights gives the score.
+an entry occurs per word in toxic and in clean ones.  Exceptions are learnt too: two words one of which is
+telling by itself, while both together are found in clean texts; what they explain no longer counts against
+the word.  A logistic curve over three length-normalised sums gives the score: matched weight for the
+text's length, the same with a thousand characters more, so that little evidence in a short text counts
+less, and matched weight in the densest stretch of fixed length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import bounded_batches, stage
+from .staging import parts_of, release, stage
 from .worker import enter
 
 THRESHOLD = 0.3
@@ -33,7 +38,10 @@ LEAST_TEXTS, LEAST_WEIGHT, FEW = 3, 2.0, 4.0
 TOGETHER = 512
 #: A text that repeats an entry may raise its weight by this much over what numbers of texts alone say.
 REPEATED = 1.5
-EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "stupid question mark", "sore loser rule")
+#: A word may have exceptions from this weight on: without what they explain it may tell enough.
+HALF_TELLING = 1.0
+#: Characters of the stretch in which the densest matches are summed.
+STRETCH = 400
 
 # Letters of other scripts, digits and signs that pass for Latin letters.
 _ALIKE = {
@@ -52,10 +60,28 @@ def fold(text: str) -> tuple[str, str]:
     return plain, plain.translate(_FOLD)
 
 
-def _words(text: str) -> Counter:
-    """Folded words of a text."""
+def _places(text: str) -> list[tuple[str, bool]]:
+    """Folded words of a text in order, and whether one blank alone is between each and the word before."""
     plain, folded = fold(text)
-    return Counter(folded[m.start() : m.end()] for m in _WORD.finditer(plain))
+    out, last = [], -1
+    for m in _WORD.finditer(plain):
+        out.append((folded[m.start() : m.end()], m.start() == last + 1 and plain[last] == " "))
+        last = m.end()
+    return out
+
+
+def _words(text: str, exceptions: frozenset[str] = frozenset()) -> Counter:
+    """Folded words of a text, without those inside an exception."""
+    words = _places(text)
+    if not exceptions:
+        return Counter(w for w, _ in words)
+    out = Counter()
+    for k, (w, beside) in enumerate(words):
+        before = beside and f"{words[k - 1][0]} {w}" in exceptions
+        after = k + 1 < len(words) and words[k + 1][1] and f"{w} {words[k + 1][0]}" in exceptions
+        if not before and not after:
+            out[w] += 1
+    return out
 
 
 def _entries(word: str):
@@ -70,8 +96,7 @@ def _entries(word: str):
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     coefficients: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
-    rate: float = 0.0
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def automaton(self):
         import ahocorasick
@@ -117,13 +142,24 @@ class Lexicon:
                         if (start, end) not in words:
                             continue
                     best[start] = (end, weight)
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in spared)]
+        spared.sort()
+        starts, ends = [a for a, _ in spared], [-1, *accumulate((b for _, b in spared), max)]
+        return [(s, e, w) for s, (e, w) in sorted(best.items()) if ends[bisect_right(starts, s)] < e]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
+        """Three sums over the matches, each for a length; without matches all are 0."""
         hits = self.matched(text or "")
-        total, kilo = sum(w for _, _, w in hits), len(text or "") / 1000
-        # What is matched beyond chance for this length; matched weight per length; and matched at all.
-        return (math.copysign(math.sqrt(abs(total - self.rate * kilo)), total - self.rate * kilo), math.log1p(total / (kilo + 0.1)), math.log1p(total))
+        if not hits:
+            return 0.0, 0.0, 0.0
+        size, first, inside, densest = len(text), 0, 0.0, 0.0
+        for s, e, w in hits:
+            inside += w
+            while e - hits[first][0] > STRETCH and hits[first][0] < s:
+                inside -= hits[first][2]
+                first += 1
+            densest = max(densest, inside)
+        total = sum(w for _, _, w in hits)
+        return math.log1p(1000 * total / (size + 100)), math.log1p(1000 * total / (size + 1000)), math.log1p(1000 * densest / (min(size, STRETCH) + 100))
 
     def score(self, text: str | None) -> float:
         z = self.coefficients[0] + sum(c * x for c, x in zip(self.coefficients[1:], self.features(text)))
@@ -147,6 +183,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
 
 
 def held_out(doc_id: Column) -> Column:
+    """Whether a row is left out of learning, by its id's checksum; null for a null id, which has no label either."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
@@ -154,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Lexicon, weights and curve from docs(doc_id, text) and labels(doc_id, toxic), held-out rows left out.
 
     Rows with a null label, id or text teach nothing, nor does an id with two labels; texts that repeat count
-    once.  Without a toxic and a clean row the lexicon is empty and every score the same.
+    once.  Exceptions are two words with one blank between them.  Without a toxic and a clean row the lexicon is empty and every score the same.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t2")).where("toxic = t2").drop("t2")
@@ -164,6 +201,32 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     # Bounded by TOXIC_ROWS + CLEAN_ROWS.
     sample = stage(texts.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "labelled")
 
+    counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    if not toxic or not clean:
+        release(chosen, sample)
+        return Lexicon()
+    found, half = _evidence(sample, toxic, clean, frozenset())
+    exceptions = _exceptions(sample, toxic, clean, half)
+    if exceptions:
+        found, _ = _evidence(sample, toxic, clean, frozenset(exceptions))
+    kept = {e: round(w, 4) for e, w in sorted(_kept(found).items())}
+    # Of the exceptions those matter that stand between the lexicon and a text.
+    lexicon = Lexicon(kept, exceptions=tuple(p for p in exceptions if any(e in kept for w in p.split(" ") for e in _entries(w))))
+
+    def measured(batches):
+        for batch in batches:
+            rows = [lexicon.features(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *[pa.array([r[k] for r in rows], pa.float64()) for k in range(3)]], names=["toxic", "a", "b", "c"])
+
+    rows = sample.mapInArrow(measured, "toxic int, a double, b double, c double").toPandas().sort_values(["toxic", "a", "b", "c"])
+    lexicon.coefficients = tuple(round(c, 6) for c in _fit(rows[["a", "b", "c"]].to_numpy(), rows["toxic"].to_numpy(float)))
+    release(chosen, sample)
+    return lexicon
+
+
+def _evidence(sample: DataFrame, toxic: int, clean: int, exceptions: frozenset[str]) -> tuple[dict[str, tuple[float, int, int]], list[str]]:
+    """{entry: (weight, occurrences in toxic texts, toxic texts)} of what is telling, and the words that are half telling or more."""
     names = ["entry", "occurs", "inside", "n", "i"]
 
     def entries(batches):
@@ -174,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 sums: dict[str, list[int]] = {}  # occurrences and texts, toxic then clean; all words under no name
                 for text, kind in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     own = Counter()
-                    for word, n in _words(text).items():
+                    for word, n in _words(text, exceptions).items():
                         own[""] += n
                         for e in _entries(word):
                             own[e] += n
@@ -185,10 +248,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
                         x[k + 1] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *[pa.array([x[k] for x in sums.values()], pa.int64()) for k in range(4)]], names=names)
 
-    counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    if not toxic or not clean:
-        return Lexicon()
     per_entry = sample.select("text", "toxic").mapInArrow(entries, "entry string, occurs long, inside long, n long, i long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in names[1:]])
     per_entry = stage(per_entry.where((F.col("inside") >= LEAST_TEXTS) | (F.col("entry") == "")), "entries")
     words = per_entry.where("entry = ''").first()
@@ -196,17 +255,47 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     # Evidence alone decides what comes to the driver: the same weight as below, with something to spare for rounding.
     by_word = F.log((F.col("occurs") + 0.5) / toxic_words) - F.log((F.col("n") + 2) / clean_words)
     by_text = F.log((F.col("inside") + 0.5) / toxic) - F.log((F.col("i") + 1) / clean)
-    telling = F.least(by_word, by_text + REPEATED) >= LEAST_WEIGHT + FEW / F.col("inside") - 1e-6
-    candidates, weights = {}, {}
-    for e, occurs, inside, n, i in per_entry.where((F.col("entry") != "") & telling).select(*names).collect():
+    weight = F.least(by_word, by_text + REPEATED)
+    named = per_entry.where(F.col("entry") != "")
+    found = {}
+    for e, occurs, inside, n, i in named.where(weight >= LEAST_WEIGHT + FEW / F.col("inside") - 1e-6).select(*names).collect():
         by_word = math.log((occurs + 0.5) / toxic_words) - math.log((n + 2) / clean_words)
         by_text = math.log((inside + 0.5) / toxic) - math.log((i + 1) / clean)
-        weight = min(by_word, by_text + REPEATED)
-        if weight >= LEAST_WEIGHT + FEW / inside:
-            candidates[e] = (occurs, inside)
-            weights[e] = (min(weight, 8.0), inside)
-    # Of nested entries found in the same places the longest stem stays; one inside another stays if it says more.
-    occurs_of = {e: candidates[e][0] for e in weights}
+        own = min(by_word, by_text + REPEATED)
+        if own >= LEAST_WEIGHT + FEW / inside:
+            found[e] = (own, occurs, inside)
+    # Only words that clean texts hold as well can have exceptions there.
+    half = named.where(F.endswith("entry", F.lit("$")) & (F.col("i") >= LEAST_TEXTS) & (weight >= HALF_TELLING + FEW / F.col("inside"))).select("entry").collect()
+    release(per_entry)
+    return found, sorted(r["entry"][:-1] for r in half)
+
+
+def _exceptions(sample: DataFrame, toxic: int, clean: int, words: list[str]) -> list[str]:
+    """Pairs of words beside each other, one of them among `words`, that are as likely in clean texts as its evidence asks."""
+    if not words:
+        return []
+    asked = frozenset(words)
+
+    def pairs(batches):
+        enter("toxicity")
+        for batch in batches:
+            inside, i = Counter(), Counter()
+            for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen = _places(text)
+                own = {f"{a} {b}" for (a, _), (b, beside) in zip(seen, seen[1:]) if beside and (a in asked or b in asked)}
+                (inside if kind else i).update(own)
+            both = sorted({*inside, *i})
+            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *[pa.array([c[p] for p in both], pa.int64()) for c in (inside, i)]], names=["pair", "inside", "i"])
+
+    counted = sample.select("text", "toxic").mapInArrow(pairs, "pair string, inside long, i long").groupBy("pair").agg(F.sum("inside").alias("inside"), F.sum("i").alias("i"))
+    odds = F.log((F.col("i") + 0.5) / clean) - F.log((F.col("inside") + 0.5) / toxic)
+    return sorted(r["pair"] for r in counted.where((F.col("i") >= LEAST_TEXTS) & (odds >= FEW / F.col("i"))).select("pair").collect())
+
+
+def _kept(found: dict[str, tuple[float, int, int]]) -> dict[str, float]:
+    """Of nested entries found in the same places the longest stem; one inside another stays if it says more."""
+    weights = {e: min(w, 8.0) for e, (w, _, _) in found.items()}
+    occurs_of = {e: occurs for e, (_, occurs, _) in found.items()}
     same: set[str] = set()
     for e in sorted(weights, key=len):
         stem = e.rstrip("$")
@@ -216,24 +305,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         else:
             same.update(k for n in STEMS if n < len(e) and (k := e[:n]) in weights and occurs_of[e] >= 0.9 * occurs_of[k])
     kept: dict[str, float] = {}
-    for e, (weight, inside) in sorted(weights.items(), key=lambda x: (len(x[0]), x[0])):
+    for e, weight in sorted(weights.items(), key=lambda x: (len(x[0]), x[0])):
         inner = [k for n in STEMS if n < len(e) and (k := e[:n]) in kept]
         if e not in same and (not inner or weight > max(kept[k] for k in inner) + 1.0):
             kept[e] = weight
-    lexicon = Lexicon({e: round(w, 4) for e, w in sorted(kept.items())})
-
-    def measured(batches):
-        for batch in batches:
-            rows = [(k, sum(w for _, _, w in lexicon.matched(t)), len(t)) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], names=["toxic", "total", "length"])
-
-    rows = sample.mapInArrow(measured, "toxic int, total double, length long").toPandas().sort_values(["toxic", "total", "length"])
-    y, total, kilo = rows["toxic"].to_numpy(float), rows["total"].to_numpy(), rows["length"].to_numpy() / 1000
-    lexicon.rate = round(float(max(2 * total[y == 0].sum() / max(kilo[y == 0].sum(), 1e-9), 0.25 * total[y == 1].sum() / max(kilo[y == 1].sum(), 1e-9))), 6)
-    over = total - lexicon.rate * kilo
-    x = np.stack([np.copysign(np.sqrt(np.abs(over)), over), np.log1p(total / (kilo + 0.1)), np.log1p(total)], 1)
-    lexicon.coefficients = tuple(round(c, 6) for c in _fit(x, y))
-    return lexicon
+    return kept
 
 
 def scores(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
@@ -250,9 +326,9 @@ def scores(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
     def run(batches):
         enter("toxicity")
         lex = broadcast.value
-        for batch in batches:
+        for batch in parts_of(batches):
             values = [lex.score(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), *(batch.column(k) for k in range(1, batch.num_columns))], names=["score", *batch.schema.names[1:]])
 
-    out = bounded_batches(inner).mapInArrow(run, schema)
+    out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{k}").alias(f.name) for k, f in enumerate(kept)], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -56,6 +56,7 @@ def _corpus(seed=3, n=160):
 
 def test_groups_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE_ROWS", 7)
+    monkeypatch.setattr(minhash, "SIGNATURE_ROWS", 11)
     rows = _corpus()
     got = {(x.doc_id): x for x in minhash.near_duplicates(spark.createDataFrame([(d, t, "x", 1, 2) for d, t in rows], DOCS)).collect()}
     sets, roots = brute_groups(rows)
@@ -65,8 +66,18 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     assert got[None].component_id is None and got[None].kept
 
 
-def test_hot_group_is_settled_in_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_a_repeated_id_has_its_least_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", broadcast)
+    rows = [(1, "b b b b b b"), (1, "a a a a a a"), (1, None), (2, "b b b b b b"), (3, "a a a a a a"), (4, None), (4, None), (None, "b b b b b b")]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True)] * 3 + [(2, 1, 2, True), (3, 1, 1, False)] + [(4, 0, 4, True)] * 2 + [(None, 1, None, True)], key=str)
+
+
+@pytest.mark.parametrize("rows_", [4, 4096])
+def test_hot_group_is_settled_in_tiles(spark, monkeypatch, rows_):
     monkeypatch.setattr(minhash, "TILE_ROWS", 5)
+    monkeypatch.setattr(minhash, "SIGNATURE_ROWS", rows_)
     r, words = random.Random(8), [f"w{k}" for k in range(900)]
     base = [r.choice(words) for _ in range(120)]
     rows = []
@@ -107,16 +118,19 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embdedup, "LEAST_TILE", 16)
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_vectors_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(embdedup, "TILE", tile)
+    monkeypatch.setattr(embdedup, "GATHERED", 16)
+    monkeypatch.setattr(embdedup, "BLOCK", 8 if tile == 16 else 512)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 24))
     rows = [(k, [float(np.float32(v)) for v in centres[k % 12] + rng.normal(size=24) * rng.choice([0.05, 0.2, 0.35])]) for k in range(200)]
-    rows += [(300, rows[3][1]), (301, rows[3][1]), (3, rows[3][1]), (302, [0.0] * 24), (303, None), (304, [1.0, None]), (305, [float("nan")] * 24), (306, [float("inf")] * 24), (None, rows[4][1]), (307, [])]
+    rows += [(300, rows[3][1]), (301, rows[3][1]), (3, rows[3][1]), (302, [0.0] * 24), (303, None), (304, [1.0, None]), (305, [float("nan")] * 24), (306, [float("inf")] * 24), (None, rows[4][1]), (307, []), (308, [1.0, 2.0]), (309, [1.0, 2.0] + [0.0] * 22), (310, [0.1, 0.2])]
     df = spark.createDataFrame([(i, v, 7, "x") for i, v in rows], "vec_id long, embedding array<float>, links int, component string")
     got = sorted(((x.vec_id, x.n_links, x.component_id, x.kept) for x in embdedup.near_vectors(df).collect()), key=str)
     ok = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
-    x = np.array([rows[k][1] for k in ok])
+    x = np.array([[*rows[k][1], *[0.0] * (24 - len(rows[k][1]))] for k in ok]).astype(np.float32).astype(np.float64)
     n = np.sqrt((x * x).sum(1))
     link = (x @ x.T) / (n[:, None] * n[None]) >= 0.9
     np.fill_diagonal(link, False)

@@ -40,23 +40,30 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert pivots.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0 and pivots.top_k(df, F.lit(False)).count() == 0
 
 
-def test_pivots_stop_early():
+def _clustered(n=3000, spread=0.02):
     rng = np.random.default_rng(1)
-    x = np.floor(rng.normal(size=(40, 6)) * 50)[rng.integers(0, 40, 4000)] + rng.integers(0, 3, (4000, 6))
-    largest = float((x * x).sum(1).max())
-    p = pivots._choose(pivots._lifted(x[:500], largest), 32)
-    table, q = pivots._distances(pivots._lifted(x, largest), p), x[int((x * x).sum(1).argmax())]
-    seen = []
-    ids = np.arange(len(x))
-
-    class Counted(np.ndarray):
-        def __matmul__(self, other):
-            seen.append(len(self))
-            return np.asarray(self) @ other
-
-    best = pivots._best(q, -1, pivots._distances(np.append(q, 0)[None], p)[0], x.view(Counted), ids, table, largest, 5)
-    assert best == [(-s, i) for s, i in sorted((-int(v @ q), k) for k, v in enumerate(x))[:5]]
-    assert sum(seen) < len(x)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, n)] + spread * rng.normal(size=(n, 16))
+    return [(k, [float(np.float32(v)) for v in row / np.linalg.norm(row)]) for k, row in enumerate(x)]
+
+
+def test_pivots_stop_early(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "TILE", 64)
+    monkeypatch.setattr(pivots, "CHOSEN_FROM", 512)
+    rows = _clustered()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    asks = F.col("vec_id") % 100 == 0
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in pivots.top_k(df, asks).collect())
+    assert got == _brute(rows, 10, lambda i: i % 100 == 0)
+    looked = pivots.evaluated(df, asks).toPandas()
+    assert len(looked) == 30 and looked.evaluated.sum() < 0.1 * len(rows) * len(looked)  # a query's own cluster is a 30th
+
+
+def test_top_k_of_unequal_lengths_and_large_numbers(spark):
+    rows = [(0, [1e6, -2.5]), (1, [1e6]), (2, [3.0, 4.0, 5.0]), (3, []), (4, [-1e6, 0.0, 1.0]), (20, [7.0]), (21, [1e6, -2.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in pivots.top_k(df, F.col("vec_id") % 20 == 0, k=3).collect())
+    filled = [(i, [*v, *[0.0] * (3 - len(v))] if v else v) for i, v in rows]
+    assert got == _brute(filled, 3, lambda i: i % 20 == 0)
 
 
 def test_pipeline_equals_brute_force(spark):

@@ -60,18 +60,56 @@ def test_feistel_is_a_permutation(n):
 def test_shards_hold_every_sequence_once(spark, tmp_path):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD * 3)], "doc_id long, text string")
     path = f"file://{tmp_path}/shards"
-    n, total = shards.write_shards(docs, path, per_shard=4, window=512)
-    m = shards.manifest(spark, path, n, window=512).toPandas().sort_values("slot")
+    plan = shards.write_shards(docs, path, per_shard=4, window=512)
+    n, total = plan["sequences"], plan["tokens"]
+    m = shards.manifest(spark, path).toPandas().sort_values("slot")
     assert m.slot.tolist() == list(range(n)) and sorted(m.sequence_id) == list(range(n)) and m.n_tokens.sum() == total
     packed = packing.pack(docs, window=512).toPandas().sort_values(["sequence_id", "offset"])
     docs_of = packed.groupby("sequence_id").doc_id.apply(lambda x: list(dict.fromkeys(x)))
     assert all(list(r.doc_ids) == docs_of[r.sequence_id] for r in m.itertuples())
-    whole = {r.slot: r.ids for r in shards.read_slots(spark, path, 0, n, window=512, per_shard=4).collect()}
-    tail = shards.read_slots(spark, path, 3, 4, window=512, per_shard=4).collect()
+    whole = {r.slot: r.ids for r in shards.read_slots(spark, path, 0, n).collect()}
+    tail = shards.read_slots(spark, path, 3, 4).collect()
     assert [r.slot for r in tail] == [3, 4, 5, 6] and all(whole[r.slot] == r.ids for r in tail)
     assert all(zlib.crc32(np.frombuffer(whole[r.slot], "<u2").astype("<u4").tobytes()) == r.ids_crc32 for r in m.itertuples())
     empty = f"file://{tmp_path}/empty"
-    assert shards.write_shards(docs.limit(0), empty) == (0, 0) and shards.manifest(spark, empty, 1).count() == 0
+    assert shards.write_shards(docs.limit(0), empty)["sequences"] == 0 and shards.manifest(spark, empty).count() == 0
+
+
+def test_shards_hold_the_tokenizers_ids_slot_by_slot(spark, tmp_path):
+    # Documents in one partition keep their order, so the stream can be made by hand; repeats, a null id and columns that clash.
+    rows = [(k % 7 if k % 7 else None, t, "x", k) for k, t in enumerate([*ODD, "the cat " * 3000, ODD[0], ODD[0]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot string, shard int").coalesce(1)
+    path = f"file://{tmp_path}/shards"
+    plan = shards.write_shards(docs, path, per_shard=3, window=256)
+    stream = np.concatenate([_plain(t) for _, t, _, _ in rows])
+    assert plan["tokens"] == len(stream) and plan["sequences"] == -(-len(stream) // 256)
+    order = shards.Feistel(plan["sequences"], plan["key"])
+    want = {int(order.slot(np.array([k]))[0]): stream[256 * k : 256 * k + 256] for k in range(plan["sequences"])}
+    files = sorted((tmp_path / "shards").glob("part-*"))
+    assert len(files) == -(-plan["sequences"] // 3)
+    for s, ids in want.items():  # arithmetic alone, as another program would read it
+        raw = files[s // 3].read_bytes()[s % 3 * plan["record"] :][: plan["record"]]
+        assert int.from_bytes(raw[:8], "little") == s and int.from_bytes(raw[8:12], "little") == len(ids) and raw[-1:] == b"\n"
+        assert np.frombuffer(raw[12 : 12 + 2 * len(ids)], "<u2").tolist() == ids.tolist()
+        assert set(raw[12 + 2 * len(ids) : -1]) <= {0}
+    for first, count in ((0, 1), (2, 5), (plan["sequences"] - 1, 9)):
+        assert [x.tolist() for x in shards.seek(spark, path, first, count)] == [want[s].tolist() for s in range(first, min(first + count, plan["sequences"]))]
+
+
+def test_shards_go_on_where_a_run_was_cut_off(spark, tmp_path):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD * 2)], "doc_id long, text string").coalesce(1)
+    path = f"file://{tmp_path}/shards"
+    plan = shards.write_shards(docs, path, per_shard=4, window=512)
+    before = {f.name.split("-")[1]: (f.name, f.read_bytes()) for f in (tmp_path / "shards").glob("part-*")}
+    lost = sorted(before)[::3]
+    for k in lost:
+        (tmp_path / "shards" / before[k][0]).unlink()
+    assert shards.write_shards(docs, path, per_shard=4, window=512) == plan
+    after = {f.name.split("-")[1]: (f.name, f.read_bytes()) for f in (tmp_path / "shards").glob("part-*") if f.stat().st_size}
+    assert {k: v[1] for k, v in after.items()} == {k: v[1] for k, v in before.items()}
+    assert {k for k in after if after[k][0] != before[k][0]} == set(lost)
+    with pytest.raises(ValueError, match="another layout"):
+        shards.write_shards(docs, path, per_shard=8, window=512)
 
 
 def _sources(seed=2, n=400):
@@ -109,6 +147,29 @@ def test_mix_of_odd_rows(spark):
     assert mixing.allocation(df, preference="rank").agg(F.max("copies")).first()[0] <= 3
 
 
+def test_inclusion_is_as_frequent_as_its_odds(spark):
+    r = random.Random(5)
+    sizes = [r.choice([1, 3, 9, 40, 200]) for _ in range(100)]
+    rows = [(100 * g + k, " ".join(["w"] * n), f"s{g:03d}") for g in range(90) for k, n in enumerate(sizes)]  # 30 sources of each weight, alike in sizes
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    every, plan = mixing.allocation_plan(df, 1, (1, 2, 3), 3, None)
+    got = mixing._decided(mixing._ranked(every, plan, 3)).select("doc_id", "wanted", "size", "target", "source", "copies").toPandas()
+    # Before anything is drawn the expected words are the target's, none beyond three copies, longer texts likelier.
+    assert (abs((got.wanted * got["size"]).groupby(got.source).sum() - got.groupby("source").target.first()) < 1e-6).all()
+    assert got.wanted.max() <= 3 and got.wanted.round(6).nunique() >= 10
+    for _, part in got.groupby(got.wanted.round(6)):
+        assert abs(part.copies.mean() - part.wanted.iloc[0]) < 5 * 0.5 / np.sqrt(len(part)) + 0.03
+
+
+def test_preference_is_reshared_beyond_the_cap(spark):
+    rows = [(k, "w " * 10, "a", 100.0 if k < 5 else 1.0 if k < 90 else None if k < 95 else -1.0) for k in range(100)] + [(k, "w " * 10, "b", 1.0) for k in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, p double")
+    got = mixing.allocation(df, preference="p").toPandas()
+    assert (got[got.doc_id < 5].copies == 3).all() and (got[(got.doc_id >= 95) & (got.doc_id < 100)].copies == 0).all()
+    a = got[got.source == "a"]
+    assert abs((a.copies * a["size"]).sum() - a.target.iloc[0]) <= 10
+
+
 def test_targets_fill_up(spark):
     s = spark.createDataFrame([("a", 10), ("b", 10), ("c", 1000), (None, 0)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.targets(s).collect()}

@@ -90,7 +90,7 @@ def test_redaction(spark):
 
 
 def test_lexicon_folds_and_spares():
-    lex = toxicity.Lexicon({"idiot": 6.0, "trash$": 5.0, "achlich": 3.0}, (-3.0, 0.5, 0.5, 0.5))
+    lex = toxicity.Lexicon({"idiot": 6.0, "trash$": 5.0, "achlich": 3.0}, (-3.0, 0.5, 0.5, 0.5), ("trash can",))
     hits = lambda t: [t[s:e] for s, e, _ in lex.matched(t)]
     assert hits("An 1D10T, іdіоt and idiots###") == ["1D10T", "іdіоt", "idiot"]
     assert hits("the trash can and trashy TRASH!! videoidiot") == ["TRASH"]
@@ -109,6 +109,26 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all() and len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_exceptions_are_learnt(spark):
+    filler = "plain ordinary sentence with several usual words number"
+    rows = [(k, f"{filler} {k} you zorg and zorg again", 1) for k in range(400)]
+    rows += [(k, f"{filler} {k} put it into the Zorg Can please", 0) for k in range(400, 900)] + [(k, f"{filler} {k} pleasant", 0) for k in range(900, 2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lex = toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    hits = lambda t: [t[s:e] for s, e, _ in lex.matched(t)]
+    assert "zorg can" in lex.exceptions
+    assert hits("a zorg can, the z0rg cAn") == [] and hits("a zorg cannot, zorg") == ["zorg", "zorg"]
+    assert lex.score("the zorg can") < 0.3 <= lex.score("you zorg and zorg again")
+
+
+def test_score_is_for_a_length():
+    lex = toxicity.Lexicon({"idiot": 6.0}, (-3.0, 0.5, 0.5, 0.5))
+    plain = "a friendly word " * 40
+    one, many = lex.features("idiot " + plain), lex.features(("idiot " + plain) * 200)
+    assert abs(one[0] - many[0]) < 0.6 and abs(one[2] - many[2]) < 0.6 and one[1] < many[1] <= many[0]  # as dense, as toxic, whatever the length
+    assert all(a > b for a, b in zip(one[:2], lex.features("idiot " + plain * 20)[:2])) and lex.features(plain) == (0.0, 0.0, 0.0)
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a", 3), (None, "", "b", 4), (2, "x " * 50_000, "c", 5)], "doc_id long, text string, score string, c0 int")
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None), (2, 0)], "doc_id long, toxic int")
@@ -209,3 +229,115 @@ def test_lexicon_learns_rare_and_short_words(spark):
     assert lex.matched("qabbalo") and lex.matched("vermor") and "zog$" in lex.weights
     hits = lambda t: [t[s:e] for s, e, _ in lex.matched(t)]
     assert hits("You ZOG, z0g! zogs o'zog zog's") == ["ZOG", "z0g"] and not hits(filler + " pleasant")
+
+
+def test_a_number_is_found_wherever_it_stands():
+    field = pii.trained()
+    texts = ["x " + "12 , " * n + "(555) 010-2030 , 12" for n in range(1, 700)]
+    found = pii.find(pa.array(texts), field)
+    for text, (_, added) in zip(texts, found):
+        assert [(k, text[s:e]) for k, s, e in added] == [("phone", "(555) 010-2030")], len(text)
+
+
+def _planted(seed: int, n: int = 200):
+    """Texts with numbers and addresses that only the field can find, among numbers that are none; and what was planted."""
+    import random
+
+    r = random.Random(seed)
+    number = lambda k: "".join(r.choice("23456789") for _ in range(k))
+    kinds = [
+        lambda: ("phone", f"({number(3)}) {number(3)}-{number(4)}"), lambda: ("phone", f"{number(3)}-{number(3)}-{number(4)}"),
+        lambda: ("email", f"{r.choice(['sam', 'jo', 'li'])} at {r.choice(['mail', 'firm', 'site'])} dot {r.choice(['com', 'org', 'net'])}"),
+    ]
+    noise = [lambda: f"on 20{r.randrange(10, 25)}-0{r.randrange(1, 9)}-1{r.randrange(9)}", lambda: f"paid {r.randrange(1000)}.{r.randrange(10, 99)} in 19{r.randrange(60, 99)}", lambda: f"version {r.randrange(9)}.{r.randrange(20)}.{r.randrange(30)}", lambda: f"pages {r.randrange(99)} and {r.randrange(99)}"]
+    out = []
+    for _ in range(n):
+        parts, spans = [], []
+        for _ in range(r.randrange(1, 5)):
+            parts.append(r.choice(["call", "write to", "see", "and then"]))
+            if r.random() < 0.5:
+                kind, value = r.choice(kinds)()
+                at = len(" ".join(parts)) + 1
+                spans.append((kind, at, at + len(value)))
+                parts += [value, r.choice(["now", "please", "today"])]
+            else:
+                parts += [r.choice(noise)(), "or so"]
+        out.append((" ".join(parts), spans))
+    return out
+
+
+def test_planted_personal_data_precision_and_recall():
+    cases = _planted(4)
+    found = [added for _, added in pii.find(pa.array([t for t, _ in cases]), pii.trained())]
+    hit = sum(len(set(a) & set(want)) for a, (_, want) in zip(found, cases))
+    assert hit >= 0.9 * sum(len(want) for _, want in cases)
+    assert hit >= 0.9 * sum(map(len, found))
+
+
+def test_planted_secrets_precision_and_recall():
+    import random
+
+    r = random.Random(6)
+    value = lambda: "".join(r.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789-_") for _ in range(r.randrange(16, 40)))
+    secret = ["credential", "client_auth", "private_key", "signingKey", "db.passphrase"]
+    plain = ["colour", "title", "user_name", "path", "message"]
+    hit = planted = wrong = 0
+    for _ in range(200):
+        a, b = value(), value()
+        lines = [f'{r.choice(secret)} = "{a}"', f"{r.choice(plain)}: '{b}'", f'{r.choice(secret)}: "changeme"', f"{r.choice(plain)} = see the manual"]
+        r.shuffle(lines)
+        text = "\n".join(lines)
+        found = [text[s:e] for _, s, e in secrets.spans(text.encode())[1]]
+        planted, hit, wrong = planted + 1, hit + (a in found), wrong + len(set(found) - {a})
+    assert hit >= 0.95 * planted and wrong <= 0.05 * planted
+
+
+def _seconds(run) -> float:
+    import time
+
+    return min((lambda t: (run(), time.perf_counter() - t)[1])(time.perf_counter()) for _ in range(2))
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    field = pii.trained()
+    mail = lambda n: pa.array(["write to jo.field@mail.example.org or (555) 010-2030 today, " * n])
+    keys = lambda n: b'token = "abcdefgh12"\ncredential = "aB3$kk29-xQ11zz"\n' * n
+    for run, n in ((lambda n: pii.find(mail(n), field), 3000), (lambda n: secrets.spans(keys(n)), 6000)):
+        assert _seconds(lambda: run(4 * n)) < 8 * _seconds(lambda: run(n))  # noqa: B023
+    long = "a" * 3_000_000 + " at " + "b" * 1_000_000 + " dot org"
+    assert [k for k, _, _ in pii.find(pa.array([long]), field)[0][1]] == ["email"]
+    literal = "aB3-kk29_xQ1" * 10_000
+    assert [(k, e - s) for k, s, e in secrets.spans(f'credential = "{literal}"'.encode())[1]] == [("literal", len(literal))]
+    docs = spark.createDataFrame([(1, "the cat " * 400_000), (2, "a cat")], "doc_id long, text string")
+    assert {r.doc_id: r.n_words for r in lm.cross_entropy_difference(docs, docs.select("doc_id").limit(1)).collect()} == {1: 800_000, 2: 2}
+
+
+def test_every_context_gives_a_distribution(spark):
+    rows = [(1, "the cat sat on the mat"), (2, "the dog sat"), (3, "a cat on a dog the the"), (4, "dog dog mat")]
+    words = sorted({w for _, t in rows for w in t.split()})
+    # Each text of two words asks for one pair: its second loss is the pair's.  The rest of the vocabulary, never seen, shares what is left.
+    asked = [(100 + k, f"{a} {b}") for k, (a, b) in enumerate((a, b) for a in words for b in words)]
+    uni, bi, ctx = Counter(), Counter(), Counter()
+    for _, t in rows + asked:
+        w = ["<s>", *t.split()]
+        for a, b in zip(w, w[1:]):
+            uni[b] += 1
+            bi[a, b] += 1
+            ctx[a] += 1
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = {r.doc_id: r for r in lm.cross_entropy_difference(docs, ids).collect()}
+    start = lambda k, b: {"target": sum(t.split()[0] == b for d, t in rows if d < 3) / 2, "background": bi["<s>", b] / ctx["<s>"]}[k]
+    total = {"target": 9, "background": sum(uni.values())}
+    scale = {"target": 1.0, "background": 9 / sum(uni.values())}
+    count = {"target": Counter(w for d, t in rows if d < 3 for w in t.split()), "background": uni}
+    for side in ("target", "background"):
+        p1 = lambda b: (count[side][b] * scale[side] + 0.1) / (total[side] * scale[side] + 0.1 * lm.VOCABULARY)  # noqa: B023, E731
+        assert math.isclose(sum(p1(b) for b in words) + (lm.VOCABULARY - len(words)) * p1("never"), 1.0)
+        for a in words:
+            first = -math.log(lm.SHARES[0] * start(side, a) + lm.SHARES[1] * p1(a) + lm.SHARES[2] / lm.VOCABULARY)
+            given = [math.exp(first - 2 * got[d][f"{side}_loss"]) for d, t in asked if t.startswith(f"{a} ")]
+            missing = lm.VOCABULARY - len(words)
+            seen_context = side == "background" or any(a in t.split()[:-1] for d, t in rows if d < 3)
+            rest = missing * (lm.SHARES[1] * p1("never") + lm.SHARES[2] / lm.VOCABULARY + (0 if seen_context else lm.SHARES[0] * p1("never")))
+            assert math.isclose(sum(given) + rest, 1.0, rel_tol=1e-9), (side, a)
