@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, lm, minhash, mixing, packing, pii, pivots, secrets, shards, toxicity
+from . import embdedup, lm, minhash, mixing, packing, pii, pivots, secrets, shards, suffixes, toxicity
 from .staging import shared_dir
 
 
@@ -64,11 +64,17 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pareto_mix, op2_concat_pack, op3_minhash_near_dedup, op4_cross_entropy_difference, op5_lexicon_toxicity,
         op6_assignment_secrets, op7_crf_pii, op8_pivot_top_k, op9_training_order_shards, op10_embedding_near_dedup,
+        op13_suffix_radix_dedup,
     )
 }
 
@@ -183,4 +189,16 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component_id, vec_i
 FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.node = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op3_minhash_near_dedup": _OP3, "op4_cross_entropy_difference": _OP4, "op8_pivot_top_k": _OP8, "op10_embedding_near_dedup": _OP10}
+_OP13 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+c AS (SELECT doc_id, n, p, substr(h, 2 * p + 1, 1198) AS part FROM (SELECT *, unnest(range(0, n, 500)) AS p FROM d)),
+s AS (SELECT doc_id, p, part, unnest(range(least(500, n - p - 99))) AS j FROM c),
+w AS (SELECT doc_id, p + j AS i FROM s QUALIFY row_number() OVER (PARTITION BY substr(part, 2 * j + 1, 200) ORDER BY doc_id, p + j) > 1),
+o AS (SELECT *, i > 100 + coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -101) AS opens FROM w),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM (FROM r UNION ALL SELECT doc_id, n, n FROM d)),
+k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT - 1 AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op3_minhash_near_dedup": _OP3, "op4_cross_entropy_difference": _OP4, "op8_pivot_top_k": _OP8, "op10_embedding_near_dedup": _OP10, "op13_suffix_radix_dedup": _OP13}
