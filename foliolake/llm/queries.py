@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, lm, minhash, mixing, packing, pii, pivots, secrets, shards, suffixes, toxicity
+from . import alignment, embdedup, lm, minhash, mixing, packing, pii, pivots, secrets, shards, suffixes, toxicity
 from .staging import shared_dir
 
 
@@ -64,6 +64,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_pair_key_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.without_repeats(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,7 +78,7 @@ QUERIES = {
     for f in (
         op1_pareto_mix, op2_concat_pack, op3_minhash_near_dedup, op4_cross_entropy_difference, op5_lexicon_toxicity,
         op6_assignment_secrets, op7_crf_pii, op8_pivot_top_k, op9_training_order_shards, op10_embedding_near_dedup,
-        op13_suffix_radix_dedup,
+        op12_pair_key_alignment, op13_suffix_radix_dedup,
     )
 }
 
