@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, embdedup, lm, minhash, mixing, packing, pii, pivots, secrets, shards, suffixes, toxicity
+from . import alignment, collocations, embdedup, lm, minhash, mixing, packing, pii, pivots, secrets, shards, suffixes, toxicity
 from .staging import shared_dir
 
 
@@ -64,6 +64,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_automaton_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_pair_key_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ QUERIES = {
     for f in (
         op1_pareto_mix, op2_concat_pack, op3_minhash_near_dedup, op4_cross_entropy_difference, op5_lexicon_toxicity,
         op6_assignment_secrets, op7_crf_pii, op8_pivot_top_k, op9_training_order_shards, op10_embedding_near_dedup,
-        op12_pair_key_alignment, op13_suffix_radix_dedup,
+        op11_automaton_collocations, op12_pair_key_alignment, op13_suffix_radix_dedup,
     )
 }
 
@@ -193,6 +197,32 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(component_id, vec_i
 FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.node = vec_id
 """
 
+_OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3]) AS k FROM w))
+), f AS (
+  SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10
+), x AS (
+  SELECT c.*, cut, l.n AS l, r.n AS r, (1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.k = cut AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.k = c.k - cut AND r.phrase = array_to_string(w[cut + 1:c.k], ' ')
+), s AS (
+  SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), h AS (
+  SELECT lang, phrase, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY lang, phrase
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase)::BIGINT AS rank, s.phrase, a, l, r, t.n, score::BIGINT AS score
+FROM s JOIN t ON t.lang = s.lang LEFT JOIN h ON h.lang = s.lang AND h.phrase = s.phrase WHERE NOT coalesce(100 * held >= 50 * a, false)
+QUALIFY row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) <= 2000
+"""
+
 _OP13 = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 c AS (SELECT doc_id, n, p, substr(h, 2 * p + 1, 1198) AS part FROM (SELECT *, unnest(range(0, n, 500)) AS p FROM d)),
@@ -205,4 +235,4 @@ k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT - 1 AS n_
 SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op3_minhash_near_dedup": _OP3, "op4_cross_entropy_difference": _OP4, "op8_pivot_top_k": _OP8, "op10_embedding_near_dedup": _OP10, "op13_suffix_radix_dedup": _OP13}
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op3_minhash_near_dedup": _OP3, "op4_cross_entropy_difference": _OP4, "op8_pivot_top_k": _OP8, "op10_embedding_near_dedup": _OP10, "op11_automaton_collocations": _OP11, "op13_suffix_radix_dedup": _OP13}
