@@ -13,10 +13,12 @@ of them is kept in a bounded table.  Tokenizers for which that does not hold see
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ PARTIAL = 1 << 21
 SHARD = 1 << 22
 _ROWS = 256
 _SPACED = re.compile(r"\s ")
+#: How the byte-level tokenizer cuts text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -52,9 +56,12 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers and what is known of units: (valid, n_a, n_b, n_groups, keys of links, groups as text)."""
+    """Both tokenizers, and what is known of units: (valid, n_a, n_b, n_groups, keys of links, groups as text).
 
-    def __init__(self, byte_path: str, piece_path: str, keep: Callable[[tuple], tuple] = lambda unit: unit):
+    `finish` makes of such records, several at a time, what is kept of them.
+    """
+
+    def __init__(self, byte_path: str, piece_path: str, finish: Callable[[list[tuple]], list[tuple]] = lambda units: units):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -66,13 +73,35 @@ class Aligner:
         self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self._one = self._fast(byte_path)
         probe = "A  bc, it's 9 x--y \n\n z\t ÉÜ.  'd "
         self.by_unit = not any(re.search("[^▁]▁", p) for p in pieces) and self.b.encode(probe) == [i for u in self._cut(probe) for i in self.b.encode(u[1:])]
-        self.by_unit = self.by_unit and self._a([" " + probe])[0] == [i for u in self._cut(probe) for i in self._a([u])[0]]
-        self.keep, self.known = keep, {}
-
-    def _a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        self.by_unit = self.by_unit and self._one(" " + probe) == [i for u in self._cut(probe) for i in self._one(u)]
+        # Ids as text with what follows them: a comma, or at the end of a group's side a bar (first) or semicolon (second).
+        most = max(self.a_bytes) + 1
+        self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in ([self.a_bytes.get(i, b"") for i in range(most)], self.b_bytes))
+        self.spelt = [b"%d%s" % (i, c) for n, ends in ((most, b",|"), (len(pieces), b",;")) for c in (ends[:1], ends[1:]) for i in range(n)]
+        self.spelt_size = np.array([len(x) for x in self.spelt], np.int64)
+        self.finish, self.known = finish, {}
+
+    def _whole(self, text: str) -> list[int]:
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def _fast(self, path: str) -> Callable[[str], list[int]]:
+        """The byte-level tokenizer by tiktoken, if its merges are in the order of their ids, else by itself."""
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", ())]
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {self.a_bytes[i]: i for t, i in model["vocab"].items() if t not in special}
+        if ids == sorted(ids) and not model.get("ignore_merges") and len(ranks) >= 256:
+            import tiktoken
+
+            fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+            probes = ["", " it's  a 12 b--c \n\n d\t É日本'll", " <|endoftext|> x\u00a0 y'S 'd", " " * 9 + "ab"]
+            if all(fast(t) == self._whole(t) for t in probes):
+                return fast
+        return self._whole
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -95,50 +124,61 @@ class Aligner:
     def units(self, text: str) -> list[str]:
         return self._cut(text) if self.by_unit else [" " + text]
 
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple:
-        raw = unit.encode()
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
-            return False, 0, 0, 0, b"", b""
-        keys, groups = [], []
-        i = j = i0 = j0 = 0
-        end_a, end_b = len(x[0]), len(y[0])
-        while True:
-            keys.append(a[i] << 32 | b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a:
-                i += 1
-            if step_b:
-                j += 1
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                i0, j0 = i, j
-                if i == len(a):
-                    break
-            if step_a:
-                end_a += len(x[i])
-            if step_b:
-                end_b += len(y[j])
-        return True, len(a), len(b), len(groups), np.array(keys, np.int64).tobytes(), ";".join(groups).encode()
-
-    def look(self, units: Iterable[str]) -> dict[str, tuple]:
-        """What is known of these units, all of them: new ones are tokenised and kept while there is room."""
-        new = [u for u in units if u not in self.known]
-        if not new:
-            return self.known
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = list(units)
-        found = {u: self.keep(self._aligned(u, a, b)) for u, a, b in zip(new, self._a(new), self.b.encode([u[1:] for u in new], num_threads=1))}
-        self.known |= {u: v for u, v in found.items() if len(u) <= KEPT_CHARS} if len(new) <= KEPT else {}
-        return self.known | found if len(found) > KEPT or any(len(u) > KEPT_CHARS for u in found) else self.known
-
-    def parts(self, text: str | None) -> Iterator[tuple[list[str], dict[str, tuple]]]:
-        """A text's units, TOGETHER of them at a time, and what is known of each."""
-        units = self.units(text) if text else []
-        for k in range(0, len(units), TOGETHER):
-            own = units[k : k + TOGETHER]
-            yield own, self.look(dict.fromkeys(own))
+    def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [self._one(u) for u in units], self.b.encode([u[1:] for u in units], num_threads=1)
+
+    def fresh(self, units: list[str]) -> list[tuple]:
+        """Records of units, tokenised and aligned together as if they were one text."""
+        a, b = self.tokens(units)
+        raw = [u.encode() for u in units]
+        fits = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw)]
+        good = [k for k, f in enumerate(fits) if f]
+        n_a, n_b = (np.array([len(x[k]) for k in good], np.int64) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x[k] for k in good), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+        cuts = np.union1d(ends_a, ends_b)  # a link ends at each of them
+        if not len(cuts):
+            return [(False, 0, 0, 0, b"", b"")] * len(units)
+        of_a, of_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        keys = (ids_a[of_a] << 32 | ids_b[of_b]).tobytes()
+        both = cuts[(ends_a[of_a] == cuts) & (ends_b[of_b] == cuts)]  # and a group at each of these
+        ends = np.cumsum([len(raw[k]) for k in good])
+        links, groups = (np.append(0, np.searchsorted(x, ends, "right")) for x in (cuts, both))
+        in_a, in_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        last_a, last_b = both[in_a] == ends_a, both[in_b] == ends_b
+        half_a, half_b = len(self.a_size), len(self.b_size)
+        spelt = np.concatenate([ids_a + half_a * last_a, 2 * half_a + ids_b + half_b * last_b])
+        spelt = spelt[np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")]
+        text = b"".join([self.spelt[i] for i in spelt.tolist()])
+        at = np.append(0, np.cumsum(self.spelt_size[spelt]))[np.append(0, np.cumsum(n_a + n_b))]
+        out: list[tuple] = [(False, 0, 0, 0, b"", b"")] * len(units)
+        for k, x, y, g, l0, l1, s, e in zip(good, n_a.tolist(), n_b.tolist(), np.diff(groups).tolist(), links.tolist(), links[1:].tolist(), at.tolist(), at[1:].tolist()):
+            out[k] = (True, x, y, g, keys[8 * l0 : 8 * l1], text[s : e - 1])
+        return out
+
+    def blocks(self, texts: list[str | None]) -> Iterator[tuple[int, list[str], list[tuple]]]:
+        """(row, units, records) of texts, about TOGETHER units looked up at a time; a long text comes in several."""
+        held, n = [], 0
+        for row, text in enumerate(texts):
+            units = self.units(text) if text else []
+            for k in range(0, len(units), TOGETHER):
+                own = units[k : k + TOGETHER]
+                if held and n + len(own) > TOGETHER:
+                    yield from self._looked(held)
+                    held, n = [], 0
+                held.append((row, own))
+                n += len(own)
+        if held:
+            yield from self._looked(held)
+
+    def _looked(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list[str], list[tuple]]]:
+        known = self.known
+        new = [u for u in dict.fromkeys(chain.from_iterable(own for _, own in held)) if u not in known]
+        found = dict(zip(new, self.finish(self.fresh(new)))) if new else {}
+        if (room := KEPT - len(known)) > 0:  # what is frequent comes early
+            known.update(islice(((u, v) for u, v in found.items() if len(u) <= KEPT_CHARS), room))
+        for row, own in held:
+            yield row, own, [known[u] if u in known else found[u] for u in own]
 
 
 def _texts(batches) -> Iterator[tuple[pa.Array, list[str | None]]]:
@@ -151,7 +191,7 @@ def _counted(paths: tuple[str, str]):
 
     def run(batches):
         enter("alignment")
-        aligner = Aligner(*paths, keep=lambda u: (u[0], u[4]))
+        aligner = Aligner(*paths, finish=lambda units: [(u[0], u[4]) for u in units])
         keys, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merged():
@@ -166,16 +206,17 @@ def _counted(paths: tuple[str, str]):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(counts[k : k + (1 << 16)])], names=["key", "n"])
 
         for _, texts in _texts(batches):
-            for text in texts:
-                valid, own = True, []
-                for units, known in aligner.parts(text):
-                    found = [known[u] for u in dict.fromkeys(units)]
-                    valid = valid and all(ok for ok, _ in found)
-                    own.append(np.unique(np.frombuffer(b"".join(k for _, k in found), np.int64)))
-                if own and valid:
-                    own = own[0] if len(own) == 1 else np.unique(np.concatenate(own))
-                    held.append(own)
-                    size += len(own)
+            own: dict[int, list[np.ndarray]] = {}
+            broken = set()
+            for row, units, found in aligner.blocks(texts):
+                records = dict(zip(units, found)).values()
+                if not all(ok for ok, _ in records):
+                    broken.add(row)
+                own.setdefault(row, []).append(np.unique(np.frombuffer(b"".join([k for _, k in records]), np.int64)))
+            for row, parts in own.items():
+                if row not in broken:
+                    held.append(parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)))
+                    size += len(held[-1])
             if size > PARTIAL:
                 (keys, counts), held, size = merged(), [], 0
                 if len(keys) > PARTIAL:
@@ -310,58 +351,37 @@ def align(docs: DataFrame, byte_tokenizer: str | None = None, piece_model: str |
     counts = pair_counts(docs, *paths)
     schema = _OUT + (", groups string" if groups else "")
 
-    def weighed(unit: tuple) -> tuple:
-        ok, n_a, n_b, n_groups, raw, text = unit
-        keys, often = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
-        return ok, n_a, n_b, n_groups, keys, often, text
-
     def run(batches):
         enter("alignment")
-        aligner = Aligner(*paths, keep=weighed)
-        scored: dict[str, tuple] = {}
         best = np.append(counts.best, 0)
 
-        def score(new: list[str], known: dict[str, tuple]) -> None:
-            keys = np.concatenate([known[u][4] for u in new])
+        def weighed(units: list[tuple]) -> list[tuple]:
+            """Records with n_best and count_sum instead of keys."""
+            keys = np.frombuffer(b"".join([u[4] for u in units]), np.int64)
             distinct, at = np.unique(keys, return_inverse=True)
             n = counts.of(distinct)[at]
-            times = np.concatenate([known[u][5] for u in new])
-            top = times * (n == best[np.minimum(keys >> 32, len(best) - 1)])
-            size = np.array([len(known[u][4]) for u in new])
-            ends = np.concatenate([[0], np.cumsum(size)])
-            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (times * n, top)]
-            for u, s, e in zip(new, ends, ends[1:]):
-                ok, n_a, n_b, n_groups, _, _, text = known[u]
-                scored[u] = (ok, n_a, n_b, n_groups, int(sums[1][e] - sums[1][s]), int(sums[0][e] - sums[0][s]), text)
+            top = n == best[np.minimum(keys >> 32, len(best) - 1)]
+            ends = np.cumsum([0, *[len(u[4]) // 8 for u in units]])
+            tops, sums = (np.append(0, np.cumsum(x))[ends] for x in (top, n))
+            return [(*u[:4], t, s, u[5]) for u, t, s in zip(units, np.diff(tops).tolist(), np.diff(sums).tolist())]
 
+        aligner = Aligner(*paths, finish=weighed)
         for ids, texts in _texts(batches):
+            totals, digests, spelt = [[0] * 5 for _ in texts], [hashlib.sha256() for _ in texts], [[] for _ in texts]
+            valid, begun = [bool(t) for t in texts], [False] * len(texts)
+            for row, _, found in aligner.blocks(texts):
+                ok, *sums, spellings = zip(*found)
+                valid[row] = valid[row] and all(ok)
+                totals[row] = [x + sum(y) for x, y in zip(totals[row], sums)]
+                piece = (b";" if begun[row] else b"") + b";".join(spellings)
+                begun[row] = True
+                digests[row].update(piece)
+                if groups:
+                    spelt[row].append(piece)
             rows = []
-            for text in texts:
-                total, digest, spelt, started = [0] * 5, hashlib.sha256(), [], False
-                valid = bool(text)
-                units = aligner.units(text) if text else []
-                for k in range(0, len(units), TOGETHER):
-                    own = units[k : k + TOGETHER]
-                    if len(scored) > KEPT:
-                        scored.clear()
-                    if new := [u for u in dict.fromkeys(own) if u not in scored]:
-                        score(new, aligner.look(new))
-                        aligner.known = {}
-                    ok, *sums, spellings = zip(*[scored[u] for u in own])
-                    for u in new:
-                        if len(u) > KEPT_CHARS:
-                            del scored[u]
-                    valid = valid and all(ok)
-                    if not valid:
-                        break
-                    total = [x + sum(y) for x, y in zip(total, sums)]
-                    piece = (b";" if started else b"") + b";".join(spellings)
-                    digest.update(piece)
-                    started = True
-                    if groups:
-                        spelt.append(piece)
-                n_a, n_b, n_groups, n_best, count_sum = total if valid else [0] * 5
-                rows.append((n_a, n_b, n_groups, n_a + n_b - n_groups if valid else 0, n_best, count_sum, digest.hexdigest() if valid else "", b"".join(spelt).decode() if valid else ""))
+            for total, digest, pieces, ok in zip(totals, digests, spelt, valid):
+                n_a, n_b, n_groups, n_best, count_sum = total if ok else [0] * 5
+                rows.append((n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum, digest.hexdigest() if ok else "", b"".join(pieces).decode() if ok else ""))
             columns = list(zip(*rows))
             arrays = [ids.cast(pa.int64())] + [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(c, pa.string()) for c in columns[6 : 8 if groups else 7]]
             yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])

@@ -67,8 +67,8 @@ def test_units_have_the_whole_texts_ids(aligner):
         if t:
             units = aligner.units(t)
             assert "".join(units) == " " + t
-            assert [i for u in units for i in aligner._a([u])[0]] == aligner._a([" " + t])[0], t
-            assert [i for u in units for i in aligner.b.encode(u[1:])] == aligner.b.encode(t), t
+            assert [i for x in aligner.tokens(units)[0] for i in x] == aligner._whole(" " + t), t
+            assert [i for x in aligner.tokens(units)[1] for i in x] == aligner.b.encode(t), t
 
 
 def test_query_equals_brute_force(spark, aligner):
@@ -99,9 +99,9 @@ def test_odd_rows(spark, aligner, monkeypatch):
         monkeypatch.setattr(alignment, name, value)
     small = alignment.Aligner(*alignment.default_tokenizers())
     for t in ODD:
-        units = [(own, [known[u] for u in own]) for own, known in small.parts(t)]
-        assert [u for own, _ in units for u in own] == (aligner.units(t) if t else [])
-        flat = [f for _, found in units for f in found]
+        found = list(small.blocks([t]))
+        assert [u for _, own, _ in found for u in own] == (aligner.units(t) if t else [])
+        flat = [f for _, _, records in found for f in records]
         f = _linked(aligner, t)
         assert all(x[0] for x in flat) == (f is not None) or not t
         if f:
@@ -112,5 +112,5 @@ def test_tokenizers_that_do_not_fall_into_units_see_whole_texts(aligner):
     other = alignment.Aligner(*alignment.default_tokenizers())
     other.by_unit = False
     for t in ODD[:12]:
-        whole, parts = [x for own, known in other.parts(t) for x in (known[u] for u in own)], [x for own, known in aligner.parts(t) for x in (known[u] for u in own)]
+        whole, parts = ([x for _, _, records in way.blocks([t]) for x in records] for way in (other, aligner))
         assert len(whole) == 1 and (not whole[0][0] or whole[0][5] == b";".join(x[5] for x in parts))
