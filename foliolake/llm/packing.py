@@ -29,8 +29,11 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _ROWS = 256
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Staged (part, before, doc_id, n_tokens, ids): `before` counts the part's tokens ahead of the row."""
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(part, before, doc_id, n_tokens, ids): `before` counts the part's tokens ahead of the row.
+
+    The order is that of the scan's partitions: it has to be written before anything reads it twice.
+    """
 
     def run(batches):
         enter("tokens")
@@ -49,7 +52,12 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 before += int(n.sum())
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage_mapped(plain.mapInArrow(run, _TOKENS), "tokens", "zstd")
+    return plain.mapInArrow(run, _TOKENS)
+
+
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """tokenised, staged."""
+    return stage_mapped(tokenised(docs, tokenizer, end_id), "tokens", "zstd")
 
 
 def placed(tokens: DataFrame) -> tuple[DataFrame, int]:

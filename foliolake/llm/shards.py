@@ -8,13 +8,16 @@ finds any slot by arithmetic, seeks there, and resumes anywhere.
 A shard is one file, `part-<shard>-...`, of records that are all `record` bytes long: the slot (unsigned 64
 bits), the number of ids (unsigned 32 bits), `window` ids (unsigned, 16 bits where the vocabulary allows, else
 32) filled up with pad_id, and a line feed; all numbers little-endian.  Beside the shards lie `_layout.json`
-(sequences, tokens, window, width, per_shard, key, record) and `_documents`, a Parquet table of the documents
-of each sequence.  Spark's writer gives a shard its name only when it is whole; a run that was cut off is
-continued by running it again, which writes the missing shards only.
+(sequences, tokens, window, width, per_shard, key, record), `_documents`, a Parquet table of the documents of each
+sequence, and `_tokens`, the one stream of all tokens in the order in which it was first made.  Spark's writer
+gives a shard its name only when it is whole; a run that was cut off is continued by running it again, which
+writes the missing shards only, from `_tokens`: what the input's splits are by then does not matter.
+`_stream.json` says of which rows and tokenizer that stream is; other rows raise.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packing
-from .staging import arrow_batches, file_system, read_text, release, write_text
+from .staging import BYTES, ROWS, arrow_batches, file_system, read_text, write_text
 from .textbytes import U64, mix, seeded
 from .tokens import encoder
 
@@ -91,15 +94,59 @@ def layout(spark: SparkSession, path: str) -> dict[str, int]:
     return json.loads(read_text(spark, f"{path}/_layout.json"))
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, window: int = packing.WINDOW, end_id: int = packing.END_ID, key: int = 2024, per_shard: int = PER_SHARD, pad_id: int = 0) -> dict[str, int]:
+def _sum(df: DataFrame, *columns: str) -> str:
+    """Rows, and the sum of their hashes: the same for the same rows in any order."""
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+    return f"{n}:{total or 0}"
+
+
+def _stream(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
+    """The stream of all tokens kept at path, made if it is not there; raises if it is of other rows or another order.
+
+    Without `_tokens` (it was dropped) the stream is made again, and has to come out in the order that was noted.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    of = {"rows": _sum(rows, "doc_id", "text"), "tokenizer": sha256_of(tokenizer), "end_id": end_id}
+    noted = json.loads(read_text(spark, f"{path}/_stream.json") or "{}")
+    if noted and {k: noted[k] for k in of} != of:
+        raise ValueError(f"{path} holds shards of other rows or another tokenizer: {noted}, now {of}")
+    folder = f"{path}/_tokens"
+    if not noted or read_text(spark, f"{folder}/_SUCCESS") is None:
+        with arrow_batches(spark, ROWS, BYTES):
+            packing.tokenised(docs, tokenizer, end_id).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    tokens = spark.read.schema(packing._TOKENS).parquet(folder)
+    order = _sum(tokens, "part", "before", "doc_id", "n_tokens")
+    if noted and noted["order"] != order:
+        drop_tokens(spark, path)
+        raise ValueError(f"{path} holds shards of another order of the same rows; keep_tokens=True keeps it, here it was dropped")
+    if not noted:
+        write_text(spark, f"{path}/_stream.json", json.dumps(of | {"order": order}))
+    return tokens
+
+
+def sha256_of(file: str) -> str:
+    with open(file, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def drop_tokens(spark: SparkSession, path: str) -> None:
+    """Deletes the stream that a resumed run would go on from; the shards stay whole without it."""
+    fs, folder = file_system(spark, f"{path}/_tokens")
+    fs.delete(folder, True)
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, window: int = packing.WINDOW, end_id: int = packing.END_ID, key: int = 2024, per_shard: int = PER_SHARD, pad_id: int = 0, keep_tokens: bool = True) -> dict[str, int]:
     """Packs docs and writes the shards to `path`; returns the layout.
 
-    Shards that are there already stay; a path with another layout raises.  Null texts are empty documents, null
+    Shards that are there already stay; a path with another layout, or with shards of other rows, raises.  With
+    keep_tokens the stream stays beside the shards, so that lost ones can be written again in the same order under
+    any splits of the input; without it that takes the same splits, and others raise.  Null texts are empty documents, null
     doc_ids are left out of `_documents`, repeated rows are packed as often as they come, other columns are not
     read; an empty table writes no shard.
     """
     spark, file = docs.sparkSession, tokenizer or packing.default_tokenizer()
-    tokens = packing.tokenise(docs, file, end_id)
+    tokens = _stream(docs, path, file, end_id)
     stream, total = packing.placed(tokens)
     n, wide = -(-total // window), encoder(file).dtype
     kind = _record(window, wide)
@@ -145,7 +192,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, windo
         with arrow_batches(spark, 512):
             # Each task's file is moved to its place when it is whole, not all at the end of the job.
             whole.mapInArrow(assemble, "record string").write.mode("append").option("lineSep", "\n").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
-    release(tokens)
+    if not keep_tokens:
+        drop_tokens(spark, path)
     return plan
 
 

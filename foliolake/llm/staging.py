@@ -26,9 +26,3 @@ def parts_of(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, handed to Python at most ROWS rows at once from now on."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-    return df

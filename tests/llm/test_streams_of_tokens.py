@@ -112,6 +112,45 @@ def test_shards_go_on_where_a_run_was_cut_off(spark, tmp_path):
         shards.write_shards(docs, path, per_shard=8, window=512)
 
 
+def _whole_shards(folder):
+    return {f.name.split("-")[1]: f.read_bytes() for f in folder.glob("part-*") if f.stat().st_size}
+
+
+def test_a_resumed_run_keeps_the_first_runs_order_under_other_splits(spark, tmp_path):
+    texts = [f"{t or ''} number {k} " * 9 for k, t in enumerate(ODD * 12)]
+    for half in (0, 1):
+        spark.createDataFrame([(k, t) for k, t in enumerate(texts) if k % 2 == half], "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 4096).mode("append").parquet(f"{tmp_path}/docs")
+    path, before = tmp_path / "shards", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    docs = lambda: spark.read.parquet(f"{tmp_path}/docs")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        plan = shards.write_shards(docs(), f"file://{path}", per_shard=4, window=256)
+        first, held = _whole_shards(path), sorted(map(str, spark.read.parquet(f"{path}/_documents").collect()))
+        assert len(first) > 6
+        for k, f in enumerate(sorted(path.glob("part-*"))):
+            if k % 2:
+                f.unlink()
+        splits = docs().rdd.getNumPartitions()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        assert docs().rdd.getNumPartitions() > splits
+        assert shards.write_shards(docs(), f"file://{path}", per_shard=4, window=256) == plan
+        assert _whole_shards(path) == first
+        assert sorted(map(str, spark.read.parquet(f"{path}/_documents").collect())) == held
+        changed = docs().withColumn("text", F.when(F.col("doc_id") == 7, "quite another text").otherwise(F.col("text")))
+        with pytest.raises(ValueError, match="other rows"):
+            shards.write_shards(changed, f"file://{path}", per_shard=4, window=256)
+        # Without the kept stream another order is noticed, and the same one goes on.
+        shards.drop_tokens(spark, f"file://{path}")
+        next(path.glob("part-*")).unlink()
+        with pytest.raises(ValueError, match="another order"):
+            shards.write_shards(docs(), f"file://{path}", per_shard=4, window=256)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        assert shards.write_shards(docs(), f"file://{path}", per_shard=4, window=256, keep_tokens=False) == plan
+        assert _whole_shards(path) == first and not (path / "_tokens").exists()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def _sources(seed=2, n=400):
     r = random.Random(seed)
     names = ["b", "a", None, "Z", "é", "hot", "hot", "hot"]
