@@ -274,6 +274,37 @@ def test_planted_personal_data_precision_and_recall():
     assert hit >= 0.9 * sum(map(len, found))
 
 
+def test_formats_that_the_table_does_not_hold():
+    """National numbers after a cue word count; social security, order and book numbers do not."""
+    import random
+
+    r = random.Random(12)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    yes = [lambda: f"{r.choice(['phone:', 'call', 'Tel.', 'dial', 'mobile', 'fax:', 'appelez', 'Handy'])} {r.choice(['0', '2', '7'])}{d(r.choice([9, 9, 10]))} {r.choice(['now', 'today', 'bitte', 'or mail'])}"]
+    yes += [lambda: f"{r.choice(['ring', 'call', 'fon'])} {d(3)}-{d(3)}-{d(4)}", lambda: f"see ({d(3)}) {d(3)}-{d(4)} below", lambda: f"{r.choice(['ann', 'kai'])} [at] {r.choice(['corp', 'shop'])} [dot] com"]
+    no = [lambda: f"{r.choice(['SSN', 'ssn:', 'number'])} {d(3)}-{r.randrange(10, 99)}-{d(4)} filed", lambda: f"{r.choice(['order', 'invoice', 'id', 'row'])} {d(r.choice([8, 9, 10, 11]))} came", lambda: f"isbn 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}"]
+    no += [lambda: f"on 20{r.randrange(10, 30)}-{r.randrange(10, 13)}-{r.randrange(10, 29)} at {r.randrange(10, 24)}:{d(2)}", lambda: f"call {r.randrange(2, 9)} times in {r.randrange(1950, 2030)}"]
+    field = pii.trained()
+    found = lambda made: [bool(base + added) for base, added in pii.find(pa.array([r.choice(made)() for _ in range(300)]), field)]
+    hit, wrong = sum(found(yes)), sum(found(no))
+    assert hit >= 0.9 * 300 and hit >= 0.9 * (hit + wrong), (hit, wrong)
+
+
+def test_odd_rows_of_the_scan(spark):
+    rows = [(None, "call 0301234567 now", 1, "x"), (None, None, 2, "y"), (4, "a@b.co", 3, "z"), (4, "a@b.co", 3, "z"), (5, "", 4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base int, spans string").repartition(3)
+    got = secrets.digest(pii.scan(docs), pii.KINDS, {f"n_{k}": k for k in pii.KINDS}).collect()
+    assert sorted((r.doc_id is None, r.n_email, r.spans) for r in got) == [(False, 0, ""), (False, 1, "email:0:6"), (False, 1, "email:0:6"), (True, 0, ""), (True, 0, "phone:5:15")]
+
+
+def test_no_row_of_the_corpus_stands_in_the_labelled_table(spark):
+    import re
+
+    long = {m for line in pii._EXAMPLES for m in re.findall(r"[0-9a-f]{11,}|[0-9][0-9 -]{12,}[0-9]", line)}
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert long and not [x for x in long if any(x in t for t in texts if t)]
+
+
 def test_planted_secrets_precision_and_recall():
     import random
 
