@@ -1,8 +1,8 @@
 """Two tokenizers laid side by side: which tokens of one stand for which of the other, and how often in the corpus.
 
 Byte offsets where tokens of both end cut a text into groups; tokens whose bytes overlap are linked.  A pair of ids is
-one packed 64-bit key, a * 2**32 + b.  Each partition counts the documents that hold a pair by np.unique over its
-documents' distinct keys; partial counts are dealt by ranges of keys, sorted and summed over runs of equal keys; each
+one packed 64-bit key, a * 2**32 + b.  Texts are tokenised once and their distinct keys staged.  Each partition counts
+the documents that hold a pair by np.unique over those; partial counts are dealt by ranges of keys, sorted and summed over runs of equal keys; each
 range is one shard file of sorted keys and their counts.  Lookups map the shards into memory and use searchsorted.
 
 Neither tokenizer joins a character that is no space with a space after it, so a text falls into units, each with the
@@ -56,12 +56,9 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers, and what is known of units: (valid, n_a, n_b, n_groups, keys of links, groups as text).
+    """Both tokenizers, and what is known of units: (valid, n_a, n_b, n_groups, keys of links, groups as text)."""
 
-    `finish` makes of such records, several at a time, what is kept of them.
-    """
-
-    def __init__(self, byte_path: str, piece_path: str, finish: Callable[[list[tuple]], list[tuple]] = lambda units: units):
+    def __init__(self, byte_path: str, piece_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -82,7 +79,7 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in ([self.a_bytes.get(i, b"") for i in range(most)], self.b_bytes))
         self.spelt = [b"%d%s" % (i, c) for n, ends in ((most, b",|"), (len(pieces), b",;")) for c in (ends[:1], ends[1:]) for i in range(n)]
         self.spelt_size = np.array([len(x) for x in self.spelt], np.int64)
-        self.finish, self.known = finish, {}
+        self.known: dict[str, tuple] = {}
 
     def _whole(self, text: str) -> list[int]:
         return self.a.encode(text, add_special_tokens=False).ids
@@ -174,7 +171,7 @@ class Aligner:
     def _looked(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list[str], list[tuple]]]:
         known = self.known
         new = [u for u in dict.fromkeys(chain.from_iterable(own for _, own in held)) if u not in known]
-        found = dict(zip(new, self.finish(self.fresh(new)))) if new else {}
+        found = dict(zip(new, self.fresh(new))) if new else {}
         if (room := KEPT - len(known)) > 0:  # what is frequent comes early
             known.update(islice(((u, v) for u, v in found.items() if len(u) <= KEPT_CHARS), room))
         for row, own in held:
@@ -186,46 +183,92 @@ def _texts(batches) -> Iterator[tuple[pa.Array, list[str | None]]]:
         yield batch.column(0), batch.column(1).to_pylist()
 
 
-def _counted(paths: tuple[str, str]):
-    """Texts to partial counts (key, n): of the partition's documents, n hold the pair."""
+_SPELT = "doc_ids array<long>, digests array<string>, groups array<string>, sizes binary, keys binary, times binary"
+
+
+def _zip(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unzip(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def spell(docs: DataFrame, byte_tokenizer: str | None = None, piece_model: str | None = None, groups: bool = False) -> DataFrame:
+    """Staged rows for some texts each: their ids and digests of groups, (n_a, n_b, n_groups, distinct keys), keys and how often."""
+    defaults = (byte_tokenizer and piece_model) or default_tokenizers()
+    paths = (byte_tokenizer or defaults[0], piece_model or defaults[1])
 
     def run(batches):
         enter("alignment")
-        aligner = Aligner(*paths, finish=lambda units: [(u[0], u[4]) for u in units])
-        keys, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-        def merged():
-            every = np.concatenate([keys, *held])
-            order = np.argsort(every, kind="stable")
-            n = np.concatenate([counts, np.ones(len(every) - len(keys), np.int64)])[order]
-            distinct, at = np.unique(every[order], return_index=True)
-            return distinct, np.add.reduceat(n, at) if len(at) else n
-
-        def handed_on():
-            for k in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(counts[k : k + (1 << 16)])], names=["key", "n"])
-
-        for _, texts in _texts(batches):
-            own: dict[int, list[np.ndarray]] = {}
-            broken = set()
-            for row, units, found in aligner.blocks(texts):
-                records = dict(zip(units, found)).values()
-                if not all(ok for ok, _ in records):
-                    broken.add(row)
-                own.setdefault(row, []).append(np.unique(np.frombuffer(b"".join([k for _, k in records]), np.int64)))
-            for row, parts in own.items():
-                if row not in broken:
-                    held.append(parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)))
-                    size += len(held[-1])
+        aligner = Aligner(*paths)
+        for ids, texts in _texts(batches):
+            sizes, digests, spelt = np.zeros((len(texts), 4), np.int64), [hashlib.sha256() for _ in texts], [[] for _ in texts]
+            valid, begun = [bool(t) for t in texts], [False] * len(texts)
+            own: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+            for row, _, found in aligner.blocks(texts):
+                ok, n_a, n_b, n_groups, keys, spellings = zip(*found)
+                valid[row] = valid[row] and all(ok)
+                sizes[row, :3] += (sum(n_a), sum(n_b), sum(n_groups))
+                piece = (b";" if begun[row] else b"") + b";".join(spellings)
+                begun[row] = True
+                digests[row].update(piece)
+                own[row].append(np.unique(np.frombuffer(b"".join(keys), np.int64), return_counts=True))
+                if groups:
+                    spelt[row].append(piece)
+            keys, times = [], []
+            for row, parts in enumerate(own):
+                if not valid[row]:
+                    sizes[row] = 0
+                    continue
+                k, n = parts[0] if len(parts) == 1 else _added(*(np.concatenate(x) for x in zip(*parts)))
+                sizes[row, 3] = len(k)
+                keys.append(k)
+                times.append(n)
+            every = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+            row = [ids.cast(pa.int64()).to_pylist(), [d.hexdigest() if v else "" for d, v in zip(digests, valid)], [b"".join(x).decode() if v else "" for x, v in zip(spelt, valid)] if groups else None, _zip(sizes), _zip(every(keys)), _zip(every(times).astype("<u4"))]
+            types = [pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[c.split()[0] for c in _SPELT.split(", ")])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stage_mapped(plain.mapInArrow(run, _SPELT), "spelt")
+
+
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _counted(batches):
+    """What spell made to partial counts (key, n): of the partition's documents, n hold the pair."""
+    enter("alignment")
+    keys, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def merged():
+        more, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+        return _added(np.concatenate([keys, more]), np.concatenate([counts, n]))
+
+    def handed_on():
+        for k in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(counts[k : k + (1 << 16)])], names=["key", "n"])
+
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            held.append(_unzip(data, "<i8"))
+            size += len(held[-1])
             if size > PARTIAL:
                 (keys, counts), held, size = merged(), [], 0
                 if len(keys) > PARTIAL:
                     yield from handed_on()
                     keys, counts = keys[:0], counts[:0]
-        keys, counts = merged()
-        yield from handed_on()
-
-    return run
+    keys, counts = merged()
+    yield from handed_on()
 
 
 def _summed(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -299,11 +342,10 @@ class PairCounts:
         return out
 
 
-def pair_counts(docs: DataFrame, byte_tokenizer: str | None = None, piece_model: str | None = None) -> PairCounts:
-    """How many of docs(text, ...) hold each linked pair of ids; its shards stay until `drop`."""
-    spark, defaults = docs.sparkSession, (byte_tokenizer and piece_model) or default_tokenizers()
-    paths = (byte_tokenizer or defaults[0], piece_model or defaults[1])
-    partial = stage_mapped(docs.select(F.lit(0).alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(_counted(paths), "key long, n long"), "pairs")
+def pair_counts(spelt: DataFrame) -> PairCounts:
+    """How many of the texts that spell saw hold each linked pair of ids; its shards stay until `drop`."""
+    spark = spelt.sparkSession
+    partial = stage_mapped(spelt.select("keys").mapInArrow(_counted, "key long, n long"), "pairs")
     folder = f"{shared_dir(spark)}/foliolake/pair-counts-{uuid.uuid4().hex}"
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partial.count() // SHARD)
     dealt = partial.repartitionByRange(wide, "key").sortWithinPartitions("key")
@@ -346,46 +388,26 @@ def align(docs: DataFrame, byte_tokenizer: str | None = None, piece_model: str |
     Such a text holds no pair.  Repeated rows count as often as they come, null doc_ids are carried along, other columns
     are not read; an empty table gives no rows.
     """
-    defaults = (byte_tokenizer and piece_model) or default_tokenizers()
-    paths = (byte_tokenizer or defaults[0], piece_model or defaults[1])
-    counts = pair_counts(docs, *paths)
+    spelt = spell(docs, byte_tokenizer, piece_model, groups)
+    counts = pair_counts(spelt)
     schema = _OUT + (", groups string" if groups else "")
 
     def run(batches):
         enter("alignment")
         best = np.append(counts.best, 0)
-
-        def weighed(units: list[tuple]) -> list[tuple]:
-            """Records with n_best and count_sum instead of keys."""
-            keys = np.frombuffer(b"".join([u[4] for u in units]), np.int64)
-            distinct, at = np.unique(keys, return_inverse=True)
-            n = counts.of(distinct)[at]
-            top = n == best[np.minimum(keys >> 32, len(best) - 1)]
-            ends = np.cumsum([0, *[len(u[4]) // 8 for u in units]])
-            tops, sums = (np.append(0, np.cumsum(x))[ends] for x in (top, n))
-            return [(*u[:4], t, s, u[5]) for u, t, s in zip(units, np.diff(tops).tolist(), np.diff(sums).tolist())]
-
-        aligner = Aligner(*paths, finish=weighed)
-        for ids, texts in _texts(batches):
-            totals, digests, spelt = [[0] * 5 for _ in texts], [hashlib.sha256() for _ in texts], [[] for _ in texts]
-            valid, begun = [bool(t) for t in texts], [False] * len(texts)
-            for row, _, found in aligner.blocks(texts):
-                ok, *sums, spellings = zip(*found)
-                valid[row] = valid[row] and all(ok)
-                totals[row] = [x + sum(y) for x, y in zip(totals[row], sums)]
-                piece = (b";" if begun[row] else b"") + b";".join(spellings)
-                begun[row] = True
-                digests[row].update(piece)
-                if groups:
-                    spelt[row].append(piece)
-            rows = []
-            for total, digest, pieces, ok in zip(totals, digests, spelt, valid):
-                n_a, n_b, n_groups, n_best, count_sum = total if ok else [0] * 5
-                rows.append((n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum, digest.hexdigest() if ok else "", b"".join(pieces).decode() if ok else ""))
-            columns = list(zip(*rows))
-            arrays = [ids.cast(pa.int64())] + [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(c, pa.string()) for c in columns[6 : 8 if groups else 7]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
-
-    out = stage_mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "aligned")
+        for batch in batches:
+            for row in batch.to_pylist():
+                n_a, n_b, n_groups, size = _unzip(row["sizes"], "<i8").reshape(-1, 4).T
+                keys, times = _unzip(row["keys"], "<i8"), _unzip(row["times"], "<u4").astype(np.int64)
+                distinct, at = np.unique(keys, return_inverse=True)
+                n = counts.of(distinct)[at]
+                top = times * (n == best[np.minimum(keys >> 32, len(best) - 1)])
+                ends = np.append(0, np.cumsum(size))
+                n_best, count_sum = (np.diff(np.append(0, np.cumsum(x))[ends]) for x in (top, times * n))
+                arrays = [pa.array(row["doc_ids"], pa.int64()), *[pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum)], pa.array(row["digests"], pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(row["groups"], pa.string())] if groups else []), names=[c.split()[0] for c in schema.split(", ")])
+
+    out = stage_mapped(spelt.mapInArrow(run, schema), "aligned")
     drop(docs, counts)
+    release(spelt)
     return out

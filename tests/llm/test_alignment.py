@@ -86,7 +86,7 @@ def test_odd_rows(spark, aligner, monkeypatch):
     got = alignment.align(df, groups=True)
     assert sorted((tuple(r)[:-1] for r in got.collect()), key=str) == sorted(want, key=str)
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in got.where("n_a > 0").collect())
-    counts = alignment.pair_counts(df)
+    counts = alignment.pair_counts(alignment.spell(df))
     assert {(r.a_id, r.b_id): r.n_docs for r in alignment.pairs(df, counts).collect()} == held
     keys = np.array(sorted(a << 32 | b for a, b in held), np.int64)
     assert len(counts.rows) > 1 and counts.of(keys).tolist() == [held[k >> 32, k & 0xFFFFFFFF] for k in keys.tolist()]
