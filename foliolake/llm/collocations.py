@@ -25,7 +25,7 @@ from .worker import enter
 
 DEPTH, LEAST, INSIDE, BEST = 3, 10, 50, 2000
 #: Words of a shard at most (a longer text stands alone), and that a task holds of all languages together.
-SHARD, HELD = 3_000_000, 4_500_000
+SHARD, HELD = 1_200_000, 2_000_000
 #: Words of the corpus to a bucket, and least buckets.
 BUCKET, BUCKETS = 1 << 20, 1024
 
@@ -74,15 +74,15 @@ class Automaton:
     """The generalised suffix automaton of pieces of words, for substrings of at most `depth` words.
 
     places: the word numbers, piece after piece; opens: where a piece begins.  Substrings are numbered by length: those
-    of length k from base[k - 1] on.  For each: count (its end positions), end (one of them), suffix and prefix (the
-    substrings one word shorter, -1 for single words), state.  For each state: longest, shortest (lengths), size (end
+    of length k from base[k - 1] on.  For each: count (its end positions), end (one of them), suffix (the substring
+    without its first word, -1 for single words), state.  For each state: longest, shortest (lengths), size (end
     positions), link (the state of the longest suffix that also ends elsewhere; -1: the empty one).
     """
 
     def __init__(self, places: np.ndarray, opens: np.ndarray, depth: int = DEPTH):
         n_words = int(places.max()) + 1 if len(places) else 0
         self.places = places
-        self.base, count, end, suffix, prefix = [0], [], [], [], []
+        self.base, count, end, suffix = [0], [], [], []
         # From here on a place's own substring of each length; -1 where its piece is too short.
         own, room = places.astype(np.int64), np.ones(len(places), bool)
         for k in range(depth):
@@ -93,22 +93,19 @@ class Automaton:
             at = np.flatnonzero(room)
             key = places[at].astype(np.int64) if not k else own[at - 1] * n_words + places[at]
             _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            count.append(n)
-            end.append(at[first])
-            if k:
-                suffix.append(own[end[-1]] + self.base[k - 1])
-                prefix.append(own[end[-1] - 1] + self.base[k - 1])
-            else:
-                suffix.append(np.full(len(n), -1))
-                prefix.append(np.full(len(n), -1))
+            del key
+            count.append(n.astype(np.int32))
+            end.append(at[first].astype(np.int32))
+            suffix.append((own[at[first]] + self.base[k - 1] if k else np.full(len(n), -1)).astype(np.int32))
             self.base.append(self.base[-1] + len(n))
             own = np.full(len(places), -1)
             own[at] = number
-        self.count, self.end, self.suffix, self.prefix = (np.concatenate(x) for x in (count, end, suffix, prefix))
-        self.length = np.repeat(np.arange(1, depth + 1), np.diff(self.base))
+        del own, room
+        self.count, self.end, self.suffix = (np.concatenate(x) for x in (count, end, suffix))
+        self.length = np.repeat(np.arange(1, depth + 1, dtype=np.int8), np.diff(self.base))
         # A substring with as many end positions as its suffix has the same ones: one state.
         same = np.flatnonzero((self.suffix >= 0) & (self.count == self.count[self.suffix]))
-        longer = np.arange(len(self.count))
+        longer = np.arange(len(self.count), dtype=np.int32)
         for lo, hi in reversed(list(zip(self.base, self.base[1:]))):
             here = same[(same >= lo) & (same < hi)]
             longer[self.suffix[here]] = longer[here]
@@ -151,7 +148,7 @@ def shards(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[c.split()[0] for c in _SHARDS.split(", ")])
 
     def run(batches):
-        enter("collocations")
+        enter("collocations: shards")
         number = TaskContext.get().partitionId() << 32
         held: dict[str, list] = {}
         known: dict[str, dict[int, bytes]] = {}
@@ -188,30 +185,32 @@ def shards(docs: DataFrame) -> DataFrame:
     return stage_mapped(docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, _SHARDS), "shards")
 
 
-def _opened(row: dict, depth: int) -> tuple[Automaton, list[bytes], np.ndarray, np.ndarray]:
-    """A shard's automaton, its words, and its substrings' keys, one to tell them apart and one to deal them."""
+def _opened(row: dict, depth: int) -> tuple[Automaton, list[bytes], np.ndarray]:
+    """A shard's automaton, its words, and two hashes of each: to tell substrings apart, and to deal them."""
     places, raw, ends = _unzip(row["places"], "<u4"), _unzip(row["words"]), _unzip(row["ends"], "<i8").tolist()
     opens = np.unpackbits(np.frombuffer(_unzip(row["opens"]), np.uint8), count=len(places)).astype(bool)
     words = [raw[s:e] for s, e in zip([0, *ends], ends)]
     tongue = row["lang"].encode()[:64] + hashlib.blake2b(row["lang"].encode(), digest_size=8).digest()
     digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16, key=tongue[-64:]).digest() for w in words), "<u8").reshape(-1, 2)
-    automaton = Automaton(places, opens, depth)
-    return automaton, words, automaton.keys(digests[:, 0]), automaton.keys(digests[:, 1])
+    return Automaton(places, opens, depth), words, digests
 
 
 def _counted(depth: int, bits: int):
     """Shards to (bucket, shard, keys, counts) of all their substrings."""
 
     def run(batches):
-        enter("collocations")
+        enter("collocations: automata")
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                automaton, _, keys, deal = _opened(row, depth)
+                automaton, _, digests = _opened(row, depth)
                 number, n = automaton.substrings()
-                bucket = (deal[number] >> U64(64 - bits)).astype(np.int64)
-                order = np.lexsort((keys[number], bucket))
-                bucket, sent, n = bucket[order], keys[number][order], n[order].astype("<u4")
+                bucket = (automaton.keys(digests[:, 1])[number] >> U64(64 - bits)).astype(np.int32)
+                sent = automaton.keys(digests[:, 0])[number]
+                del automaton, number, digests
+                order = np.lexsort((sent, bucket))
+                bucket, sent, n = bucket[order], sent[order], n[order].astype("<u4")
+                del order
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
                 rows = [(int(bucket[a]), row["shard"], _zip(sent[a:b]), _zip(n[a:b])) for a, b in zip(at, [*at[1:], len(sent)])]
                 for r in range(0, len(rows), 256):
@@ -224,7 +223,7 @@ def _frequent(least: int):
     """One bucket to (shard, keys, totals): substrings at least so frequent in all, each at one shard that holds it."""
 
     def run(table: pa.Table) -> pa.Table:
-        enter("collocations")
+        enter("collocations: sums")
         parts = [_unzip(x, "<u8") for x in table.column("keys").to_pylist()]
         every = np.concatenate(parts)
         where = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
@@ -252,12 +251,12 @@ def _spelt(depth: int):
     """Shards and what they are asked for to (lang, words, inside, n); inside: phrases one word shorter, by prefix and link."""
 
     def run(batches):
-        enter("collocations")
+        enter("collocations: words")
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                automaton, words, keys, _ = _opened(row, depth)
-                text = [w.decode() for w in words]
+                automaton, words, digests = _opened(row, depth)
+                keys, text = automaton.keys(digests[:, 0]), [w.decode() for w in words]
                 order = np.argsort(keys)
                 wanted = np.concatenate([_unzip(a["keys"], "<u8") for a in row["asked"]])
                 total = np.concatenate([_unzip(a["totals"], "<i8") for a in row["asked"]])
