@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import files as ff
 from ..functions import layout as fl
 from ..functions import text as ft
+from ..functions import topk as tk
 from ..functions import vectors as fv
 from ..operators import compile_state as cs
 from ..operators import embedding as em
@@ -730,6 +731,35 @@ def search_saved_index(spark, d):
     return ft.search_knowledge(e, "the License src3", 10, ft.load_index(spark, root)).withColumn("score", F.round("score", 6))
 
 
+#: Twenty terms, frequent and rare, in one query.
+_TWENTY = "at r anea aux thing edtion edes erti oner heon ern onea rewh el pas onin th the of License"
+
+
+def _blocks(spark, d):
+    e, root = fx.entries(spark, d), _folder(spark)
+    ft.save_index(ft.rebuild_index(e), root)
+    tk.save_blocks(root, spark)
+    return e, root
+
+
+@query(_BM25.replace("('the', 'License', 'src3')", "('the')") + " ORDER BY round(s.score, 9) DESC, s.path LIMIT 10")
+def search_topk(spark, d):
+    e, root = _blocks(spark, d)
+    return tk.search_topk(e, "the", 10, root)[0].withColumn("score", F.round("score", 6))
+
+
+@query(_BM25.replace("('the', 'License', 'src3')", "(" + ", ".join(f"'{t}'" for t in _TWENTY.split()) + ")") + " ORDER BY round(s.score, 9) DESC, s.path LIMIT 10")
+def search_topk_twenty_terms(spark, d):
+    e, root = _blocks(spark, d)
+    return tk.search_topk(e, _TWENTY, 10, root)[0].withColumn("score", F.round("score", 6))
+
+
+@query(_BM25 + " WHERE s.path IN (SELECT path FROM asked WHERE term = 'License') AND s.path NOT IN (SELECT path FROM asked WHERE term = 'src3') ORDER BY round(s.score, 9) DESC, s.path LIMIT 10")
+def search_topk_required(spark, d):
+    e, root = _blocks(spark, d)
+    return tk.search_topk(e, "the +License -src3", 10, root)[0].withColumn("score", F.round("score", 6))
+
+
 @query(_BM25 + " WHERE domain = 'en' AND s.path IN (SELECT path FROM asked WHERE term = 'License') AND s.path NOT IN (SELECT path FROM asked WHERE term = 'src3') ORDER BY round(s.score, 9) DESC, s.path LIMIT 20")
 def search_knowledge_boolean(spark, d):
     # NOT src3 is not scored, but stands among the terms that are looked up.
