@@ -76,6 +76,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(draft, True)
     out.write(bytearray(text, "utf-8"))
     out.close()
+    replace_file(spark, draft, path)
+
+
+def replace_file(spark: SparkSession, draft, path: str) -> None:
+    """Moves a draft (a Hadoop path) to path in one step, over what is there."""
+    fs = draft.getFileSystem(spark._jsc.hadoopConfiguration())
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     option = jvm.org.apache.hadoop.fs.Options.Rename
     overwrite = gateway.new_array(option, 1)

@@ -17,7 +17,7 @@ from ..functions.files import file_hash, format_text, parse_front_matter, source
 from ..operators import compile_state as cs
 from ..schema import COMPILE_STATE, ENTRY
 from .files import extract_structured, extract_text, generate_index, get_page_count, read_markdown
-from .tables import file_system, load, read_text, save, stage, write_text
+from .tables import file_system, load, read_text, replace_file, save, stage, write_text
 
 #: The domain of what has none.
 NO_DOMAIN = "未分类"
@@ -114,9 +114,7 @@ def write_index(spark: SparkSession, root: str) -> int:
         put("*暂无词条。请使用 AI Agent 处理 raw/ 中的原始素材。*\n\n")
     put(f"\n---\n\n- **词条总数**: {n}\n- [[log.md]] - 编译日志\n")
     out.close()
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/wiki/index.md")
-    fs.delete(target, False)
-    fs.rename(draft, target)
+    replace_file(spark, draft, f"{root}/wiki/index.md")
     return n
 
 
@@ -132,19 +130,31 @@ def compile_prompt(now: Column) -> Column:
     )
 
 
+def _page_names(files: DataFrame, state: DataFrame) -> DataFrame:
+    """(path, title): the name of each file's page, which no other file's has."""
+    known = state.select("path", F.nullif(F.regexp_extract(F.get("compiled_entries", F.lit(0)), r"^raw/(.*)\.compile_prompt\.md$", 1), F.lit("")).alias("known"))
+    taken = known.where("known is not null").select(F.col("known").alias("stem"), F.lit(True).alias("taken")).distinct()
+    named = files.distinct().withColumn("stem", source_name(F.col("path"))).join(known, "path", "left")
+    fresh = named.where("known is null").join(taken, "stem", "left")
+    first = fresh.groupBy("stem").agg(F.min("path").alias("first"))
+    own = F.when((F.col("path") == F.col("first")) & F.col("taken").isNull(), F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.left(F.sha2("path", 256), F.lit(8))))
+    return fresh.join(first, "stem").select("path", own.alias("title")).unionByName(named.where("known is not null").select("path", F.col("known").alias("title")))
+
+
 def compile_to_wiki(files: DataFrame, root: str, domain: str | None, now: Column, extractor: str = "text") -> DataFrame:
     """Compiles files(path, content): raw pages, prompts, and a level-0 pending entry for each; staged, everything is written.
 
     (source, source_hash, page_count, raw_path, prompt_path, title, domain, level, status, version, error).  The hash is
     of the file's bytes, as needs_compile takes it.  A file that cannot be extracted has an error and nothing is written
-    for it.  Files whose names without extension are the same overwrite each other's pages.
+    for it.  A file keeps the page that the compile state has for it; a new one whose name without extension another has
+    already, or another of this call before it by path, gets a page of its own with a part of its path's hash.
     """
     pages = stage(extract_structured(files, extractor), "pages")
     failed = pages.where("error is not null").select("path", "error")
     hashed = files.select("path", F.sha2("content", 256).alias("source_hash"))
     name = source_name(F.col("path"))
-    texts = texts_of(pages.where("error is null")).join(hashed, "path")
-    titled = texts.select("path", "text", "page_count", "source_hash", name.alias("title"), F.lit(domain or NO_DOMAIN).alias("domain"), F.concat(F.lit("raw/"), name, F.lit(".md")).alias("source"))
+    texts = texts_of(pages.where("error is null")).join(hashed, "path").join(_page_names(files.select("path"), load_state(files.sparkSession, root)), "path")
+    titled = texts.select("path", "text", "page_count", "source_hash", "title", F.lit(domain or NO_DOMAIN).alias("domain"), F.concat(F.lit("raw/"), F.col("title"), F.lit(".md")).alias("source"))
     compiled = stage(titled.withColumn("page", raw_page(now, F.lit(0.0))).withColumn("prompt", compile_prompt(now)), "compiled")
     raw = compiled.select(F.col("source").alias("path"), F.col("page").alias("content"))
     prompt_path = F.concat(F.lit("raw/"), F.col("title"), F.lit(".compile_prompt.md"))
@@ -162,15 +172,16 @@ def load_state(spark: SparkSession, root: str) -> DataFrame:
     return load(spark, f"{root}/_index/state", lambda: spark.createDataFrame([], COMPILE_STATE), ("path", "source_hash", "compiled_entries"))
 
 
-def incremental_compile(files: DataFrame, root: str, now: Column, domain: str | None = None, extractor: str = "text") -> DataFrame:
+def incremental_compile(files: DataFrame, root: str, now: Column, domain: str | None = None, extractor: str = "text", plan: DataFrame | None = None) -> DataFrame:
     """Compiles those of files(path, content) that are new, changed or compiled to nothing; (path, action, error) of all.
 
     What was compiled is recorded, and the status of the run is written: a second run over the same files skips
-    them all.  A file that fails is neither compiled nor skipped, is not recorded, and does not end the run.
+    them all.  A file that fails is neither compiled nor skipped, is not recorded, and does not end the run.  With a plan
+    (path, action) that one is followed instead of one made from the state.
     """
     spark, began = files.sparkSession, time.time()
     state = load_state(spark, root)
-    plan = stage(cs.incremental_plan(files, state), "plan")
+    plan = stage(cs.incremental_plan(files, state), "plan") if plan is None else plan
     due = files.join(plan.where("action = 'compile'").select("path"), "path", "left_semi")
     results = compile_to_wiki(due, root, domain, now, extractor)
     done = results.where("error is null")
