@@ -105,7 +105,7 @@ def test_alerts_equal_the_rules_on_shuffled_batches(spark, tmp_path):
         for f in (tmp_path / f"draft{number}").glob("part-*.parquet"):
             shutil.move(str(f), str(folder / f"{number:03d}.parquet"))
 
-    stream = alerts.expiring_alerts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{folder}"), late="200 seconds")
+    stream = alerts.expiring_alerts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{folder}"), late="400 seconds")
     query = stream.writeStream.format("memory").queryName("alerted").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/check").start()
     try:
         ordered = sorted(rows, key=lambda x: x[1])
