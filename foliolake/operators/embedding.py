@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import document_frequency, hashed_vectors, tfidf_weights
 from ..functions.vectors import vector_search, vector_upsert
-from ..sources.tables import load, save, stage
+from ..sources.tables import load, settle, stage, swap
 
 DIMENSION = 256
 
@@ -69,17 +71,24 @@ def embed_entry(entries: DataFrame, path: str, vectors: DataFrame, table: DataFr
 
 
 def save_vectors(vectors: DataFrame, table: DataFrame, root: str) -> None:
-    """Replaces the vector index below root and the model's table beside it."""
-    save(vectors, f"{root}/vectors")
-    save(table, f"{root}/model")
+    """Replaces the vector index below root, its vectors and the model's table together, in one step."""
+    fresh = f"{root}/vector_index.new-{uuid.uuid4().hex}"
+    vectors.write.parquet(f"{fresh}/vectors")
+    table.write.parquet(f"{fresh}/model")
+    swap(vectors.sparkSession, fresh, f"{root}/vector_index")
 
 
 def load_vectors(spark: SparkSession, root: str, rebuild: Callable[[], tuple[DataFrame, DataFrame]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vectors, the model's table) as saved; what is missing or lacks columns is rebuilt, both together, or raises."""
+    """(vectors, the model's table) as saved; an index that is missing or lacks columns is rebuilt, or raises.
+
+    One that is there but cannot be read raises in any case: it is not trained anew and not overwritten.
+    """
+    settle(spark, f"{root}/vector_index")
     try:
-        return load(spark, f"{root}/vectors", required=("path", "vector", "title", "domain")), load(spark, f"{root}/model")
-    except Exception:
-        if rebuild is None:
+        vectors = load(spark, f"{root}/vector_index/vectors", required=("path", "vector", "title", "domain"))
+        return vectors, load(spark, f"{root}/vector_index/model")
+    except (AnalysisException, ValueError) as e:  # what load raises for a missing table, and for one without its columns
+        if rebuild is None or isinstance(e, AnalysisException) and e.getCondition() != "PATH_NOT_FOUND":
             raise
     save_vectors(*rebuild(), root)
     return load_vectors(spark, root)

@@ -15,11 +15,15 @@ from ..functions import vectors as fv
 from ..operators import compile_state as cs
 from ..operators import embedding as em
 from ..operators import graph as g
+from ..operators import merkle as mk
 from ..operators import metrics as m
 from ..operators import quality as q
 from ..sources import files as sf
+from ..sources import parts as pt
 from ..sources import tables as st
 from ..sources import wiki as sw
+from ..streaming import alerts as al
+from ..streaming import compiling as cst
 from ..streaming import streams as ss
 from . import fixtures as fx
 from .fixtures import CALLS, ENTRIES, FILES, PAGES, STATE, TAG_PAIRS, TASKS
@@ -615,6 +619,59 @@ def has_changes(spark, d):
     return cs.has_changes(fx.entries(spark, d).select("path", "source_hash"), "0" * 64)
 
 
+@query(ENTRIES + _merkle(24).replace(" SELECT h AS root FROM", ", r AS (SELECT h AS root FROM") + ") SELECT 'right' AS asked, root IS DISTINCT FROM root AS has_changes FROM r UNION ALL SELECT 'wrong', root IS DISTINCT FROM repeat('0', 64) FROM r UNION ALL SELECT 'none', root IS DISTINCT FROM NULL FROM r")
+def has_changes_answers(spark, d):
+    leaves = fx.entries(spark, d).select("path", "source_hash")
+    saved = {"right": cs.merkle_root(leaves).first()["root"], "wrong": "0" * 64, "none": None}
+    asked = [cs.has_changes(leaves.repartition(3), root).select(F.lit(name).alias("asked"), "has_changes") for name, root in saved.items()]
+    return asked[0].unionByName(asked[1]).unionByName(asked[2])
+
+
+_CHANGED = """, old AS (SELECT path, source_hash FROM e), new AS (
+  SELECT path, CASE WHEN doc_id % 50 = 0 THEN sha256(source_hash) ELSE source_hash END AS source_hash FROM e WHERE doc_id % 97 <> 1 UNION ALL SELECT 'new/' || path, source_hash FROM e WHERE doc_id % 120 = 7
+) SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM old FULL JOIN new ON old.path = new.path WHERE old.source_hash IS DISTINCT FROM new.source_hash"""
+
+
+def _two_states(spark, d):
+    e = fx.entries(spark, d).select("path", "source_hash", "doc_id")
+    old = e.select("path", "source_hash")
+    put = e.where("doc_id % 50 = 0 and doc_id % 97 <> 1").select("path", F.sha2("source_hash", 256).alias("source_hash")).unionByName(e.where("doc_id % 120 = 7").select(F.concat(F.lit("new/"), "path").alias("path"), "source_hash"))
+    gone = e.where("doc_id % 97 = 1").select("path", F.lit(None).cast("string").alias("source_hash"))
+    return old, put.unionByName(gone)
+
+
+@query(ENTRIES + _CHANGED)
+def merkle_changes(spark, d):
+    old, changes = _two_states(spark, d)
+    new = old.join(changes, "path", "left_anti").unionByName(changes.where("source_hash is not null"))
+    a, b = (mk.Tree.build(x, _folder(spark), depth=2) for x in (old, new))
+    return mk.compare(a, b)[0]
+
+
+@query(ENTRIES + _CHANGED)
+def merkle_update(spark, d):
+    old, changes = _two_states(spark, d)
+    a, b = (mk.Tree.build(old, _folder(spark), depth=2) for _ in range(2))
+    b.update(changes)
+    return mk.compare(a, b)[0]
+
+
+@query(ORACLE_SQL["record_compile"])
+def record_compile_parts(spark, d):
+    table = pt.PartTable.create(fx.compile_state(spark, d), _folder(spark), "path", parts=16)
+    new = fx.entries(spark, d, False).where("doc_id % 2 = 0").selectExpr("path", "'new' as source_hash", "array(path) as compiled_entries", "cast(null as string) as last_compiled", "'i1' as instruction_hash", "cast(null as string) as model_id")
+    table.put(new)
+    return table.read().select("path", "source_hash", F.size("compiled_entries").alias("n_compiled"))
+
+
+@query(ORACLE_SQL["kv_remove"])
+def kv_remove_parts(spark, d):
+    table = pt.PartTable.create(fx.compile_state(spark, d), _folder(spark), "path", parts=16)
+    table.drop(fx.entries(spark, d, False).where("doc_id % 2 = 0").select("path"))
+    return table.read().select("path")
+
+
 @query(ENTRIES + STATE + "SELECT path, source_hash, instruction_hash FROM s")
 def migrate_from_json(spark, d):
     lines = cs.export_json(fx.compile_state(spark, d))
@@ -882,6 +939,19 @@ def incremental_compile_runs(spark, d):
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
+@query("SELECT doc_id || '.pdf' AS file, 'compile' AS action, sha256(replace(text, chr(10), chr(12))) AS source_hash, 'raw/' || doc_id || '.compile_prompt.md' AS entry FROM documents")
+def compile_stream(spark, d):
+    root, checkpoint, folder = _folder(spark), _folder(spark), _folder(spark)
+    sw.write_files(_pdfs(spark, d).select(F.substring_index("path", "/", -1).alias("path"), "content"), folder)
+    # Two triggers' worth of files; the second start finds nothing that is new.
+    most = max(1, -(-spark.read.format("binaryFile").load(folder).count() // 2))
+    for _ in range(2):
+        cst.compile_stream(spark, folder, root, checkpoint, most=most, now=lambda: F.expr(_NOW)).trigger(availableNow=True).start().awaitTermination()
+    file = F.substring_index("path", "/", -1).alias("file")
+    state = sw.load_state(spark, root).select(file, "source_hash", F.get("compiled_entries", F.lit(0)).alias("entry"))
+    return cst.outcomes(spark, checkpoint).where("error is null").select(file, "action").join(state, "file")
+
+
 @query(ENTRIES + """SELECT 'wiki/' || path AS path, title, domain, category, 'raw/' || doc_id || '.md' AS source, doc_id AS page, source_hash, array_to_string(tags, ' ') AS tags, array_to_string(related, ' ') AS related, CASE WHEN doc_id % 2 = 0 THEN 'a b' ELSE '' END AS aggregated_from, level, status, version, created, sha256(body) AS body_hash FROM e""")
 def to_markdown(spark, d):
     root = _folder(spark)
@@ -1005,6 +1075,21 @@ def alert_aggregator(spark, d):
     return ss.alert_aggregator(a).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query(ORACLE_SQL["alert_aggregator"])
+def alert_stream(spark, d):
+    folder, out = _folder(spark), _folder(spark)
+    rows = fx.table(spark, d, "events").selectExpr("cast(user_id % 16 as string) as channel", "cast(ts as timestamp) as ts", "event_type as metric", "if(value > 50, 'high', 'low') as severity")
+    rows.repartition(3).write.parquet(f"{folder}/rows")
+    last = rows.selectExpr("'end' as channel", "max(ts) + interval 1 day as ts", "'' as metric", "'' as severity")
+    stream = al.expiring_alerts(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(folder), late="60 days")
+    start = lambda: stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/alerts").option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
+    start()
+    # What comes long after all others says that nothing earlier is still on its way.
+    last.withColumn("ts", F.col("ts") + F.expr("interval 70 days")).write.parquet(f"{folder}/end")
+    start()
+    return spark.read.parquet(f"{out}/alerts").where("channel <> 'end'").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_type AS metric, value::VARCHAR AS data FROM (SELECT event_type, floor(value)::BIGINT AS value, event_id FROM events) WHERE event_id % 10 <> 0")
 def sse_dispatch(spark, d):
     body = F.expr("""if(event_id % 10 = 0, 'not json', concat('{"metric":"', event_type, '","data":"', cast(floor(value) as bigint), '"}'))""")

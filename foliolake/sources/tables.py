@@ -117,6 +117,11 @@ def save(df: DataFrame, path: str, *by: str) -> None:
     spark = df.sparkSession
     fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     df.write.parquet(fresh, partitionBy=list(by) or None)
+    swap(spark, fresh, path)
+
+
+def swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts the folder fresh in path's place; `settle` finds the old one if this is cut off."""
     fs, target = file_system(spark, path)
     old = spark._jvm.org.apache.hadoop.fs.Path(_old(path))
     if fs.exists(target):
@@ -128,12 +133,17 @@ def save(df: DataFrame, path: str, *by: str) -> None:
     fs.delete(old, True)
 
 
-def load(spark: SparkSession, path: str, rebuild: Callable[[], DataFrame] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """The snapshot at path; one that is missing or lacks required columns is rebuilt, or raises without rebuild."""
+def settle(spark: SparkSession, path: str) -> None:
+    """Brings back what a swap that was cut off between its renames had moved aside."""
     fs, target = file_system(spark, path)
     old = spark._jvm.org.apache.hadoop.fs.Path(_old(path))
     if not fs.exists(target) and fs.exists(old):
-        fs.rename(old, target)  # a save was cut off between its renames
+        fs.rename(old, target)
+
+
+def load(spark: SparkSession, path: str, rebuild: Callable[[], DataFrame] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """The snapshot at path; one that is missing or lacks required columns is rebuilt, or raises without rebuild."""
+    settle(spark, path)
     try:
         df = spark.read.parquet(path)
         if set(required) <= set(df.columns):

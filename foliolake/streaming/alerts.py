@@ -21,7 +21,10 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 class AlertProcessor(StatefulProcessor):
-    """State of a channel: waiting rows, alerts inside the window, the time of the last accepted row; one timer a moment."""
+    """State of a channel: waiting rows, alerts inside the window, the time of the last accepted row.
+
+    A timer stands at the first waiting row's time, and one where the window of the last accepted row ends.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -32,27 +35,26 @@ class AlertProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fresh = [(r["at"], r["metric"], r["severity"]) for r in rows]
         self.waiting.appendList(fresh)
-        for at in {math.ceil(r[0] * 1000) for r in fresh}:
-            self.handle.registerTimer(at)
+        self.handle.registerTimer(math.ceil(min(r[0] for r in fresh) * 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()  # nothing up to here can come any more
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted(r for r in waiting if math.ceil(r[0] * 1000) <= now)
+        due = sorted(r for r in waiting if r[0] * 1000 <= now)
+        later = [r for r in waiting if r[0] * 1000 > now]
         alerts = [dict(zip(("at", "metric", "severity", "count"), r)) for r in self.alerts.get()] if self.alerts.exists() else []
         last = self.last.get()[0] if self.last.exists() else None
         out, state = alert_rules(due, {"last": last, "alerts": alerts})
-        alive = [a for a in state["alerts"] if now / 1000 - a["at"] < WINDOW_S]
-        self._put(self.waiting, [r for r in waiting if math.ceil(r[0] * 1000) > now])
-        self._put(self.alerts, [(a["at"], a["metric"], a["severity"], a["count"]) for a in alive])
+        self._put(self.waiting, later)
+        self._put(self.alerts, [(a["at"], a["metric"], a["severity"], a["count"]) for a in state["alerts"] if now / 1000 - a["at"] < WINDOW_S])
+        if later:
+            self.handle.registerTimer(math.ceil(min(r[0] for r in later) * 1000))
         if state["last"] is None or now / 1000 - state["last"] >= WINDOW_S:
             self.last.clear()
-        elif due:
+        elif due:  # by then the last alert is out of the window as well
             self.last.update((state["last"],))
             self.handle.registerTimer(math.ceil((state["last"] + WINDOW_S) * 1000))
-        for at in {math.ceil((a["at"] + WINDOW_S) * 1000) for a in alive} if due else ():
-            self.handle.registerTimer(at)
         return iter([Row(channel=key[0], at=at, metric=metric, severity=severity, outcome=outcome, n=n) for at, metric, severity, outcome, n in out])
 
     @staticmethod
