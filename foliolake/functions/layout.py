@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +57,41 @@ def _kind(word: Column, kinds: dict[str, str]) -> Column:
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value made once: inside a lambda it would be made anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_layout_text(text: Column, reach: int = 50) -> Column:
     """Every [a, b, c, d] in a text as (region_type, x, y, width, height, content).
 
     The type is that of the known word which comes first, in any case, from `reach` characters before the box to
     `reach` after it; body if there is none.  content is the box as it stands.  Null text: null; no box: empty.
     """
-    # Each box with what stands around it: the look-behind takes `reach` characters, fewer only from the text's start.
-    before, after = rf"(?=\[)(?<=((?s:.{{{reach}}}|\A.{{0,{reach - 1}}})))", rf"(?=((?s:.{{0,{reach}}})))"
-    every = lambda group: F.regexp_extract_all(text, F.lit(before + f"({_BOX})" + after), F.lit(group))
-    rows = F.arrays_zip(every(1).alias("before"), every(2).alias("box"), every(7).alias("after"))
+    # No box is shorter than nine characters, so as many pairs of gap and box reach far enough to either side.
+    pairs = -(-reach // 9)
+    kinds = F.create_map(*[F.lit(x) for item in REGION_WORDS.items() for x in item])
     words = rf"(?i)({'|'.join(REGION_WORDS)})"
 
-    def region(x: Column) -> Column:
-        word = F.lower(F.regexp_extract(F.concat(x["before"], x["box"], x["after"]), words, 1))
-        at = lambda k: F.regexp_extract(x["box"], _BOX, k).cast("double")
-        return F.struct(_kind(word, REGION_WORDS).alias("region_type"), at(1).alias("x"), at(2).alias("y"), (at(3) - at(1)).alias("width"), (at(4) - at(2)).alias("height"), x["box"].alias("content"))
-
-    return F.transform(rows, region)
+    def regions(one: Column) -> Column:
+        boxes, gaps = one["boxes"], one["gaps"]
+        ends = F.transform(gaps, lambda g: F.right(g, F.lit(reach)))
+        starts = F.transform(gaps, lambda g: F.left(g, F.lit(reach)))
+        sides = F.struct(boxes.alias("boxes"), ends.alias("ends"), starts.alias("starts"), F.zip_with(ends, boxes, lambda g, x: F.concat(g, x)).alias("to"), F.zip_with(F.slice(starts, 2, F.size(starts)), boxes, lambda g, x: F.concat(x, g)).alias("on"))
+        return _let(sides, lambda s: F.transform(s["boxes"], lambda box, k: region(s, box, k)))
+
+    def region(s: Column, box: Column, k: Column) -> Column:
+        first = F.greatest(k - pairs, F.lit(0))
+        before = F.right(F.concat(F.array_join(F.slice(s["to"], first + 1, k - first), ""), F.get(s["ends"], k)), F.lit(reach))
+        after = F.left(F.concat(F.get(s["starts"], k + 1), F.array_join(F.slice(s["on"], k + 2, F.lit(pairs)), "")), F.lit(reach))
+        kind = F.coalesce(F.element_at(kinds, F.lower(F.regexp_extract(F.concat(before, box, after), words, 1))), F.lit("body"))
+        numbers = F.transform(F.split(F.substring(box, F.lit(2), F.length(box) - 2), ","), lambda n: n.cast("double"))
+        return _let(
+            F.struct(numbers.alias("n"), kind.alias("kind"), box.alias("box")),
+            lambda r: F.struct(r["kind"].alias("region_type"), r["n"][0].alias("x"), r["n"][1].alias("y"), (r["n"][2] - r["n"][0]).alias("width"), (r["n"][3] - r["n"][1]).alias("height"), r["box"].alias("content")),
+        )
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(_BOX), F.lit(0)).alias("boxes"), F.split(text, _BOX, -1).alias("gaps")), regions)
 
 
 _DETAIL = "struct<layout_details:array<array<struct<label:string,bbox_2d:array<double>,content:string>>>>"

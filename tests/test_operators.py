@@ -321,3 +321,30 @@ def test_pages_by_position(spark):
     pages = spark.createDataFrame([("a", 1, " one "), ("a", 2, ""), ("a", 3, "three")], "path string, page_number int, text string")
     asked = spark.createDataFrame([("a", 0), ("a", 2), ("a", 3), ("a", 3), ("a", 99), ("a", -1), ("b", 0)], "path string, position int")
     assert sorted((r.position, r.page_number) for r in ft.find_page(pages, asked).collect()) == [(0, 1), (2, 1), (3, 3), (99, 3)]
+
+
+def _regions_by_hand(text, reach):
+    """Boxes by a plain regular expression, and the first word around each by its places."""
+    import re
+
+    out = []
+    for m in re.finditer(r"\[\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*\]", text, re.A):
+        word = re.search("|".join(fl.REGION_WORDS), text[max(0, m.start() - reach) : m.end() + reach], re.I)
+        a, b, c, d = (float(m[k]) for k in range(1, 5))
+        out.append((fl.REGION_WORDS[word[0].lower()] if word else "body", a, b, c - a, d - b, m[0]))
+    return out
+
+
+def test_layout_boxes_side_by_side(spark):
+    import random
+
+    r = random.Random(1)
+    number = lambda: r.choice(["1", "22", "3.5", "100", "0"])
+    box = lambda: "[" + ",".join(r.choice(["", " ", "\n"]) + number() + r.choice(["", " "]) for _ in range(4)) + "]"
+    other = ["Title ", "TABLE", "image", "é𝒳", "." * 60, " x ", "heading", "[1,2,3]", "[-1,2,3,4]", "caption ", "日本" * 20]
+    texts = ["".join(box() if r.random() < 0.5 else r.choice(other) for _ in range(r.randint(0, 25))) for _ in range(400)] + [""]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for reach in (50, 7):
+        got = {x.t: x.r for x in df.select("t", fl.parse_layout_text(F.col("t"), reach).alias("r")).collect()}
+        assert got.pop(None) is None
+        assert {t: [tuple(x) for x in v] for t, v in got.items()} == {t: _regions_by_hand(t, reach) for t in texts}
