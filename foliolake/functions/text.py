@@ -100,17 +100,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def term_counts(docs: DataFrame, text: str = "body", tokenizer: str = "latin") -> DataFrame:
-    """(path, term, n, total): each row's terms with their number and that of all its terms, counted inside the row."""
+    """(path, term, n, total): each row's terms with their number and that of all its terms.
 
-    def runs(one: Column) -> Column:
-        t = one["t"]
-        first = lambda k: (k == 0) | (F.get(t, k) != F.get(t, k - 1))
-        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), first)
-        counted = lambda at: F.transform(at, lambda s, k: F.struct(F.get(t, s).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - s).alias("n")))
-        return _let(starts, counted)
-
-    own = docs.select("path", F.sort_array(tfidf_tokens(F.col(text), tokenizer)).alias("t")).where(F.size("t") > 0)
-    return own.select("path", F.size("t").alias("total"), F.explode(_let(F.struct("t"), runs)).alias("r")).select("path", "r.term", F.col("r.n").cast("long").alias("n"), "total")
+    A task counts its rows' terms in a hash table before anything is sent; rows that share a path stay apart.
+    """
+    own = docs.select("path", F.monotonically_increasing_id().alias("row"), tfidf_tokens(F.col(text), tokenizer).alias("t"))
+    rows = own.select("path", "row", F.size("t").alias("total"), F.explode("t").alias("term"))
+    return rows.groupBy("path", "row", "total", "term").agg(F.count("*").alias("n")).select("path", "term", "n", "total")
 
 
 def inverse_document_frequency(counts: DataFrame, docs: DataFrame) -> DataFrame:
