@@ -404,10 +404,46 @@ def page_boundaries(pages: DataFrame) -> DataFrame:
     return pages.select("path", "page_number", F.coalesce(F.sum(F.length(F.trim("text"))).over(earlier), F.lit(0)).cast("long").alias("start"))
 
 
+def trigrams(text: Column) -> Column:
+    """The set of letter triples of a string in lower case, blanks around it."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda k: F.substring(F.concat(F.lit("  "), F.lower(text), F.lit(" ")), k, 3)))
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of the sets of letter triples of two strings in lower case, blanks around them."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda k: F.substring(F.concat(F.lit("  "), F.lower(c), F.lit(" ")), k, 3)))
-    return F.size(F.array_intersect(grams(a), grams(b))) / F.size(F.array_union(grams(a), grams(b)))
+    """Jaccard of the trigrams of two strings."""
+    return F.size(F.array_intersect(trigrams(a), trigrams(b))) / F.size(F.array_union(trigrams(a), trigrams(b)))
+
+
+def similar_names(left: DataFrame, right: DataFrame | None = None, least: float = 0.4) -> DataFrame:
+    """(left, right, similarity) of all pairs of different names(name), one of each side, at least so alike by trigrams.
+
+    Without right, pairs within left, each once with the smaller name first.  Copies of a name count once; null names have
+    no partner.  Trigrams are put in order of their frequency, rarest first.  Two sets can only be so alike if the first
+    n - ceil(least * n) + 1 trigrams of each share one, if neither is longer than the other's size / least, and if what
+    follows the shared one is long enough: only names that meet so are compared in full.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    within, sides = right is None, [x.select("name").where("name is not null").distinct() for x in (left, *([] if right is None else [right]))]
+    names = stage(sides[0].select("name", F.lit(0).alias("side")) if within else sides[0].select("name", F.lit(0).alias("side")).unionByName(sides[1].select("name", F.lit(1).alias("side"))), "names")
+    grams = names.select("side", "name", F.explode(trigrams(F.col("name"))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("often", "gram"))), lambda x: x["gram"])
+    sets = stage(grams.join(often, "gram").groupBy("side", "name").agg(by_rarity.alias("g")), "trigrams")
+    n = F.size("g")
+    heads = sets.select("side", "name", n.alias("n"), F.posexplode(F.slice("g", F.lit(1), n - F.ceil(least * n - 1e-9).cast("int") + 1)).alias("at", "gram"))
+    a = heads.where("side = 0").select("gram", F.col("name").alias("left"), F.col("n").alias("n_left"), F.col("at").alias("at_left"))
+    b = heads.where(f"side = {0 if within else 1}").select("gram", F.col("name").alias("right"), F.col("n").alias("n_right"), F.col("at").alias("at_right"))
+    fits = (F.col("n_left") >= least * F.col("n_right") - 1e-9) & (F.col("n_right") >= least * F.col("n_left") - 1e-9)
+    shared = F.ceil(least / (1 + least) * (F.col("n_left") + F.col("n_right")) - 1e-9)
+    # Neither has shared one before the first they meet on, so no more can follow than the shorter rest.
+    met = a.join(b, "gram").where(fits & ((F.col("left") < F.col("right")) if within else (F.col("left") != F.col("right"))))
+    pairs = met.groupBy("left", "right").agg(F.min(F.struct("at_left", F.least(F.col("n_left") - F.col("at_left"), F.col("n_right") - F.col("at_right")).alias("rest"), shared.alias("need"))).alias("m")).where("m.rest >= m.need").select("left", "right")
+    own = lambda side, name, g: sets.where(F.col("side") == side).select(F.col("name").alias(name), F.col("g").alias(g))
+    whole = pairs.join(own(0, "left", "g_left"), "left").join(own(0 if within else 1, "right", "g_right"), "right")
+    both = F.size(F.array_intersect("g_left", "g_right"))
+    alike = both / (F.size("g_left") + F.size("g_right") - both)
+    return whole.select("left", "right", alike.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
 
 def log_idf(n_docs: int, df: int) -> float:

@@ -1212,3 +1212,21 @@ def relational_tables(spark, d):
 @query(PAGES + "SELECT path, count(*) FILTER (text <> '') AS filled, count(*) AS pages, 100.0::DOUBLE * count(*) FILTER (text <> '') / count(*) AS share FROM p GROUP BY path")
 def page_fill(spark, d):
     return sf.page_fill(fx.pages(spark, d))
+
+
+_GRAMS = """WITH n AS ({names}), g AS (
+  SELECT side, name, list_distinct(list_transform(range(1, greatest(1, length(name)) + 1), lambda k: substr('  ' || lower(name) || ' ', k, 3))) AS g FROM n
+), x AS (SELECT side, name, len(g) AS n, unnest(g) AS gram FROM g),
+p AS (SELECT a.name AS l, b.name AS r, count(*) AS both_, any_value(a.n) AS n, any_value(b.n) AS m FROM x a JOIN x b ON a.gram = b.gram AND {sides} GROUP BY a.name, b.name)
+SELECT l AS "left", r AS "right", round(both_ / (n + m - both_), 6) AS similarity FROM p WHERE both_ / (n + m - both_) >= {least} - 1e-12"""
+
+
+@query(_GRAMS.format(names="SELECT DISTINCT 0 AS side, p_name AS name FROM part", sides="a.name < b.name", least=0.4))
+def similar_names(spark, d):
+    return ft.similar_names(fx.table(spark, d, "part").select(F.col("p_name").alias("name"))).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_GRAMS.format(names="SELECT DISTINCT 0 AS side, s_name AS name FROM supplier UNION ALL SELECT DISTINCT 1, c_name FROM customer", sides="a.side = 0 AND b.side = 1 AND a.name <> b.name", least=0.4))
+def similar_names_of_two_tables(spark, d):
+    left, right = (fx.table(spark, d, t).select(F.col(c).alias("name")) for t, c in (("supplier", "s_name"), ("customer", "c_name")))
+    return ft.similar_names(left, right).withColumn("similarity", F.round("similarity", 6))

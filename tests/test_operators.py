@@ -348,3 +348,24 @@ def test_layout_boxes_side_by_side(spark):
         got = {x.t: x.r for x in df.select("t", fl.parse_layout_text(F.col("t"), reach).alias("r")).collect()}
         assert got.pop(None) is None
         assert {t: [tuple(x) for x in v] for t, v in got.items()} == {t: _regions_by_hand(t, reach) for t in texts}
+
+
+def test_similar_names_equal_the_full_join(spark):
+    import random
+
+    def grams(name):
+        padded = "  " + name.lower() + " "
+        return {padded[k : k + 3] for k in range(max(1, len(name)))}
+
+    r = random.Random(4)
+    base = ["Anna Berg", "anna bergh", "Órbita", "x", "", "ab", "long name of somebody else"]
+    names = base + ["".join(c if r.random() > 0.2 else r.choice("abcxyz ") for c in r.choice(base[:3] + base[6:])) for _ in range(60)]
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    df = lambda x: spark.createDataFrame([(n, 1) for n in [*x, x[0], None]], "name string, left int")
+    for least in (0.3, 0.4, 0.75, 1.0):
+        got = {(x.left, x.right): round(x.similarity, 9) for x in ft.similar_names(df(names), least=least).collect()}
+        assert got == {(a, b): round(alike(a, b), 9) for a in set(names) for b in set(names) if a < b and alike(a, b) >= least}
+    got = {(x.left, x.right) for x in ft.similar_names(df(names[:30]), df(names[30:])).collect()}
+    assert got == {(a, b) for a in set(names[:30]) for b in set(names[30:]) if a != b and alike(a, b) >= 0.4}
+    with pytest.raises(ValueError, match="least"):
+        ft.similar_names(df(names), least=0)
