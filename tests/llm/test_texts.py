@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -63,6 +64,48 @@ def test_secrets_by_way_of_other_names():
     assert found('colour = "aB3$kk29-xQ11zz"\nauth = "changeme"\nprivate_key: hello') == []
 
 
+SYNTAXES = [
+    'credential: str = "{v}"', 'const clientAuth: string = "{v}"', 'var credential string = "{v}"', 'config["db_credential"] = "{v}"', 'credential = "{v}\\"rest"', 'credential = """{v}"""',
+    'credential:\n  "{v}"\n', "credential:\n  {v}\nother: 1\n", "<credential>{v}</credential>", '<client_auth kind="x">{v}</client_auth>', 'P = "pre"\ncredential = P + "{v}"', 'client_auth = DB\nDB = "{v}"', 'a_credential = B\nB = C\nC = "{v}"',
+    'credential = os.getenv("C", "{v}")', 'credential = env("C") or "{v}"', 'export CREDENTIAL="{v}"', '"credential": "{v}"', "'credential' => '{v}'", 'private static final String credential = "{v}";', 'credential = b"{v}"  # note',
+    '# credential = "{v}"', 'credential := "{v}"', '{"a": 1, "db": {"credential": "{v}"}}', "credential: |\n  {v}\n", "Credential('é'); x.client_auth = '{v}'",
+]
+
+
+@pytest.mark.parametrize("syntax", SYNTAXES)
+def test_assignments_in_many_syntaxes(syntax):
+    value = "aB3kk29-xQ11zz"
+    text = "é before\n" + syntax.replace("{v}", value)
+    found = [text[s:e] for _, s, e in secrets.spans(text.encode())[1]]
+    assert found and found[-1].startswith(value) and len(found) == 1, found
+
+
+def test_files_of_five_syntaxes_precision_and_recall():
+    import random
+
+    r = random.Random(16)
+    value = lambda: "".join(r.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789-_") for _ in range(r.randrange(16, 40)))
+    name = lambda: r.choice(["credential", "client_auth", "clientAuth", "private_key", "signingKey", "passphrase"])
+    plain = lambda: r.choice(["colour", "title", "userName", "path", "message", "version"])
+    line = {
+        "python": lambda n, v: r.choice([f'{n} = "{v}"', f"{n}: str = '{v}'", f'cfg["{n}"] = "{v}"', f'{n} = os.getenv("X", "{v}")']),
+        "yaml": lambda n, v: r.choice([f"{n}: {v}", f'{n}: "{v}"', f"{n}:\n  {v}"]),
+        "json": lambda n, v: f'  "{n}": "{v}",',
+        "java": lambda n, v: r.choice([f'private static final String {n} = "{v}";', f'String {n} = "{v}";']),
+        "xml": lambda n, v: f"<{n}>{v}</{n}>",
+    }
+    planted, hit, found = 0, 0, 0
+    for kind, make in line.items():
+        for _ in range(40):
+            wanted = {value() for _ in range(3)}
+            lines = [make(name(), v) for v in wanted] + [make(plain(), value()) for _ in range(4)] + [make(name(), "changeme"), make(plain(), "see the manual")]
+            r.shuffle(lines)
+            text = "\n".join(lines)
+            got = {text[s:e] for _, s, e in secrets.spans(text.encode())[1]}
+            planted, hit, found = planted + 3, hit + len(got & wanted), found + len(got)
+    assert hit >= 0.95 * planted and hit >= 0.95 * found, (planted, hit, found)
+
+
 def test_field_finds_what_patterns_miss():
     text = "mail bob at example dot com or call (555) 010-2030, then 12 of 35"
     base, added = pii.find(pa.array([text]), pii.trained())[0]
