@@ -341,13 +341,19 @@ def search_keywords(pages: DataFrame, keywords: list[str], case_sensitive: bool
 
     Keywords are literal; without case_sensitive letters of all scripts match in any case.  Positions are
     characters in the page's text, from 0.  Matching each page by itself makes the page exact.  Empty and
-    null keywords and null texts match nothing; a keyword that repeats is found as often.
+    null keywords and null texts match nothing; a keyword that repeats is found as often.  However many keywords there
+    are, a page is read once and copied only for those that it holds.
     """
     words = [w for w in keywords if w]
     if not words:
         return pages.select("path", "page_number", F.lit("").alias("keyword"), F.lit(0).alias("position"), F.lit("").alias("matched"), F.lit("").alias("context")).limit(0)
     text = F.col("text")
-    each = pages.select("path", "page_number", "text", F.explode(F.array(*[F.lit(w) for w in words])).alias("keyword"))
+    # One pass finds the keywords that a page may hold: what is equal in any case is equal when folded.  Only they get a row.
+    # (The inner translate keeps the optimizer from taking lower(upper(x)) for lower(x), which it is not for all scripts.)
+    fold = (lambda c: c) if case_sensitive else (lambda c: F.translate(F.lower(F.translate(F.upper(c), "ς", "Σ")), "ς\u0307", "σ"))
+    asked = F.array(*[F.struct(F.lit(w).alias("word"), fold(F.lit(w)).alias("folded")) for w in words])
+    held = _let(F.struct(fold(text).alias("folded")), lambda one: F.filter(asked, lambda w: F.contains(one["folded"], w["folded"])))
+    each = pages.where(text.isNotNull()).select("path", "page_number", "text", F.explode(held).alias("w")).select("path", "page_number", "text", F.col("w.word").alias("keyword"))
     pattern = F.concat(F.lit("" if case_sensitive else "(?iu)"), F.regexp_replace("keyword", r"([\\^$.|?*+()\[\]{}-])", r"\\$1"))
     each = each.withColumn("pattern", pattern).where(F.regexp_like("text", F.col("pattern")))
     add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)

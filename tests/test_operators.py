@@ -369,3 +369,22 @@ def test_similar_names_equal_the_full_join(spark):
     assert got == {(a, b) for a in set(names[:30]) for b in set(names[30:]) if a != b and alike(a, b) >= 0.4}
     with pytest.raises(ValueError, match="least"):
         ft.similar_names(df(names), least=0)
+
+
+def test_a_thousand_keywords_in_one_pass(spark):
+    import random
+    import re
+
+    r = random.Random(9)
+    letters = ["a", "B", "s", "ſ", "K", "k", "ß", "Σ", "ς", "σ", "İ", "i", ".", "(", "é", "É", " "]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 4))) for _ in range(1000)]
+    pages = [(f"p{k}", 1, "".join(r.choice(letters) for _ in range(60))) for k in range(40)] + [("n", 1, None), ("e", 1, "")]
+    df = spark.createDataFrame(pages, "path string, page_number int, text string")
+    exact = [(x.path, x.keyword, x.position) for x in ft.search_keywords(df, words, case_sensitive=True).collect()]
+    want = [(p, w, m.start()) for p, _, t in pages if t for w in words for m in re.finditer(re.escape(w), t)]
+    assert sorted(exact) == sorted(want)
+    # In any case: the same as each keyword's own pattern on every page.
+    found = sorted((x.path, x.keyword, x.matched) for x in ft.search_keywords(df, words[:150]).collect())
+    pattern = lambda w: "(?iu)" + re.sub(r"([\\^$.|?*+()\[\]{}-])", r"\\\1", w)
+    every = df.select("path", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.regexp_extract_all("text", F.lit(pattern(w)), F.lit(0)).alias("m")) for w in words[:150]])).alias("x")).select("path", "x.w", F.explode("x.m").alias("m"))
+    assert found == sorted(map(tuple, every.collect()))
