@@ -129,3 +129,32 @@ def test_alerts_equal_the_rules_on_shuffled_batches(spark, tmp_path):
         assert {x.key[0] for x in held.collect()} | {x.key[0] for x in left.collect()} <= {"y"}  # all others are long idle
     finally:
         query.stop()
+
+
+def test_a_folder_in_batches_reads_each_file_once(spark, tmp_path):
+    from foliolake.sources import files as sf
+    from foliolake.streaming.batches import batch_process_folder
+
+    notes = tmp_path / "notes"
+    notes.mkdir()
+
+    def noting(raw, notes=str(notes)):
+        import uuid
+
+        with open(f"{notes}/{uuid.uuid4().hex}", "wb") as f:
+            f.write(raw)
+        return [str(1 // (len(raw) % 5)), "second"]
+
+    sf.register_extractor("noting_batches", noting)
+    names = [f"n{'x' * (k % 7)}{k}.pdf" for k in range(11)]
+    _files(tmp_path / "in", names, text="page one ")
+    reports = []
+    run = lambda: batch_process_folder(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check", most=4, extractor="noting_batches", report=lambda *x: reports.append(x))
+    pages = run()
+    bad = [n for n in names if len("page one " + n) % 5 == 0]
+    assert bad and len(list(notes.iterdir())) == 11
+    assert [x[0] for x in reports] == [4, 8, 11] and reports[-1] == (11, len(bad), 11)
+    assert pages.where("error is null").count() == 2 * (11 - len(bad)) and pages.where("error is not null").count() == len(bad)
+    assert run().count() == pages.count() and len(list(notes.iterdir())) == 11
+    with pytest.raises(KeyError):
+        batch_process_folder(spark, "x", "y", "z", extractor="unknown")
