@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import stage
 
@@ -59,9 +60,15 @@ def _at_place(values: DataFrame, place) -> DataFrame:
 
 
 def extraction_statistics(docs: DataFrame, now) -> DataFrame:
-    """By schema: all, those of the last day and week, mean processing time from the metadata, those with data."""
+    """By schema: all, those of the last day and week, mean processing time from the metadata, those with data.
+
+    The metadata may be JSON text or a VARIANT; a time that is no whole number, and broken JSON, count as none.
+    """
     age = F.unix_seconds(now) - F.unix_seconds(F.col("created_at").cast("timestamp"))
-    ms = F.get_json_object("extraction_metadata", "$.processing_time_ms").try_cast("int")
+    if isinstance(docs.schema["extraction_metadata"].dataType, T.VariantType):
+        ms = F.try_variant_get("extraction_metadata", "$.processing_time_ms", "string").try_cast("int")
+    else:
+        ms = F.get_json_object("extraction_metadata", "$.processing_time_ms").try_cast("int")
     return docs.groupBy("schema_name").agg(
         F.count("*").alias("total"), F.count_if(age < 86400).alias("last_24h"), F.count_if(age < 7 * 86400).alias("last_7d"), F.avg(ms).alias("avg_ms"), F.count_if(F.col("data").isNotNull()).alias("with_data"),
     )

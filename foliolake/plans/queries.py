@@ -20,6 +20,7 @@ from ..operators import metrics as m
 from ..operators import quality as q
 from ..sources import files as sf
 from ..sources import parts as pt
+from ..sources import relational as rl
 from ..sources import tables as st
 from ..sources import wiki as sw
 from ..streaming import alerts as al
@@ -484,6 +485,28 @@ def extraction_statistics(spark, d):
     return m.extraction_statistics(e.join(F.broadcast(now)), F.col("now").cast("timestamp")).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
+def _filled(spark, d):
+    """events as extracted documents, in the relational table of that name; returns its root."""
+    root = _folder(spark)
+    rows = fx.table(spark, d, "events").selectExpr("cast(event_id as string) as id", "event_type as schema_name", "cast(value as string) as data", "concat('f', user_id, '.pdf') as source_file", "replace(props, '\"k\"', '\"processing_time_ms\"') as extraction_metadata", "cast(ts as timestamp) as created_at")
+    rl.write_table(rows, root, "extracted_documents", distinct=20_000)
+    return root
+
+
+@query(ORACLE_SQL["extraction_statistics"])
+def extraction_statistics_variant(spark, d):
+    docs = rl.read_table(spark, _filled(spark, d), "extracted_documents")
+    now = docs.agg(F.max("created_at").alias("now"))
+    return m.extraction_statistics(docs.join(F.broadcast(now)), F.col("now")).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type AS schema_name, 'f' || user_id || '.pdf' AS source_file, TRY_CAST(props->>'$.k' AS INTEGER) AS ms FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+def relational_lookup(spark, d):
+    docs = rl.read_table(spark, _filled(spark, d), "extracted_documents")
+    first = fx.table(spark, d, "events").agg(F.min("user_id")).first()[0]
+    return docs.where(F.col("source_file") == f"f{first}.pdf").select("id", "schema_name", "source_file", F.try_variant_get("extraction_metadata", "$.processing_time_ms", "int").alias("ms"))
+
+
 @query(TASKS + """SELECT schema_name, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
 round(avg(epoch(completed_at) - epoch(started_at)) FILTER (status = 'completed'), 4) AS avg_seconds FROM t GROUP BY schema_name""")
 def task_statistics(spark, d):

@@ -84,3 +84,37 @@ def test_trees_without_leaves(spark, tmp_path):
     assert empty.update(none) == 0
     with pytest.raises(ValueError, match="depths"):
         merkle.compare(empty, merkle.Tree.build(none, f"file://{tmp_path}/deep", 2))
+
+
+def _rows_scanned(df):
+    """Rows that the scan of a collected df handed on."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "Adaptive" in plan.nodeName() else plan
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    from foliolake.sources.relational import read_table, write_table
+
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("s").alias("schema_name"), F.lit("{}").alias("data"), F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(9999))).alias("source_file"))
+    write_table(rows.coalesce(1), f"file://{tmp_path}", "extracted_documents", distinct=10_000, group_bytes=200_000)
+    table = read_table(spark, f"file://{tmp_path}", "extracted_documents")
+    one = table.where(F.col("id") == hashlib.sha256(b"77").hexdigest()).select("id", "source_file")
+    assert len(one.collect()) == 1 and _rows_scanned(one) < 20_000
+    every = table.select("id", "source_file")
+    assert len(every.collect()) == 40_000 and _rows_scanned(every) == 40_000
+    with pytest.raises(ValueError, match="no columns"):
+        write_table(rows.withColumn("odd", F.lit(1)), f"file://{tmp_path}", "extracted_documents")
+
+
+def test_statistics_of_mixed_metadata(spark):
+    from foliolake.operators.metrics import extraction_statistics
+    from foliolake.sources.relational import conformed
+
+    metas = ['{"processing_time_ms": 12}', '{"processing_time_ms": "15"}', '{"processing_time_ms": 12.7}', '{"processing_time_ms": true}', '{"processing_time_ms": {"a": 1}}', '{"processing_time_ms": null}', "{broken", "", None, "[1]", '{"other": 1}', '{"processing_time_ms": -3}']
+    df = spark.createDataFrame([("a" if k % 2 else "b", t, "1") for k, t in enumerate(metas)], "schema_name string, extraction_metadata string, data string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    now = F.lit("2024-01-02").cast("timestamp")
+    text, variant = (sorted(map(tuple, extraction_statistics(x, now).collect())) for x in (df, conformed(df, "extracted_documents")))
+    assert text == variant and {r[0]: r[4] for r in text} == {"b": 12.0, "a": 6.0}
