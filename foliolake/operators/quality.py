@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..sources.tables import stage
 from .graph import broken_links, references, resolve_links
 
-#: Parts that one side of a tag's pairs is dealt to.
-SALTS = 8
+#: Entries of a tag that lie in one tile on average.
+TILE = 512
 MISSING = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
 
 
@@ -73,35 +77,70 @@ def hypothesis_test(entries: DataFrame) -> DataFrame:
     return out.select("path_a", "path_b", F.coalesce("title_a", F.lit("")).alias("title_a"), F.coalesce("title_b", F.lit("")).alias("title_b"))
 
 
-def drift_pairs(entries: DataFrame, vectors: DataFrame, most_similar: float = 0.6, days: int = 90) -> DataFrame:
+_DRIFT = "path_a string, path_b string, shared_tag string, days_apart long, similarity double"
+
+
+def drift_pairs(entries: DataFrame, vectors: DataFrame, most_similar: float = 0.6, days: int = 90, ordered: bool = True) -> DataFrame:
     """(path_a, path_b, shared_tag, days_apart, similarity) of entries that share a tag but have grown apart.
 
-    Created at least `days` whole days apart, cosine under most_similar; each pair once, under its least
-    shared tag, least similar first.  The date condition is part of the join on tags; the least tag is found
-    from the two tag arrays, so pairs need no second pass to be made distinct.  Vectors join what remains.
-    Entries without a vector, a time or a tag are in no pair.  The pairs of a tag that most entries share grow
-    with their square: that is the result, and no task holds a whole tag.
+    Created at least `days` whole days apart, cosine under most_similar; each pair once, under its least shared tag; least
+    similar first, or, not ordered, without the sort of all pairs.  Entries without a vector, a time or a tag are in no pair; vectors of unequal lengths, of length 0 or with
+    null components have similarity 0.  A tag's entries lie in tiles of some TILE: two tiles meet in one row, whose cosines
+    are one matrix product.  The pairs of a tag that most entries share grow with their square: that is the result, and
+    no task holds a whole tag.
     """
-    days_of = entries.select("path", F.unix_timestamp(F.col("created").cast("timestamp")).alias("at"), F.array_sort(F.array_distinct("tags")).alias("tags")).where("at is not null")
-    # Only paths, times and tags meet; a hot tag is dealt to SALTS parts of one side, which the other side joins all.
-    keyed = days_of.select("path", "at", "tags", F.explode("tags").alias("tag"))
-    a = keyed.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
-    b = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    apart = F.abs(F.col("a.at") - F.col("b.at"))
-    pairs = a.alias("a").join(b.alias("b"), (F.col("a.tag") == F.col("b.tag")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.path") < F.col("b.path")) & (apart >= days * 86400))
-    pairs = pairs.where(F.col("a.tag") == F.array_min(F.array_intersect("a.tags", "b.tags")))
-    named = pairs.select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), F.col("a.tag").alias("shared_tag"), F.floor(apart / 86400).alias("days_apart"))
-    normed = vectors.select("path", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))
-    side = lambda x: normed.select(F.col("path").alias(f"path_{x}"), F.col("vector").alias(f"vector_{x}"), F.col("norm").alias(f"norm_{x}"))
-    out = named.join(side("a"), "path_a").join(side("b"), "path_b").select("path_a", "path_b", "shared_tag", "days_apart", _cosine("a", "b").alias("similarity"))
-    return out.where(F.col("similarity") < most_similar).orderBy("similarity", "path_a", "path_b")
-
-
-def _cosine(a: str, b: str) -> Column:
-    """The cosine of two vectors beside their norms; 0 for unequal lengths and zero norms."""
-    x, y, norm = F.col(f"vector_{a}"), F.col(f"vector_{b}"), F.col(f"norm_{a}") * F.col(f"norm_{b}")
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(x, y) / norm))
-    return F.when((F.size(x) == F.size(y)) & (norm > 0), value).otherwise(0.0)
+    numbers = F.when(F.exists("vector", lambda x: x.isNull()), F.array().cast("array<double>")).otherwise(F.col("vector").cast("array<double>"))
+    own = entries.select("path", F.unix_timestamp(F.col("created").cast("timestamp")).alias("at"), F.array_sort(F.array_distinct("tags")).alias("tags")).where("at is not null").join(vectors.select("path", numbers.alias("vector")), "path")
+    keyed = own.select("path", "at", "tags", "vector", F.explode("tags").alias("tag")).where("tag is not null")
+    counts = keyed.groupBy("tag").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = keyed.join(counts, "tag").withColumn("tile", F.pmod(F.xxhash64("path"), F.col("tiles")).cast("int"))
+    tiles = stage(dealt.groupBy("tag", "tiles", "tile").agg(F.collect_list(F.struct("path", "at", "tags", "vector")).alias("rows")), "tiles")
+    left = tiles.select("tag", "tile", F.col("rows").alias("a"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("other"))
+    met = left.join(tiles.select("tag", F.col("tile").alias("other"), F.col("rows").alias("b")), ["tag", "other"])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tag, same = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() == batch.column(2)[k].as_py()
+                yield from _drifted(tag, batch.column(3)[k].values, batch.column(4)[k].values, same, most_similar, days)
+
+    out = met.select("tag", "tile", "other", "a", "b").mapInArrow(run, _DRIFT)
+    return out.orderBy("similarity", "path_a", "path_b") if ordered else out
+
+
+def _drifted(tag: str, a: pa.StructArray, b: pa.StructArray, same: bool, most_similar: float, days: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of two tiles of a tag; of one tile with itself each pair once."""
+    sides = []
+    for rows in (a, b):
+        width = rows.field("vector")
+        long = np.diff(np.asarray(width.offsets))
+        flat, matrix = np.asarray(width.flatten()), np.zeros((len(rows), int(long.max(initial=0))))
+        matrix[np.arange(matrix.shape[1]) < long[:, None]] = flat
+        sides.append((rows.field("path"), np.asarray(rows.field("at")), rows.field("tags").to_pylist(), long, matrix))
+    (path_a, at_a, tags_a, long_a, x), (path_b, at_b, tags_b, long_b, y) = sides
+    wide = min(x.shape[1], y.shape[1])
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+        cosine = np.clip((x[:, :wide] @ y[:, :wide].T) / norms, -1.0, 1.0)
+    cosine = np.where((long_a[:, None] == long_b) & ~(norms <= 0), np.where(np.isnan(cosine), 1.0, cosine), 0.0)
+    keep = (cosine < most_similar) & (np.abs(at_a[:, None] - at_b) >= days * 86400)
+    if same:
+        keep &= np.triu(np.ones(keep.shape, bool), 1)
+    # A pair belongs to its least shared tag: those that share a lesser one come under that.
+    lesser = {t: k for k, t in enumerate({t for tags in tags_a for t in tags if t is not None and t < tag})}
+    if lesser and keep.any():
+        has = [np.zeros((len(tags), len(lesser)), np.float32) for tags in (tags_a, tags_b)]
+        for out, tags in zip(has, (tags_a, tags_b)):
+            for k, own in enumerate(tags):
+                out[k, [lesser[t] for t in own if t in lesser]] = 1
+        keep &= has[0] @ has[1].T == 0
+    i, j = np.nonzero(keep)
+    for s in range(0, len(i), 1 << 16):
+        p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+        first, second = path_a.take(pa.array(p)), path_b.take(pa.array(q))
+        turned, equal = pc.greater(first, second), pc.equal(first, second)
+        columns = [pc.if_else(turned, second, first), pc.if_else(turned, first, second), pa.array([tag] * len(p)), pa.array(np.abs(at_a[p] - at_b[q]) // 86400), pa.array(cosine[p, q])]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _DRIFT.split(", ")]).filter(pc.invert(equal))
 
 
 def get_health_report(entries: DataFrame, edges: DataFrame, issues: DataFrame, orphans: DataFrame, index_bytes: int = 0, last_compile: str | None = None) -> DataFrame:

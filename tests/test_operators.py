@@ -388,3 +388,32 @@ def test_a_thousand_keywords_in_one_pass(spark):
     pattern = lambda w: "(?iu)" + re.sub(r"([\\^$.|?*+()\[\]{}-])", r"\\\1", w)
     every = df.select("path", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.regexp_extract_all("text", F.lit(pattern(w)), F.lit(0)).alias("m")) for w in words[:150]])).alias("x")).select("path", "x.w", F.explode("x.m").alias("m"))
     assert found == sorted(map(tuple, every.collect()))
+
+
+def test_drift_tiles_do_not_show(spark, monkeypatch):
+    import datetime as dt
+    import itertools
+    import math
+    import random
+
+    r = random.Random(2)
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    rows = {f"p{k:02d}": (r.sample(["a", "b", "c", "d"], r.randint(0, 3)), r.randrange(400), r.choice([[r.gauss(0, 1) for _ in range(4)], [1.0, 2.0], [0.0] * 4, [1.0, None, 0.0, 0.0], []])) for k in range(60)}
+    e = entries(spark, [(p, {"tags": t, "created": day(k)}) for p, (t, k, _) in rows.items()])
+    v = spark.createDataFrame([(p, x) for p, (_, _, x) in rows.items()] + [("none", [1.0])], "path string, vector array<double>")
+
+    def cosine(x, y):
+        if None in x or None in y or len(x) != len(y) or not any(x) or not any(y):
+            return 0.0
+        return sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+
+    want = set()
+    for (p, (t, k, x)), (q_, (u, l, y)) in itertools.combinations(sorted(rows.items()), 2):
+        if set(t) & set(u) and abs(k - l) >= 90 and cosine(x, y) < 0.6:
+            want.add((p, q_, min(set(t) & set(u)), abs(k - l), round(cosine(x, y), 9)))
+    for tile in (512, 5):
+        monkeypatch.setattr(q, "TILE", tile)
+        for ordered in (True, False):
+            got = [(*x[:4], round(x[4], 9)) for x in map(tuple, q.drift_pairs(e, v, ordered=ordered).collect())]
+            assert len(got) == len(set(got)) and set(got) == want
+    assert q.drift_pairs(e.limit(0), v).count() == 0
