@@ -232,13 +232,69 @@ def detect_communities(edges: DataFrame, iterations: int = 50, compat: str = "mo
     return labels.select("path", "label")
 
 
+def _weighed(edges: DataFrame) -> DataFrame:
+    """Staged (src, dst, w) in both directions, parallel edges counted, without loops and null ends."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
+    return stage(both.groupBy("src", "dst").agg(F.count("*").alias("w")), "weighed")
+
+
+def colours(edges: DataFrame) -> DataFrame:
+    """Staged (path, colour): no two linked nodes have one colour, and there are not many.
+
+    In each round the nodes whose hash is the largest among their neighbours without a colour take the least one that no
+    neighbour has (Jones and Plassmann); the rounds grow with the logarithm of the nodes, not with a hub's links.
+    """
+    linked = _weighed(edges).select("src", "dst")
+    key = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    now = stage(linked.select(F.col("src").alias("path")).distinct().withColumn("colour", F.lit(None).cast("int")), "colours")
+    while not now.where("colour is null").isEmpty():
+        around = linked.join(now.select(F.col("path").alias("dst"), F.col("colour").alias("other")), "dst")
+        # Colours that neighbours have are few; of those without one the largest key is enough.
+        seen = around.groupBy(F.col("src").alias("path")).agg(F.collect_set("other").alias("used"), F.max(F.when(F.col("other").isNull(), key("dst"))).alias("rival"))
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), "used"))
+        turn = F.col("colour").isNull() & (F.col("rival").isNull() | (key("path") > F.struct(F.col("rival.col1"), F.col("rival.dst"))))
+        new = stage(now.join(seen, "path").select("path", F.when(turn, free).otherwise(F.col("colour")).alias("colour")), "colours")
+        release(now)
+        now = new
+    return now
+
+
+def detect_communities_in_turn(edges: DataFrame, iterations: int = 50, compat: str = "most_frequent") -> DataFrame:
+    """(path, label): the in-place sweep without a driver, in order of colour and then path.
+
+    Nodes of one colour have no links among themselves, so moving them together is moving them one after another: the
+    result is detect_communities_exact's with order=colours(edges), for graphs of any size.
+    """
+    weighed, deal = _weighed(edges), colours(edges)
+    turns = sorted(r["colour"] for r in deal.select("colour").distinct().collect())  # few, whatever the graph's size
+    labels = stage(deal.select("path", "colour", F.col("path").alias("label"), F.lit(False).alias("moved")), "labels")
+    rank = -F.col("votes") if compat == "most_frequent" else F.col("votes")
+    for _ in range(iterations):
+        moved = 0
+        for turn in turns:
+            mine = weighed.join(labels.where(F.col("colour") == turn).select(F.col("path").alias("src")), "src", "left_semi")
+            votes = mine.join(labels.select(F.col("path").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("path"), "label").agg(F.sum("w").alias("votes"))
+            best = votes.groupBy("path").agg(F.min_by("label", F.struct(rank, "label")).alias("new"))
+            new = stage(labels.join(best, "path", "left").select("path", "colour", F.coalesce("new", "label").alias("label"), (F.col("new").isNotNull() & (F.col("new") != F.col("label"))).alias("moved")), "labels")
+            moved += new.where("moved").count()
+            release(labels)
+            labels = new
+        if not moved:
+            break
+    release(weighed, deal)
+    return labels.select("path", "label")
+
+
 def communities(labels: DataFrame) -> DataFrame:
     """(label, size) of labels that two nodes or more share, largest first."""
     return labels.groupBy("label").agg(F.count("*").alias("size")).where("size >= 2").orderBy(F.desc("size"), "label")
 
 
-def detect_communities_exact(edges: DataFrame, iterations: int = 50, compat: str = "most_frequent", most_edges: int = 200_000) -> DataFrame:
-    """The in-place sweep in path order, which is sequential: on the driver, for graphs of at most most_edges."""
+def detect_communities_exact(edges: DataFrame, iterations: int = 50, compat: str = "most_frequent", most_edges: int = 200_000, order: DataFrame | None = None) -> DataFrame:
+    """The in-place sweep in path order, which is sequential: on the driver, for graphs of at most most_edges.
+
+    With order(path, colour) the sweep goes by colour first; detect_communities_in_turn does that without the driver.
+    """
     rows = edges.select("src", "dst").limit(most_edges + 1).collect()
     if len(rows) > most_edges:
         raise ValueError(f"more than {most_edges} edges: use detect_communities")
@@ -248,10 +304,12 @@ def detect_communities_exact(edges: DataFrame, iterations: int = 50, compat: str
             around.setdefault(r["src"], []).append(r["dst"])
             around.setdefault(r["dst"], []).append(r["src"])
     label = {n: n for n in around}
+    first = {r["path"]: r["colour"] for r in order.limit(2 * most_edges).collect()} if order is not None else {}
+    sweep = sorted(around, key=lambda n: (first.get(n, 0), n))
     sign = -1 if compat == "most_frequent" else 1
     for _ in range(iterations):
         changed = False
-        for n in sorted(around):
+        for n in sweep:
             votes: dict[str, int] = {}
             for m in around[n]:
                 votes[label[m]] = votes.get(label[m], 0) + 1

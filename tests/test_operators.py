@@ -417,3 +417,20 @@ def test_drift_tiles_do_not_show(spark, monkeypatch):
             got = [(*x[:4], round(x[4], 9)) for x in map(tuple, q.drift_pairs(e, v, ordered=ordered).collect())]
             assert len(got) == len(set(got)) and set(got) == want
     assert q.drift_pairs(e.limit(0), v).count() == 0
+
+
+@pytest.mark.parametrize("compat", ["most_frequent", "least_frequent"])
+def test_a_sweep_by_colours_equals_the_sweep_on_the_driver(spark, compat):
+    import random
+
+    r = random.Random(6)
+    links = [(f"n{r.randrange(12) + 12 * c}", f"n{r.randrange(12) + 12 * c}") for c in range(4) for _ in range(30)] + [("hub", f"n{k}") for k in range(0, 48, 3)] + [("n1", "n1"), (None, "n2"), ("n3", None), ("x", "y")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    deal = g.colours(edges)
+    colour = {x.path: x.colour for x in deal.collect()}
+    assert set(colour) == {n for a, b in links if a and b and a != b for n in (a, b)}
+    assert all(colour[a] != colour[b] for a, b in links if a and b and a != b)
+    got = {x.path: x.label for x in g.detect_communities_in_turn(edges, iterations=4, compat=compat).collect()}
+    want = {x.path: x.label for x in g.detect_communities_exact(edges.where("src is not null and dst is not null"), iterations=4, compat=compat, order=deal).collect()}
+    assert got == want
+    assert g.detect_communities_in_turn(edges.limit(0)).count() == 0
