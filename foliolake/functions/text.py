@@ -221,35 +221,47 @@ class Clause:
     must: bool | None = None
 
 
-def parse_query(query: str, lowercase: bool = False) -> list[Clause]:
+_QUERY = r'([+-]?)(?:([A-Za-z_]+):)?(?:"([^"]*)"|(\S+))'
+
+
+def query_words(spark: SparkSession, query: str, tokenizer: str, lowercase: bool = False) -> dict[str, tuple[str, ...]]:
+    """The tokens of each part of a query, by the tokenizer that made the index."""
+    parts = sorted({phrase or word for _, _, phrase, word in re.findall(_QUERY, query)})
+    rows = spark.createDataFrame([(p,) for p in parts], "part string").select("part", tokens(F.col("part"), tokenizer, lowercase).alias("t"))
+    return {r["part"]: tuple(r["t"]) for r in rows.collect()}  # a row for each part of the query
+
+
+def parse_query(query: str, lowercase: bool = False, words: dict[str, tuple[str, ...]] | None = None) -> list[Clause]:
     """Words, "phrases", field:word, + and -, AND, OR and NOT; words beside each other are alternatives.
 
-    AND makes both its sides required, NOT the next one forbidden.
+    AND makes both its sides required, NOT the next one forbidden.  words has the tokens of the query's parts; without it
+    they are those of the `latin` tokenizer.
     """
     out: list[Clause] = []
     pending: bool | None = None
-    for sign, field, phrase, word in re.findall(r'([+-]?)(?:([A-Za-z_]+):)?(?:"([^"]*)"|(\S+))', query):
+    for sign, field, phrase, word in re.findall(_QUERY, query):
         if word in ("AND", "OR", "NOT") and not sign and not field:
             if word == "AND" and out and out[-1].must is None:
                 out[-1] = Clause(out[-1].terms, out[-1].field, True)
             pending = {"AND": True, "OR": None, "NOT": False}[word]
             continue
         text = phrase or word
-        parts = tuple(re.findall(LATIN, text.lower() if lowercase else text)) if field != "domain" else (text,)
+        cut = tuple(re.findall(LATIN, text.lower() if lowercase else text)) if words is None else words[text]
+        parts = cut if field != "domain" else (text,)
         if parts:
             out.append(Clause(parts, field or None, {"+": True, "-": False}.get(sign, pending)))
         pending = None
     return out
 
 
-def search_knowledge(entries: DataFrame, query: str, k: int = 10, index: tuple[DataFrame, DataFrame] | None = None, lowercase: bool = False) -> DataFrame:
+def search_knowledge(entries: DataFrame, query: str, k: int = 10, index: tuple[DataFrame, DataFrame] | None = None, lowercase: bool = False, tokenizer: str = "latin") -> DataFrame:
     """(path, title, domain, score): BM25 over title, body and tags, best k first, ties by path.
 
     Only postings of the query's terms are read; score is the sum over fields and terms of
     idf * (k1 + 1) * tf / (tf + k1 * (1 - b + b * len / average)), idf = ln(1 + (N - n + .5) / (n + .5)).
-    k below 1 gives none.
+    k below 1 gives none.  The query is cut by the same tokenizer as the texts; an index has to be one that it made.
     """
-    clauses = parse_query(query, lowercase)
+    clauses = parse_query(query, lowercase, None if tokenizer == "latin" else query_words(entries.sparkSession, query, tokenizer, lowercase))
     docs = index_documents(entries)
     if k < 1 or not any(c.must is not False for c in clauses):
         return docs.select("path", "title", "domain", F.lit(0.0).alias("score")).limit(0)
@@ -260,7 +272,7 @@ def search_knowledge(entries: DataFrame, query: str, k: int = 10, index: tuple[D
             postings = postings.where(F.col("part").isin([r["p"] for r in postings.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(_index_part(F.col("t")).alias("p")).distinct().collect()]))
         asked = postings.where(F.col("term").isin(terms)).select("path", "field", "term", "tf", "positions").join(lengths, ["path", "field"])
     else:
-        asked, lengths = _looked_up(docs, terms, lowercase)
+        asked, lengths = _looked_up(docs, terms, lowercase, tokenizer)
     totals = lengths.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("average"))
     n = asked.groupBy("term", "field").agg(F.count("*").alias("n"))
     # One row for each field, and for each term and field asked for: bounded by the query.
@@ -307,9 +319,9 @@ def search_knowledge(entries: DataFrame, query: str, k: int = 10, index: tuple[D
     return docs.select("path", "title", "domain").join(F.broadcast(best), "path").select("path", "title", "domain", "score").orderBy(F.desc("score"), "path").limit(k)
 
 
-def _looked_up(docs: DataFrame, terms: list[str], lowercase: bool) -> tuple[DataFrame, DataFrame]:
+def _looked_up(docs: DataFrame, terms: list[str], lowercase: bool, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """Postings of the terms, and all lengths, from one pass over documents that have no index yet."""
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), lowercase=lowercase).alias("t")) for f in FIELDS]))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f), tokenizer, lowercase).alias("t")) for f in FIELDS]))
     each = docs.select("path", fields.alias("f")).select("path", "f.field", "f.t")
     places = lambda term: F.filter(F.transform("t", lambda x, k: F.when(x == term, k)), lambda k: k.isNotNull())
     held = F.filter(F.array(*[F.when(F.array_contains("t", t), F.struct(F.lit(t).alias("term"), places(t).alias("positions"))) for t in terms]), lambda x: x.isNotNull())

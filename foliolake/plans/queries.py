@@ -811,6 +811,18 @@ def search_saved_index(spark, d):
     return ft.search_knowledge(e, "the License src3", 10, ft.load_index(spark, root)).withColumn("score", F.round("score", 6))
 
 
+_WORDS_OF_ALL_SCRIPTS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
+
+@query(_BM25.replace(_LATIN, _WORDS_OF_ALL_SCRIPTS).replace("('the', 'License', 'src3')", "(SELECT term FROM post WHERE field = 'body' AND regexp_matches(term, '[^\\x00-\\x7F]') GROUP BY term ORDER BY count(*) DESC, term LIMIT 3)") + " ORDER BY round(s.score, 9) DESC, s.path LIMIT 10")
+def search_unicode_words(spark, d):
+    # The three words beyond ASCII that stand in most bodies, which the default tokenizer would cut at their accents.
+    e = fx.entries(spark, d)
+    often = ft.rebuild_index(e, tokenizer="unicode")[0].where("field = 'body'").where(F.regexp_like("term", F.lit(r"[^\x00-\x7F]"))).groupBy("term").count().orderBy(F.desc("count"), "term").limit(3)
+    words = " ".join(r["term"] for r in often.collect())
+    return ft.search_knowledge(e, words, 10, tokenizer="unicode").withColumn("score", F.round("score", 6))
+
+
 #: Twenty terms, frequent and rare, in one query.
 _TWENTY = "at r anea aux thing edtion edes erti oner heon ern onea rewh el pas onin th the of License"
 

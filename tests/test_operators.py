@@ -434,3 +434,13 @@ def test_a_sweep_by_colours_equals_the_sweep_on_the_driver(spark, compat):
     want = {x.path: x.label for x in g.detect_communities_exact(edges.where("src is not null and dst is not null"), iterations=4, compat=compat, order=deal).collect()}
     assert got == want
     assert g.detect_communities_in_turn(edges.limit(0)).count() == 0
+
+
+def test_search_cuts_texts_and_queries_by_one_tokenizer(spark):
+    ft.register_tokenizer("words_of_a_dictionary", ft.dictionary_tokenizer({"知识": 50, "图谱": 40, "知": 1, "模型": 30, "语言": 30}))
+    e = entries(spark, [("a", {"title": "知识图谱", "body": "语言模型 and graphs"}), ("b", {"title": "x", "body": "知 识 图 谱"}), ("c", {"title": "y", "body": "语言 only"})])
+    index = ft.rebuild_index(e, tokenizer="words_of_a_dictionary")
+    for query, want in (("知识", ["a"]), ("+语言 -模型", ["c"]), ('"语言模型"', ["a"]), ("知", ["b"]), ("title:知识图谱", ["a"])):
+        for held in (None, index):
+            found = [r.path for r in ft.search_knowledge(e, query, 10, held, tokenizer="words_of_a_dictionary").collect()]
+            assert found == want, (query, held is None, found)
