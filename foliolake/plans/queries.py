@@ -19,11 +19,13 @@ from ..operators import merkle as mk
 from ..operators import metrics as m
 from ..operators import quality as q
 from ..sources import files as sf
+from ..sources import page_source as ps
 from ..sources import parts as pt
 from ..sources import relational as rl
 from ..sources import tables as st
 from ..sources import wiki as sw
 from ..streaming import alerts as al
+from ..streaming import batches as sb
 from ..streaming import compiling as cst
 from ..streaming import streams as ss
 from . import fixtures as fx
@@ -974,6 +976,28 @@ def incremental_compile_runs(spark, d):
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
+_PAGES_OF = "SELECT doc_id || '.pdf' AS file, len(string_split(text, chr(10)))::BIGINT AS pages, strlen(text) AS bytes FROM documents"
+
+
+def _pdf_folder(spark, d):
+    folder = _folder(spark)
+    sw.write_files(_pdfs(spark, d).select(F.substring_index("path", "/", -1).alias("path"), "content"), folder)
+    return folder
+
+
+@query(_PAGES_OF)
+def pages_source(spark, d):
+    ps.register_page_source(spark)
+    pages = spark.read.format("foliolake_pages").option("suffix", ".pdf").option("bytesPerPartition", str(1 << 20)).load(_pdf_folder(spark, d))
+    return pages.where("error is null").groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.count("*").alias("pages"), F.max("length").alias("bytes"))
+
+
+@query("SELECT file, pages FROM (" + _PAGES_OF + ")")
+def batch_process_folder(spark, d):
+    pages = sb.batch_process_folder(spark, _pdf_folder(spark, d), _folder(spark), _folder(spark), most=400)
+    return pages.where("error is null").groupBy(F.substring_index("path", "/", -1).alias("file")).agg(F.count("*").alias("pages"))
+
+
 @query("SELECT doc_id || '.pdf' AS file, 'compile' AS action, sha256(replace(text, chr(10), chr(12))) AS source_hash, 'raw/' || doc_id || '.compile_prompt.md' AS entry FROM documents")
 def compile_stream(spark, d):
     root, checkpoint, folder = _folder(spark), _folder(spark), _folder(spark)
