@@ -1285,7 +1285,7 @@ def similar_names(spark, d):
     return ft.similar_names(fx.table(spark, d, "part").select(F.col("p_name").alias("name"))).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_GRAMS.format(names="SELECT DISTINCT 0 AS side, s_name AS name FROM supplier UNION ALL SELECT DISTINCT 1, c_name FROM customer", sides="a.side = 0 AND b.side = 1 AND a.name <> b.name", least=0.4))
+@query(_GRAMS.format(names="SELECT DISTINCT 0 AS side, s_name AS name FROM supplier UNION ALL SELECT DISTINCT 1, c_name FROM customer", sides="a.side = 0 AND b.side = 1 AND a.name <> b.name", least=0.2))
 def similar_names_of_two_tables(spark, d):
     left, right = (fx.table(spark, d, t).select(F.col(c).alias("name")) for t, c in (("supplier", "s_name"), ("customer", "c_name")))
-    return ft.similar_names(left, right).withColumn("similarity", F.round("similarity", 6))
+    return ft.similar_names(left, right, 0.2).withColumn("similarity", F.round("similarity", 6))
