@@ -132,7 +132,8 @@ def vlm_histogram(requests: DataFrame) -> DataFrame:
 def exposition(requests: DataFrame, degradations: DataFrame) -> DataFrame:
     """(line_no, line): the three families as text, by name, each with its help and type; families without samples are left out."""
     escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", r"\\\\"), "\n", r"\\n"), '"', r'\\"')
-    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
+    # A cast would write 1.0E7 from ten million on.
+    number = lambda c: F.when(c.cast("double").isNotNull() & (F.abs(c.cast("double")) < 1e18), F.regexp_replace(F.format_string("%.17f", c.cast("double")), r"\.?0+$", "")).otherwise(c.cast("string"))
     one = lambda family, k, key, line: (F.lit(family).alias("family"), F.lit(k).alias("k"), key.alias("key"), line.alias("line"))
     label = F.concat(F.lit(f'{DEGRADATIONS[0]}{{reason="'), escaped(F.col("reason")), F.lit('"} '), F.col("n").cast("string"))
     rows = vlm_degradations(degradations).select(*one(DEGRADATIONS[0], 2, F.col("reason"), label))
