@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from foliolake.operators import graph as g
 from foliolake.operators import metrics as m
+from foliolake.sources.tables import stage
 
 
 def test_exposition_writes_large_sums_without_exponent(spark):
@@ -14,3 +19,34 @@ def test_exposition_writes_large_sums_without_exponent(spark):
         lines = m.exposition(requests, spark.createDataFrame([], "reason string")).where(F.contains("line", F.lit("_sum "))).collect()
         sums.append(lines[0]["line"].split(" ")[1])
     assert sums == ["96000000", "12345678.5", "0.25", "3"]
+
+
+def _random_entries(spark, seed, n=60):
+    """Entries with repeated paths, null and missing tags, links between them and to nothing."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        tags = None if rng.random() < 0.1 else [rng.choice(["a", "b", "c", "d", None]) for _ in range(rng.randrange(4))]
+        rows.append((f"{rng.choice(['', '', 'wiki/'])}p{rng.randrange(n)}", tags, [f"p{rng.randrange(2 * n)}" for _ in range(rng.randrange(3))], [f"p{rng.randrange(n)}"] if rng.random() < 0.2 else None))
+    return spark.createDataFrame(rows, "path string, tags array<string>, related array<string>, contradictions array<string>")
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_groups_tell_what_the_edges_tell(spark, seed):
+    e = _random_entries(spark, seed)
+    edges = stage(g.build_graph(e), "edges")
+    want = edges.groupBy("kind").agg(F.count("*"), F.countDistinct("src"))
+    assert sorted(map(tuple, g.graph_totals(e).collect())) == sorted(map(tuple, want.collect()))
+    start = edges.where("kind = 'tag_cooccurrence'").first()["src"]
+    assert sorted(map(tuple, g.neighbours_of(e, start).collect()), key=str) == sorted(map(tuple, g.neighbours(edges, start).collect()), key=str)
+    assert sorted(map(tuple, g.detect_communities(g.tag_graph(e), 3).collect())) == sorted(map(tuple, g.detect_communities(edges, 3).collect()))
+
+
+def test_a_tag_set_of_many_entries(spark):
+    # 20,000 entries with one tag set have 4e8 tag edges, which are counted and followed, not made.
+    n = 20_000
+    e = spark.range(n).selectExpr("concat('e', id) as path", "concat('t', id) as title", "'d' as domain", "'l1' as level", "array('x', 'y', if(id % 2 = 0, 'z', null)) as tags", "cast(array() as array<string>) as related", "cast(array() as array<string>) as contradictions")
+    assert g.graph_totals(e).collect() == [("tag_cooccurrence", n * (n - 1), n)]
+    assert g.graph_counts(e).collect() == [(n, n * (n - 1))]
+    assert g.neighbours_of(e, "e5").groupBy("hop").count().orderBy("hop").collect() == [(0, 1), (1, n - 1)]
+    assert [(r.domain, r["size"]) for r in g.aggregate_entries(e, g.detect_communities(g.tag_graph(e))).collect()] == [("d", n)]
