@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliolake.functions import vectors as fv
 from foliolake.operators import graph as g
 from foliolake.operators import metrics as m
 from foliolake.sources.tables import stage
@@ -50,3 +54,23 @@ def test_a_tag_set_of_many_entries(spark):
     assert g.graph_counts(e).collect() == [(n, n * (n - 1))]
     assert g.neighbours_of(e, "e5").groupBy("hop").count().orderBy("hop").collect() == [(0, 1), (1, n - 1)]
     assert [(r.domain, r["size"]) for r in g.aggregate_entries(e, g.detect_communities(g.tag_graph(e))).collect()] == [("d", n)]
+
+
+def test_vector_search_many_equals_the_expression(spark):
+    rng = np.random.default_rng(3)
+    odd = [None, [], [0.0] * 8, [1.0, None] + [1.0] * 6, [1.0] * 5, [float("nan")] * 8, [1.0] * 8, [1.0] * 8, [2.0] * 8]
+    v = spark.createDataFrame([(f"v{k}", x) for k, x in enumerate(odd + rng.normal(size=(300, 8)).round(1).tolist())], "path string, vector array<float>").repartition(3)
+    asked = v.where("path < 'v2'").select(F.col("path").alias("query_id"), F.col("vector").alias("q"))
+    every = asked.crossJoin(v).select("query_id", "path", fv.cosine(F.col("vector"), F.col("q")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+    for k in (0, 1, 4, 400):
+        want = every.withColumn("rank", rank).where(F.col("rank") <= k)
+        assert sorted(map(tuple, fv.vector_search_many(v, asked, k).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_vector_search_many_makes_no_row_for_each_pair(spark):
+    # 2,000 queries over 20,000 vectors are 4e7 pairs; their expressions, 64 numbers long, took minutes.
+    v = spark.range(20_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.sin(F.col("id") * k)).cast("array<float>").alias("vector")).withColumn("path", F.concat(F.lit("v"), "id"))
+    began = time.time()
+    found = fv.vector_search_many(v, v.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 1)
+    assert found.where("path = concat('v', query_id)").count() == 2_000 and time.time() - began < 60
