@@ -10,10 +10,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliolake import catalog
 from foliolake.functions import vectors as fv
 from foliolake.operators import graph as g
 from foliolake.operators import metrics as m
 from foliolake.sources.tables import stage
+from tests.conftest import SF
 
 
 def test_exposition_writes_large_sums_without_exponent(spark):
@@ -74,3 +76,8 @@ def test_vector_search_many_makes_no_row_for_each_pair(spark):
     began = time.time()
     found = fv.vector_search_many(v, v.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 1)
     assert found.where("path = concat('v', query_id)").count() == 2_000 and time.time() - began < 60
+
+
+def test_drift_pairs_are_not_sorted_as_a_whole(spark):
+    plan = catalog.QUERIES["drift_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "REPARTITION_BY_NUM" in plan
