@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolake import catalog
+from foliolake.functions import text as ft
 from foliolake.functions import vectors as fv
 from foliolake.operators import graph as g
 from foliolake.operators import metrics as m
@@ -81,3 +82,14 @@ def test_vector_search_many_makes_no_row_for_each_pair(spark):
 def test_drift_pairs_are_not_sorted_as_a_whole(spark):
     plan = catalog.QUERIES["drift_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_terms_are_counted_where_their_rows_are(spark):
+    rows = [(f"p{k}", None if k % 7 == 0 else " ".join(f"w{k * j % 11}" for j in range(1 + k % 5))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "path string, body string").repartition(3)
+    counts = ft.term_counts(docs)
+    assert "hashpartitioning" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = {(p, w): (b.split().count(w), len(b.split())) for p, b in rows if b for w in b.split()}
+    assert {(r.path, r.term): (r.n, r.total) for r in counts.collect()} == want
+    norms = ft.tfidf_weights(docs).groupBy("path").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert len(norms) == len({p for p, _ in want}) and all(abs(r.s - 1) < 1e-9 for r in norms)
