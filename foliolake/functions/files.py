@@ -123,15 +123,20 @@ def parse_front_matter(content: Column) -> Column:
 
     Unknown keys are ignored, missing optional ones defaulted; levels in any case and plain dates are read.
     """
-    return _parsed(content)
+    # Only what stands before the second mark goes to Python; nothing, if there is none.
+    end = F.position(F.lit("---"), content, F.position(F.lit("---"), content) + 3)
+    return _parsed(F.substr(content, F.lit(1), F.when(end > 0, end + 2).otherwise(0)))
 
 
-@F.pandas_udf(ENTRY)
-def _parsed(content: pd.Series) -> pd.DataFrame:
+def _parsed_(content: pd.Series) -> pd.DataFrame:
     rows = [_fields(c) for c in content]
     return pd.DataFrame({name: pd.Series([r.get(name) for r in rows], dtype=object) for name in ENTRY.names})
 
 
+# Declared as not deterministic so that a filter on a field is not moved below it, where texts would be parsed twice.
+_parsed = F.pandas_udf(_parsed_, ENTRY).asNondeterministic()
+
+
 def _fields(content: str | None) -> dict:
     import datetime as dt
 
@@ -149,7 +154,7 @@ def _fields(content: str | None) -> dict:
     if len(parts) < 3:
         return {}
     try:
-        raw = yaml.safe_load(parts[1])
+        raw = yaml.load(parts[1], getattr(yaml, "CSafeLoader", yaml.SafeLoader))  # safe as well, in C where libyaml is there
         names = lambda k: [str(x) for x in raw.get(k) or []]
         level, status = str(raw.get("level") or "l1").lower(), str(raw.get("status") or "pending").lower()
         if level not in LEVELS or status not in STATUSES:
