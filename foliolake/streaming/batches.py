@@ -12,9 +12,12 @@ from ..sources.files import EXTRACTORS, extract_structured
 from .streams import incremental_files
 
 
-def batch_process_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str = "*.pdf", most: int = 100, extractor: str = "text", report: Callable[[int, int, int], None] | None = None) -> DataFrame:
+def batch_process_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, glob: str = "*.pdf", most: int = 100, extractor: str = "text", report: Callable[[int, int, int], None] | None = None, rounds: int = 64) -> DataFrame:
     """Extracts the folder's files into the Parquet table at `out`, `most` at a time; returns that table, a row for each page.
 
+    Of a folder with more than most * rounds files a micro-batch takes more of them, so that there are `rounds` batches and
+    not as many as the folder is large: each one costs the same, whatever it holds.
+
     After each micro-batch report(done, failed, total) gets counts of files: total are those listed when the run began.
     The counts are observed in the very job that writes the pages.  A file that fails has a row with its error, as in
     extract_structured.  A run that was cut off goes on from its checkpoint, and one over the same files again adds none;
@@ -35,6 +38,14 @@ def batch_process_folder(spark: SparkSession, folder: str, out: str, checkpoint:
         if report:
             report(counts["done"], counts["failed"], total)
 
-    files = incremental_files(spark, folder, glob, most)
-    files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    files = incremental_files(spark, folder, glob, max(most, -(-total // rounds)))
+    # A batch's files are looked up by as many tasks as there are cores, not by a task for each file.
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(tasks)
+    spark.conf.set(tasks, str(spark.sparkContext.defaultParallelism))
+    try:  # a stream keeps the settings that it was started with
+        started = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(tasks, before)
+    started.awaitTermination()
     return spark.read.schema(f"{PAGE}, error string, batch int").parquet(out).drop("batch")
