@@ -94,6 +94,14 @@ def parse_layout_text(text: Column, reach: int = 50) -> Column:
     return _let(F.struct(F.regexp_extract_all(text, F.lit(_BOX), F.lit(0)).alias("boxes"), F.split(text, _BOX, -1).alias("gaps")), regions)
 
 
+def region_rows(parsed: DataFrame, column: str = "r") -> DataFrame:
+    """parsed with a row for each region of `column` and the region's fields in its place; without regions there is no row.
+
+    By an outer inline: for an inner one Spark filters on the column first, and makes it anew for each filter.
+    """
+    return parsed.select(*[c for c in parsed.columns if c != column], F.inline_outer(column)).where("region_type is not null")
+
+
 _DETAIL = "struct<layout_details:array<array<struct<label:string,bbox_2d:array<double>,content:string>>>>"
 # Labels that are kept if they come with content and a box, and the region types they stand for.
 OCR_LABELS = {"text": "body", "title": "title", "caption": "caption", "table": "table", "list": "body"}
