@@ -9,17 +9,46 @@ an idle channel holds nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .streams import _ALERTS, WINDOW_S, alert_rules
+from .streams import _ALERTS, WINDOW_S, alert_outcomes
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+OUTCOMES = ("new", "merged", "cooldown", "rate_limited")
+#: Waiting rows that are handed to the state at once.
+HELD = 10_000
+
+
+def waiting_rows(rows: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """(at, kind, kinds) of rows (at, metric, severity) in order: times, and a number into kinds, the (metric, severity) that occur.
+
+    A channel may have very many rows waiting: twelve bytes are held of each.
+    """
+    at, kind, numbers = array("d"), array("i"), {}
+    for t, metric, severity in rows:
+        at.append(t)
+        kind.append(numbers.setdefault((metric, severity), len(numbers)))
+    kinds = sorted(numbers, key=lambda k: [(x is not None, x or "") for x in k])
+    place = np.empty(len(kinds), np.int32)
+    place[[numbers[k] for k in kinds]] = np.arange(len(kinds))
+    times, placed = np.array(at, float), place[np.array(kind, np.intp)]
+    order = np.lexsort((placed, times))
+    return times[order], placed[order], kinds
+
+
+def _rows(at: np.ndarray, kind: np.ndarray, kinds: list[tuple], start: int, end: int) -> Iterator[tuple]:
+    return ((float(at[k]), *kinds[kind[k]]) for k in range(start, end))
+
+
 class AlertProcessor(StatefulProcessor):
     """State of a channel: waiting rows, alerts inside the window, the time of the last accepted row.
 
@@ -33,29 +62,40 @@ class AlertProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", "at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [(r["at"], r["metric"], r["severity"]) for r in rows]
-        self.waiting.appendList(fresh)
-        self.handle.registerTimer(math.ceil(min(r[0] for r in fresh) * 1000))
+        first = math.inf
+        while fresh := [(r["at"], r["metric"], r["severity"]) for r in islice(rows, HELD)]:
+            self.waiting.appendList(fresh)
+            first = min(first, min(r[0] for r in fresh))
+        if first < math.inf:
+            self.handle.registerTimer(math.ceil(first * 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()  # nothing up to here can come any more
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted(r for r in waiting if r[0] * 1000 <= now)
-        later = [r for r in waiting if r[0] * 1000 > now]
+        at, kind, kinds = waiting_rows(self.waiting.get() if self.waiting.exists() else ())
+        due = int(np.searchsorted(at * 1000, now, "right"))
         alerts = [dict(zip(("at", "metric", "severity", "count"), r)) for r in self.alerts.get()] if self.alerts.exists() else []
         last = self.last.get()[0] if self.last.exists() else None
-        out, state = alert_rules(due, {"last": last, "alerts": alerts})
-        self._put(self.waiting, later)
+        state, told = {"last": last, "alerts": alerts}, array("b")
+        counts = array("q")
+        for outcome, n in alert_outcomes(_rows(at, kind, kinds, 0, due), state):
+            told.append(OUTCOMES.index(outcome))
+            counts.append(n)
+        if due < len(at):
+            later = _rows(at, kind, kinds, due, len(at))
+            self.waiting.put(list(islice(later, HELD)))
+            while more := list(islice(later, HELD)):
+                self.waiting.appendList(more)
+            self.handle.registerTimer(math.ceil(float(at[due]) * 1000))
+        else:
+            self.waiting.clear()
         self._put(self.alerts, [(a["at"], a["metric"], a["severity"], a["count"]) for a in state["alerts"] if now / 1000 - a["at"] < WINDOW_S])
-        if later:
-            self.handle.registerTimer(math.ceil(min(r[0] for r in later) * 1000))
         if state["last"] is None or now / 1000 - state["last"] >= WINDOW_S:
             self.last.clear()
         elif due:  # by then the last alert is out of the window as well
             self.last.update((state["last"],))
             self.handle.registerTimer(math.ceil((state["last"] + WINDOW_S) * 1000))
-        return iter([Row(channel=key[0], at=at, metric=metric, severity=severity, outcome=outcome, n=n) for at, metric, severity, outcome, n in out])
+        return (Row(channel=key[0], at=t, metric=metric, severity=severity, outcome=OUTCOMES[o], n=n) for (t, metric, severity), o, n in zip(_rows(at, kind, kinds, 0, due), told, counts))
 
     @staticmethod
     def _put(state, rows: list[tuple]) -> None:
