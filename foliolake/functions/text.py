@@ -499,9 +499,10 @@ def similar_names(left: DataFrame, right: DataFrame | None = None, least: float
     fits = (F.col("n_left") >= least * F.col("n_right") - 1e-9) & (F.col("n_right") >= least * F.col("n_left") - 1e-9)
     shared = F.ceil(least / (1 + least) * (F.col("n_left") + F.col("n_right")) - 1e-9)
     # Neither has shared one before the first they meet on, so no more can follow than the shorter rest.
-    met = a.join(b, "gram").where(fits & ((F.col("left") < F.col("right")) if within else (F.col("left") != F.col("right"))))
+    # Merged, never broadcast: sets of trigrams take a hundred times the room in memory that their files say.
+    met = a.join(b.hint("merge"), "gram").where(fits & ((F.col("left") < F.col("right")) if within else (F.col("left") != F.col("right"))))
     pairs = met.groupBy("left", "right").agg(F.min(F.struct("at_left", F.least(F.col("n_left") - F.col("at_left"), F.col("n_right") - F.col("at_right")).alias("rest"), shared.alias("need"))).alias("m")).where("m.rest >= m.need").select("left", "right")
-    own = lambda side, name, g: sets.where(F.col("side") == side).select(F.col("name").alias(name), F.col("g").alias(g))
+    own = lambda side, name, g: sets.where(F.col("side") == side).select(F.col("name").alias(name), F.col("g").alias(g)).hint("merge")
     whole = pairs.join(own(0, "left", "g_left"), "left").join(own(0 if within else 1, "right", "g_right"), "right")
     both = F.size(F.array_intersect("g_left", "g_right"))
     alike = both / (F.size("g_left") + F.size("g_right") - both)
