@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from foliolake.functions import layout as fl
 from foliolake.functions import text as ft
+from foliolake.functions import topk as tk
+from foliolake.operators import graph as g
 from foliolake.streaming import alerts as al
 from foliolake.streaming import streams as ss
 
@@ -47,3 +49,31 @@ def test_outcomes_one_by_one_are_those_of_the_rules():
     own = {"last": None, "alerts": []}
     assert [(*r, *o) for r, o in zip(rows, ss.alert_outcomes(rows, own))] == told and own == state
     assert {x[3] for x in told} <= set(al.OUTCOMES)
+
+
+def test_labels_are_not_broadcast(spark, monkeypatch):
+    plans, stage = [], g.stage
+
+    def noting(df, label, *more):
+        if label == "labels":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label, *more)
+
+    monkeypatch.setattr(g, "stage", noting)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string")
+    labels = {r["path"]: r["label"] for r in g.detect_communities(edges, 3).collect()}
+    assert set(labels) == set("abcxy") and len(plans) > 1
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_postings_leave_their_paths_behind_at_once(spark):
+    entries = spark.createDataFrame([(f"p{k}", "t", "d", ["x"], "a b c " * (k + 1)) for k in range(5)], "path string, title string, domain string, tags array<string>, body string")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tk.build_blocks(*ft.rebuild_index(entries))[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    # The join on paths that lies last in the plan's order is that of postings with their documents, by path and field.
+    last = next(line for line in plan.split("\n") if "SortMergeJoin [path" in line)
+    assert "field" in last
