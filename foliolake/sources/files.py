@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,18 +12,102 @@ from pyspark.sql import functions as F
 
 from ..functions.files import entry_body, file_size_mb, parse_front_matter, source_name
 from ..schema import PAGE, RELATIONAL
-from .tables import read_text, stage, write_text
+from .tables import file_system, read_text, spread, stage, write_text
 
 _SKIPPED = ("index.md", "log.md")
 
 
-def read_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of every *.md below root; hidden folders, where version backups lie, are not read."""
-    # As bytes: the text source sets up a Hadoop reader for each file, which costs more than a page's content.
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
-    rows = files.where(~F.substring_index("path", "/", -1).isin(*_SKIPPED)).select(F.regexp_replace("path", r"^file:/*", "/").alias("file"), F.col("content").cast("string").alias("content"))
-    return rows.select(F.ltrim(F.replace("file", base, F.lit("")), F.lit("/")).alias("path"), "content")
+#: File systems that tasks open through Arrow, as they do to write; others are read by Spark's binaryFile.
+_ARROW = ("file", "hdfs", "s3", "gs")
+#: Names, files and bytes that a task holds before it hands them on.
+NAMES_HELD, FILES_HELD, BYTES_HELD = 4096, 1024, 8 << 20
+
+
+def _inside(uri: str, folder: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what lies in a folder below uri, without hidden names; a local folder is read as a stream."""
+    from pyarrow import fs as pafs
+
+    system, base = pafs.FileSystem.from_uri(uri)
+    at = f"{base}/{folder}" if folder else base
+    hidden = lambda n: n.startswith(".") or n.startswith("_") and "=" not in n or n.endswith("._COPYING_")  # noqa: E731  as in Spark
+    if isinstance(system, pafs.LocalFileSystem):
+        with os.scandir(at) as entries:
+            yield from ((e.name, e.is_dir()) for e in entries if not hidden(e.name) and (not e.is_symlink() or os.path.exists(e.path)))
+    else:
+        found = system.get_file_info(pafs.FileSelector(at))
+        yield from ((x.base_name, x.type == pafs.FileType.Directory) for x in found if not hidden(x.base_name))
+
+
+def list_files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
+    """Staged (path): files below root whose names end so, relative to it; hidden ones and hidden folders are left out.
+
+    Tasks list the folders, those of one depth side by side; no name passes through the driver.
+    """
+
+    def run(batches):
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_()))], names=["path", "folder"])
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                for name, inner in _inside(root, folder):
+                    if inner or name.endswith(suffix):
+                        rows.append((f"{folder}/{name}" if folder else name, inner))
+                    if len(rows) == NAMES_HELD:
+                        yield made(rows)
+                        rows = []
+                if rows:
+                    yield made(rows)
+
+    level, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        seen = stage(level.mapInArrow(run, "path string, folder boolean"), "listed")
+        files, folders = seen.where("not folder").select("path"), seen.where("folder").select("path")
+        found = files if found is None else found.unionByName(files)
+        if not (n := folders.count()):
+            return found
+        level = folders.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+
+
+def read_files(names: DataFrame, root: str) -> DataFrame:
+    """(path, content as bytes) of files(path) below root: as many tasks as `spread` makes, however many files there are."""
+
+    def run(batches):
+        from pyarrow import fs as pafs
+
+        system, base = pafs.FileSystem.from_uri(root)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))], names=["path", "content"])
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with system.open_input_file(f"{base}/{path}") as file:
+                    rows.append((path, file.read()))
+                size += len(rows[-1][1])
+                if len(rows) == FILES_HELD or size >= BYTES_HELD:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return spread(names, "path").mapInArrow(run, "path string, content binary")
+
+
+def read_markdown(spark: SparkSession, root: str, wanted: Column | None = None) -> DataFrame:
+    """(path, content) of every *.md below root; hidden folders, where version backups lie, are not read.
+
+    wanted is a condition on path: files that it leaves out are not opened.
+    """
+    fs, folder = file_system(spark, root)
+    kept = ~F.substring_index("path", "/", -1).isin(*_SKIPPED) & (F.lit(True) if wanted is None else wanted)
+    uri = fs.makeQualified(folder).toUri()
+    if uri.getScheme() in _ARROW:
+        if not fs.exists(folder):
+            raise FileNotFoundError(root)
+        # binaryFile lists on the driver, and makes a task for every 32 files, each opened by a Hadoop reader of its own.
+        files = read_files(list_files(spark, uri.toString(), ".md").where(kept), uri.toString())
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+        files = found.select(F.ltrim(F.replace("path", F.lit(root.rstrip("/")), F.lit("")), F.lit("/")).alias("path"), "content").where(kept)
+    return files.select("path", F.col("content").cast("string").alias("content"))
 
 
 def scan_entries(markdown: DataFrame, exact: bool = False) -> DataFrame:

@@ -99,7 +99,7 @@ def write_index(spark: SparkSession, root: str) -> int:
     """
     fs, folder = file_system(spark, f"{root}/wiki")
     # Staged before they are sorted: a sort looks at its rows twice, and would open every file twice.
-    lines = stage(spread(index_lines(generate_index(read_markdown(spark, f"{root}/wiki"), ordered=False)), "path"), "index") if fs.exists(folder) else None
+    lines = stage(index_lines(generate_index(read_markdown(spark, f"{root}/wiki"), ordered=False)), "index") if fs.exists(folder) else None
     rows = lines.orderBy("domain", "title", "path").toLocalIterator() if lines else []
     draft = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/wiki/.{uuid.uuid4().hex}")
     out, n, domain = fs.create(draft, True), 0, None

@@ -69,3 +69,24 @@ def test_a_batch_opens_each_file_once(spark, tmp_path):
     cst.compile_batch(f"file://{tmp_path}/kb", f"file://{tmp_path}/ledger", now=NOW)(batch, 0)
     assert opened.value == 5
     assert spark.read.parquet(f"file://{tmp_path}/ledger/outcomes").where("action = 'compile' and error is null").count() == 5
+
+
+def test_as_many_tasks_read_few_files_as_many(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    sw.write_files(spark.range(1500).selectExpr("concat('a/', id % 2, '/', id, '.md') as path", "cast(id as string) as content"), root)
+    pages = sf.read_markdown(spark, root)
+    assert pages.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert {r["path"]: r["content"] for r in pages.collect()} == {f"a/{k % 2}/{k}.md": str(k) for k in range(1500)}
+
+
+def test_markdown_is_listed_without_what_is_hidden(spark, tmp_path):
+    for name in ("a.md", "index.md", "x/log.md", "x/y/b c%.md", "x/empty.md", ".versions/v.md", "_index/s.md", "x/_draft.md", "x/.b.md", "k=1/_p=1.md", "x/note.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else name)
+    (tmp_path / "gone.md").symlink_to(tmp_path / "nothing")
+    seen = ["a.md", "k=1/_p=1.md", "x/empty.md", "x/y/b c%.md"]
+    for root in (f"file://{tmp_path}", f"{tmp_path}/"):
+        assert sorted(tuple(r) for r in sf.read_markdown(spark, root).collect()) == [(n, "" if "empty" in n else n) for n in seen]
+    some = sf.read_markdown(spark, str(tmp_path), F.startswith("path", F.lit("x/")))
+    (tmp_path / "a.md").unlink()  # what is not wanted is not opened
+    assert sorted(r["path"] for r in some.collect()) == seen[2:]
