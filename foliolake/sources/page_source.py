@@ -8,6 +8,9 @@ stays with the loaded frame, so that another query of the same frame without it
 
 from __future__ import annotations
 
+import os
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,8 +27,14 @@ RUN, ROWS = 32 << 20, 256
 
 
 class FileRun(InputPartition):
+    """Files with their lengths, packed: all runs pass through the driver, some bytes for each file."""
+
     def __init__(self, files: list[tuple[str, int]]):
-        self.files = files
+        self.packed = zlib.compress(pickle.dumps(files))
+
+    @property
+    def files(self) -> list[tuple[str, int]]:
+        return pickle.loads(zlib.decompress(self.packed))
 
 
 class PageReader(DataSourceReader):
@@ -39,14 +48,28 @@ class PageReader(DataSourceReader):
     def _wanted(self, path: str) -> bool:
         return path.startswith(self.prefix) and path.endswith(self.suffix) and (not self.files or path in self.files)
 
-    def partitions(self) -> list[InputPartition]:
+    def _found(self) -> Iterator[tuple[str, int]]:
+        """(path, length) of files below the root; those of a local one as they are met, never all at once."""
         from pyarrow import fs as pafs
 
         system, base = pafs.FileSystem.from_uri(self.root)
-        found = sorted((x.path, x.size or 0) for x in system.get_file_info(pafs.FileSelector(base, recursive=True)) if x.type != pafs.FileType.Directory and not x.base_name.startswith((".", "_")))
+        if not isinstance(system, pafs.LocalFileSystem):
+            found = system.get_file_info(pafs.FileSelector(base, recursive=True))
+            yield from ((x.path, x.size or 0) for x in found if x.type != pafs.FileType.Directory)
+            return
+        folders = [base]
+        while folders:
+            with os.scandir(folders.pop()) as entries:
+                for e in entries:
+                    if e.is_dir():
+                        folders.append(e.path)
+                    elif not e.is_symlink() or os.path.exists(e.path):
+                        yield e.path, e.stat().st_size
+
+    def partitions(self) -> list[InputPartition]:
         runs: list[InputPartition] = []
         held, size = [], 0
-        for file in (x for x in found if self._wanted(x[0])):
+        for file in (x for x in self._found() if self._wanted(x[0]) and not x[0].rsplit("/", 1)[-1].startswith((".", "_"))):
             if held and size + file[1] > self.most:
                 runs.append(FileRun(held))
                 held, size = [], 0

@@ -35,23 +35,28 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
         from pyarrow import fs as pafs
 
         system, base = pafs.FileSystem.from_uri(root)
-        made = set()
-        for batch in batches:
-            sizes = []
-            for path, content in ((p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1))):
-                if path is None or path.startswith("/") or ".." in path.split("/"):
-                    raise ValueError(f"not a path below the root: {path}")
-                target, content = f"{base}/{path}", content or b""
-                folder = target.rsplit("/", 1)[0]
-                if folder not in made:
-                    system.create_dir(folder, recursive=True)
-                    made.add(folder)
-                draft = f"{folder}/.{uuid.uuid4().hex}"
-                with system.open_output_stream(draft) as out:
-                    out.write(content)
-                system.move(draft, target)
-                sizes.append(len(content))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+        # A folder of the task's own: tasks that make files in one folder wait for one another there.
+        drafts, made = f"{base}/.drafts-{uuid.uuid4().hex}", set()
+        system.create_dir(drafts, recursive=True)
+        try:
+            for batch in batches:
+                sizes = []
+                for path, content in ((p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1))):
+                    if path is None or path.startswith("/") or ".." in path.split("/"):
+                        raise ValueError(f"not a path below the root: {path}")
+                    target, content = f"{base}/{path}", content or b""
+                    folder = target.rsplit("/", 1)[0]
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    draft = f"{drafts}/.{uuid.uuid4().hex}"
+                    with system.open_output_stream(draft) as out:
+                        out.write(content)
+                    system.move(draft, target)
+                    sizes.append(len(content))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+        finally:
+            system.delete_dir(drafts)
 
     return stage(spread(files.select("path", F.col("content").cast("binary")), "path").mapInArrow(run, "path string, bytes long"), "written")
 

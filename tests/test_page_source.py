@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliolake.sources import files as sf
-from foliolake.sources.page_source import register_page_source
+from foliolake.sources import wiki as sw
+from foliolake.sources.page_source import PageReader, register_page_source
 
 
 @pytest.fixture()
@@ -72,3 +76,25 @@ def test_a_bad_file_is_reported(spark, folder):
     assert all("zero" in r.error for r in rows if r.length % 2 == 0)
     with pytest.raises(KeyError):
         register_page_source(spark, "unknown")
+
+
+def test_planning_hands_on_few_bytes_for_each_file(tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(4000):
+        (tmp_path / "in" / f"{k}.pdf").write_text("x" * (k % 7))
+    reader = PageReader(StructType(), {"path": f"file://{tmp_path}", "suffix": ".pdf", "bytesPerPartition": "4000"}, str)
+    runs = reader.partitions()
+    assert sorted(f for r in runs for f in r.files) == sorted((f"{tmp_path}/in/{k}.pdf", k % 7) for k in range(4000))
+    assert max(sum(n for _, n in r.files) for r in runs) <= 4000 and len(pickle.dumps(runs)) < 15 * 4000
+
+
+@pytest.mark.parametrize("bad", [False, True])
+def test_writers_leave_no_drafts(spark, tmp_path, bad):
+    rows = spark.createDataFrame([("a/1.pdf", "x"), ("../b" if bad else "b", "y")], "path string, content string").coalesce(1)
+    try:
+        sw.write_files(rows, f"file://{tmp_path}/in")
+        assert not bad
+    except Exception as e:
+        assert bad and "not a path below the root" in str(e)
+    assert [p for p in tmp_path.rglob("*") if p.name.startswith(".")] == []
+    assert bad or (tmp_path / "in/a/1.pdf").read_text() + (tmp_path / "in/b").read_text() == "xy"
