@@ -210,6 +210,31 @@ def index_documents(entries: DataFrame, filename: str = "path") -> DataFrame:
     return entries.select("path", F.coalesce("title", stem).alias("title"), F.coalesce("domain", F.lit("")).alias("domain"), F.array_join(F.coalesce("tags", F.array()), " ").alias("tags"), F.coalesce("body", F.lit("")).alias("body"))
 
 
+#: Rows whose terms are placed together.
+ROWS_PLACED = 512
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (path, field, tokens) to (term, field, path, tf, positions), a row for each term of a row."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS_PLACED):
+            batch = whole.slice(start, ROWS_PLACED)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(2)), 0)).astype(np.int64)
+            words = batch.column(2).flatten().dictionary_encode(null_encoding="encode")
+            row, code = np.repeat(np.arange(batch.num_rows), sizes), np.asarray(words.indices).astype(np.int64)
+            at = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+            key = row * max(1, len(words.dictionary)) + code
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            ends = np.append(first, len(row)).astype(np.int32)
+            mine = order[first]
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [words.dictionary.take(pa.array(code[mine])), batch.column(1).take(pa.array(row[mine])), batch.column(0).take(pa.array(row[mine])), pa.array(np.diff(ends).astype(np.int64)), places],
+                names=["term", "field", "path", "tf", "positions"],
+            )
+
+
 def rebuild_index(entries: DataFrame, lowercase: bool = False, tokenizer: str = "latin") -> tuple[DataFrame, DataFrame]:
     """(postings(term, field, path, tf, positions), lengths(path, field, len)) over title, body and tags.
 
@@ -220,16 +245,8 @@ def rebuild_index(entries: DataFrame, lowercase: bool = False, tokenizer: str =
     each = docs.select("path", fields.alias("f")).select("path", "f.field", "f.t")
     lengths = each.select("path", "field", F.size("t").cast("long").alias("len"))
 
-    def runs(one: Column) -> Column:
-        t = one["t"]
-        first = lambda k: (k == 0) | (F.get(t, k)["term"] != F.get(t, k - 1)["term"])
-        places = lambda s, e: F.transform(F.slice(t, s + 1, e - s), lambda x: x["at"])
-        held = lambda at: F.transform(at, lambda s, k: F.struct(F.get(t, s)["term"].alias("term"), places(s, F.coalesce(F.get(at, k + 1), F.size(t))).alias("positions")))
-        return _let(F.filter(F.sequence(F.lit(0), F.size(t) - 1), first), held)
-
-    placed = each.where(F.size("t") > 0).select("path", "field", F.sort_array(F.transform("t", lambda x, k: F.struct(x.alias("term"), k.alias("at")))).alias("t"))
-    rows = placed.select("path", "field", F.explode(_let(F.struct("t"), runs)).alias("r"))
-    return rows.select("r.term", "field", "path", F.size("r.positions").cast("long").alias("tf"), "r.positions"), lengths
+    placed = each.where(F.size("t") > 0).mapInArrow(_placed, f"term string, field string, path {each.schema['path'].dataType.simpleString()}, tf bigint, positions array<int>")
+    return placed, lengths
 
 
 #: Folders of a saved index that terms are dealt to.

@@ -93,3 +93,21 @@ def test_terms_are_counted_where_their_rows_are(spark):
     assert {(r.path, r.term): (r.n, r.total) for r in counts.collect()} == want
     norms = ft.tfidf_weights(docs).groupBy("path").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert len(norms) == len({p for p, _ in want}) and all(abs(r.s - 1) < 1e-9 for r in norms)
+
+
+def test_postings_are_placed_without_lambdas(spark):
+    rows = [(f"p{k}", "a b" if k % 3 else None, ["x", "é", "x"], None if k % 7 == 0 else " ".join(f"w{k * j % 5}." for j in range(k % 9))) for k in range(1300)]
+    docs = spark.createDataFrame(rows, "path string, title string, tags array<string>, body string").withColumn("domain", F.lit("d")).coalesce(1)
+    postings, lengths = ft.rebuild_index(docs)
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+    want, sizes = {}, {}
+    for path, title, tags, body in rows:
+        for field, text in (("title", title or path), ("tags", " ".join(tags)), ("body", body or "")):
+            cut = [t for w in text.split() for t in ([w[:-1], "."] if w.endswith(".") else [w])]
+            sizes[path, field] = len(cut)
+            for at, t in enumerate(cut):
+                want.setdefault((t, field, path), []).append(at)
+    found = postings.collect()
+    assert len(found) == len(want) and {(r.term, r.field, r.path): list(r.positions) for r in found} == want and all(r.tf == len(r.positions) for r in found)
+    assert {(r.path, r.field): r.len for r in lengths.collect()} == sizes
