@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import load, save, stage
+from ..sources.tables import load, release, save, spread, stage
 
 #: A run of ASCII letters and digits, or any one other character that is not white space.
 LATIN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
@@ -493,37 +494,135 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(trigrams(a), trigrams(b))) / F.size(F.array_union(trigrams(a), trigrams(b)))
 
 
+#: Names of one side and length that lie in a block at most, and rows of a block that are counted at once.
+NAMES_HELD, NAMES_COUNTED = 8192, 512
+_BLOCK = "side int, n int, id string, names array<string>, grams array<string>, held binary"
+
+
 def similar_names(left: DataFrame, right: DataFrame | None = None, least: float = 0.4) -> DataFrame:
     """(left, right, similarity) of all pairs of different names(name), one of each side, at least so alike by trigrams.
 
     Without right, pairs within left, each once with the smaller name first.  Copies of a name count once; null names have
-    no partner.  Trigrams are put in order of their frequency, rarest first.  Two sets can only be so alike if the first
-    n - ceil(least * n) + 1 trigrams of each share one, if neither is longer than the other's size / least, and if what
-    follows the shared one is long enough: only names that meet so are compared in full.
+    no partner.  Names with equally many trigrams lie in blocks, neighbours by name together.  Two blocks meet in one row
+    if neither's sets are longer than the other's / least, and their shared trigrams are counted in numpy, from those
+    trigrams that stand in both: no row is made for a pair that is not alike.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
     within, sides = right is None, [x.select("name").where("name is not null").distinct() for x in (left, *([] if right is None else [right]))]
-    names = stage(sides[0].select("name", F.lit(0).alias("side")) if within else sides[0].select("name", F.lit(0).alias("side")).unionByName(sides[1].select("name", F.lit(1).alias("side"))), "names")
-    grams = names.select("side", "name", F.explode(trigrams(F.col("name"))).alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("often", "gram"))), lambda x: x["gram"])
-    sets = stage(grams.join(often, "gram").groupBy("side", "name").agg(by_rarity.alias("g")), "trigrams")
-    n = F.size("g")
-    heads = sets.select("side", "name", n.alias("n"), F.posexplode(F.slice("g", F.lit(1), n - F.ceil(least * n - 1e-9).cast("int") + 1)).alias("at", "gram"))
-    a = heads.where("side = 0").select("gram", F.col("name").alias("left"), F.col("n").alias("n_left"), F.col("at").alias("at_left"))
-    b = heads.where(f"side = {0 if within else 1}").select("gram", F.col("name").alias("right"), F.col("n").alias("n_right"), F.col("at").alias("at_right"))
-    fits = (F.col("n_left") >= least * F.col("n_right") - 1e-9) & (F.col("n_right") >= least * F.col("n_left") - 1e-9)
-    shared = F.ceil(least / (1 + least) * (F.col("n_left") + F.col("n_right")) - 1e-9)
-    # Neither has shared one before the first they meet on, so no more can follow than the shorter rest.
-    # Merged, never broadcast: sets of trigrams take a hundred times the room in memory that their files say.
-    met = a.join(b.hint("merge"), "gram").where(fits & ((F.col("left") < F.col("right")) if within else (F.col("left") != F.col("right"))))
-    pairs = met.groupBy("left", "right").agg(F.min(F.struct("at_left", F.least(F.col("n_left") - F.col("at_left"), F.col("n_right") - F.col("at_right")).alias("rest"), shared.alias("need"))).alias("m")).where("m.rest >= m.need").select("left", "right")
-    own = lambda side, name, g: sets.where(F.col("side") == side).select(F.col("name").alias(name), F.col("g").alias(g)).hint("merge")
-    whole = pairs.join(own(0, "left", "g_left"), "left").join(own(0 if within else 1, "right", "g_right"), "right")
-    both = F.size(F.array_intersect("g_left", "g_right"))
-    alike = both / (F.size("g_left") + F.size("g_right") - both)
-    return whole.select("left", "right", alike.alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+    names = sides[0].select("name", F.lit(0).alias("side")) if within else sides[0].select("name", F.lit(0).alias("side")).unionByName(sides[1].select("name", F.lit(1).alias("side")))
+    # Dealt by both: dealt by name as distinct() left them, Spark would keep its few tasks.
+    sets = stage(spread(names, "name", "side").select("side", "name", trigrams(F.col("name")).alias("g")).select("side", F.size("g").alias("n"), "name", "g"), "trigrams")
+    # Neighbours share most of their trigrams, and what a whole run of rows shares is counted once.
+    blocks = stage(sets.repartitionByRange("side", "n", "name").sortWithinPartitions("side", "n", "name").mapInArrow(_name_blocks, _BLOCK), "names")
+    release(sets)
+    a = blocks.where("side = 0").select("n", F.col("id").alias("a"), F.struct("n", "names", "grams", "held").alias("x"))
+    b = blocks.where(f"side = {0 if within else 1}")
+    # By each length of the other side that can be so alike.
+    longest = blocks.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    alike = F.filter(F.sequence(F.lit(0), F.lit(longest)), lambda x: (x >= least * F.col("n") - 1e-9) & (F.col("n") >= least * x - 1e-9))
+    partners = b.select(F.col("id").alias("b"), F.explode(alike).alias("n"))
+    # Merged, never broadcast: blocks take more room in memory than their files say.
+    met = a.join(partners.hint("merge"), "n").drop("n")
+    if within:
+        met = met.where("a <= b")
+    met = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b")
+    rows = met.join(b.select(F.col("id").alias("b"), F.struct("n", "names", "grams", "held").alias("y")).hint("merge"), "b")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
+                yield from _alike(batch.column(2)[k], batch.column(3)[k], least, within, same)
+
+    return rows.select("a", "b", "x", "y").mapInArrow(run, _ALIKE)
+
+
+_ALIKE = "left string, right string, similarity double"
+
+
+def _name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (side, n, name, g) by side and n to _BLOCK; held has the numbers of each name's trigrams among the block's."""
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        words = rows.column("g").combine_chunks().flatten().dictionary_encode()
+        values = [[rows.column("side")[0].as_py()], [rows.column("n")[0].as_py()], [uuid.uuid4().hex]]
+        held = np.asarray(words.indices).astype("<i4").tobytes()
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows.column("name").combine_chunks(), words.dictionary)]
+        return pa.RecordBatch.from_arrays([pa.array(values[0], pa.int32()), pa.array(values[1], pa.int32()), pa.array(values[2]), *lists, pa.array([held], pa.binary())], names=["side", "n", "id", "names", "grams", "held"])
+
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not rows.num_rows:
+            continue
+        key = np.asarray(rows.column("side")).astype(np.int64) << 32 | np.asarray(rows.column("n"))
+        starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+        for s, e in zip(starts, np.append(starts[1:], len(key))):
+            while e - s > NAMES_HELD or s < e < len(key):
+                yield made(rows.slice(s, min(e - s, NAMES_HELD)))
+                s = min(e, s + NAMES_HELD)
+            rest = rows.slice(s)  # it may go on in the next batch
+    if rest is not None:
+        yield made(rest)
+
+
+def _alike(x: pa.StructScalar, y: pa.StructScalar, least: float, within: bool, same: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks that are alike; within one side by name, of one block with itself each pair once."""
+    n, m = x["n"].as_py(), y["n"].as_py()
+    need = next((c for c in range(min(n, m) + 1) if c / (n + m - c) >= least - 1e-12), None)
+    if need is None:
+        return
+    names = [x["names"].values, y["names"].values]
+    mine, theirs = x["grams"].values, y["grams"].values
+    # Trigrams by their number in x; those that the other block lacks are -1.
+    at = np.asarray(pc.fill_null(pc.index_in(mine, value_set=theirs), -1)).astype(np.int64)
+    back = np.full(len(theirs), -1)
+    back[at[at >= 0]] = np.flatnonzero(at >= 0)
+    a, b = (np.frombuffer(z["held"].as_buffer(), "<i4").reshape(-1, k) for z, k in ((x, n), (y, m)))
+    a, b = np.where(at[a] >= 0, a, -1), back[b]
+    row, col = (np.flatnonzero((z >= 0).sum(1) >= need) for z in (a, b))
+    if not len(row) or not len(col):
+        return
+
+    def postings(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of z by trigram, where each trigram's begin)."""
+        flat = z.ravel()
+        order = np.argsort(flat, kind="stable")
+        return order // z.shape[1], np.searchsorted(flat[order], np.arange(len(mine) + 1))
+
+    kind = np.uint8 if min(n, m) < 256 else np.uint32
+    cols, begin = postings(b[col])
+    for s in range(0, len(row), NAMES_COUNTED):
+        part = row[s : s + NAMES_COUNTED]
+        rows, first = postings(a[part])
+        shared, of_col, of_row = np.zeros((len(part), len(col)), kind), np.zeros(len(col), kind), np.zeros(len(part), kind)
+        for g in np.flatnonzero((np.diff(first) > 0) & (np.diff(begin) > 0)).tolist():
+            r, c = rows[first[g] : first[g + 1]], cols[begin[g] : begin[g + 1]]
+            if len(r) == len(part):
+                of_col[c] += 1
+            elif len(c) == len(col):
+                of_row[r] += 1
+            elif len(c) * 8 > len(col):
+                there = np.zeros(len(col), kind)
+                there[c] = 1
+                shared[r] += there
+            else:
+                shared[r[:, None], c] += 1
+        shared += of_col
+        shared += of_row[:, None]
+        hits = np.flatnonzero(shared >= need)
+        for t in range(0, len(hits), 1 << 16):
+            i, j = np.divmod(hits[t : t + (1 << 16)], len(col))
+            both = shared[i, j].astype(np.int64)
+            one, two = names[0].take(pa.array(part[i])), names[1].take(pa.array(col[j]))
+            keep, similarity = pc.not_equal(one, two), pa.array(both / (n + m - both))
+            if same:
+                keep = pa.array(part[i] < col[j])
+            if within:
+                turned = pc.greater(one, two)
+                one, two = pc.if_else(turned, two, one), pc.if_else(turned, one, two)
+            yield pa.RecordBatch.from_arrays([one, two, similarity], names=["left", "right", "similarity"]).filter(keep)
 
 
 def log_idf(n_docs: int, df: int) -> float:

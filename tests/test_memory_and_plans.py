@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliolake.functions import layout as fl
@@ -77,3 +79,28 @@ def test_postings_leave_their_paths_behind_at_once(spark):
     # The join on paths that lies last in the plan's order is that of postings with their documents, by path and field.
     last = next(line for line in plan.split("\n") if "SortMergeJoin [path" in line)
     assert "field" in last
+
+
+def test_names_meet_in_blocks_and_not_by_trigram(spark):
+    names = spark.createDataFrame([(f"Name#{k:05d}",) for k in range(40)], "name string")
+    plan = ft.similar_names(names, names, 0.2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin [gram" not in plan
+
+
+def test_pairs_of_names_across_blocks(monkeypatch):
+    rng = random.Random(5)
+    grams = lambda name: sorted({f"  {name} "[k : k + 3] for k in range(max(1, len(name)))})
+    names = sorted({"".join(rng.choice("abc0") for _ in range(rng.randrange(9))) for _ in range(300)} | {"x" * 300 + f"{k}" * 3 for k in range(3)} | {"".join(map(chr, range(200, 500)))})
+    monkeypatch.setattr(ft, "NAMES_HELD", 7)
+    monkeypatch.setattr(ft, "NAMES_COUNTED", 3)
+    rows = sorted((0, len(grams(x)), x, grams(x)) for x in names)
+    schema = pa.schema([("side", pa.int32()), ("n", pa.int32()), ("name", pa.string()), ("g", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[s : s + 50]), schema)], schema=schema) for s in range(0, len(rows), 50)]
+    blocks = [b.to_struct_array()[0] for b in ft._name_blocks(iter(batches))]
+    assert max(len(b["names"].values) for b in blocks) == 7 and sum(len(b["names"].values) for b in blocks) == len(names)
+    for least in (0.2, 0.5, 1.0):
+        pairs = [(x, y) for k, x in enumerate(blocks) for y in blocks[k:]]
+        got = [(r["left"], r["right"], r["similarity"]) for x, y in pairs for b in ft._alike(x, y, least, True, x is y) for r in b.to_pylist()]
+        own = {x: set(grams(x)) for x in names}
+        want = {(x, y, len(own[x] & own[y]) / len(own[x] | own[y])) for x in names for y in names if x < y and len(own[x] & own[y]) / len(own[x] | own[y]) >= least}
+        assert len(got) == len(set(got)) and set(got) == want
