@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import PAGE
 from ..sources.files import EXTRACTORS, extract_structured
+from ..sources.tables import small_files
 from .streams import incremental_files
 
 
@@ -25,7 +26,8 @@ def batch_process_folder(spark: SparkSession, folder: str, out: str, checkpoint:
     """
     if extractor not in EXTRACTORS:
         raise KeyError(f"no extractor {extractor}")
-    total = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).count()  # lists, reads no content
+    with small_files(spark):
+        total = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).count()  # lists, reads no content
     counts = {"done": 0, "failed": 0}
 
     def run(batch: DataFrame, number: int) -> None:
@@ -39,13 +41,6 @@ def batch_process_folder(spark: SparkSession, folder: str, out: str, checkpoint:
             report(counts["done"], counts["failed"], total)
 
     files = incremental_files(spark, folder, glob, max(most, -(-total // rounds)))
-    # A batch's files are looked up by as many tasks as there are cores, not by a task for each file.
-    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(tasks)
-    spark.conf.set(tasks, str(spark.sparkContext.defaultParallelism))
-    try:  # a stream keeps the settings that it was started with
-        started = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(tasks, before)
-    started.awaitTermination()
+    with small_files(spark):
+        files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{PAGE}, error string, batch int").parquet(out).drop("batch")

@@ -90,3 +90,17 @@ def test_markdown_is_listed_without_what_is_hidden(spark, tmp_path):
     some = sf.read_markdown(spark, str(tmp_path), F.startswith("path", F.lit("x/")))
     (tmp_path / "a.md").unlink()  # what is not wanted is not opened
     assert sorted(r["path"] for r in some.collect()) == seen[2:]
+
+
+def test_a_batch_is_looked_up_and_read_by_few_tasks(spark, tmp_path):
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    for k in range(300):
+        (folder / f"{k}.pdf").write_text(f"one {k}")
+    at = lambda name: f"file://{tmp_path}/{name}"
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    pages = sb.batch_process_folder(spark, at("in"), at("out"), at("check"), most=300, report=lambda *x: seen.append(spark.conf.get(key)))
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == [str(cores)] and spark.conf.get(key) == before
+    assert pages.count() == 300 and len(pages.inputFiles()) <= cores
