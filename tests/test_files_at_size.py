@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliolake.functions import files as ff
 from foliolake.sources import files as sf
+from foliolake.sources import tables
 from foliolake.sources import wiki as sw
 from foliolake.streaming import batches as sb
 from foliolake.streaming import compiling as cst
@@ -104,3 +105,35 @@ def test_a_batch_is_looked_up_and_read_by_few_tasks(spark, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     assert seen == [str(cores)] and spark.conf.get(key) == before
     assert pages.count() == 300 and len(pages.inputFiles()) <= cores
+
+
+def test_files_of_a_stream_are_looked_up_by_few_tasks_until_it_ends(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(150):
+        (tmp_path / "in" / f"{k}.pdf").write_text(f"one {k}\ftwo")
+    at = lambda name: f"file://{tmp_path}/{name}"
+    key, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    before = spark.conf.get(key)
+
+    def now():
+        seen.append(spark.conf.get(key))
+        return NOW()
+
+    cst.compile_available(spark, at("in"), at("kb"), at("check"), most=100, now=now)
+    assert set(seen) == {str(spark.sparkContext.defaultParallelism)} and spark.conf.get(key) == before
+    assert cst.outcomes(spark, at("check")).where("error is null").count() == 150
+    assert sorted((r["scanned"], r["compiled"]) for r in cst.totals(spark, at("check")).collect()) == [(50, 50), (100, 100)]
+
+
+def test_compiled_texts_do_not_stay_staged(spark, tmp_path):
+    fs, folder = tables.file_system(spark, f"{tables.shared_dir(spark)}/foliolake")
+    staged = lambda: {x.getPath().getName() for x in fs.listStatus(folder)} if fs.exists(folder) else set()
+    before = staged()
+    rows = [(f"in/{k}.pdf", b" a \f b\n %d" % k) for k in range(20)] + [("in/bad.pdf", None), ("else/1.pdf", b"x")]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    runs = [{r["path"]: (r["action"], r["error"] is None) for r in sw.incremental_compile(f, f"file://{tmp_path}/kb", NOW()).collect()} for f in (files, files)]
+    assert runs[0] == {p: ("compile", c is not None) for p, c in rows}
+    assert runs[1] == {p: ("compile", False) if c is None else ("skip", True) for p, c in rows}
+    assert {n.split("-")[0] for n in staged() - before} <= {"plan", "outcome", "listed"}
+    assert "a\nb" in (tmp_path / "kb/raw/7.md").read_text() and "a\nb" in (tmp_path / "kb/raw/7.compile_prompt.md").read_text()
+    assert len(list((tmp_path / "kb/raw").glob("1-*.md"))) + len(list((tmp_path / "kb/raw").glob("1.md"))) == 3
