@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from foliolake.functions import text as ft
 from foliolake.functions import vectors as fv
 from foliolake.operators import graph as g
 from foliolake.operators import metrics as m
+from foliolake.operators import quality as q
 from foliolake.sources.tables import stage
 from tests.conftest import SF
 
@@ -111,3 +114,32 @@ def test_postings_are_placed_without_lambdas(spark):
     found = postings.collect()
     assert len(found) == len(want) and {(r.term, r.field, r.path): list(r.positions) for r in found} == want and all(r.tf == len(r.positions) for r in found)
     assert {(r.path, r.field): r.len for r in lengths.collect()} == sizes
+
+
+def test_tiles_of_tag_sets_are_sent_on_one_side_only(spark, monkeypatch):
+    e = _random_entries(spark, 7, 80).withColumn("path", g.node_path(F.col("path")))
+    want = sorted(map(tuple, g.tag_pairs(e).collect()))
+    monkeypatch.setattr(g, "TILE", 3)
+    small = g.tag_pairs(e)
+    assert sorted(map(tuple, small.collect())) == want and len(want) > 300
+    # What is dealt out anew has the paths of one tile; those of the other are sent once, not with each pair.
+    assert re.search(r"RepartitionByExpression \[b#\d+, tile_b#\d+\]", small._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_drift_tiles_keep_floats_and_are_compared_in_parts(spark, monkeypatch):
+    kinds, stage_ = [], q.stage
+    monkeypatch.setattr(q, "stage", lambda df, label: (kinds.append(df.schema["rows"].dataType.elementType["vector"].dataType.elementType.simpleString()), stage_(df, label))[1])
+    rng = np.random.default_rng(5)
+    e = spark.range(40).selectExpr("concat('p', id) as path", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id * 30 as int)) as created", "array('x', concat('t', id % 2)) as tags")
+    for kind in ("float", "double"):
+        v = spark.createDataFrame([(f"p{k}", x) for k, x in enumerate(rng.normal(size=(40, 4)).tolist())], f"path string, vector array<{kind}>")
+        assert q.drift_pairs(e, v).count() > 100
+    assert kinds == ["float", "double"]
+    rows = [{"path": f"p{k:02d}", "at": k * 86400 * 40, "tags": ["a", "b"][k % 2 :], "vector": [float(x) for x in rng.normal(size=3)]} for k in range(20)]
+    tile = pa.array(rows, pa.struct([("path", pa.string()), ("at", pa.int64()), ("tags", pa.list_(pa.string())), ("vector", pa.list_(pa.float32()))]))
+    pairs = lambda same: [tuple(r.values()) for b in q._drifted("b", tile, tile, same, 0.6, 90) for r in b.to_pylist()]
+    whole = [pairs(same) for same in (True, False)]
+    monkeypatch.setattr(q, "ROWS_COMPARED", 3)
+    parts = [pairs(same) for same in (True, False)]
+    assert [[x[:4] for x in p] for p in whole] == [[x[:4] for x in p] for p in parts] and len(whole[0]) > 20
+    assert np.allclose([x[4] for p in whole for x in p], [x[4] for p in parts for x in p])
